@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import media_columns, packing, token_store
+from . import fingerprints, language_id, media_columns, mixing, packing, token_store
 from .shared import scratch_path
 
 
@@ -19,24 +20,43 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compare_with_next(table(spark, sf_dir, "documents"))
+
+
 def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "tokens")
     token_store.write_store(table(spark, sf_dir, "documents"), path, vocabulary("byte_bpe_50k.json"))
     return token_store.checked_documents(spark, path)
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = language_id.in_fold(F.col("doc_id"))
+    learned = language_id.train(docs.where(~held_out))
+    found = language_id.identify(docs.select("doc_id", "text"), learned)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = media_columns.stored_text_media(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "tile")
 
 
+def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sources(table(spark, sf_dir, "documents"))
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_tokens(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
 QUERIES = {
+    "op1_order_minhash": op1_order_minhash,
     "op2_token_store": op2_token_store,
+    "op4_language_id": op4_language_id,
     "op6_media_columns": op6_media_columns,
+    "op7_source_mix": op7_source_mix,
     "op9_best_fit_packing": op9_best_fit_packing,
 }
 
