@@ -68,12 +68,12 @@ def pack_tokens(df: DataFrame, tokenizer: str, *, key: str = "doc_id", text: str
     schema = f"{key} {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long" + (", ids array<int>" if with_ids else "")
 
     def pack(batches):
-        encode = encoder(tokenizer).encode
+        coder = encoder(tokenizer)
         bins = OpenBins(capacity, open_bins, TaskContext.get().partitionId() << 40)
         for batch in batches:
             keys, rows, pieces = [], [], []
-            for k, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = np.append(encode(x or "").astype("<u4"), np.uint32(end_id))
+            for k, own in zip(batch.column(0).to_pylist(), coder.encode_all(batch.column(1).to_pylist())):
+                ids = np.append(own.astype("<u4"), np.uint32(end_id))
                 for n, start in enumerate(range(0, len(ids), capacity)):
                     part = ids[start : start + capacity]
                     keys.append(k)

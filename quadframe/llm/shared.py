@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import array
 import functools
 import json
 import os
@@ -9,6 +10,7 @@ import re
 import tempfile
 import uuid
 import zlib
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -99,24 +101,36 @@ def before(df: DataFrame, key: str, value: str, out: str, cuts: list | None = No
 
 
 # ---------------------------------------------------------------- tokenizers
-# The pre-token patterns of the two public tokenizers, for text whose
-# letters are all in LATIN and whose digits are all ASCII.
+# Letters of the fast path, and the contractions that the two public files know.
 LATIN = "A-Za-zÀ-ÖØ-öø-ɏ"
-PLAIN = re.compile(f"[^\\x00-\\x1b\\x20-\\x7f{LATIN}–—‘-„…]")
-BYTE_PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{LATIN}]+| ?[0-9]+| ?[^\\s0-9{LATIN}]+|\\s+(?!\\S)|\\s+")
-WORD_PIECES = re.compile(f"(?i:'s|'t|'re|'ve|'m|'ll|'d)|[{LATIN}]+|[0-9]|[^\\s0-9{LATIN}]+")
+PLAIN = f"\\x00-\\x1b\\x20-\\x7f{LATIN}–—‘-„…"
+CONTRACTION = {False: re.compile("'(?:s|t|re|ve|m|ll|d)"), True: re.compile("'(?:s|t|re|ve|m|ll|d)", re.I)}
+#: White space in a row, as far as the fast path has to know; rarer kinds count as odd there.
+IN_A_ROW = tuple(a + b for a in " \n\t\r\v\f" for b in " \n\t\r\v\f")
+_OTHER, _LETTER, _DIGIT, _MARK, _SPACE = range(5)
+
+
+@functools.cache
+def _kinds() -> np.ndarray:
+    """The kind of each code point of the fast path; 0 is the gap between texts."""
+    kinds = np.full(0x2100, _MARK, np.uint8)
+    for i in range(0x250):
+        c = chr(i)
+        kinds[i] = _LETTER if c.isalpha() and re.match(f"[{LATIN}]", c) else _DIGIT if "0" <= c <= "9" else _SPACE if c.isspace() else _MARK
+    return kinds
 
 
 class PieceEncoder:
     """Encodes texts with a tokenizer file of the ``tokenizers`` library, pre-token by pre-token.
 
-    Both public files cut a text into pre-tokens and merge inside each of them, so the ids
-    of a text are those of its pre-tokens in turn.  The library encodes each distinct
-    pre-token; a bounded table keeps the ids of those seen.  A text with letters beyond
-    the Latin ranges, or a file with another pre-tokenizer, goes to the library whole.
+    Both public files cut a text into pre-tokens and merge inside each of them, so the ids of a
+    text are those of its pre-tokens in turn.  The cut is found for a group of texts in array
+    passes; the library encodes each distinct pre-token, and a bounded table keeps what it said
+    by a 64-bit hash.  A text with letters beyond the Latin ranges or with white space in a row,
+    or a file with another pre-tokenizer, goes to the library whole.
     """
 
-    def __init__(self, path: str, most: int = 600_000):
+    def __init__(self, path: str, most: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -125,23 +139,112 @@ class PieceEncoder:
         with open(path, encoding="utf-8") as f:
             shape = json.load(f)
         kinds = [x["type"] for x in (shape["pre_tokenizer"] or {}).get("pretokenizers", [])] or [(shape["pre_tokenizer"] or {}).get("type")]
-        self.pattern = {("ByteLevel",): BYTE_PIECES, ("Split", "ByteLevel"): WORD_PIECES}.get(tuple(kinds))
+        #: Whether white space is dropped and case folded (words), or a space belongs to what follows (bytes).
+        self.words = {("ByteLevel",): False, ("Split", "ByteLevel"): True}.get(tuple(kinds))
+        self.odd = re.compile(f"[^{PLAIN}]")
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.most, self.known = most, {}
+        #: Ids of pre-tokens in use, and of the generation before, from which used ones come over.
+        self.most, self.known, self.older = most, {}, {}
 
-    def whole(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(x.ids, self.dtype) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def whole(self, texts: list[str]) -> list[bytes]:
+        code = "H" if self.dtype.itemsize == 2 else "I"
+        return [array.array(code, x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, text: str) -> np.ndarray:
-        if self.pattern is None or PLAIN.search(text):
-            return self.whole([text])[0]
-        pieces = self.pattern.findall(text)
-        if new := [*set(pieces).difference(self.known)]:
-            if len(self.known) + len(new) > self.most:
-                self.known = {}
-                new = [*set(pieces)]
-            self.known.update((k, v.tobytes()) for k, v in zip(new, self.whole(new)))
-        return np.frombuffer(b"".join(map(self.known.__getitem__, pieces)), self.dtype)
+        return next(self.encode_all([text]))
+
+    def encode_all(self, texts: Iterable[str | None], most_chars: int = 3_000_000) -> Iterator[np.ndarray]:
+        """The ids of each text, null being empty."""
+        group, chars = [], 0
+        for text in texts:
+            group.append(text or "")
+            chars += len(group[-1])
+            if chars >= most_chars:
+                yield from self._encode_group(group)
+                group, chars = [], 0
+        yield from self._encode_group(group)
+
+    def _encode_group(self, texts: list[str]) -> Iterator[np.ndarray]:
+        plain = [i for i, x in enumerate(texts) if x and self.words is not None and not self.odd.search(x) and (self.words or not any(y in x for y in IN_A_ROW))]
+        found = dict(zip(plain, self._encode_plain([texts[i].lower() if self.words else texts[i] for i in plain]))) if plain else {}
+        for i, x in enumerate(texts):
+            yield found[i] if i in found else np.frombuffer(self.whole([x])[0], self.dtype)
+
+    def _pieces(self, texts: list[str]) -> tuple[str, np.ndarray, np.ndarray, np.ndarray]:
+        """The joined texts with a gap after each, where pre-tokens start and end, and the gaps' places."""
+        text = "\0".join(texts) + "\0"
+        codes = np.frombuffer(text.encode("utf-32-le"), "<u4")
+        kinds = _kinds()[np.minimum(codes, 0x20FF)]
+        gaps = np.cumsum([len(x) + 1 for x in texts]) - 1
+        kinds[gaps] = _OTHER
+        before = np.r_[np.uint8(_OTHER), kinds[:-1]]
+        start = kinds != before
+        if self.words:
+            start |= kinds == _DIGIT
+            start[kinds == _SPACE] = False
+            nothing = (kinds == _SPACE) | (kinds == _OTHER)
+        else:
+            # a space opens the pre-token that follows; any other white space stands alone
+            after_space = np.r_[False, codes[:-1] == 32] & (before == _SPACE) & (kinds != _OTHER)
+            start[after_space] = False
+            nothing = kinds == _OTHER
+        start[gaps] = False
+        if "'" in text:
+            for m in CONTRACTION[self.words].finditer(text):
+                i = m.start()
+                if before[i] != _MARK and (self.words or i == 0 or codes[i - 1] != 32 or before[i] != _SPACE):
+                    start[i + 1 : m.end()] = False
+                    start[m.end()] = not nothing[m.end()] and (self.words or kinds[m.end()] != _OTHER)
+        at = np.flatnonzero(start | nothing)
+        real = start[at]
+        return text, at[real], np.r_[at[1:], len(codes)][real], gaps
+
+    def _encode_plain(self, texts: list[str]) -> list[np.ndarray]:
+        text, starts, ends, gaps = self._pieces(texts)
+        sums = np.zeros(len(text) + 1, np.uint64)
+        codes = np.frombuffer(text.encode("utf-32-le"), "<u4").astype(np.uint64) + np.uint64(1)
+        np.cumsum(codes * _powers(_INVERSE, len(text)), out=sums[1:])
+        keys = (sums[ends] - sums[starts]) * _powers(_BASE, len(text))[starts] + (ends - starts).astype(np.uint64)
+        order = np.argsort(keys)
+        ranked = keys[order]
+        first = np.flatnonzero(np.r_[True, ranked[1:] != ranked[:-1]]) if len(keys) else np.zeros(0, np.int64)
+        group = np.empty(len(keys), np.int64)
+        group[order] = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(keys)]))
+        if len(self.known) > self.most:
+            self.known, self.older = {}, self.known
+        distinct, example = ranked[first].tolist(), order[first]
+        ids = [*map(self.known.get, distinct)]
+        if missing := [i for i, x in enumerate(ids) if x is None]:
+            for i in missing:
+                ids[i] = self.older.get(distinct[i])
+            at = example[new := [i for i in missing if ids[i] is None]]
+            for i, x in zip(new, self.whole([text[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist())]) if new else ()):
+                ids[i] = x
+            self.known.update((distinct[i], ids[i]) for i in missing)
+        lengths = np.fromiter(map(len, ids), np.int64, len(ids)) // self.dtype.itemsize
+        flat, offsets = np.frombuffer(b"".join(ids), self.dtype), np.cumsum(lengths) - lengths
+        own = lengths[group]
+        stops = np.cumsum(own)
+        out = flat[np.repeat(offsets[group] - stops + own, own) + np.arange(stops[-1] if len(stops) else 0)]
+        pieces = np.searchsorted(starts, gaps)
+        return np.split(out, np.r_[0, stops][pieces[:-1]])
+
+
+#: An odd base of the hashes of pre-tokens and its inverse modulo 2^64.
+_BASE = 0xD1342543DE82EF95
+_INVERSE = pow(_BASE, -1, 1 << 64)
+
+
+@functools.lru_cache(2)
+def _long_powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, np.uint64(base))
+    out[:1] = 1
+    return np.cumprod(out, dtype=np.uint64)
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    """The first ``n`` powers of ``base`` modulo 2^64."""
+    return _long_powers(base, 1 << max(16, (n - 1).bit_length()))[:n]
 
 
 @functools.lru_cache(2)

@@ -164,8 +164,8 @@ def write_store(df: DataFrame, path: str, tokenizer: str, *, key: str = "doc_id"
         seen: set[bytes] = set()
         for batch in batches:
             out: list[tuple] = []
-            for k, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = np.concatenate([coder.encode(x or ""), end])
+            for k, own in zip(batch.column(0).to_pylist(), coder.encode_all(batch.column(1).to_pylist())):
+                ids = np.concatenate([own, end])
                 data, width, start, digests, lengths = ids.tobytes(), ids.itemsize, 0, [], []
                 for stop in chunk_ends(ids):
                     part = data[start * width : stop * width]
