@@ -203,8 +203,8 @@ class PieceEncoder:
         text, starts, ends, gaps = self._pieces(texts)
         sums = np.zeros(len(text) + 1, np.uint64)
         codes = np.frombuffer(text.encode("utf-32-le"), "<u4").astype(np.uint64) + np.uint64(1)
-        np.cumsum(codes * _powers(_INVERSE, len(text)), out=sums[1:])
-        keys = (sums[ends] - sums[starts]) * _powers(_BASE, len(text))[starts] + (ends - starts).astype(np.uint64)
+        np.cumsum(codes * powers(INVERSE, len(text)), out=sums[1:])
+        keys = (sums[ends] - sums[starts]) * powers(BASE, len(text))[starts] + (ends - starts).astype(np.uint64)
         order = np.argsort(keys)
         ranked = keys[order]
         first = np.flatnonzero(np.r_[True, ranked[1:] != ranked[:-1]]) if len(keys) else np.zeros(0, np.int64)
@@ -231,8 +231,8 @@ class PieceEncoder:
 
 
 #: An odd base of the hashes of pre-tokens and its inverse modulo 2^64.
-_BASE = 0xD1342543DE82EF95
-_INVERSE = pow(_BASE, -1, 1 << 64)
+BASE = 0xD1342543DE82EF95
+INVERSE = pow(BASE, -1, 1 << 64)
 
 
 @functools.lru_cache(2)
@@ -242,7 +242,7 @@ def _long_powers(base: int, n: int) -> np.ndarray:
     return np.cumprod(out, dtype=np.uint64)
 
 
-def _powers(base: int, n: int) -> np.ndarray:
+def powers(base: int, n: int) -> np.ndarray:
     """The first ``n`` powers of ``base`` modulo 2^64."""
     return _long_powers(base, 1 << max(16, (n - 1).bit_length()))[:n]
 

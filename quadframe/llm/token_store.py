@@ -9,13 +9,14 @@ alone, so passages that documents share become shared chunks.  The store has
 ``manifests/``         for each recipe file its range of keys, its counts and the Merkle root
                        over the roots of its documents
 
-A document's root is the Merkle root over its chunk digests; reading recomputes every
+A document's root is the node over its chunk digests; reading recomputes every
 chunk's digest, every document's root and every manifest's root.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 import zlib
 
 import numpy as np
@@ -24,21 +25,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import encoder, partitions, range_cuts, range_of
+from .shared import BASE, INVERSE, encoder, partitions, powers, range_cuts, range_of
 
 DIGEST = 16
 #: Window of the rolling hash in ids; least, mean and greatest chunk length in ids.
 WINDOW, LEAST, MEAN_BITS, MOST = 8, 32, 7, 1024
-
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
-
-
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, np.uint64(base))
-    out[:1] = 1
-    return np.cumprod(out, dtype=np.uint64)
-
+#: Documents that are cut in one array pass.
+GROUP = 256
 
 def _mix(ids: np.ndarray) -> np.ndarray:
     x = ids.astype(np.uint64) + np.uint64(1)
@@ -48,37 +41,37 @@ def _mix(ids: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def chunk_ends(ids: np.ndarray) -> list[int]:
-    """Ends of the content-defined chunks of ``ids``.
+def chunk_ends(ids: np.ndarray, documents: np.ndarray) -> list[list[int]]:
+    """Ends of the content-defined chunks of documents that lie one after the other in ``ids``.
 
-    The hash of the last WINDOW ids at each place is a difference of prefix sums (a
-    polynomial in an odd base modulo 2^64), so it costs a few array passes.  A chunk ends where the hash's
-    top MEAN_BITS bits are 0, at LEAST ids or later, or after MOST ids.
+    ``documents`` has where each of them ends; the chunk ends are counted from its own start.
+    The hash of the last WINDOW ids at each place, or of all since the document's start, is a
+    difference of prefix sums (a polynomial in an odd base modulo 2^64), so it costs a few array
+    passes.  A chunk ends where the hash's top MEAN_BITS bits are 0, at LEAST ids or later,
+    or after MOST ids.
     """
+    starts = np.r_[0, documents[:-1]].astype(np.int64)
     n = len(ids)
-    if n <= LEAST:
-        return [n] if n else []
-    sums = np.cumsum(_mix(ids) * _powers(_INVERSE, n), dtype=np.uint64)
-    window = sums.copy()
-    window[WINDOW:] -= sums[:-WINDOW]
-    window *= _powers(_BASE, n)
-    window ^= window >> np.uint64(31)
-    window *= np.uint64(0xD6E8FEB86659FD93)
-    places = np.flatnonzero(window >> np.uint64(64 - MEAN_BITS) == 0) + 1
-    ends, start = [], 0
-    for p in places.tolist():
-        while p - start > MOST:
-            start += MOST
-            ends.append(start)
-        if p - start >= LEAST:
-            ends.append(p)
-            start = p
-    while n - start > MOST:
-        start += MOST
-        ends.append(start)
-    if start < n:
-        ends.append(n)
-    return ends
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum(_mix(ids) * powers(INVERSE, n), out=sums[1:])
+    place = np.arange(n)
+    window = sums[1:] - sums[np.maximum(place + 1 - WINDOW, np.repeat(starts, documents - starts))]
+    window *= powers(BASE, n)
+    window = _mix(window)
+    candidates = np.flatnonzero(window >> np.uint64(64 - MEAN_BITS) == 0) + 1
+    cuts = np.searchsorted(candidates, np.stack([starts, documents]), side="right")
+    places, found = candidates.tolist(), []
+    for start, end, a, b in zip(starts.tolist(), documents.tolist(), *cuts.tolist()):
+        ends, last = [], start
+        for p in [*places[a:b], end]:
+            while p - last > MOST:
+                last += MOST
+                ends.append(last - start)
+            if p - last >= LEAST or p == end > last:
+                ends.append(p - start)
+                last = p
+        found.append(ends)
+    return found
 
 
 def digest(data: bytes) -> bytes:
@@ -107,12 +100,9 @@ class Merkle:
         return top or digest(b"\0")
 
 
-def merkle_root(digests: bytes) -> bytes:
-    """Root over concatenated digests."""
-    tree = Merkle()
-    for i in range(0, len(digests), DIGEST):
-        tree.add(digests[i : i + DIGEST])
-    return tree.root()
+def document_root(digests: bytes) -> bytes:
+    """The node over a document's chunks: the digest of their digests."""
+    return digest(b"\2" + digests)
 
 
 # ---------------------------------------------------------------- CRC-32 of joined parts
@@ -161,32 +151,41 @@ def write_store(df: DataFrame, path: str, tokenizer: str, *, key: str = "doc_id"
     def cut(batches):
         coder, task, row = encoder(tokenizer), TaskContext.get().partitionId(), 0
         end = np.array([end_id], coder.dtype)
+        width = end.itemsize
         seen: set[bytes] = set()
         for batch in batches:
-            out: list[tuple] = []
-            for k, own in zip(batch.column(0).to_pylist(), coder.encode_all(batch.column(1).to_pylist())):
-                ids = np.concatenate([own, end])
-                data, width, start, digests, lengths = ids.tobytes(), ids.itemsize, 0, [], []
-                for stop in chunk_ends(ids):
-                    part = data[start * width : stop * width]
-                    digests.append(d := digest(part))
-                    lengths.append(stop - start)
-                    if d not in seen:
-                        if len(seen) > 1_000_000:
-                            seen.clear()
-                        seen.add(d)
-                        out.append(("chunk", d, stop - start, None, part, None))
-                    start = stop
-                joined = b"".join(digests)
-                out.append(("recipe", int(k).to_bytes(8, "big", signed=True) + b"%d.%d" % (task, row), len(ids), merkle_root(joined), joined, lengths))
-                row += 1
-            if out:
-                kinds = (pa.string(), pa.binary(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int32()))
-                for i in range(0, len(out), 20_000):
-                    columns = zip(*out[i : i + 20_000])
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["kind", "id", "n", "root", "payload", "lengths"])
-
+            keys = iter(batch.column(0).to_pylist())
+            own = coder.encode_all(batch.column(1).to_pylist())
+            while part := [*itertools.islice(own, GROUP)]:
+                ids = np.concatenate([x for one in part for x in (one, end)])
+                documents = np.cumsum([len(x) + 1 for x in part])
+                data, at = ids.tobytes(), 0
+                chunks, recipes = [], []
+                for stop, ends, k in zip(documents.tolist(), chunk_ends(ids, documents), keys):
+                    digests, last = [], 0
+                    for e in ends:
+                        piece = data[(at + last) * width : (at + e) * width]
+                        digests.append(d := digest(piece))
+                        if d not in seen:
+                            seen.add(d)
+                            chunks.append((d, e - last, piece))
+                        last = e
+                    joined = b"".join(digests)
+                    recipes.append((int(k).to_bytes(8, "big", signed=True) + b"%d.%d" % (task, row), stop - at, document_root(joined), joined, np.diff(ends, prepend=0)))
+                    at, row = stop, row + 1
+                if len(seen) > 1_000_000:
+                    seen.clear()
+                if chunks:
+                    d, n, piece = zip(*chunks)
+                    none = pa.nulls(len(d), pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array(["chunk"]).take(pa.array(np.zeros(len(d), np.int8))), pa.array(d, pa.binary()), pa.array(n, pa.int32()), none, pa.array(piece, pa.binary()), pa.nulls(len(d), pa.list_(pa.int32()))], names)
+                d, n, root, joined, lengths = zip(*recipes)
+                yield pa.RecordBatch.from_arrays([pa.array(["recipe"] * len(d)), pa.array(d, pa.binary()), pa.array(n, pa.int32()), pa.array(root, pa.binary()), pa.array(joined, pa.binary()), pa.array(lengths, pa.list_(pa.int32()))], names)
+
+    names = ["kind", "id", "n", "root", "payload", "lengths"]
     rows = df.select(F.col(key).cast("long").alias("k"), F.col(text).cast("string").alias("t")).mapInArrow(cut, schema)
+    # each task emits a chunk once, so rows go straight to the task of their digest
+    rows = rows.repartition(partitions(spark), "kind", "id")
     once = rows.groupBy("kind", "id").agg(*[F.first(c).alias(c) for c in ("n", "root", "payload", "lengths")])
     once.write.partitionBy("kind").option("compression", "zstd").parquet(f"{path}/stage")
     stage = spark.read.schema(schema).parquet(f"{path}/stage")
@@ -197,7 +196,7 @@ def write_store(df: DataFrame, path: str, tokenizer: str, *, key: str = "doc_id"
     cuts = range_cuts(light, key, parts)
     sums = {r["g"]: r["n"] for r in light.groupBy(range_of(F.col(key), cuts).alias("g")).agg(F.sum("n_tokens").alias("n")).collect()}
     first = np.cumsum([0] + [sums.get(i) or 0 for i in range(len(cuts) + 1)]).tolist()
-    names = [key, "start", "n_tokens", "root", "digests", "lengths", "file"]
+    fields = [key, "start", "n_tokens", "root", "digests", "lengths", "file"]
 
     def run_on(batches):
         start = None
@@ -209,7 +208,7 @@ def write_store(df: DataFrame, path: str, tokenizer: str, *, key: str = "doc_id"
             n = b.column(1).to_numpy()
             starts = start + np.cumsum(n) - n
             start = int(starts[-1] + n[-1])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(starts), *b.columns[1:]], names)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(starts), *b.columns[1:]], fields)
 
     ordered = recipes.withColumn("file", range_of(F.col(key), cuts)).repartitionById(len(cuts) + 1, F.col("file")).sortWithinPartitions(key)
     ordered.mapInArrow(run_on, f"{key} long, start long, n_tokens long, root binary, digests binary, lengths array<int>, file int").write.option("compression", "zstd").parquet(f"{path}/recipes")
@@ -246,7 +245,7 @@ def _entries(recipes: DataFrame, key: str) -> DataFrame:
         for b in batches:
             keys, digests, rests, counts = [], [], [], []
             for k, root, joined, lengths in zip(*(b.column(i).to_pylist() for i in range(4))):
-                if merkle_root(joined) != root:
+                if document_root(joined) != root:
                     raise ValueError(f"the recipe of document {k} does not match its root")
                 ends = np.cumsum(lengths)
                 rests.append(ends[-1] - ends)
