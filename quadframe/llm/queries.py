@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, language_id, media_columns, mixing, packing, token_store
+from . import fingerprints, language_id, line_templates, media_columns, mixing, packing, token_store
 from .shared import scratch_path
 
 
@@ -30,6 +30,11 @@ def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.checked_documents(spark, path)
 
 
+def op3_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_templates.drop_recurring_lines(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "text", "n_lines", "n_dropped")
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held_out = language_id.in_fold(F.col("doc_id"))
@@ -54,10 +59,13 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_order_minhash": op1_order_minhash,
     "op2_token_store": op2_token_store,
+    "op3_line_templates": op3_line_templates,
     "op4_language_id": op4_language_id,
     "op6_media_columns": op6_media_columns,
     "op7_source_mix": op7_source_mix,
     "op9_best_fit_packing": op9_best_fit_packing,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op3_line_templates": line_templates.oracle(),
+}
