@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, language_id, line_templates, media_columns, mixing, packing, token_store
+from . import fingerprints, language_id, line_templates, link_filter, media_columns, mixing, packing, revisits, token_store
 from .shared import scratch_path
 
 
@@ -43,6 +43,12 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op5_revisit_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = revisits.resolve_revisits(revisits.captures(table(spark, sf_dir, "pages")))
+    lines = F.transform(F.array_sort(F.map_entries("headers")), lambda x: F.concat(x["key"], F.lit(": "), x["value"]))
+    return found.withColumn("headers", F.array_join(lines, "\n"))
+
+
 def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = media_columns.stored_text_media(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "tile")
@@ -52,6 +58,10 @@ def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op8_link_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_filter.judge_urls(table(spark, sf_dir, "pages"))
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_tokens(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
@@ -61,11 +71,15 @@ QUERIES = {
     "op2_token_store": op2_token_store,
     "op3_line_templates": op3_line_templates,
     "op4_language_id": op4_language_id,
+    "op5_revisit_resolution": op5_revisit_resolution,
     "op6_media_columns": op6_media_columns,
     "op7_source_mix": op7_source_mix,
+    "op8_link_propagation": op8_link_propagation,
     "op9_best_fit_packing": op9_best_fit_packing,
 }
 
 ORACLE: dict[str, str] = {
     "op3_line_templates": line_templates.oracle(),
+    "op5_revisit_resolution": revisits.oracle(),
+    "op8_link_propagation": link_filter.oracle(),
 }
