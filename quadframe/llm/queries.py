@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, language_id, line_templates, link_filter, media_columns, mixing, packing, revisits, token_store
+from . import fingerprints, language_id, line_templates, link_filter, media_columns, mixing, ngram_join, packing, revisits, token_store
 from .shared import scratch_path
 
 
@@ -66,6 +66,10 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_tokens(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.link_documents(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_order_minhash": op1_order_minhash,
     "op2_token_store": op2_token_store,
@@ -76,6 +80,7 @@ QUERIES = {
     "op7_source_mix": op7_source_mix,
     "op8_link_propagation": op8_link_propagation,
     "op9_best_fit_packing": op9_best_fit_packing,
+    "op10_ngram_join": op10_ngram_join,
 }
 
 ORACLE: dict[str, str] = {
