@@ -105,8 +105,7 @@ def before(df: DataFrame, key: str, value: str, out: str, cuts: list | None = No
 LATIN = "A-Za-zÀ-ÖØ-öø-ɏ"
 PLAIN = f"\\x00-\\x1b\\x20-\\x7f{LATIN}–—‘-„…"
 CONTRACTION = {False: re.compile("'(?:s|t|re|ve|m|ll|d)"), True: re.compile("'(?:s|t|re|ve|m|ll|d)", re.I)}
-#: White space in a row, as far as the fast path has to know; rarer kinds count as odd there.
-IN_A_ROW = tuple(a + b for a in " \n\t\r\v\f" for b in " \n\t\r\v\f")
+IN_A_ROW = re.compile("[ \n\t\r\v\f]{2}")
 _OTHER, _LETTER, _DIGIT, _MARK, _SPACE = range(5)
 
 
@@ -130,12 +129,17 @@ class PieceEncoder:
     or a file with another pre-tokenizer, goes to the library whole.
     """
 
-    def __init__(self, path: str, most: int = 600_000):
+    def __init__(self, path: str, most: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        #: The same vocabulary and merges for text that is one pre-token, already in its normal form.
+        self.single = Tokenizer.from_file(path)
+        self.single.encode_special_tokens = True
+        self.single.normalizer = self.single.post_processor = None
+        self.single.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         with open(path, encoding="utf-8") as f:
             shape = json.load(f)
         kinds = [x["type"] for x in (shape["pre_tokenizer"] or {}).get("pretokenizers", [])] or [(shape["pre_tokenizer"] or {}).get("type")]
@@ -146,14 +150,14 @@ class PieceEncoder:
         #: Ids of pre-tokens in use, and of the generation before, from which used ones come over.
         self.most, self.known, self.older = most, {}, {}
 
-    def whole(self, texts: list[str]) -> list[bytes]:
+    def whole(self, texts: list[str], tokenizer=None) -> list[bytes]:
         code = "H" if self.dtype.itemsize == 2 else "I"
-        return [array.array(code, x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array.array(code, x.ids).tobytes() for x in (tokenizer or self.tokenizer).encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, text: str) -> np.ndarray:
         return next(self.encode_all([text]))
 
-    def encode_all(self, texts: Iterable[str | None], most_chars: int = 3_000_000) -> Iterator[np.ndarray]:
+    def encode_all(self, texts: Iterable[str | None], most_chars: int = 2_000_000) -> Iterator[np.ndarray]:
         """The ids of each text, null being empty."""
         group, chars = [], 0
         for text in texts:
@@ -165,7 +169,7 @@ class PieceEncoder:
         yield from self._encode_group(group)
 
     def _encode_group(self, texts: list[str]) -> Iterator[np.ndarray]:
-        plain = [i for i, x in enumerate(texts) if x and self.words is not None and not self.odd.search(x) and (self.words or not any(y in x for y in IN_A_ROW))]
+        plain = [i for i, x in enumerate(texts) if x and self.words is not None and not self.odd.search(x) and (self.words or not IN_A_ROW.search(x))]
         found = dict(zip(plain, self._encode_plain([texts[i].lower() if self.words else texts[i] for i in plain]))) if plain else {}
         for i, x in enumerate(texts):
             yield found[i] if i in found else np.frombuffer(self.whole([x])[0], self.dtype)
@@ -218,7 +222,7 @@ class PieceEncoder:
             for i in missing:
                 ids[i] = self.older.get(distinct[i])
             at = example[new := [i for i in missing if ids[i] is None]]
-            for i, x in zip(new, self.whole([text[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist())]) if new else ()):
+            for i, x in zip(new, self.whole([text[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist())], self.single) if new else ()):
                 ids[i] = x
             self.known.update((distinct[i], ids[i]) for i in missing)
         lengths = np.fromiter(map(len, ids), np.int64, len(ids)) // self.dtype.itemsize

@@ -173,7 +173,7 @@ def write_store(df: DataFrame, path: str, tokenizer: str, *, key: str = "doc_id"
                     joined = b"".join(digests)
                     recipes.append((int(k).to_bytes(8, "big", signed=True) + b"%d.%d" % (task, row), stop - at, document_root(joined), joined, np.diff(ends, prepend=0)))
                     at, row = stop, row + 1
-                if len(seen) > 1_000_000:
+                if len(seen) > 200_000:
                     seen.clear()
                 if chunks:
                     d, n, piece = zip(*chunks)
