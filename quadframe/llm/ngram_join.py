@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import BASE, INVERSE, partitions, powers, written
+from .shared import BASE, INVERSE, partitions, powers, slices, written
 
 WORDS, NUMERATOR, DENOMINATOR = 5, 75, 100
 #: Counted from so many times within a task, frequent from so many in all; bound of the table of frequent shingles.
@@ -91,13 +91,6 @@ def shingle_sets(texts: list[bytes | None], n: int = WORDS) -> Iterator[np.ndarr
             yield from _group_sets(group, n)
 
 
-def _slices(batches, rows: int = 1000):
-    """The same rows in smaller batches, so that what a task holds at a time stays small."""
-    for b in batches:
-        for i in range(0, b.num_rows, rows):
-            yield b.slice(i, rows)
-
-
 def prefix_length(n: int, num: int, den: int) -> int:
     return n - -(-num * n // den) + 1 if n else 0
 
@@ -166,7 +159,7 @@ def frequent_shingles(docs: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
             return pa.RecordBatch.from_arrays([pa.array(every[first[often]].view(np.int64)), pa.array(times[often].astype(np.int64))], ["s", "n"])
 
         known: set[bytes] = set()
-        for b in _slices(batches):
+        for b in slices(batches, 1000):
             for one in shingle_sets(b.column(0).to_pylist(), n):
                 mark = hashlib.blake2b(one.tobytes(), digest_size=8).digest()
                 if len(one) and mark not in known:
@@ -209,7 +202,7 @@ def _signatures(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     def sign(batches):
         groups: set[int] = set()
         nodes: set[bytes] = set()
-        for b in _slices(batches):
+        for b in slices(batches, 1000):
             rows = []
             for doc, one in zip(b.column(0).to_pylist(), shingle_sets(b.column(1).to_pylist(), n)):
                 if not len(one):
@@ -274,7 +267,7 @@ def _near(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
     both = pairs.join(side("b"), "b").join(side("a"), "a").where((den * F.least("n_a", "n_b") >= num * F.greatest("n_a", "n_b")))
 
     def allowed(batches):
-        for b in _slices(batches, 5000):
+        for b in slices(batches, 5000):
             a, c, na, nb, x, y = (b.column(i).to_pylist() for i in range(6))
             # |a - b| + |b - a| is at most (den - num) / (den + num) of the two sizes' sum for a link
             keep = [(den + num) * differing_bits(p, q) <= (den - num) * (m + k) for m, k, p, q in zip(na, nb, x, y)]
@@ -294,7 +287,7 @@ def _links(pairs: DataFrame, docs: DataFrame, n: int, num: int, den: int) -> Dat
 
     def compare(batches):
         last: tuple = (None, None)
-        for batch in _slices(batches):
+        for batch in slices(batches, 1000):
             linked = []
             for a, _, x, y in zip(*(batch.column(i).to_pylist() for i in range(4))):
                 if last[0] != a:

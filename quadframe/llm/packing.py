@@ -8,7 +8,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import encoder, ids_crc32
+from .shared import encoder, ids_crc32, slices
 
 
 class OpenBins:
@@ -70,7 +70,7 @@ def pack_tokens(df: DataFrame, tokenizer: str, *, key: str = "doc_id", text: str
     def pack(batches):
         coder = encoder(tokenizer)
         bins = OpenBins(capacity, open_bins, TaskContext.get().partitionId() << 40)
-        for batch in batches:
+        for batch in slices(batches):
             keys, rows, pieces = [], [], []
             for k, own in zip(batch.column(0).to_pylist(), coder.encode_all(batch.column(1).to_pylist())):
                 ids = np.append(own.astype("<u4"), np.uint32(end_id))

@@ -57,6 +57,13 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def slices(batches: Iterable, rows: int = 500) -> Iterator:
+    """The rows of Arrow batches in smaller ones, so that what a task turns into Python objects at a time stays small."""
+    for b in batches:
+        for i in range(0, b.num_rows, rows):
+            yield b.slice(i, rows)
+
+
 # ---------------------------------------------------------------- global order
 def range_cuts(df: DataFrame, key: str, parts: int) -> list:
     """At most ``parts - 1`` ascending values that cut ``key`` into ranges of about equal row counts.
@@ -129,7 +136,7 @@ class PieceEncoder:
     or a file with another pre-tokenizer, goes to the library whole.
     """
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 250_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
@@ -157,7 +164,7 @@ class PieceEncoder:
     def encode(self, text: str) -> np.ndarray:
         return next(self.encode_all([text]))
 
-    def encode_all(self, texts: Iterable[str | None], most_chars: int = 2_000_000) -> Iterator[np.ndarray]:
+    def encode_all(self, texts: Iterable[str | None], most_chars: int = 800_000) -> Iterator[np.ndarray]:
         """The ids of each text, null being empty."""
         group, chars = [], 0
         for text in texts:

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import BASE, INVERSE, encoder, partitions, powers, range_cuts, range_of
+from .shared import BASE, INVERSE, encoder, partitions, powers, range_cuts, range_of, slices
 
 DIGEST = 16
 #: Window of the rolling hash in ids; least, mean and greatest chunk length in ids.
@@ -153,7 +153,7 @@ def write_store(df: DataFrame, path: str, tokenizer: str, *, key: str = "doc_id"
         end = np.array([end_id], coder.dtype)
         width = end.itemsize
         seen: set[bytes] = set()
-        for batch in batches:
+        for batch in slices(batches):
             keys = iter(batch.column(0).to_pylist())
             own = coder.encode_all(batch.column(1).to_pylist())
             while part := [*itertools.islice(own, GROUP)]:
@@ -287,7 +287,7 @@ def checked_documents(spark: SparkSession, path: str, *, key: str = "doc_id") ->
     """
 
     def summaries(batches):
-        for b in batches:
+        for b in slices(batches, 5000):
             crcs = []
             for d, n, data in zip(*(b.column(i).to_pylist() for i in range(3))):
                 if digest(data) != d:
