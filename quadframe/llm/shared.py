@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import array
 import functools
+import itertools
 import json
 import os
 import re
@@ -126,6 +126,36 @@ def _kinds() -> np.ndarray:
     return kinds
 
 
+class _Table:
+    """Sorted 64-bit keys with the ids each stands for, in a few flat arrays: some 20 bytes an entry."""
+
+    def __init__(self, dtype: np.dtype):
+        self.keys, self.starts, self.lengths = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.ids, self.used = np.zeros(1 << 16, dtype), 0
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of ascending ``keys``, and which of them are there."""
+        if not len(self.keys):
+            return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return at, self.keys[at] == keys
+
+    def add_table(self, other: _Table) -> None:
+        self.add(other.keys, other.lengths, other.ids[: other.used], other.starts)
+
+    def add(self, keys: np.ndarray, lengths: np.ndarray, ids: np.ndarray, starts: np.ndarray | None = None) -> None:
+        """Ascending new keys, their numbers of ids and the ids, which lie at ``starts`` or one after the other."""
+        while self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        self.ids[self.used : self.used + len(ids)] = ids
+        every = np.concatenate([self.keys, keys])
+        order = np.argsort(every, kind="stable")  # two ascending runs, so a merge
+        self.keys = every[order]
+        self.starts = np.concatenate([self.starts, self.used + (np.cumsum(lengths) - lengths if starts is None else starts)])[order]
+        self.lengths = np.concatenate([self.lengths, lengths])[order]
+        self.used += len(ids)
+
+
 class PieceEncoder:
     """Encodes texts with a tokenizer file of the ``tokenizers`` library, pre-token by pre-token.
 
@@ -136,35 +166,33 @@ class PieceEncoder:
     or a file with another pre-tokenizer, goes to the library whole.
     """
 
-    def __init__(self, path: str, most: int = 250_000):
+    def __init__(self, path: str, most: int = 2_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        #: The same vocabulary and merges for text that is one pre-token, already in its normal form.
-        self.single = Tokenizer.from_file(path)
-        self.single.encode_special_tokens = True
-        self.single.normalizer = self.single.post_processor = None
-        self.single.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         with open(path, encoding="utf-8") as f:
             shape = json.load(f)
         kinds = [x["type"] for x in (shape["pre_tokenizer"] or {}).get("pretokenizers", [])] or [(shape["pre_tokenizer"] or {}).get("type")]
         #: Whether white space is dropped and case folded (words), or a space belongs to what follows (bytes).
         self.words = {("ByteLevel",): False, ("Split", "ByteLevel"): True}.get(tuple(kinds))
+        self.lower = "Lowercase" in str(shape["normalizer"])
         self.odd = re.compile(f"[^{PLAIN}]")
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        #: Ids of pre-tokens in use, and of the generation before, from which used ones come over.
-        self.most, self.known, self.older = most, {}, {}
-
-    def whole(self, texts: list[str], tokenizer=None) -> list[bytes]:
-        code = "H" if self.dtype.itemsize == 2 else "I"
-        return [array.array(code, x.ids).tobytes() for x in (tokenizer or self.tokenizer).encode_batch_fast(texts, add_special_tokens=False)]
+        if self.words is not None:
+            #: The same vocabulary and merges for text that is one pre-token, already in its normal form.
+            self.single = Tokenizer.from_file(path)
+            self.single.encode_special_tokens = True
+            self.single.normalizer = self.single.post_processor = None
+            self.single.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        #: Ids of known pre-tokens; the newest are in a small table of their own, merged now and then.
+        self.most, self.known, self.newest = most, _Table(self.dtype), _Table(self.dtype)
 
     def encode(self, text: str) -> np.ndarray:
         return next(self.encode_all([text]))
 
-    def encode_all(self, texts: Iterable[str | None], most_chars: int = 800_000) -> Iterator[np.ndarray]:
+    def encode_all(self, texts: Iterable[str | None], most_chars: int = 1_000_000) -> Iterator[np.ndarray]:
         """The ids of each text, null being empty."""
         group, chars = [], 0
         for text in texts:
@@ -177,9 +205,9 @@ class PieceEncoder:
 
     def _encode_group(self, texts: list[str]) -> Iterator[np.ndarray]:
         plain = [i for i, x in enumerate(texts) if x and self.words is not None and not self.odd.search(x) and (self.words or not IN_A_ROW.search(x))]
-        found = dict(zip(plain, self._encode_plain([texts[i].lower() if self.words else texts[i] for i in plain]))) if plain else {}
+        found = dict(zip(plain, self._encode_plain([texts[i].lower() if self.lower else texts[i] for i in plain]))) if plain else {}
         for i, x in enumerate(texts):
-            yield found[i] if i in found else np.frombuffer(self.whole([x])[0], self.dtype)
+            yield found[i] if i in found else np.array(self.tokenizer.encode(x, add_special_tokens=False).ids, self.dtype)
 
     def _pieces(self, texts: list[str]) -> tuple[str, np.ndarray, np.ndarray, np.ndarray]:
         """The joined texts with a gap after each, where pre-tokens start and end, and the gaps' places."""
@@ -221,19 +249,34 @@ class PieceEncoder:
         first = np.flatnonzero(np.r_[True, ranked[1:] != ranked[:-1]]) if len(keys) else np.zeros(0, np.int64)
         group = np.empty(len(keys), np.int64)
         group[order] = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(keys)]))
-        if len(self.known) > self.most:
-            self.known, self.older = {}, self.known
-        distinct, example = ranked[first].tolist(), order[first]
-        ids = [*map(self.known.get, distinct)]
-        if missing := [i for i, x in enumerate(ids) if x is None]:
-            for i in missing:
-                ids[i] = self.older.get(distinct[i])
-            at = example[new := [i for i in missing if ids[i] is None]]
-            for i, x in zip(new, self.whole([text[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist())], self.single) if new else ()):
-                ids[i] = x
-            self.known.update((distinct[i], ids[i]) for i in missing)
-        lengths = np.fromiter(map(len, ids), np.int64, len(ids)) // self.dtype.itemsize
-        flat, offsets = np.frombuffer(b"".join(ids), self.dtype), np.cumsum(lengths) - lengths
+        distinct, example = ranked[first], order[first]
+        lengths, offsets = np.zeros(len(distinct), np.int64), np.zeros(len(distinct), np.int64)
+        (at, old), (near, new) = self.known.find(distinct), self.newest.find(distinct)
+        for table, place, hit, base in ((self.known, at, old, 0), (self.newest, near, new, self.known.used)):
+            lengths[hit], offsets[hit] = table.lengths[place[hit]], table.starts[place[hit]] + base
+        flat = [self.known.ids[: self.known.used], self.newest.ids[: self.newest.used]]
+        if len(missing := np.flatnonzero(~(old | new))):
+            spans = zip(starts[example[missing]].tolist(), ends[example[missing]].tolist())
+            made = [x.ids for x in self.single.encode_batch_fast([text[a:b] for a, b in spans], add_special_tokens=False)]
+            lengths[missing] = own = np.fromiter(map(len, made), np.int64, len(made))
+            offsets[missing] = self.known.used + self.newest.used + np.cumsum(own) - own
+            flat.append(np.fromiter(itertools.chain.from_iterable(made), self.dtype, int(own.sum())))
+        # a copy of what this group needs: the tables change below
+        need = np.cumsum(lengths) - lengths
+        picked = np.repeat(offsets - need, lengths) + np.arange(int(lengths.sum()))
+        edges = np.cumsum([0, *map(len, flat)])
+        ids = np.empty(len(picked), self.dtype)
+        for part, low, high in zip(flat, edges[:-1], edges[1:]):
+            here = (picked >= low) & (picked < high)
+            ids[here] = part[picked[here] - low]
+        if len(missing):
+            self.newest.add(distinct[missing], own, flat[2])
+            if len(self.newest.keys) * 8 > len(self.known.keys):
+                if len(self.known.keys) + len(self.newest.keys) > self.most:
+                    self.known = _Table(self.dtype)
+                self.known.add_table(self.newest)
+                self.newest = _Table(self.dtype)
+        flat, offsets = ids, need
         own = lengths[group]
         stops = np.cumsum(own)
         out = flat[np.repeat(offsets[group] - stops + own, own) + np.arange(stops[-1] if len(stops) else 0)]
