@@ -55,7 +55,7 @@ def kmer_hashes(text: str, k: int) -> np.ndarray:
 
 
 def numbered(hashes: np.ndarray) -> np.ndarray:
-    """Mix into each hash how often it occurred before."""
+    """Mix into each hash how often it occurred before; a first occurrence keeps its hash."""
     ordered = np.sort(hashes)
     again = ordered[1:] == ordered[:-1]
     if not again.any():
@@ -68,8 +68,9 @@ def numbered(hashes: np.ndarray) -> np.ndarray:
     groups = at[places]
     starts = np.flatnonzero(np.r_[True, groups[1:] != groups[:-1]])
     number = np.arange(len(places)) - np.repeat(starts, np.diff(np.r_[starts, len(places)]))
+    later = places[number > 0]
     out = hashes.copy()
-    out[places] = _mix(out[places] + number.astype(np.uint64) * _ODD)
+    out[later] = _mix(out[later] + number[number > 0].astype(np.uint64) * _ODD)
     return out
 
 

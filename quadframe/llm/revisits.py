@@ -105,5 +105,5 @@ again AS (SELECT *, 2 * page_id + 1 AS ts, CASE page_id % 4 WHEN 0 THEN digest W
 met AS (SELECT a.*, b.page_id AS r, b.digest AS r_digest, b.day AS r_day, b.len AS r_len FROM again a ASOF LEFT JOIN (SELECT *, 2 * page_id AS rts FROM base) b ON a.canonical = b.canonical AND a.ts > b.rts),
 judged AS (SELECT *, CASE WHEN r IS NULL THEN 'unresolved' WHEN page_id % 4 = 2 THEN CASE WHEN day = r_day THEN 'resolved' ELSE 'mismatch' END WHEN regexp_replace(etag, '^W/', '') = r_digest THEN 'resolved' ELSE 'mismatch' END AS outcome FROM met)
 SELECT ts AS record_id, canonical, outcome, CASE WHEN outcome = 'resolved' THEN 2 * r END AS response_id, CASE WHEN outcome = 'resolved' THEN r_digest END AS digest,
-  CASE WHEN outcome = 'resolved' THEN 'content-length: ' || r_len || chr(10) || 'date: ' || ts || chr(10) || 'etag: ' || coalesce(etag, r_digest) || chr(10) || 'last-modified: ' || r_day END AS headers
+  CASE WHEN outcome = 'resolved' THEN coalesce('content-length: ' || r_len || chr(10), '') || 'date: ' || ts || chr(10) || 'etag: ' || coalesce(etag, r_digest) || chr(10) || 'last-modified: ' || r_day END AS headers
 FROM judged"""

@@ -140,8 +140,8 @@ def crc_terms(crc: np.ndarray, rest: np.ndarray) -> np.ndarray:
 def write_store(df: DataFrame, path: str, tokenizer: str, *, key: str = "doc_id", text: str = "text", end_id: int = 0) -> None:
     """Encode ``df`` and write the store to ``path`` (a new folder that all executors share).
 
-    ``key`` must be an integer that no two rows share; a null text is an empty one, and each document
-    ends with ``end_id``.  The texts are encoded once: one shuffle carries chunks by digest,
+    ``key`` is an integer; rows without one are left out, as nothing could name them, and rows that share one are
+    documents of their own, in any order.  A null text is an empty one, and each document ends with ``end_id``.  The texts are encoded once: one shuffle carries chunks by digest,
     each input partition keeping one copy of a chunk, and recipes by key.
     An empty table gives empty files.
     """
@@ -183,7 +183,7 @@ def write_store(df: DataFrame, path: str, tokenizer: str, *, key: str = "doc_id"
                 yield pa.RecordBatch.from_arrays([pa.array(["recipe"] * len(d)), pa.array(d, pa.binary()), pa.array(n, pa.int32()), pa.array(root, pa.binary()), pa.array(joined, pa.binary()), pa.array(lengths, pa.list_(pa.int32()))], names)
 
     names = ["kind", "id", "n", "root", "payload", "lengths"]
-    rows = df.select(F.col(key).cast("long").alias("k"), F.col(text).cast("string").alias("t")).mapInArrow(cut, schema)
+    rows = df.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("k"), F.col(text).cast("string").alias("t")).mapInArrow(cut, schema)
     # each task emits a chunk once, so rows go straight to the task of their digest
     rows = rows.repartition(partitions(spark), "kind", "id")
     once = rows.groupBy("kind", "id").agg(*[F.first(c).alias(c) for c in ("n", "root", "payload", "lengths")])
@@ -223,30 +223,34 @@ def write_store(df: DataFrame, path: str, tokenizer: str, *, key: str = "doc_id"
             types = (pa.int32(), *[pa.int64()] * 4, pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((file, keys[0], keys[-1], docs, tokens, tree.root()), types)], ["file", "first_key", "last_key", "documents", "tokens", "root"])
 
-    read_recipes(spark, path).select(key, "n_tokens", "root", "file").repartitionById(len(cuts) + 1, F.col("file")).sortWithinPartitions(key).mapInArrow(manifest, MANIFEST).write.parquet(f"{path}/manifests")
+    read_recipes(spark, path, key=key).select(key, "n_tokens", "root", "file").repartitionById(len(cuts) + 1, F.col("file")).sortWithinPartitions(key).mapInArrow(manifest, MANIFEST).write.parquet(f"{path}/manifests")
 
 
 MANIFEST = "file int, first_key long, last_key long, documents long, tokens long, root binary"
 
 
 # ---------------------------------------------------------------- read
-def read_recipes(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(f"{path}/recipes")
+def read_recipes(spark: SparkSession, path: str, *, key: str = "doc_id") -> DataFrame:
+    return spark.read.schema(f"{key} long, start long, n_tokens long, root binary, digests binary, lengths array<int>, file int").parquet(f"{path}/recipes")
+
+
+def read_manifests(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(MANIFEST).parquet(f"{path}/manifests")
 
 
 def read_chunks(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("kind string, id binary, n int, payload binary").parquet(f"{path}/stage").where("kind = 'chunk'").select(F.col("id").alias("digest"), "n", "payload")
 
 
-def _entries(recipes: DataFrame, key: str) -> DataFrame:
-    """One row per chunk of a document: the key, the digest, the ids after it; recipes whose root fails raise."""
+def _entries(recipes: DataFrame) -> DataFrame:
+    """One row per chunk of a document: its start as k, the digest, the ids after it; recipes whose root fails raise."""
 
     def entries(batches):
         for b in batches:
             keys, digests, rests, counts = [], [], [], []
             for k, root, joined, lengths in zip(*(b.column(i).to_pylist() for i in range(4))):
                 if document_root(joined) != root:
-                    raise ValueError(f"the recipe of document {k} does not match its root")
+                    raise ValueError(f"the recipe of the document at {k} does not match its root")
                 ends = np.cumsum(lengths)
                 rests.append(ends[-1] - ends)
                 keys += [k] * len(lengths)
@@ -255,12 +259,13 @@ def _entries(recipes: DataFrame, key: str) -> DataFrame:
             if keys:
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(digests, pa.binary()), pa.array(np.concatenate(rests)), pa.array(counts, pa.int32())], ["k", "digest", "rest", "parts"])
 
-    return recipes.select(key, "root", "digests", "lengths").mapInArrow(entries, "k long, digest binary, rest long, parts int")
+    return recipes.select("start", "root", "digests", "lengths").mapInArrow(entries, "k long, digest binary, rest long, parts int")
 
 
 def read_documents(spark: SparkSession, path: str, *, key: str = "doc_id") -> DataFrame:
-    """key, ids array<int>: every document put together again from its chunks."""
-    joined = _entries(read_recipes(spark, path), key).join(read_chunks(spark, path), "digest")
+    """key, start, ids array<int>: every document put together again from its chunks."""
+    recipes = read_recipes(spark, path, key=key)
+    joined = _entries(recipes).join(read_chunks(spark, path), "digest")
 
     def build(batches):
         for b in batches:
@@ -272,10 +277,10 @@ def read_documents(spark: SparkSession, path: str, *, key: str = "doc_id") -> Da
                         raise ValueError("a chunk does not match its digest")
                     data.append(np.frombuffer(part["payload"], f"<u{len(part['payload']) // part['n']}").astype("<i4"))
                 ids.append(np.concatenate(data))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32()))], [key, "ids"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32()))], ["start", "ids"])
 
-    grouped = joined.groupBy(F.col("k").alias(key)).agg(F.collect_list(F.struct("rest", "digest", "n", "payload")).alias("parts"))
-    return grouped.mapInArrow(build, f"{key} long, ids array<int>")
+    grouped = joined.groupBy(F.col("k").alias("start")).agg(F.collect_list(F.struct("rest", "digest", "n", "payload")).alias("parts"))
+    return recipes.select(key, "start").join(grouped.mapInArrow(build, "start long, ids array<int>"), "start").select(key, "start", "ids")
 
 
 def checked_documents(spark: SparkSession, path: str, *, key: str = "doc_id") -> DataFrame:
@@ -300,10 +305,10 @@ def checked_documents(spark: SparkSession, path: str, *, key: str = "doc_id") ->
             term = crc_terms(b.column(3).to_numpy(), 4 * b.column(1).to_numpy())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(4), pa.array(term)], ["k", "n", "parts", "term"])
 
-    recipes = read_recipes(spark, path)
+    recipes = read_recipes(spark, path, key=key)
     chunks = read_chunks(spark, path).mapInArrow(summaries, "digest binary, n int, crc long")
-    joined = _entries(recipes, key).join(chunks, "digest").select("k", "rest", "n", "crc", "parts")
+    joined = _entries(recipes).join(chunks, "digest").select("k", "rest", "n", "crc", "parts")
     terms = joined.mapInArrow(shares, "k long, n int, parts int, term long")
     found = terms.groupBy("k").agg(F.bit_xor("term").alias("ids_crc32"), F.sum("n").alias("ids"), F.count("*").alias("parts_found"), F.max("parts").alias("parts"))
     whole = F.when((F.col("ids") == F.col("n_tokens")) & (F.col("parts_found") == F.col("parts")), F.col("ids_crc32")).otherwise(F.raise_error(F.concat(F.lit("chunks are missing of document "), F.col(key).cast("string"))).cast("long"))
-    return recipes.select(key, "start", "n_tokens", "root").join(found, F.col(key) == F.col("k"), "left").select(key, "start", "n_tokens", F.hex("root").alias("root"), whole.alias("ids_crc32"))
+    return recipes.select(key, "start", "n_tokens", "root").join(found, F.col("start") == F.col("k"), "left").select(key, "start", "n_tokens", F.hex("root").alias("root"), whole.alias("ids_crc32"))
