@@ -161,5 +161,5 @@ def test_queries_equal_sql_on_odd_pages(spark, tmp_path):
     for name in ("op5_revisit_resolution", "op8_link_propagation"):
         found = queries.QUERIES[name](spark, str(tmp_path))
         columns = sorted(found.columns)
-        want = con.execute(f"SELECT {', '.join(columns)} FROM ({queries.ORACLE[name]})").fetchall()
+        want = con.execute(f"SELECT {', '.join(chr(34) + c + chr(34) for c in columns)} FROM ({queries.ORACLE[name]})").fetchall()
         assert sorted(map(str, map(tuple, found.select(columns).collect()))) == sorted(map(str, want))
