@@ -9,7 +9,8 @@ n - ceil(threshold n) + 1 of each (the prefix).
 3. Lists are expanded to nodes.  Each node is paired with its list's pivot; parity bitmaps rule
    out most pairs with certainty, and the texts of the rest are compared.  Links give components.
 4. Only pairs of a list that are not yet in one component can add something.  Nodes apart from their
-   pivot's component are paired with a new pivot, some rounds long, then with every other node that is still apart.
+   pivot's component are paired with a new pivot, some rounds long, then, in blocks, with every other node that is
+   still apart.
 
 So a group of near copies costs pairs in proportion to its nodes, yet no link between
 components is lost: what is left out would join documents that are already joined.
@@ -32,6 +33,8 @@ WORDS, NUMERATOR, DENOMINATOR = 5, 75, 100
 SEEN, FREQUENT, TABLE = 2, 16, 1_000_000
 #: Shingles that a task counts at a time; bytes of text in one array pass; rounds of pivots; nodes that are broadcast at most.
 COUNTED, GROUP_BYTES, ROUNDS, BROADCAST = 2_000_000, 1_000_000, 3, 500_000
+#: Nodes in a block of a list, about.
+BLOCK = 256
 #: Parts that the postings of a frequent shingle are dealt to.
 SALTS = 64
 
@@ -226,15 +229,18 @@ def _signatures(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
 
 
 def _lists(signed: DataFrame, num: int, den: int) -> DataFrame:
-    """list, gid, n: groups that share a shingle of their prefixes and have sizes that allow a link."""
+    """list, gid, early: groups that share a shingle of their prefixes and have sizes that allow a link; ``early``
+    where the shingle is in the shorter prefix.  Lists without an early group are left out."""
     posted = signed.where("prefix IS NOT NULL").select("gid", "n", "rare", F.posexplode("prefix").alias("at", "s"))
     salt = F.when(F.col("at") >= F.col("rare"), F.pmod("gid", F.lit(SALTS))).otherwise(F.lit(-1)).cast("int")
-    dealt = posted.select("s", "gid", F.col("n").cast("int").alias("n"), salt.alias("salt")).repartition(partitions(signed.sparkSession), "s", "salt").sortWithinPartitions("s", "salt", "n", "gid")
+    # of two sets that link, the smaller one has a common shingle in this shorter prefix
+    early = F.col("at") < F.col("n") - F.ceil(2 * num * F.col("n") / (num + den)) + 1
+    dealt = posted.select("s", "gid", F.col("n").cast("int").alias("n"), salt.alias("salt"), early.cast("int").alias("early")).repartition(partitions(signed.sparkSession), "s", "salt").sortWithinPartitions("s", "salt", "n", "gid")
 
     def runs(batches):
         tail = None
         for b in batches:
-            now = [b.column(i).to_numpy() for i in range(4)]
+            now = [b.column(i).to_numpy() for i in range(5)]
             if tail is not None:
                 now = [np.r_[x, y] for x, y in zip(tail, now)]
             s, salt_ = now[0], now[3]
@@ -247,18 +253,22 @@ def _lists(signed: DataFrame, num: int, den: int) -> DataFrame:
             yield found(tail)
 
     def found(columns):
-        s, gid, n, salt_ = columns
+        s, gid, n, salt_, early = columns
         fresh = np.r_[True, (s[1:] != s[:-1]) | (gid[1:] != gid[:-1]) | (salt_[1:] != salt_[:-1])]
-        s, gid, n, salt_ = s[fresh], gid[fresh], n[fresh], salt_[fresh]
+        s, gid, n, salt_, early = (x[fresh] for x in columns)
         same = np.r_[False, (s[1:] == s[:-1]) & (salt_[1:] == salt_[:-1]) & (den * n[:-1].astype(np.int64) >= num * n[1:].astype(np.int64))]
         keep = same | np.r_[same[1:], False] | (salt_ >= 0)
         # a list of a rare shingle is a chain of sizes without a gap; its name tells where it starts
         chain = np.flatnonzero(~same)
+        if len(chain):
+            keep &= (salt_ >= 0) | (np.maximum.reduceat(early, chain)[np.cumsum(~same) - 1] > 0)
         head = n[chain[np.cumsum(~same) - 1]].astype(np.uint64) if len(n) else n.astype(np.uint64)
         name = np.where(salt_ >= 0, s.view(np.uint64), _mix(s.view(np.uint64) + head * np.uint64(BASE)))
-        return pa.RecordBatch.from_arrays([pa.array(name[keep].view(np.int64)), pa.array(gid[keep]), pa.array(n[keep].astype(np.int64))], ["list", "gid", "n"])
+        return pa.RecordBatch.from_arrays([pa.array(name[keep].view(np.int64)), pa.array(gid[keep]), pa.array(early[keep].astype(np.int32))], ["list", "gid", "early"])
 
-    return dealt.mapInArrow(runs, "list long, gid long, n long")
+    rows = written(dealt.mapInArrow(runs, "list long, gid long, early int"), "posted")
+    useful = rows.groupBy("list").agg(F.max("early").alias("early"), F.min("gid").alias("low"), F.max("gid").alias("high")).where("early = 1 AND low <> high").select("list")
+    return rows.join(useful, "list", "left_semi").groupBy("list", "gid").agg(F.max("early").alias("early"))
 
 
 def _near(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
@@ -317,7 +327,7 @@ def link_documents(df: DataFrame, *, key: str = "doc_id", text: str = "text", wo
     # lists of nodes: the nodes of the groups of each list, and the nodes of each group
     members = nodes.select("gid", "node")
     shared = members.join(members.groupBy("gid").agg(F.count("*").alias("k")).where("k > 1").select("gid"), "gid").select(F.col("gid").alias("list"), "node")
-    listed = _lists(signed.where("doc IS NOT NULL"), num, den).select("list", "gid").distinct().join(members, "gid").select("list", "node")
+    listed = _lists(signed.where("doc IS NOT NULL"), num, den).join(members, "gid").select("list", "node")
     lists = written(listed.unionByName(shared), "lists")
 
     empty = spark.createDataFrame([], nodes.select(F.col("node").alias("a"), F.col("node").alias("b")).schema)
@@ -338,11 +348,9 @@ def link_documents(df: DataFrame, *, key: str = "doc_id", text: str = "text", wo
         apart = written(apart, "apart")
         if apart.isEmpty():
             break
-    # what is left: nodes apart from all their pivots against all nodes of the list in other components
-    waiting = written(_waiting(lists, labels), "waiting")
-    rest = waiting.join(lists.withColumnRenamed("node", "other"), "list").join(_named(labels, "other", "oc"), "other", "left").where((F.col("c") != F.coalesce("oc", "other")))
-    pairs = rest.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-    links = written(links.unionByName(_links(_near(pairs, nodes, num, den), docs, words, num, den)), "links")
+    # what is left: nodes apart from all their pivots against the nodes of the list in other components
+    pairs = written(_rest(lists, labels, nodes, num, den), "rest").join(tried, ["a", "b"], "left_anti")
+    links = written(links.unionByName(_links(pairs, docs, words, num, den)), "links")
     labels = components(links)
     of = nodes.join(labels, "node", "left").select("sid", F.coalesce("component", "node").alias("component"))
     found = signed.select("doc", "n", "sid").join(of, "sid", "left")
@@ -353,9 +361,50 @@ def _named(labels: DataFrame, node: str, component: str) -> DataFrame:
     return labels.select(F.col("node").alias(node), F.col("component").alias(component))
 
 
-def _waiting(lists: DataFrame, labels: DataFrame) -> DataFrame:
-    """list, node, c: the nodes of lists with more than one component, apart from the one of most nodes there."""
+def _may_link(rows: list[tuple], others: list[tuple], num: int, den: int) -> Iterator[tuple[int, int]]:
+    """Pairs of nodes (node, n, c, main, bits) in different components that sizes and bitmaps allow to link."""
+    by_width: dict[int, list[tuple]] = {}
+    for y in others:
+        by_width.setdefault(len(y[4]), []).append(y)
+    packed = [(w, ys, np.frombuffer(b"".join(y[4] for y in ys), np.uint8).reshape(len(ys), w), *(np.array([y[i] for y in ys], np.int64) for i in (0, 1, 2)), np.array([y[3] for y in ys])) for w, ys in by_width.items()]
+    for node, n, c, main, bits in rows:
+        own = np.frombuffer(bits, np.uint8)
+        for w, _, table, other, m, oc, omain in packed:
+            fit = (oc != c) & ~(omain & main) & (den * np.minimum(m, n) >= num * np.maximum(m, n))
+            if not fit.any():
+                continue
+            a, b = own, table[fit]
+            while len(a) > b.shape[1]:
+                a = a[: len(a) // 2] ^ a[len(a) // 2 :]
+            while b.shape[1] > len(a):
+                b = b[:, : b.shape[1] // 2] ^ b[:, b.shape[1] // 2 :]
+            apart = np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64)
+            for x in other[fit][(den + num) * apart <= (den - num) * (m[fit] + n)].tolist():
+                yield (node, x) if node < x else (x, node)
+
+
+def _rest(lists: DataFrame, labels: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
+    """a, b: the pairs of a list with more than one component that may still link, but those inside its largest component.
+
+    A list's nodes are dealt to blocks of about BLOCK; a row is a pair of blocks, compared in array
+    passes, so a list of many nodes is many bounded rows and its pairs are never rows themselves.
+    """
     named = written(lists.join(_named(labels, "node", "component"), "node", "left").select("list", "node", F.coalesce("component", "node").alias("c")), "named")
     sizes = named.groupBy("list", "c").agg(F.count("*").alias("k"))
-    main = sizes.groupBy("list").agg(F.max(F.struct("k", "c")).alias("main"), F.count("*").alias("cs")).where("cs > 1")
-    return named.join(main.select("list", F.col("main.c").alias("m")), "list").where(F.col("c") != F.col("m")).select("list", "node", "c")
+    mixed = sizes.groupBy("list").agg(F.max(F.struct("k", "c")).alias("main"), F.count("*").alias("cs"), F.sum("k").alias("k")).where("cs > 1").select("list", F.col("main.c").alias("m"), F.ceil(F.col("k") / BLOCK).alias("blocks"))
+    rows = named.join(mixed, "list").select("list", "node", "c", (F.col("c") == F.col("m")).alias("main"), F.pmod(F.xxhash64("node"), F.col("blocks")).alias("block"))
+    rows = rows.join(nodes.select("node", "n", "bits"), "node")
+    packed = written(rows.groupBy("list", "block").agg(F.collect_list(F.struct("node", "n", "c", "main", "bits")).alias("rows"), F.min("main").alias("all_main")), "blocks")
+    one, two = (packed.select("list", F.col("block").alias(f"block_{x}"), F.col("rows").alias(f"rows_{x}"), F.col("all_main").alias(f"main_{x}")) for x in "ab")
+    both = one.join(two, "list").where("block_a <= block_b AND NOT (main_a AND main_b)").select("rows_a", "rows_b")
+
+    def compare(batches):
+        for b in slices(batches, 50):
+            found: set[tuple[int, int]] = set()
+            for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                found.update(_may_link([tuple(r.values()) for r in x], [tuple(r.values()) for r in y], num, den))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in zip(*sorted(found))], ["a", "b"])
+
+    kind = nodes.schema["node"].dataType.simpleString()
+    return both.mapInArrow(compare, "a long, b long").distinct().select(F.col("a").cast(kind).alias("a"), F.col("b").cast(kind).alias("b"))
