@@ -116,6 +116,13 @@ IN_A_ROW = re.compile("[ \n\t\r\v\f]{2}")
 _OTHER, _LETTER, _DIGIT, _MARK, _SPACE = range(5)
 
 
+def _spaces_in_a_row(x: str) -> bool:
+    """Whether two white-space characters meet; substring scans answer for texts of blanks and newlines alone."""
+    if "  " in x or "\n\n" in x or " \n" in x or "\n " in x:
+        return True
+    return ("\t" in x or "\r" in x or "\v" in x or "\f" in x) and bool(IN_A_ROW.search(x))
+
+
 @functools.cache
 def _kinds() -> np.ndarray:
     """The kind of each code point of the fast path; 0 is the gap between texts."""
@@ -204,7 +211,7 @@ class PieceEncoder:
         yield from self._encode_group(group)
 
     def _encode_group(self, texts: list[str]) -> Iterator[np.ndarray]:
-        plain = [i for i, x in enumerate(texts) if x and self.words is not None and not self.odd.search(x) and (self.words or not IN_A_ROW.search(x))]
+        plain = [i for i, x in enumerate(texts) if x and self.words is not None and not self.odd.search(x) and (self.words or not _spaces_in_a_row(x))]
         found = dict(zip(plain, self._encode_plain([texts[i].lower() if self.lower else texts[i] for i in plain]))) if plain else {}
         for i, x in enumerate(texts):
             yield found[i] if i in found else np.array(self.tokenizer.encode(x, add_special_tokens=False).ids, self.dtype)
