@@ -7,6 +7,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..functions import terms as T
 
@@ -16,7 +17,7 @@ _LITERAL = rf'"(?:[^"\\\n\r]|\\[tbnrf"\'\\]|\\u[0-9A-Fa-f]{{4}}|\\U[0-9A-Fa-f]{{
 _LINE = rf"^\s*({_IRI}|{_BLANK})\s*({_IRI})\s*({_IRI}|{_BLANK}|{_LITERAL})\s*({_IRI}|{_BLANK})?\s*\.\s*(?:#.*)?$"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _unicode(lines: pd.Series) -> pd.Series:
     """Numeric escapes as the characters they name."""
     return lines.map(lambda x: None if x is None else re.sub(r"\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})", lambda m: chr(int(m[1] or m[2], 16)), x))
