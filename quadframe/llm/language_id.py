@@ -14,7 +14,9 @@ from pyspark.sql import types as T
 #: Bounds of the training sample: documents and bytes of text per language, bytes taken of one document.
 SAMPLE_DOCUMENTS, SAMPLE_BYTES, DOCUMENT_BYTES = 512, 112_000, 2_000
 #: Bytes of text that one compression sees; zstandard level; least margin that is accepted.
-BLOCK, LEVEL, MARGIN = 4096, 6, 0.004
+BLOCK, LEVEL, MARGIN = 4096, 6, 0.002
+#: Bytes that a shorter text is repeated to.
+LEAST = 256
 _LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -63,6 +65,10 @@ class Identifier:
 
     def sizes(self, text: str) -> list[int]:
         data = text.lower().encode("utf-8", "replace")
+        if len(data) < LEAST:
+            # zstandard leaves very short blocks as they are; repeats cost the same for every language, so the
+            # first copy's size shows
+            data = (data + b"\n") * (LEAST // (len(data) + 1) + 1)
         blocks = [data[i : i + self.block] for i in range(0, len(data), self.block)]
         return [sum(len(c.compress(x)) for x in blocks) for c in self.compressors]
 
