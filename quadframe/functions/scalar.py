@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .terms import RDF, XSD, datatype, decimal, double, integer, is_literal, lang, lexical, number, numeric_rank, str_, string, strlang, time
+from .terms import RDF, XSD, datatype, date_time, decimal, double, integer, is_literal, lang, lexical, number, numeric_rank, str_, string, strlang, time
 
 
 def text_of(t: Column) -> Column:
@@ -177,6 +177,30 @@ def is_numeric(t: Column) -> Column:
     return F.when(t.isNotNull(), number(t).isNotNull())
 
 
+# ---------------------------------------------------------------- fresh values
+def uuid_() -> Column:
+    return F.concat(F.lit("<urn:uuid:"), F.uuid(), F.lit(">"))
+
+
+def struuid() -> Column:
+    return string(F.uuid())
+
+
+def rand_() -> Column:
+    return double(F.rand())
+
+
+def now() -> Column:
+    """NOW: one instant for a whole query, as Spark folds it into the plan once."""
+    return date_time(F.current_timestamp())
+
+
+def bnode(label: Column | None = None, *solution: Column) -> Column:
+    """BNODE: a fresh node for each solution; with a label the same node for the same label and solution."""
+    made = F.uuid() if label is None else F.concat_ws("-", F.lit("b"), F.sha1(F.concat_ws("\0", label, *solution)))
+    return F.concat(F.lit("_:u"), F.replace(made, F.lit("-"), F.lit("")))
+
+
 def str_term(t: Column) -> Column:
     return string(str_(t))
 

@@ -131,3 +131,18 @@ def graph_counts(dataset: Dataset) -> DataFrame:
 def fingerprint(dataset: Dataset) -> DataFrame:
     """g, quads, hash: two states of a graph with equal rows here hold the same quads (up to hash collisions)."""
     return dataset.quads.groupBy("g").agg(F.count("*").alias("quads"), F.bit_xor(F.xxhash64("s", "p", "o")).alias("hash"))
+
+
+def info(dataset: Dataset, capability: Capability) -> str:
+    """What the whole dataset holds, in lines of text."""
+    capability.require("read")
+    row = dataset.quads.agg(F.count("*").alias("n"), F.count_if(F.col("g").isNull()).alias("default")).first()
+    return f"quads {row.n}\ndefault {row.default}\ngraphs {dataset.graphs.select('g').distinct().count()}\n"
+
+
+def graph_info(dataset: Dataset, capability: Capability, graph: str) -> str:
+    """Whether one graph exists and how many quads it holds; only its own grant opens it, not the whole dataset's."""
+    (iri,) = graph_set(graph)
+    capability.require(f"read:graph:{iri}")
+    exists = not dataset.graphs.where(F.col("g") == f"<{iri}>").isEmpty()
+    return f"graph {iri}\nexists {str(exists).lower()}\nquads {dataset.graph(f'<{iri}>').count()}\n"

@@ -169,3 +169,14 @@ def confined_update(d: Dataset, operation: Operation, capability: Capability, gr
         return outcome, Receipt(f"updated {iri}")
     added, removed = _without(changed, own).count(), _without(own, changed).count()
     return outcome, Receipt(f"updated {iri}: +{added} -{removed} quads", added, removed)
+
+
+def load(d: Dataset, quads: DataFrame, capability: Capability, media_type: str = "application/n-quads") -> tuple[Dataset, Receipt]:
+    """Add the quads of a document; only a reader of the whole dataset is told how many were new."""
+    capability.require("write")
+    new = written(_without(quads.select(*QUAD).distinct(), d.quads), "load")
+    out = Dataset.of(d.quads.select(*QUAD).unionByName(new), d.graphs)
+    if not capability.allows("read"):
+        return out, Receipt(f"loaded {media_type}")
+    added = new.count()
+    return out, Receipt(f"loaded {media_type}: +{added} quads", added, 0)

@@ -185,3 +185,17 @@ def test_time_budget(spark):
 def test_describe_follows_blank_nodes(spark):
     df = quads(spark, (None, "<urn:a>", P, "_:b"), (None, "_:b", Q, '"x"'), (None, "<urn:z>", P, '"no"'), ("<urn:g>", "<urn:a>", P, '"other graph"'))
     assert rows(results.describe(df, spark.createDataFrame([("<urn:a>",)], "n string"))) == sorted([("<urn:a>", P, "_:b"), ("_:b", Q, '"x"')])
+
+
+def test_load_and_info(spark):
+    d = datasets.Dataset.of(quads(spark, ("<urn:a>", "<urn:s>", P, '"x"')))
+    more = quads(spark, ("<urn:a>", "<urn:s>", P, '"x"'), (None, "<urn:s>", P, '"y"'), (None, "<urn:s>", P, '"y"'))
+    after, receipt = updates.load(d, more, datasets.Capability.of("write", "read"))
+    assert receipt.text == "loaded application/n-quads: +1 quads" and after.quads.count() == 2
+    assert updates.load(d, more, datasets.Capability.of("write"))[1].text == "loaded application/n-quads"
+    assert datasets.info(after, datasets.ROOT) == "quads 2\ndefault 1\ngraphs 1\n"
+    assert datasets.graph_info(after, datasets.Capability.of("read:graph:urn:a"), "urn:a") == "graph urn:a\nexists true\nquads 1\n"
+    with pytest.raises(Denied):
+        datasets.graph_info(after, datasets.Capability.of("read"), "urn:a")
+    with pytest.raises(Denied):
+        updates.load(d, more, datasets.Capability.of("read"))

@@ -74,3 +74,10 @@ def test_bindings():
     for bad in ('{"a": null}', '{"a": [1]}', '{"a b": 1}', "[]", "x", '{"a": {"type": "bnode", "value": "b"}}', '{"a": {"type": "uri", "value": "a b"}}', '{"a": {"type": "literal", "value": "z", "xml:lang": "e", "datatype": "urn:x"}}'):
         with pytest.raises(InvalidArgument):
             bindings.parse_bindings(bad)
+
+
+def test_fresh_values(spark):
+    df = spark.range(3).select(scalar.uuid_().alias("u"), scalar.bnode().alias("b"), scalar.bnode(F.lit("x"), F.col("id")).alias("l"), scalar.bnode(F.lit("x"), F.col("id")).alias("m"), T.number(scalar.rand_()).alias("r"), T.time(scalar.now()).alias("t"))
+    found = df.collect()
+    assert len({r.u for r in found} | {r.b for r in found} | {r.l for r in found}) == 9
+    assert all(r.l == r.m and 0 <= r.r < 1 for r in found) and len({r.t for r in found}) == 1
