@@ -99,12 +99,12 @@ def prefix_length(n: int, num: int, den: int) -> int:
 
 
 def parity_bits(shingles: np.ndarray) -> bytes:
-    """A bitmap of as many bits as the power of two from the set's size on, each the parity of the shingles it stands for.
+    """A bitmap of 4 to 8 bits per shingle, a power of two, each the parity of the shingles it stands for.
 
     Bits that differ between two bitmaps need a shingle each that only one set has, so their number is at most that of
     such shingles; the longer bitmap folds onto the shorter.
     """
-    bits = 1 << max(3, (len(shingles) - 1).bit_length())
+    bits = 1 << max(3, (4 * len(shingles) - 1).bit_length())
     counts = np.bincount((shingles & np.uint64(bits - 1)).astype(np.int64), minlength=bits)
     return np.packbits((counts & 1).astype(np.uint8), bitorder="little").tobytes()
 
