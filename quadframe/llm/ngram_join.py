@@ -33,8 +33,8 @@ WORDS, NUMERATOR, DENOMINATOR = 5, 75, 100
 SEEN, FREQUENT, TABLE = 2, 16, 1_000_000
 #: Shingles that a task counts at a time; bytes of text in one array pass; rounds of pivots; nodes that are broadcast at most.
 COUNTED, GROUP_BYTES, ROUNDS, BROADCAST = 2_000_000, 1_000_000, 3, 500_000
-#: Nodes in a block of a list, about.
-BLOCK = 256
+#: Nodes in a block of a list, about; nodes of a list that is not dealt to blocks, at most.
+BLOCK, SMALL = 256, 24
 #: Parts that the postings of a frequent shingle are dealt to.
 SALTS = 64
 
@@ -386,13 +386,19 @@ def _may_link(rows: list[tuple], others: list[tuple], num: int, den: int) -> Ite
 def _rest(lists: DataFrame, labels: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
     """a, b: the pairs of a list with more than one component that may still link, but those inside its largest component.
 
-    A list's nodes are dealt to blocks of about BLOCK; a row is a pair of blocks, compared in array
-    passes, so a list of many nodes is many bounded rows and its pairs are never rows themselves.
+    The pairs of a list of at most SMALL nodes are rows.  The nodes of a larger one are dealt to blocks of about BLOCK;
+    a row is a pair of blocks, compared in array passes, so it is many bounded rows and its pairs never are.
     """
     named = written(lists.join(_named(labels, "node", "component"), "node", "left").select("list", "node", F.coalesce("component", "node").alias("c")), "named")
     sizes = named.groupBy("list", "c").agg(F.count("*").alias("k"))
-    mixed = sizes.groupBy("list").agg(F.max(F.struct("k", "c")).alias("main"), F.count("*").alias("cs"), F.sum("k").alias("k")).where("cs > 1").select("list", F.col("main.c").alias("m"), F.ceil(F.col("k") / BLOCK).alias("blocks"))
-    rows = named.join(mixed, "list").select("list", "node", "c", (F.col("c") == F.col("m")).alias("main"), F.pmod(F.xxhash64("node"), F.col("blocks")).alias("block"))
+    mixed = sizes.groupBy("list").agg(F.max(F.struct("k", "c")).alias("main"), F.count("*").alias("cs"), F.sum("k").alias("k")).where("cs > 1").select("list", "k", F.col("main.c").alias("m"), F.ceil(F.col("k") / BLOCK).alias("blocks"))
+    few = named.join(mixed.where(F.col("k") <= SMALL).select("list", "m"), "list")
+    apart = few.where("c <> m").select("list", "node", "c")
+    every = few.select("list", F.col("node").alias("other"), F.col("c").alias("oc"), "m")
+    # a pair of two nodes apart is met from its smaller one alone
+    met = apart.join(every, "list").where("c <> oc AND (oc = m OR node < other)")
+    small = _near(met.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct(), nodes, num, den)
+    rows = named.join(mixed.where(F.col("k") > SMALL), "list").select("list", "node", "c", (F.col("c") == F.col("m")).alias("main"), F.pmod(F.xxhash64("node"), F.col("blocks")).alias("block"))
     rows = rows.join(nodes.select("node", "n", "bits"), "node")
     packed = written(rows.groupBy("list", "block").agg(F.collect_list(F.struct("node", "n", "c", "main", "bits")).alias("rows"), F.min("main").alias("all_main")), "blocks")
     one, two = (packed.select("list", F.col("block").alias(f"block_{x}"), F.col("rows").alias(f"rows_{x}"), F.col("all_main").alias(f"main_{x}")) for x in "ab")
@@ -407,4 +413,5 @@ def _rest(lists: DataFrame, labels: DataFrame, nodes: DataFrame, num: int, den:
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in zip(*sorted(found))], ["a", "b"])
 
     kind = nodes.schema["node"].dataType.simpleString()
-    return both.mapInArrow(compare, "a long, b long").distinct().select(F.col("a").cast(kind).alias("a"), F.col("b").cast(kind).alias("b"))
+    large = both.mapInArrow(compare, "a long, b long").select(F.col("a").cast(kind).alias("a"), F.col("b").cast(kind).alias("b"))
+    return small.unionByName(large).distinct()
