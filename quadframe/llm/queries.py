@@ -44,7 +44,14 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_revisit_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = revisits.resolve_revisits(revisits.captures(table(spark, sf_dir, "pages")))
+    return _header_lines(revisits.resolve_revisits(revisits.captures(table(spark, sf_dir, "pages"))))
+
+
+def op5_site_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _header_lines(revisits.resolve_revisits(revisits.site_records(table(spark, sf_dir, "pages"))))
+
+
+def _header_lines(found: DataFrame) -> DataFrame:
     lines = F.transform(F.array_sort(F.map_entries("headers")), lambda x: F.concat(x["key"], F.lit(": "), x["value"]))
     return found.withColumn("headers", F.array_join(lines, "\n"))
 
@@ -76,6 +83,7 @@ QUERIES = {
     "op3_line_templates": op3_line_templates,
     "op4_language_id": op4_language_id,
     "op5_revisit_resolution": op5_revisit_resolution,
+    "op5_site_revisits": op5_site_revisits,
     "op6_media_columns": op6_media_columns,
     "op7_source_mix": op7_source_mix,
     "op8_link_propagation": op8_link_propagation,
@@ -86,5 +94,6 @@ QUERIES = {
 ORACLE: dict[str, str] = {
     "op3_line_templates": line_templates.oracle(),
     "op5_revisit_resolution": revisits.oracle(),
+    "op5_site_revisits": revisits.site_oracle(),
     "op8_link_propagation": link_filter.oracle(),
 }

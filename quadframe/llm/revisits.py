@@ -107,3 +107,63 @@ judged AS (SELECT *, CASE WHEN r IS NULL THEN 'unresolved' WHEN page_id % 4 = 2
 SELECT ts AS record_id, canonical, outcome, CASE WHEN outcome = 'resolved' THEN 2 * r END AS response_id, CASE WHEN outcome = 'resolved' THEN r_digest END AS digest,
   CASE WHEN outcome = 'resolved' THEN coalesce('content-length: ' || r_len || chr(10), '') || 'date: ' || ts || chr(10) || 'etag: ' || coalesce(etag, r_digest) || chr(10) || 'last-modified: ' || r_day END AS headers
 FROM judged"""
+
+
+#: Hexadecimal digits; those of a page's hash decide its record.
+DIGITS = "0123456789abcdef"
+
+
+def site_records(pages: DataFrame) -> DataFrame:
+    """A crawl log of ``pages`` in which each page is one record, a response or a revisit, of its site: host and first path part.
+
+    Pages of a site share a canonical URL, written in four ways; pages 2 t and 2 t + 1 come at time t.  Digits of the MD5 of
+    page_id decide: a response below 8; the way of writing; the revisit's validator (etag below 6, last-modified below a,
+    digest below e, else none); how long ago, in steps of 10, the revisit saw what it asks about; and whether the validator is
+    of another site (below 3).  A site's etag changes with every 100 of time, its date with every 50, its digest with
+    every 200, so only the response found by the as-of search says whether a validator holds.
+    """
+    n, ts = F.col("page_id"), F.col("ts")
+    digit = lambda i: F.instr(F.lit(DIGITS), F.substring(F.md5(n.cast("string")), i, 1)) - 1
+    site = F.regexp_extract("url", r"//(?:www\.)?([^/?#]*(?:/[^/?#]*)?)", 1)
+    base = pages.select("page_id", site.alias("site"), F.length("html").cast("string").alias("length"), F.floor(n / 2).alias("ts"), *[digit(i).alias(f"h{i}") for i in range(1, 6)])
+    written = F.when(F.col("h2") < 4, F.concat(F.lit("http://"), "site")).when(F.col("h2") < 8, F.concat(F.lit("https://www."), "site", F.lit("?ref=x")))
+    written = written.when(F.col("h2") < 12, F.concat(F.lit("http://"), "site", F.lit("#top"))).otherwise(F.concat(F.lit("HTTPS://"), "site", F.lit("?utm_source=a&")))
+    response = F.col("h1") < 8
+    seen = F.when(response, ts).otherwise(F.greatest(F.lit(0), ts - 10 * F.col("h4")))
+    of = F.when(~response & (F.col("h5") < 3), F.concat(F.lit("not "), "site")).otherwise(F.col("site"))
+    version = lambda period: F.md5(F.concat(of, F.lit(f" {period} "), F.floor(seen / period).cast("string")))
+    etag = F.when(response | (F.col("h3") < 6), F.concat(F.when(F.col("h4") < 4, "W/").otherwise(""), version(100)))
+    modified = F.when(response | F.col("h3").between(6, 9), version(50))
+    digest = F.when(response | F.col("h3").between(10, 13), version(200))
+    rows = base.select("page_id", "ts", "length", written.alias("url"), response.alias("response"), etag.alias("etag"), modified.alias("last_modified"), digest.alias("digest"))
+    pairs = {"content-length": F.when(F.col("response"), F.col("length")).otherwise("0"), "date": ts.cast("string"), "etag": F.col("etag"), "last-modified": F.when(F.col("response"), F.col("last_modified"))}
+    headers = F.map_filter(F.map_from_arrays(F.array(*[F.lit(k) for k in pairs]), F.array(*pairs.values())), lambda k, v: v.isNotNull())
+    return rows.select(n.alias("record_id"), "url", "ts", F.when(F.col("response"), "response").otherwise("revisit").alias("kind"), F.when(F.col("response"), 200).otherwise(304).alias("status"), "etag", "last_modified", "digest", headers.alias("headers"))
+
+
+def site_oracle() -> str:
+    """``resolve_revisits(site_records(pages))`` in DuckDB SQL, as the query returns it."""
+    tracking = ", ".join(f"'{x}'" for x in TRACKING)
+    digits = ", ".join(f"instr('{DIGITS}', substr(md5(CAST(page_id AS VARCHAR)), {i}, 1)) - 1 AS h{i}" for i in range(1, 6))
+    version = lambda period: f"md5(owner || ' {period} ' || CAST(CAST(floor(seen / {period}) AS BIGINT) AS VARCHAR))"
+    return rf"""
+WITH base AS (SELECT page_id, CAST(length(html) AS VARCHAR) AS len, CAST(floor(page_id / 2) AS BIGINT) AS ts, regexp_extract(url, '//(?:www\.)?([^/?#]*(?:/[^/?#]*)?)', 1) AS site, {digits} FROM pages),
+said AS (SELECT *, h1 < 8 AS full_response, CASE WHEN h2 < 4 THEN 'http://' || site WHEN h2 < 8 THEN 'https://www.' || site || '?ref=x' WHEN h2 < 12 THEN 'http://' || site || '#top' ELSE 'HTTPS://' || site || '?utm_source=a&' END AS url,
+  CASE WHEN h1 < 8 THEN ts ELSE greatest(0, ts - 10 * h4) END AS seen, CASE WHEN h1 >= 8 AND h5 < 3 THEN 'not ' || site ELSE site END AS owner FROM base),
+parts AS (SELECT *, regexp_replace(trim(url, ' '), '(?s)#.*$', '') AS u FROM said),
+split AS (SELECT *, regexp_replace(regexp_replace(lower(regexp_extract(u, '(?s)^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?]*)', 1)), '^www\.', ''), ':(80|443)?$', '') AS host,
+  regexp_replace(u, '(?s)^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//[^/?]*', '') AS rest FROM parts),
+pieces AS (SELECT *, regexp_extract(rest, '(?s)^[^?]*', 0) AS path,
+  array_to_string(list_sort(list_filter(string_split(regexp_extract(rest, '(?s)\?(.*)$', 1), '&'), lambda p: p <> '' AND regexp_extract(p, '^[^=]*', 0) NOT IN ({tracking}))), '&') AS query FROM split),
+records AS (SELECT page_id, ts, len, full_response, host || CASE path WHEN '' THEN '/' ELSE path END || CASE query WHEN '' THEN '' ELSE '?' || query END AS canonical,
+  CASE WHEN full_response OR h3 < 6 THEN CASE WHEN h4 < 4 THEN 'W/' ELSE '' END || {version(100)} END AS etag,
+  CASE WHEN full_response OR h3 BETWEEN 6 AND 9 THEN {version(50)} END AS last_modified, CASE WHEN full_response OR h3 BETWEEN 10 AND 13 THEN {version(200)} END AS digest FROM pieces),
+responses AS (SELECT * FROM records WHERE full_response AND canonical IS NOT NULL QUALIFY row_number() OVER (PARTITION BY canonical, ts ORDER BY page_id DESC) = 1),
+met AS (SELECT a.*, b.page_id AS r, b.etag AS r_etag, b.last_modified AS r_modified, b.digest AS r_digest, b.len AS r_len
+  FROM (SELECT * FROM records WHERE NOT full_response) a ASOF LEFT JOIN responses b ON a.canonical = b.canonical AND a.ts > b.ts),
+judged AS (SELECT *, CASE WHEN r IS NULL THEN 'unresolved' WHEN etag IS NOT NULL THEN CASE WHEN regexp_replace(etag, '^W/', '') = regexp_replace(r_etag, '^W/', '') THEN 'resolved' ELSE 'mismatch' END
+  WHEN last_modified IS NOT NULL THEN CASE WHEN last_modified = r_modified THEN 'resolved' ELSE 'mismatch' END
+  WHEN digest IS NOT NULL THEN CASE WHEN digest = r_digest THEN 'resolved' ELSE 'mismatch' END ELSE 'unchecked' END AS outcome FROM met)
+SELECT page_id AS record_id, canonical, outcome, CASE WHEN outcome IN ('resolved', 'unchecked') THEN r END AS response_id, CASE WHEN outcome IN ('resolved', 'unchecked') THEN r_digest END AS digest,
+  CASE WHEN outcome IN ('resolved', 'unchecked') THEN coalesce('content-length: ' || r_len || chr(10), '') || 'date: ' || ts || chr(10) || 'etag: ' || coalesce(etag, r_etag) || chr(10) || 'last-modified: ' || r_modified END AS headers
+FROM judged"""

@@ -163,3 +163,23 @@ def test_queries_equal_sql_on_odd_pages(spark, tmp_path):
         columns = sorted(found.columns)
         want = con.execute(f"SELECT {', '.join(chr(34) + c + chr(34) for c in columns)} FROM ({queries.ORACLE[name]})").fetchall()
         assert sorted(map(str, map(tuple, found.select(columns).collect()))) == sorted(map(str, want))
+
+
+def test_site_revisits_need_the_search(spark, tmp_path):
+    # three sites over many ranges of time, a page without a url and one without html
+    rows = [(i, None if i == 7 else f"http://h{min(i % 5, 2)}.test/en/{i}?x={i}", None if i == 9 else "x" * (i % 97)) for i in range(2000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    pages.coalesce(1).write.parquet(str(tmp_path / "pages.parquet"))
+    log = revisits.site_records(pages)
+    assert log.count() == len(rows) and log.select(revisits.canonical_url(F.col("url"))).distinct().count() == 4
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    found = queries.QUERIES["op5_site_revisits"](spark, str(tmp_path))
+    columns = sorted(found.columns)
+    want = con.execute(f"SELECT {', '.join(chr(34) + c + chr(34) for c in columns)} FROM ({queries.ORACLE['op5_site_revisits']})").fetchall()
+    got = found.collect()
+    assert sorted(str(tuple(r[c] for c in columns)) for r in got) == sorted(map(str, want))
+    assert {r.outcome for r in got} == {"resolved", "unchecked", "mismatch", "unresolved"}
+    # the response is seldom the row before, and often that of another way to write the URL
+    taken = [r for r in got if r.response_id is not None]
+    assert sum(r.response_id != r.record_id - 1 for r in taken) > len(taken) // 2
