@@ -7,10 +7,11 @@ alone, so passages that documents share become shared chunks.  The store has
 ``recipes/``           in ascending key order: key, first position, number of ids, root, and the
                        digests and lengths of the document's chunks
 ``manifests/``         for each recipe file its range of keys, its counts and the Merkle root
-                       over the roots of its documents
+                       over the recipes of its documents
 
-A document's root is the node over its chunk digests; reading recomputes every
-chunk's digest, every document's root and every manifest's root.
+A document's root is the node over its chunk digests, so equal documents have equal roots; a recipe's
+node is over its key, start, number of ids, root and chunk lengths.  Reading recomputes every
+chunk's digest, every document's root and every manifest.
 """
 
 from __future__ import annotations
@@ -213,20 +214,42 @@ def write_store(df: DataFrame, path: str, tokenizer: str, *, key: str = "doc_id"
     ordered = recipes.withColumn("file", range_of(F.col(key), cuts)).repartitionById(len(cuts) + 1, F.col("file")).sortWithinPartitions(key)
     ordered.mapInArrow(run_on, f"{key} long, start long, n_tokens long, root binary, digests binary, lengths array<int>, file int").write.option("compression", "zstd").parquet(f"{path}/recipes")
 
+    _manifests(read_recipes(spark, path, key=key), key).write.parquet(f"{path}/manifests")
+
+
+MANIFEST = "file int, first_key long, last_key long, documents long, tokens long, root binary"
+
+
+def recipe_node(fixed: bytes, root: bytes, lengths: bytes) -> bytes:
+    """The node over a recipe: key, start and number of ids as 64-bit integers, the document's root, its chunk lengths as 32-bit ones."""
+    return digest(b"\3" + fixed + root + lengths)
+
+
+def _manifests(recipes: DataFrame, key: str) -> DataFrame:
+    """One row per recipe file, from its recipes in order of key and start."""
+
     def manifest(batches):
+        def row():
+            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((file, keys[0], keys[-1], docs, tokens, tree.root()), types)], names)
+
         tree, docs, tokens, keys, file = Merkle(), 0, 0, [], None
         for b in batches:
-            for k, n, root, file in zip(*(b.column(i).to_pylist() for i in range(4))):
-                tree.add(root)
+            fixed = np.stack([b.column(i).to_numpy(zero_copy_only=False) for i in range(3)], axis=1).astype("<i8")
+            places, lengths = b.column(5).offsets.to_pylist(), b.column(5).values.to_numpy(zero_copy_only=False).astype("<i4")
+            for i, (k, n, root, f) in enumerate(zip(*(b.column(i).to_pylist() for i in (0, 2, 3, 4)))):
+                if f != file and docs:
+                    yield row()
+                    tree, docs, tokens, keys = Merkle(), 0, 0, []
+                file = f
+                tree.add(recipe_node(fixed[i].tobytes(), root, lengths[places[i] : places[i + 1]].tobytes()))
                 docs, tokens, keys = docs + 1, tokens + n, [*keys[:1], k]
         if docs:
-            types = (pa.int32(), *[pa.int64()] * 4, pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((file, keys[0], keys[-1], docs, tokens, tree.root()), types)], ["file", "first_key", "last_key", "documents", "tokens", "root"])
+            yield row()
 
-    read_recipes(spark, path, key=key).select(key, "n_tokens", "root", "file").repartitionById(len(cuts) + 1, F.col("file")).sortWithinPartitions(key).mapInArrow(manifest, MANIFEST).write.parquet(f"{path}/manifests")
-
-
-MANIFEST = "file int, first_key long, last_key long, documents long, tokens long, root binary"
+    names, types = ["file", "first_key", "last_key", "documents", "tokens", "root"], (pa.int32(), *[pa.int64()] * 4, pa.binary())
+    parts = partitions(recipes.sparkSession)
+    dealt = recipes.select(key, "start", "n_tokens", "root", "file", "lengths").repartitionById(parts, F.pmod("file", F.lit(parts)))
+    return dealt.sortWithinPartitions("file", key, "start").mapInArrow(manifest, MANIFEST)
 
 
 # ---------------------------------------------------------------- read
@@ -242,6 +265,15 @@ def read_chunks(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("kind string, id binary, n int, payload binary").parquet(f"{path}/stage").where("kind = 'chunk'").select(F.col("id").alias("digest"), "n", "payload")
 
 
+def check_manifests(spark: SparkSession, path: str, *, key: str = "doc_id") -> None:
+    """Make the manifests again from the recipes, and raise where they are not those of the store."""
+    made, stored = _manifests(read_recipes(spark, path, key=key), key), read_manifests(spark, path)
+    both = made.withColumn("side", F.lit(1)).unionByName(stored.withColumn("side", F.lit(-1)))
+    wrong = both.groupBy(*made.columns).agg(F.sum("side").alias("side")).where("side <> 0").agg(F.min("file").alias("file"), F.count("*").alias("n")).first()
+    if wrong["n"]:
+        raise ValueError(f"recipes and manifests differ, first for recipe file {wrong['file']}")
+
+
 def _entries(recipes: DataFrame) -> DataFrame:
     """One row per chunk of a document: its start as k, the digest, the ids after it; recipes whose root fails raise."""
 
@@ -262,7 +294,8 @@ def _entries(recipes: DataFrame) -> DataFrame:
 
 
 def read_documents(spark: SparkSession, path: str, *, key: str = "doc_id") -> DataFrame:
-    """key, start, ids array<int>: every document put together again from its chunks."""
+    """key, start, ids array<int>: every document put together again from its chunks; wrong or lost recipes raise here."""
+    check_manifests(spark, path, key=key)
     recipes = read_recipes(spark, path, key=key)
     joined = _entries(recipes).join(read_chunks(spark, path), "digest")
 
@@ -287,8 +320,10 @@ def checked_documents(spark: SparkSession, path: str, *, key: str = "doc_id") ->
 
     Every chunk is read once and its digest recomputed.  Its CRC-32, moved by the number of
     bytes that follow in a document, is its share of that document's CRC-32; the shares meet
-    by exclusive or, so documents are checked without moving the ids again.  Missing chunks raise.
+    by exclusive or, so documents are checked without moving the ids again.  Missing chunks raise; recipes that are
+    not those of the manifests raise before anything is returned.
     """
+    check_manifests(spark, path, key=key)
 
     def summaries(batches):
         for b in slices(batches, 5000):

@@ -4,6 +4,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quadframe.llm import packing, shared, token_store
 
@@ -62,6 +63,26 @@ def test_store_notices_a_lost_chunk(spark, docs, vocabulary, tmp_path):
         token_store.checked_documents(spark, path).collect()
 
 
+@pytest.mark.parametrize("change", ["doc_id", "start", "n_tokens", "lengths", "a file", "all files", "a manifest"])
+def test_store_notices_changed_and_lost_recipes(spark, docs, vocabulary, tmp_path, change):
+    path = str(tmp_path / "store")
+    token_store.write_store(docs, path, vocabulary("byte_bpe_50k.json"))
+    assert token_store.checked_documents(spark, path).count() == len(ROWS)
+    if change in ("a file", "all files", "a manifest"):
+        names = sorted((tmp_path / "store" / ("manifests" if change == "a manifest" else "recipes")).glob("*.parquet"))
+        full = [x for x in names if spark.read.parquet(str(x)).count()]
+        for x in full if change == "all files" else full[:1]:
+            x.unlink()
+    else:
+        wrong = {"lengths": "transform(lengths, (x, i) -> lengths[size(lengths) - 1 - i])"}.get(change, f"{change} + 1")
+        rows = token_store.read_recipes(spark, path).withColumn(change, F.when(F.col("doc_id") == 11, F.expr(wrong)).otherwise(F.col(change)))
+        kept = rows.toPandas()
+        spark.createDataFrame(kept, rows.schema).write.mode("overwrite").parquet(f"{path}/recipes")
+    for read in (token_store.checked_documents, token_store.read_documents):
+        with pytest.raises(ValueError, match="recipes and manifests differ"):
+            read(spark, path).collect()
+
+
 def test_store_of_repeated_and_missing_keys_and_of_nothing(spark, vocabulary, tmp_path):
     rows = [(2, "some words here"), (2, "some words here"), (2, "others"), (None, "lost")]
     path = str(tmp_path / "a")
