@@ -208,8 +208,9 @@ def _signatures(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
         for b in slices(batches, 1000):
             rows = []
             for doc, one in zip(b.column(0).to_pylist(), shingle_sets(b.column(1).to_pylist(), n)):
-                if not len(one):
-                    rows.append((doc, 0, None, None, None, None, None))
+                # a row without a key is no node, and must not take the place of one
+                if doc is None or not len(one):
+                    rows.append((doc, len(one), None, None, None, None, None))
                     continue
                 sid = hashlib.blake2b(one.tobytes(), digest_size=16).digest()
                 prefix, rare = ordered_prefix(one, frequent, rank, num, den)

@@ -218,6 +218,19 @@ def test_components_by_brute_force(spark, seed):
     assert found == plain_components(texts)
 
 
+def test_components_after_a_row_without_a_key(spark):
+    rng = random.Random(12)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(80)]
+    # the last words of a near copy differ, so some share the prefix group of the row without a key
+    near = [" ".join(words[:-i] + [f"z{i}"] * i) for i in range(1, 9)]
+    texts = [" ".join(words), *near, " ".join(words), "another text without any near copy at all"]
+    rows = [(None, t) for t in texts] + list(enumerate(texts))
+    found = ngram_join.link_documents(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in found if r.doc_id is not None} == plain_components(dict(enumerate(texts)))
+    assert sorted(r.n_shingles for r in found if r.doc_id is None) == sorted(r.n_shingles for r in found if r.doc_id is not None)
+    assert all(r.component_id is None for r in found if r.doc_id is None)
+
+
 def test_components_of_odd_tables(spark):
     df = frame(spark, ["a b c d e f g", "a b c d e f g", None], ids=[4, 4, None])
     assert sorted(map(tuple, ngram_join.link_documents(df).collect()), key=str) == sorted([(4, 3, 4), (4, 3, 4), (None, 0, None)], key=str)
