@@ -169,8 +169,8 @@ class PieceEncoder:
     Both public files cut a text into pre-tokens and merge inside each of them, so the ids of a
     text are those of its pre-tokens in turn.  The cut is found for a group of texts in array
     passes; the library encodes each distinct pre-token, and a bounded table keeps what it said
-    by a 64-bit hash.  A text with letters beyond the Latin ranges or with white space in a row,
-    or a file with another pre-tokenizer, goes to the library whole.
+    by a 64-bit hash.  A text with letters beyond the Latin ranges, with white space in a row or with
+    an added token of the file, or a file with another pre-tokenizer, goes to the library whole.
     """
 
     def __init__(self, path: str, most: int = 2_000_000):
@@ -178,13 +178,15 @@ class PieceEncoder:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         with open(path, encoding="utf-8") as f:
             shape = json.load(f)
         kinds = [x["type"] for x in (shape["pre_tokenizer"] or {}).get("pretokenizers", [])] or [(shape["pre_tokenizer"] or {}).get("type")]
         #: Whether white space is dropped and case folded (words), or a space belongs to what follows (bytes).
         self.words = {("ByteLevel",): False, ("Split", "ByteLevel"): True}.get(tuple(kinds))
         self.lower = "Lowercase" in str(shape["normalizer"])
+        added = [x["content"] for x in shape.get("added_tokens") or []]
+        #: What an added token looks like in a text; the library knows it as one id.
+        self.added = [x.lower() for x in added] if self.lower else added
         self.odd = re.compile(f"[^{PLAIN}]")
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         if self.words is not None:
@@ -211,8 +213,13 @@ class PieceEncoder:
         yield from self._encode_group(group)
 
     def _encode_group(self, texts: list[str]) -> Iterator[np.ndarray]:
-        plain = [i for i, x in enumerate(texts) if x and self.words is not None and not self.odd.search(x) and (self.words or not _spaces_in_a_row(x))]
-        found = dict(zip(plain, self._encode_plain([texts[i].lower() if self.lower else texts[i] for i in plain]))) if plain else {}
+        plain = {}
+        for i, x in enumerate(texts):
+            if x and self.words is not None and not self.odd.search(x) and (self.words or not _spaces_in_a_row(x)):
+                normal = x.lower() if self.lower else x
+                if not any(a in normal for a in self.added):
+                    plain[i] = normal
+        found = dict(zip(plain, self._encode_plain([*plain.values()]))) if plain else {}
         for i, x in enumerate(texts):
             yield found[i] if i in found else np.array(self.tokenizer.encode(x, add_special_tokens=False).ids, self.dtype)
 

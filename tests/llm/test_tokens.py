@@ -31,6 +31,19 @@ def test_pieces_give_the_librarys_ids(vocabulary, name):
         assert found == [x.ids for x in coder.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_added_tokens_are_the_librarys(vocabulary, name):
+    from tokenizers import Tokenizer
+
+    library, coder = Tokenizer.from_file(vocabulary(name)), shared.PieceEncoder(vocabulary(name))
+    contents = [x.content for x in library.get_added_tokens_decoder().values()]
+    assert contents
+    texts = ODD + [t for c in contents for t in (c, f"a {c} b", f"a{c}{c}\nb's", f"{c.upper()} x", f"{c[:-1]} {c[1:]}", f"你好 {c}  x")]
+    found = [x.tolist() for x in coder.encode_all(texts)]
+    assert found == [x.ids for x in library.encode_batch(texts, add_special_tokens=False)]
+    assert library.token_to_id(contents[0]) in coder.encode(f"a {contents[0]} b")
+
+
 def reference(vocabulary, name):
     tokenizer = shared.PieceEncoder(vocabulary(name)).tokenizer
     return {r[0]: [*tokenizer.encode(r[1] or "", add_special_tokens=False).ids, 0] for r in ROWS}
