@@ -7,7 +7,15 @@ from pyspark.sql import functions as F
 
 from quadframe.llm import language_id, line_templates, mixing, ngram_join, packing
 from quadframe.llm.queries import vocabulary
-from quadframe.llm.shared import scratch_path
+from quadframe.llm.shared import scratch_path, written
+
+#: A row's own number inside a stage: doc_id may be null or repeated.
+ROW = "__row"
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with ROW, written, so that a row keeps its number however often it is read."""
+    return written(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,16 +31,21 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of linked documents the one with the smallest doc_id stays."""
-    found = ngram_join.link_documents(docs.select("doc_id", "text"))
-    leaders = found.where(F.col("component_id") == F.col("doc_id")).select("doc_id")
-    return docs.join(leaders, "doc_id", "left_semi").select(docs.columns)
+    """Of each component of linked rows one with the smallest doc_id stays; null is the largest, so a row without
+    doc_id stays where no linked one has any."""
+    rows = numbered(docs)
+    found = ngram_join.link_documents(rows.select(ROW, "text"), key=ROW).select(ROW, "component_id")
+    named = found.join(rows.select(ROW, "doc_id"), ROW)
+    first = named.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", ROW)).alias("first"))
+    return rows.join(first.select(F.col(f"first.{ROW}").alias(ROW)), ROW, "left_semi").select(docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as many times as the mix takes its words, to the nearest whole number; one without words is never taken."""
-    taken = mixing.mix_sources(docs).where("size > 0").select("doc_id", F.floor(F.col("taken") / F.col("size") + 0.5).cast("int").alias("copies")).where("copies > 0")
-    return docs.join(taken, "doc_id").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(docs.columns)
+    """Each document as many times as the mix takes its words, to the nearest whole number; one without words is never taken.
+    Rows that share a doc_id, or have none, are documents of their own."""
+    rows = numbered(docs)
+    taken = mixing.mix_sources(rows, row=ROW).where("size > 0").select(ROW, F.floor(F.col("taken") / F.col("size") + 0.5).cast("int").alias("copies")).where("copies > 0")
+    return rows.join(taken, ROW).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -60,7 +60,7 @@ def targets(sizes: Sequence[int], weights: Sequence[float], share: float = 1.5,
     return out
 
 
-def mix_sources(df: DataFrame, *, key: str = "doc_id", text: str = "text", source: str = "source", weights: Sequence[float] = (5, 2, 1), share: float = 1.5, limit: int = 2, seed: int = 42) -> DataFrame:
+def mix_sources(df: DataFrame, *, key: str = "doc_id", text: str = "text", source: str = "source", row: str | None = None, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, limit: int = 2, seed: int = 42) -> DataFrame:
     """How many words of each document a mix takes, repeats counted.
 
     Sources in code point order, null last, get ``weights`` in rotation.  The words are dealt to
@@ -74,11 +74,13 @@ def mix_sources(df: DataFrame, *, key: str = "doc_id", text: str = "text", sourc
     an empty table gives no rows, other columns are ignored.  At most ``limit`` times a
     document's words are taken, and equal inputs give equal results whatever their partitions.
 
-    Returns key, size, source_size, target (its source's), taken.
+    Returns key, size, source_size, target (its source's), taken, and ``row`` if it is given: a column with a number of
+    each row's own, which orders rows of one key and size and deals rows without a key.
     """
     spark = df.sparkSession
     words = F.coalesce(F.regexp_count(F.col(text).cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
-    sized = written(df.select(F.col(key).alias("k"), F.col(source).cast("string").alias("source"), words.alias("size")), "sizes")
+    more = [] if row is None else [F.col(row).alias("row")]
+    sized = written(df.select(F.col(key).alias("k"), F.col(source).cast("string").alias("source"), words.alias("size"), *more), "sizes")
     found = {r["source"]: (r["n"], r["rows"]) for r in sized.groupBy("source").agg(F.sum("size").alias("n"), F.count("*").alias("rows")).collect()}
     names = sorted(x for x in found if x is not None) + [None] * (None in found)
     sizes, rows = [found[x][0] for x in names], [found[x][1] for x in names]
@@ -86,7 +88,8 @@ def mix_sources(df: DataFrame, *, key: str = "doc_id", text: str = "text", sourc
     block = max(1, min([BLOCK, *(n // (2 * BLOCK) for n in sizes if n)]))
     shards = [max(1, min(-(-n // SHARD_ROWS), SHARDS * n // max(1, sum(rows)))) for n in rows]
     plan = spark.createDataFrame([(x, i, shards[i], sizes[i], goal[i]) for i, x in enumerate(names)], "name string, s int, shards int, source_size long, target double")
-    order = F.xxhash64(F.col("k").cast("string"), F.lit(seed))
+    name = F.col("k").cast("string")
+    order = F.xxhash64(name if row is None else F.coalesce(name, F.concat(F.lit("row "), F.col("row").cast("string"))), F.lit(seed))
     dealt = sized.join(F.broadcast(plan), F.col("source").eqNullSafe(F.col("name"))).withColumn("h", order).withColumn("shard", F.expr(f"pmod(xxhash64(h, {seed + 1}), shards)").cast("int"))
 
     held = {(r["s"], r["shard"]): r["n"] for r in dealt.groupBy("s", "shard").agg(F.sum("size").alias("n")).collect()}
@@ -100,15 +103,15 @@ def mix_sources(df: DataFrame, *, key: str = "doc_id", text: str = "text", sourc
         won = sainte_lague([held[s, x] for x in own], quota[s], [limit * blocks[s, x] for x in own])
         for x, q in zip(own, won):
             n = blocks[s, x]
-            rounds, more = divmod(q, n) if n else (0, 0)
+            rounds, extra = divmod(q, n) if n else (0, 0)
             first = int(rng.integers(n)) if n else 0
-            end = first + more
+            end = first + extra
             # the run of blocks as words [lo, hi), and what wraps past the last block as [0, wrap)
             quotas.append((s, x, rounds, first * block, min(end, n) * block, max(0, end - n) * block))
     table = spark.createDataFrame(quotas, "qs int, qx int, rounds int, lo long, hi long, wrap long")
-    inside = Window.partitionBy("s", "shard").orderBy("h", "k", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("s", "shard").orderBy("h", "k", "size", *(["row"] if row else [])).rowsBetween(Window.unboundedPreceding, -1)
     placed = dealt.withColumn("at", F.coalesce(F.sum("size").over(inside), F.lit(0))).withColumn("to", F.col("at") + F.col("size"))
     overlap = lambda lo, hi: F.greatest(F.lit(0), F.least(F.col("to"), hi) - F.greatest(F.col("at"), lo))
     taken = F.col("rounds") * F.col("size") + overlap(F.col("lo"), F.col("hi")) + overlap(F.lit(0), F.col("wrap"))
     joined = placed.join(F.broadcast(table), (F.col("s") == F.col("qs")) & (F.col("shard") == F.col("qx")))
-    return joined.select(F.col("k").alias(key), "size", "source_size", "target", taken.cast("long").alias("taken"))
+    return joined.select(F.col("k").alias(key), "size", "source_size", "target", taken.cast("long").alias("taken"), *([F.col("row").alias(row)] if row else []))

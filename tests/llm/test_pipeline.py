@@ -68,3 +68,22 @@ def test_run(spark, folder):
     assert [name for name, _ in corpus_pipeline.STAGES] and corpus_pipeline.ORACLE_SQL is None
     found = corpus_pipeline.run(spark, folder)
     assert found.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"] and found.count() > 0
+
+
+def test_repeated_and_missing_ids(spark, folder):
+    import random
+
+    rng = random.Random(4)
+    own = [sentence("en", rng, 60) for _ in range(6)]
+    rows = [(1, own[0]), (1, own[0]), (1, own[1]), (None, own[2]), (None, own[2]), (None, own[3]), (2, own[4]), (None, own[4]), (3, own[5])]
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in rows], COLUMNS)
+    one = corpus_pipeline.near_duplicates(spark, docs, folder)
+    found = sorted(((r.doc_id, r.text) for r in one.collect()), key=str)
+    assert found == sorted([(1, own[0]), (1, own[1]), (None, own[2]), (None, own[3]), (2, own[4]), (3, own[5])], key=str)
+    # of one source whose target is one and a half times its words, no row is taken more than twice
+    many = [(i % 7 if i % 3 else None, f"{own[i % 6]} {i}") for i in range(90)]
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in many], COLUMNS)
+    two = corpus_pipeline.mix(spark, docs, folder)
+    times = Counter(r.text for r in two.collect())
+    assert two.columns == docs.columns and max(times.values()) <= 2 and 1.3 * len(many) < sum(times.values()) < 1.7 * len(many)
+    assert any(r.doc_id is None for r in two.collect())
