@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import InvalidArgument, OverBudget
+from ..scratch import written
 from .datasets import Capability
 from .updates import instantiate
 
@@ -26,15 +27,22 @@ def construct(solutions: DataFrame, template: Sequence[Sequence[str]]) -> DataFr
     return instantiate(solutions, template).select("s", "p", "o").distinct()
 
 
-def describe(quads: DataFrame, resources: DataFrame, depth: int = 3) -> DataFrame:
-    """s, p, o of the default graph about ``resources`` (column n), and about the blank nodes that these name,
-    ``depth`` steps far."""
+def describe(quads: DataFrame, resources: DataFrame) -> DataFrame:
+    """s, p, o of the default graph about ``resources`` (column n), and about all blank nodes that these lead to
+    through blank nodes.
+
+    Each round asks for the blank nodes that the last one named and none before it did; what was asked for and found
+    are tables in the shared folder, so cycles end and a round's plan stays small.
+    """
     default = quads.where("g IS NULL").select("s", "p", "o")
-    asked, found = resources.select(F.col("n").alias("s")).distinct(), None
-    for _ in range(depth + 1):
-        part = default.join(asked, "s", "left_semi").select("s", "p", "o")
+    fresh = asked = written(resources.select(F.col("n").alias("s")).distinct(), "asked")
+    found = None
+    while found is None or not fresh.isEmpty():
+        part = written(default.join(fresh, "s", "left_semi").select("s", "p", "o"), "described")
         found = part if found is None else found.union(part)
-        asked = part.where(F.col("o").startswith("_:")).select(F.col("o").alias("s")).distinct()
+        blank = part.where(F.col("o").startswith("_:")).select(F.col("o").alias("s")).distinct()
+        fresh = written(blank.join(asked, "s", "left_anti"), "asked")
+        asked = asked.union(fresh)
     return found.distinct()
 
 

@@ -187,6 +187,12 @@ def test_describe_follows_blank_nodes(spark):
     assert rows(results.describe(df, spark.createDataFrame([("<urn:a>",)], "n string"))) == sorted([("<urn:a>", P, "_:b"), ("_:b", Q, '"x"')])
 
 
+def test_describe_follows_long_lists_and_cycles(spark):
+    chain = [(None, f"_:l{i}", P, f"_:l{i + 1}") for i in range(7)] + [(None, "_:l7", P, "_:l2"), (None, "_:l7", Q, '"end"')]
+    df = quads(spark, (None, "<urn:a>", P, "_:l0"), *chain, (None, "_:other", P, '"no"'))
+    assert rows(results.describe(df, spark.createDataFrame([("<urn:a>",)], "n string"))) == sorted([("<urn:a>", P, "_:l0"), *(r[1:] for r in chain)], key=str)
+
+
 def test_load_and_info(spark):
     d = datasets.Dataset.of(quads(spark, ("<urn:a>", "<urn:s>", P, '"x"')))
     more = quads(spark, ("<urn:a>", "<urn:s>", P, '"x"'), (None, "<urn:s>", P, '"y"'), (None, "<urn:s>", P, '"y"'))
