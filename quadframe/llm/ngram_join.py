@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import BASE, INVERSE, partitions, powers, slices, written
+from .shared import BASE, mixed, partitions, run_hashes, slices, written
 
 WORDS, NUMERATOR, DENOMINATOR = 5, 75, 100
 #: Counted from so many times within a task, frequent from so many in all; bound of the table of frequent shingles.
@@ -39,12 +39,6 @@ BLOCK, SMALL = 256, 24
 SALTS = 64
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 # ---------------------------------------------------------------- sets
 def _group_sets(texts: list[bytes], n: int) -> list[np.ndarray]:
     data = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
@@ -52,14 +46,12 @@ def _group_sets(texts: list[bytes], n: int) -> list[np.ndarray]:
     space = (data == 32) | ((data >= 9) & (data <= 13))
     before = np.r_[True, space[:-1]]
     starts, ends = np.flatnonzero(~space & before), np.flatnonzero(space & ~before)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(INVERSE, len(data)), out=sums[1:])
-    word = _mix((sums[ends] - sums[starts]) * powers(BASE, len(data))[starts] + (ends - starts).astype(np.uint64))
+    word = mixed(run_hashes(data, starts, ends)[0])
     if len(word) >= n:
         shingle = np.zeros(len(word) - n + 1, np.uint64)
         for j in range(n):
             shingle = shingle * np.uint64(BASE) + word[j : len(shingle) + j]
-        shingle = _mix(shingle)
+        shingle = mixed(shingle)
     gaps = np.cumsum([len(x) + 1 for x in texts])
     last = np.searchsorted(starts, gaps).tolist()
     out, first = [], 0
@@ -69,7 +61,7 @@ def _group_sets(texts: list[bytes], n: int) -> list[np.ndarray]:
         elif stop > first:
             whole = np.uint64(stop - first)
             for w in word[first:stop]:
-                whole = _mix(np.array([whole * np.uint64(BASE) + w], np.uint64))[0]
+                whole = mixed(np.array([whole * np.uint64(BASE) + w], np.uint64))[0]
             out.append(np.array([whole], np.uint64))
         else:
             out.append(np.zeros(0, np.uint64))
@@ -203,7 +195,7 @@ def _signatures(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     frequent, rank = frequent_shingles(docs, n)
 
     def sign(batches):
-        groups: set[int] = set()
+        groups: set[bytes] = set()
         nodes: set[bytes] = set()
         for b in slices(batches, 1000):
             rows = []
@@ -214,9 +206,11 @@ def _signatures(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
                     continue
                 sid = hashlib.blake2b(one.tobytes(), digest_size=16).digest()
                 prefix, rare = ordered_prefix(one, frequent, rank, num, den)
-                gid = int.from_bytes(hashlib.blake2b(prefix.tobytes() + len(one).to_bytes(8, "little"), digest_size=8).digest(), "little", signed=True)
-                new = gid not in groups
-                groups.add(gid)
+                group = hashlib.blake2b(prefix.tobytes() + len(one).to_bytes(8, "little"), digest_size=16).digest()
+                # two groups that met in half of their digest would both post under it: more candidates, none lost
+                gid = int.from_bytes(group[:8], "little", signed=True)
+                new = group not in groups
+                groups.add(group)
                 bits = None if sid in nodes else parity_bits(one)
                 nodes.add(sid)
                 rows.append((doc, len(one), sid, gid, prefix.view(np.int64) if new else None, rare if new else None, bits))
@@ -255,7 +249,7 @@ def _lists(signed: DataFrame, num: int, den: int) -> DataFrame:
 
     def found(columns):
         s, gid, n, salt_, early = columns
-        fresh = np.r_[True, (s[1:] != s[:-1]) | (gid[1:] != gid[:-1]) | (salt_[1:] != salt_[:-1])]
+        fresh = np.r_[True, (s[1:] != s[:-1]) | (gid[1:] != gid[:-1]) | (salt_[1:] != salt_[:-1]) | (n[1:] != n[:-1])]
         s, gid, n, salt_, early = (x[fresh] for x in columns)
         same = np.r_[False, (s[1:] == s[:-1]) & (salt_[1:] == salt_[:-1]) & (den * n[:-1].astype(np.int64) >= num * n[1:].astype(np.int64))]
         keep = same | np.r_[same[1:], False] | (salt_ >= 0)
@@ -264,7 +258,7 @@ def _lists(signed: DataFrame, num: int, den: int) -> DataFrame:
         if len(chain):
             keep &= (salt_ >= 0) | (np.maximum.reduceat(early, chain)[np.cumsum(~same) - 1] > 0)
         head = n[chain[np.cumsum(~same) - 1]].astype(np.uint64) if len(n) else n.astype(np.uint64)
-        name = np.where(salt_ >= 0, s.view(np.uint64), _mix(s.view(np.uint64) + head * np.uint64(BASE)))
+        name = np.where(salt_ >= 0, s.view(np.uint64), mixed(s.view(np.uint64) + head * np.uint64(BASE)))
         return pa.RecordBatch.from_arrays([pa.array(name[keep].view(np.int64)), pa.array(gid[keep]), pa.array(early[keep].astype(np.int32))], ["list", "gid", "early"])
 
     rows = written(dealt.mapInArrow(runs, "list long, gid long, early int"), "posted")

@@ -5,54 +5,24 @@ from __future__ import annotations
 import functools
 import itertools
 import json
+import math
 import os
 import re
-import tempfile
-import uuid
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..scratch import discard, written  # noqa: F401  (operators take them from here)
+from ..scratch import path as scratch_path  # noqa: F401
+
 #: A word of every operator on words: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-# ---------------------------------------------------------------- scratch space
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the driver and all executors can read and write.
-
-    It is ``spark.checkpoint.dir`` of the session.  Only a ``local`` master may
-    go without: there one machine is everything, so a temporary folder serves.
-    """
-    context = spark.sparkContext
-    folder = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("quadframe.scratch", None)
-    if not folder:
-        if not re.match(r"local(\[|$)", context.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="spark-quadframe-")
-        spark.conf.set("quadframe.scratch", folder)
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(folder)
-    return folder.rstrip("/")
-
-
-def scratch_path(spark: SparkSession, label: str) -> str:
-    """A new path below the shared folder."""
-    return f"{shared_folder(spark)}/quadframe/{label}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back: it cuts the
-    lineage, and no executor has to be alive for a later read."""
-    spark = df.sparkSession
-    path = scratch_path(spark, label)
-    df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
+# ---------------------------------------------------------------- tables and partitions
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -79,32 +49,83 @@ def range_cuts(df: DataFrame, key: str, parts: int) -> list:
 
 
 def range_of(key: Column, cuts: list) -> Column:
-    """Number of the range (from 0) a value falls into; equal values share a range."""
+    """Number of the range (from 0) a value falls into; equal values share a range.
+
+    Cuts lie in blocks of about the square root of their number: a row is compared with each block's first cut, then inside one block.
+    """
     if not cuts:
         return F.lit(0)
-    below = F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < key)
-    return F.coalesce(F.size(below), F.lit(0))
+    size = math.isqrt(len(cuts)) + 1
+    blocks = [cuts[i : i + size] for i in range(0, len(cuts), size)]
+    below = lambda values: F.size(F.filter(values, lambda c: c < key))
+    block = below(F.array(*[F.lit(b[0]) for b in blocks]))
+    inside = below(F.element_at(F.array(*[F.array(*[F.lit(c) for c in b]) for b in blocks]), block))
+    return F.when(block > 0, (block - 1) * size + inside).otherwise(0)
 
 
-def before(df: DataFrame, key: str, value: str, out: str, cuts: list | None = None) -> DataFrame:
-    """Add ``out``: the sum of ``value`` over all rows with a smaller ``key``.
+# ---------------------------------------------------------------- hot keys
+#: A key is hot with more than one in so many of all rows; so there are fewer hot keys than this.
+HOT_KEYS = 10_000
 
-    The running sum is taken inside each range of keys; the sums of the ranges,
-    one row each, give the offset of each range.  No window spans the whole table.
-    """
-    from pyspark.sql import Window
 
-    spark = df.sparkSession
-    cuts = range_cuts(df, key, partitions(spark)) if cuts is None else cuts
-    ranged = df.withColumn("__range", range_of(F.col(key), cuts))
-    sums = {r["__range"]: r["n"] for r in ranged.groupBy("__range").agg(F.sum(value).alias("n")).collect()}
-    offsets, total = [], 0
-    for i in range(len(cuts) + 1):
-        offsets.append(total)
-        total += sums.get(i) or 0
-    inside = Window.partitionBy("__range").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
-    offset = F.array(*[F.lit(int(x)).cast("long") for x in offsets])[F.col("__range")]
-    return ranged.withColumn(out, offset + F.coalesce(F.sum(value).over(inside), F.lit(0))).drop("__range")
+def join_hot(rows: DataFrame, table: DataFrame, on: Sequence[str], count: str, how: str = "inner") -> DataFrame:
+    """Join ``rows`` with ``table``, which has one row per key and, in column ``count``, about how many of ``rows`` have it.
+
+    The rows of a hot key stay where they are and meet its one table row by broadcast, which is fewer than HOT_KEYS
+    rows whatever the data; only the rest is shuffled, and no key of it is more than a small part of a task.
+    Both tables are read twice, so they are written ones.
+    """
+    total = table.agg(F.sum(count)).first()[0] or 0
+    is_hot = F.col(count) * HOT_KEYS > total
+    hot = F.broadcast(table.where(is_hot).drop(count))
+    met = rows.join(hot, [*on])
+    rest = rows.join(F.broadcast(table.where(is_hot).select(*on)), [*on], "left_anti").join(table.where(~is_hot).drop(count), [*on], how)
+    return met.unionByName(rest.select(met.columns))
+
+
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """Names for columns of one's own that no column of ``df`` has."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+# ---------------------------------------------------------------- hashes of runs
+def mixed(x: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit numbers in which every bit depends on all."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def run_hashes(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray, twice: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
+    """One 64-bit hash, or two, of each run ``codes[start:end]``; runs ascend and do not overlap.
+
+    Every code is mixed with its place in its run, and a run's hash is the sum of these numbers, so unlike a polynomial
+    in a fixed base no family of texts is known that meets in it.
+    """
+    n = len(codes)
+    sums = np.zeros(n + 1, np.uint64)
+    if not len(starts):
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64) if twice else None
+    place = np.arange(n, dtype=np.uint64)
+    place[starts[0] :] -= np.repeat(starts, np.diff(np.r_[starts, n])).astype(np.uint64)
+    place <<= np.uint64(32)
+    place += codes
+    with np.errstate(over="ignore"):
+        x = mixed(place)
+        np.cumsum(x, out=sums[1:])
+        one = sums[ends] - sums[starts]
+        if not twice:
+            return one, None
+        x *= np.uint64(0xD1342543DE82EF95)
+        x ^= x >> np.uint64(32)
+        np.cumsum(x, out=sums[1:])
+        return one, sums[ends] - sums[starts]
 
 
 # ---------------------------------------------------------------- tokenizers
@@ -134,30 +155,32 @@ def _kinds() -> np.ndarray:
 
 
 class _Table:
-    """Sorted 64-bit keys with the ids each stands for, in a few flat arrays: some 20 bytes an entry."""
+    """Sorted 64-bit keys, each with 64 bits more to know it by and the ids it stands for, in a few flat arrays."""
 
     def __init__(self, dtype: np.dtype):
-        self.keys, self.starts, self.lengths = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.keys, self.checks, self.starts, self.lengths = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.ids, self.used = np.zeros(1 << 16, dtype), 0
 
-    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places of ascending ``keys``, and which of them are there."""
+    def find(self, keys: np.ndarray, checks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places of ascending ``keys``, which of them are there, and whose place another one has."""
         if not len(self.keys):
-            return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+            return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool), np.zeros(len(keys), bool)
         at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        return at, self.keys[at] == keys
+        near, same = self.keys[at] == keys, self.checks[at] == checks
+        return at, near & same, near & ~same
 
     def add_table(self, other: _Table) -> None:
-        self.add(other.keys, other.lengths, other.ids[: other.used], other.starts)
+        self.add(other.keys, other.checks, other.lengths, other.ids[: other.used], other.starts)
 
-    def add(self, keys: np.ndarray, lengths: np.ndarray, ids: np.ndarray, starts: np.ndarray | None = None) -> None:
-        """Ascending new keys, their numbers of ids and the ids, which lie at ``starts`` or one after the other."""
+    def add(self, keys: np.ndarray, checks: np.ndarray, lengths: np.ndarray, ids: np.ndarray, starts: np.ndarray | None = None) -> None:
+        """Ascending new keys, their checks, numbers of ids and the ids, which lie at ``starts`` or one after the other."""
         while self.used + len(ids) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
         self.ids[self.used : self.used + len(ids)] = ids
         every = np.concatenate([self.keys, keys])
         order = np.argsort(every, kind="stable")  # two ascending runs, so a merge
         self.keys = every[order]
+        self.checks = np.concatenate([self.checks, checks])[order]
         self.starts = np.concatenate([self.starts, self.used + (np.cumsum(lengths) - lengths if starts is None else starts)])[order]
         self.lengths = np.concatenate([self.lengths, lengths])[order]
         self.used += len(ids)
@@ -169,7 +192,7 @@ class PieceEncoder:
     Both public files cut a text into pre-tokens and merge inside each of them, so the ids of a
     text are those of its pre-tokens in turn.  The cut is found for a group of texts in array
     passes; the library encodes each distinct pre-token, and a bounded table keeps what it said
-    by a 64-bit hash.  A text with letters beyond the Latin ranges, with white space in a row or with
+    by two independent 64-bit hashes.  A text with letters beyond the Latin ranges, with white space in a row or with
     an added token of the file, or a file with another pre-tokenizer, goes to the library whole.
     """
 
@@ -254,18 +277,19 @@ class PieceEncoder:
 
     def _encode_plain(self, texts: list[str]) -> list[np.ndarray]:
         text, starts, ends, gaps = self._pieces(texts)
-        sums = np.zeros(len(text) + 1, np.uint64)
-        codes = np.frombuffer(text.encode("utf-32-le"), "<u4").astype(np.uint64) + np.uint64(1)
-        np.cumsum(codes * powers(INVERSE, len(text)), out=sums[1:])
-        keys = (sums[ends] - sums[starts]) * powers(BASE, len(text))[starts] + (ends - starts).astype(np.uint64)
+        keys, checks = run_hashes(np.frombuffer(text.encode("utf-32-le"), "<u4"), starts, ends, twice=True)
         order = np.argsort(keys)
-        ranked = keys[order]
-        first = np.flatnonzero(np.r_[True, ranked[1:] != ranked[:-1]]) if len(keys) else np.zeros(0, np.int64)
+        differ = keys[order][1:] != keys[order][:-1]
+        if (~differ & (checks[order][1:] != checks[order][:-1])).any():
+            order = np.lexsort((checks, keys))
+            differ = (keys[order][1:] != keys[order][:-1]) | (checks[order][1:] != checks[order][:-1])
+        first = np.flatnonzero(np.r_[True, differ]) if len(keys) else np.zeros(0, np.int64)
         group = np.empty(len(keys), np.int64)
         group[order] = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(keys)]))
-        distinct, example = ranked[first], order[first]
+        example = order[first]
+        distinct, marks = keys[example], checks[example]
         lengths, offsets = np.zeros(len(distinct), np.int64), np.zeros(len(distinct), np.int64)
-        (at, old), (near, new) = self.known.find(distinct), self.newest.find(distinct)
+        (at, old, other), (near, new, another) = self.known.find(distinct, marks), self.newest.find(distinct, marks)
         for table, place, hit, base in ((self.known, at, old, 0), (self.newest, near, new, self.known.used)):
             lengths[hit], offsets[hit] = table.lengths[place[hit]], table.starts[place[hit]] + base
         flat = [self.known.ids[: self.known.used], self.newest.ids[: self.newest.used]]
@@ -284,7 +308,9 @@ class PieceEncoder:
             here = (picked >= low) & (picked < high)
             ids[here] = part[picked[here] - low]
         if len(missing):
-            self.newest.add(distinct[missing], own, flat[2])
+            # of two pre-tokens of one key only the first is kept; the library encodes the other each time
+            kept = ~(other | another)[missing] & np.r_[True, distinct[missing][1:] != distinct[missing][:-1]]
+            self.newest.add(distinct[missing][kept], marks[missing][kept], own[kept], flat[2][np.repeat(kept, own)])
             if len(self.newest.keys) * 8 > len(self.known.keys):
                 if len(self.known.keys) + len(self.newest.keys) > self.most:
                     self.known = _Table(self.dtype)

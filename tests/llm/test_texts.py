@@ -237,6 +237,15 @@ def test_components_of_odd_tables(spark):
     assert ngram_join.link_documents(df.limit(0)).collect() == []
 
 
+def test_words_that_meet_in_a_polynomial_hash_are_no_copies(spark):
+    a, b = "a", "b"
+    for _ in range(12):
+        a, b = a + b, b + a
+    texts = dict(enumerate([a, b, f"{a} {b} c d e f", f"{b} {a} c d e f", a[:1024], b[:1024]]))
+    found = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.link_documents(frame(spark, [*texts.values()])).collect()}
+    assert found == plain_components(texts) and len({c for _, c in found.values()}) == 6
+
+
 def test_parity_bits_never_rule_out_too_much():
     rng = np.random.default_rng(7)
     for _ in range(200):

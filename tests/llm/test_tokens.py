@@ -44,8 +44,62 @@ def test_added_tokens_are_the_librarys(vocabulary, name):
     assert library.token_to_id(contents[0]) in coder.encode(f"a {contents[0]} b")
 
 
+def thue_morse(letters, doublings):
+    a, b = letters
+    for _ in range(doublings):
+        a, b = a + b, b + a
+    return [a, b]
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_words_that_meet_in_a_polynomial_hash(vocabulary, name):
+    from tokenizers import Tokenizer
+
+    library, coder = Tokenizer.from_file(vocabulary(name)), shared.PieceEncoder(vocabulary(name))
+    texts = [w for n in (10, 11, 12) for w in thue_morse("ab", n) + thue_morse("xy", n)]
+    texts += [" ".join(texts[:4]), " ".join(reversed(texts[:4]))]
+    assert [x.tolist() for x in coder.encode_all(texts)] == [x.ids for x in library.encode_batch(texts, add_special_tokens=False)]
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_pre_tokens_of_all_kinds_of_code_points(vocabulary, name):
+    import random
+    import unicodedata
+
+    from tokenizers import Tokenizer
+
+    library, coder, rng = Tokenizer.from_file(vocabulary(name)), shared.PieceEncoder(vocabulary(name)), random.Random(3)
+    kinds: dict = {}
+    for i in [*range(0x3000), *range(0x3000, 0x11000, 7), *range(0x1F300, 0x1F700, 5)]:
+        if not 0xD800 <= i < 0xE000:
+            kinds.setdefault(unicodedata.category(chr(i)), []).append(chr(i))
+    assert len(kinds) > 25
+    texts = []
+    for chars in kinds.values():
+        for _ in range(12):
+            c = [rng.choice(chars) for _ in range(4)]
+            texts += [f"a{c[0]}b 1{c[1]}2 {c[2]}'s it's{c[3]}", "".join(c), f"{c[0]} {c[1]}\n{c[2]}"]
+    assert [x.tolist() for x in coder.encode_all(texts)] == [x.ids for x in library.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_two_pre_tokens_of_one_key_are_told_apart(vocabulary, monkeypatch):
+    plain = shared.run_hashes
+
+    def weak(codes, starts, ends, twice=False):
+        one, two = plain(codes, starts, ends, twice)
+        return one % np.uint64(7), two
+
+    coder = shared.PieceEncoder(vocabulary("byte_bpe_50k.json"))
+    texts = ["the cat sat on a mat and it was not the dog", "a dog and the other cat", "the cat sat on a mat"] * 2
+    want = [x.ids for x in coder.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    monkeypatch.setattr(shared, "run_hashes", weak)
+    assert [x.tolist() for x in coder.encode_all(texts, most_chars=20)] == want
+
+
 def reference(vocabulary, name):
-    tokenizer = shared.PieceEncoder(vocabulary(name)).tokenizer
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(vocabulary(name))
     return {r[0]: [*tokenizer.encode(r[1] or "", add_special_tokens=False).ids, 0] for r in ROWS}
 
 
