@@ -89,8 +89,44 @@ def test_lines_equal_sql(spark):
     want = con.execute(line_templates.oracle(source="docs")).fetchall()
     assert sorted(map(tuple, found.select("doc_id", "text", "n_lines", "n_dropped").collect())) == sorted(want)
     kept = {r.doc_id: r for r in found.collect()}
-    assert kept[0].text == lines_of(0) and "GET" not in kept[5].text and kept[5].text.startswith("ffff is an own line") and kept[12].text == texts[12]
+    assert kept[0].text == lines_of(0) and "GET" not in kept[5].text and kept[5].text.startswith("ffff is an own line") and kept[12].text == "" and "Hi" not in kept[3].text
     assert set(found.columns) == {*df.columns, "n_lines", "n_dropped"}
+    for copies in (0.5, 0.75):
+        want = con.execute(line_templates.oracle(source="docs", copies=copies)).fetchall()
+        assert sorted(map(tuple, line_templates.drop_recurring_lines(df, copies=copies).select("doc_id", "text", "n_lines", "n_dropped").collect())) == sorted(want)
+
+
+def test_several_templates_of_one_leaf(spark):
+    one = [f"the big red car{'abcde'[i]} stops near walls often" for i in range(5)]
+    two = ["the big red boats never sail at night"] * 6
+    three = [f"the big red {a} of {b} has come" for a, b in zip("kkkmmmppp", "rstrstrst")]
+    once = ["the big red word that nobody else says", "the big", "7 8 9", "1 2 3", "4 5 6"]
+    pair = " ".join(f"w{'abcdefghij'[i % 10]}{'klmnopq'[i // 10]}" for i in range(60))
+    texts = [*one, *two, *three, *once, f"one\n{pair}", f"two\n{pair}", " ".join(pair.split()[:40]), " ".join(pair.split()[:40])]
+    found = {r.doc_id: r for r in line_templates.drop_recurring_lines(frame(spark, texts)).collect()}
+    dropped = [found[i].n_dropped for i in range(len(texts))]
+    assert dropped[:11] == [0, 1, 1, 1, 1, 0, 1, 1, 1, 1, 1]
+    # a family of two variable fields whose values are common by themselves is found by its most common token
+    assert dropped[11:20] == [0] + [1] * 8
+    # rows of numbers are no template; a long line recurs from two documents, a shorter one from three
+    assert dropped[20:] == [0] * 5 + [0, 1, 0, 0] and found[26].text == "two"
+
+
+def test_lines_of_copies_are_left_to_document_dedup(spark):
+    own = ["\n".join(f"{'abcdefgh'[d]}{'ijklmn'[i]} line of some length here {'abcdefgh'[d]}" for i in range(6)) for d in range(3)]
+    shared = "a line that all of them share"
+    texts = [f"{own[0]}\n{shared}", f"{own[0]}\n{shared}", f"{own[0]}\n{shared}", f"{own[1]}\n{shared}", shared]
+    found = {r.doc_id: r for r in line_templates.drop_recurring_lines(frame(spark, texts), copies=0.75).collect()}
+    assert [found[i].text for i in range(3)] == texts[:3] and found[3].text == own[1]
+    found = {r.doc_id: r for r in line_templates.drop_recurring_lines(frame(spark, texts)).collect()}
+    assert [found[i].text for i in range(5)] == [texts[0], "", "", own[1], ""]
+
+
+def test_lines_keep_columns_of_any_name(spark):
+    df = spark.createDataFrame([(i, "x y z w", i, "a", "b") for i in range(4)], "doc_id long, text string, k1 long, drop string, __rows string")
+    found = line_templates.drop_recurring_lines(df)
+    assert found.columns == [*df.columns, "n_lines", "n_dropped"] and sorted(r.n_dropped for r in found.collect()) == [0, 1, 1, 1]
+    assert sorted((r.k1, r.drop) for r in line_templates.drop_recurring_lines(df, copies=0.75).collect()) == [(i, "a") for i in range(4)]
 
 
 def test_lines_of_nulls_and_repeated_rows(spark):
