@@ -11,12 +11,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .shared import slices
+
 #: Bounds of the training sample: documents and bytes of text per language, bytes taken of one document.
 SAMPLE_DOCUMENTS, SAMPLE_BYTES, DOCUMENT_BYTES = 512, 112_000, 2_000
 #: Bytes of text that one compression sees; zstandard level; least margin that is accepted.
 BLOCK, LEVEL, MARGIN = 4096, 6, 0.002
-#: Bytes that a shorter text is repeated to.
-LEAST = 256
+#: What follows every block: digits in a row, so that zstandard never leaves a block as it is for being short.
+TAIL = b"0123456789" * 26
 _LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -31,8 +33,9 @@ def train(df: DataFrame, *, key: str = "doc_id", text: str = "text", label: str
     ``documents`` rows of each language are drawn by the hash of their key: the languages are
     counted, a share of the rows somewhat above the bound is kept by hash, and the
     least hashes of those are used, so no task holds more than the sample.  The driver gets at
-    most ``documents * each`` bytes per language.  Rows without text or label are left out; the
-    most frequent language comes first.
+    most ``documents * each`` bytes per language, and one count per language.  Of these a dictionary takes
+    ``size`` bytes: an equal share of each document, so some 218 bytes of its start where there are as many as 512.
+    Rows without text or label are left out; the most frequent language comes first.
     """
     rows = df.where(F.col(label).isNotNull() & F.col(text).isNotNull()).select(F.xxhash64(F.col(key).cast("string"), F.lit(7)).alias("h"), F.col(label).cast("string").alias("label"), F.col(text).alias("text"))
     counts = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
@@ -53,7 +56,9 @@ def train(df: DataFrame, *, key: str = "doc_id", text: str = "text", label: str
 
 
 class Identifier:
-    """Compressed size of a text with each language's dictionary; the smallest wins."""
+    """Compressed size of a text with each language's dictionary; the smallest wins.
+
+    A text is cut into blocks of ``block`` bytes; each is compressed with TAIL after it, and what TAIL takes alone is taken off."""
 
     def __init__(self, dictionaries: Mapping[str, bytes], level: int = LEVEL, block: int = BLOCK):
         self.languages, self.block = list(dictionaries), block
@@ -62,15 +67,12 @@ class Identifier:
             content = zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             content.precompute_compress(level=level)
             self.compressors.append(zstandard.ZstdCompressor(level=level, dict_data=content, write_content_size=False, write_dict_id=False))
+        self.tails = [len(c.compress(TAIL)) for c in self.compressors]
 
     def sizes(self, text: str) -> list[int]:
         data = text.lower().encode("utf-8", "replace")
-        if len(data) < LEAST:
-            # zstandard leaves very short blocks as they are; repeats cost the same for every language, so the
-            # first copy's size shows
-            data = (data + b"\n") * (LEAST // (len(data) + 1) + 1)
-        blocks = [data[i : i + self.block] for i in range(0, len(data), self.block)]
-        return [sum(len(c.compress(x)) for x in blocks) for c in self.compressors]
+        blocks = [data[i : i + self.block] + TAIL for i in range(0, len(data), self.block)]
+        return [max(1, sum(len(c.compress(x)) - tail for x in blocks)) for c, tail in zip(self.compressors, self.tails)]
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """(language, margin): ``und`` and 0 for no letters; the margin is 1 - smallest / second smallest size.
@@ -87,14 +89,15 @@ def identify(df: DataFrame, dictionaries: Mapping[str, bytes], *, text: str = "t
 
     Whole texts are compressed, in blocks, so a long text is judged like a short one and a task
     holds one block.  ``score`` is the margin; a row is rejected when it has no letters (null
-    texts too) or its margin is under ``margin``.  Columns of these names are replaced.
+    texts too) or its margin is under ``margin``.  Columns of these names are replaced, all others kept; repeated rows are judged
+    alike, and an empty table gives no rows.
     """
     kept = df.drop("lang_pred", "score", "rejected").withColumn(text, F.col(text).cast("string"))
     made, place, names = dict(dictionaries), kept.columns.index(text), [*kept.columns, "lang_pred", "score", "rejected"]
 
     def predict(batches):
         identifier = Identifier(made)
-        for b in batches:
+        for b in slices(batches):
             found = [identifier.predict(x) for x in b.column(place).to_pylist()]
             score = [s for _, s in found]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([x for x, _ in found], pa.string()), pa.array(score, pa.float64()), pa.array([x == "und" or s < margin for x, s in found], pa.bool_())], names)
