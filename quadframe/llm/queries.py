@@ -44,11 +44,12 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_revisit_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _header_lines(revisits.resolve_revisits(revisits.captures(table(spark, sf_dir, "pages"))))
+    return _header_lines(revisits.resolve_revisits(revisits.site_records(table(spark, sf_dir, "pages"))))
 
 
-def op5_site_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _header_lines(revisits.resolve_revisits(revisits.site_records(table(spark, sf_dir, "pages"))))
+def revisits_of_own_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same over a log in which each revisit directly follows its page's own response."""
+    return _header_lines(revisits.resolve_revisits(revisits.captures(table(spark, sf_dir, "pages"))))
 
 
 def _header_lines(found: DataFrame) -> DataFrame:
@@ -83,7 +84,7 @@ QUERIES = {
     "op3_line_templates": op3_line_templates,
     "op4_language_id": op4_language_id,
     "op5_revisit_resolution": op5_revisit_resolution,
-    "op5_site_revisits": op5_site_revisits,
+    "revisits_of_own_pages": revisits_of_own_pages,
     "op6_media_columns": op6_media_columns,
     "op7_source_mix": op7_source_mix,
     "op8_link_propagation": op8_link_propagation,
@@ -93,7 +94,7 @@ QUERIES = {
 
 ORACLE: dict[str, str] = {
     "op3_line_templates": line_templates.oracle(),
-    "op5_revisit_resolution": revisits.oracle(),
-    "op5_site_revisits": revisits.site_oracle(),
+    "op5_revisit_resolution": revisits.site_oracle(),
+    "revisits_of_own_pages": revisits.oracle(),
     "op8_link_propagation": link_filter.oracle(),
 }
