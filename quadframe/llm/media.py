@@ -44,10 +44,14 @@ def decode_netpbm(data: bytes) -> np.ndarray:
     shape = (height, width, 3) if colour else (height, width)
     n = height * width * (3 if colour else 1)
     if plain:
+        if n > len(data):
+            raise BadImage("too few samples")
         text = b"\n".join(x.split(b"#")[0] for x in data[at - 1 :].split(b"\n"))
         digits = [bytes([c]) for c in text if c in b"01"] if bitmap else text.split()
         if len(digits) < n:
             raise BadImage("too few samples")
+        if not all(x.isdigit() and len(x) < 10 for x in digits[:n]):
+            raise BadImage("a sample is no number")
         flat = np.array([int(x) for x in digits[:n]], np.int64)
     elif bitmap:
         row = (width + 7) // 8
@@ -73,7 +77,8 @@ def encode_pgm(samples: np.ndarray) -> bytes:
 
 # ---------------------------------------------------------------- BMP
 def decode_bmp(data: bytes) -> np.ndarray:
-    """Uncompressed BMP of 1, 4, 8, 24 or 32 bits, and 8-bit RLE, as (height, width, 3) uint8, top row first."""
+    """Uncompressed BMP of 1, 4, 8, 24 or 32 bits, and 8-bit RLE, top row first: (height, width) uint8 if the palette is of
+    greys alone, whatever the samples, else (height, width, 3)."""
     if data[:2] != b"BM" or len(data) < 54:
         raise BadImage("not BMP")
     at, size, width, height, _, bits, packing = struct.unpack_from("<10xIIiiHHI", data)
@@ -82,6 +87,9 @@ def decode_bmp(data: bytes) -> np.ndarray:
     if size < 40 or width <= 0 or not height or (bits, packing) not in {(1, 0), (4, 0), (8, 0), (24, 0), (32, 0), (8, 1)}:
         raise BadImage("a BMP of a kind that is not read")
     if packing == 1:
+        # a run makes at most 255 samples of two bytes; a header that asks for far more is not believed
+        if width * height > 256 * len(data):
+            raise BadImage("too few runs")
         indexes = _run_lengths(data[at:], width, height)
     else:
         row = (width * bits + 31) // 32 * 4
@@ -103,7 +111,7 @@ def decode_bmp(data: bytes) -> np.ndarray:
     palette = np.frombuffer(data, np.uint8, 4 * n, 14 + size).reshape(n, 4)[:, 2::-1]
     if indexes.size and int(indexes.max()) >= n:
         raise BadImage("a sample is beyond the palette")
-    pixels = palette[indexes]
+    pixels = palette[:, 0][indexes] if (palette == palette[:, :1]).all() else palette[indexes]
     return np.ascontiguousarray(pixels if down else pixels[::-1])
 
 
@@ -120,9 +128,13 @@ def _run_lengths(data: bytes, width: int, height: int) -> np.ndarray:
         elif value == 1:
             return out
         elif value == 2:
+            if at + 2 > len(data):
+                break
             x, y, at = x + data[at], y + data[at + 1], at + 2
         else:
-            part = np.frombuffer(data[at : at + value], np.uint8)[: max(0, width - x)]
+            if at + value > len(data):
+                break
+            part = np.frombuffer(data, np.uint8, value, at)[: max(0, width - x)]
             out[min(y, height - 1), x : x + len(part)] = part
             x, at = x + value, at + value + value % 2
         if y >= height:
@@ -147,20 +159,19 @@ def decode(data: bytes) -> np.ndarray:
 
 
 # ---------------------------------------------------------------- features
-def grey(pixels: np.ndarray) -> np.ndarray:
-    """Luma of colour pixels in the weights 299, 587 and 114 per thousand, as float64."""
-    return pixels @ np.array([0.299, 0.587, 0.114]) if pixels.ndim == 3 else pixels.astype(np.float64)
+#: Luma weights of red, green and blue.
+LUMA = np.array([0.299, 0.587, 0.114])
 
 
 def area_resize(samples: np.ndarray, height: int, width: int) -> np.ndarray:
-    """Mean of ``samples`` over each cell of a ``height`` by ``width`` grid, cells of fractional sides included.
+    """Mean of ``samples`` over each cell of a ``height`` by ``width`` grid, cells of fractional sides included; of
+    colour samples their luma.
 
-    The integral image is read at fractional corners, where it is linear between whole
-    ones, so a cell costs four reads however large it is; it also enlarges.
+    The integral image is read at fractional corners, where it is linear between whole ones, so a cell costs
+    four reads however large it is; it also enlarges.  Only the rows that are read are made, from
+    sums of the strips between them, so a large image needs no second one.
     """
-    h, w = samples.shape
-    integral = np.zeros((h + 1, w + 1))
-    np.cumsum(np.cumsum(samples, axis=0, dtype=np.float64), axis=1, out=integral[1:, 1:])
+    h, w = samples.shape[:2]
 
     def along(n: int, cells: int) -> tuple[np.ndarray, np.ndarray]:
         at = np.arange(cells + 1) * (n / cells)
@@ -169,7 +180,14 @@ def area_resize(samples: np.ndarray, height: int, width: int) -> np.ndarray:
 
     y, fy = along(h, height)
     x, fx = along(w, width)
-    rows = integral[y] * (1 - fy)[:, None] + integral[y + 1] * fy[:, None]
+    needed = np.unique(np.r_[0, y, y + 1])
+    exact = np.uint64 if samples.dtype.kind in "bu" else np.float64
+    strips = np.stack([samples[a:b].sum(axis=0, dtype=exact) for a, b in zip(needed[:-1], needed[1:])]).astype(np.float64)
+    strips = strips @ LUMA if samples.ndim == 3 else strips
+    integral = np.zeros((len(needed), w + 1))
+    np.cumsum(np.cumsum(strips, axis=0), axis=1, out=integral[1:, 1:])
+    place = np.searchsorted(needed, y)
+    rows = integral[place] * (1 - fy)[:, None] + integral[np.searchsorted(needed, y + 1)] * fy[:, None]
     corners = rows[:, x] * (1 - fx) + rows[:, x + 1] * fx
     return np.diff(np.diff(corners, axis=0), axis=1) / ((h / height) * (w / width))
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import media
-from .shared import written
+from .shared import slices, written
 
 #: Samples in a row of a stored image; payloads are padded to whole rows.
 ROW = 64
@@ -19,12 +19,13 @@ ROW = 64
 
 def text_to_media(df: DataFrame, *, key: str = "doc_id", text: str = "text", form: str = "pgm") -> DataFrame:
     """key, n_bytes, media: the UTF-8 bytes of each text, padded with 0 to whole rows of 64
-    samples (one row at least), as a grey image of ``form`` pgm or bmp.  A null text is empty."""
+    samples (one row at least), as a grey image of ``form`` pgm or bmp.  A null text is empty, an empty table gives no rows,
+    repeated rows give equal rows, and other columns are ignored."""
     encode = {"pgm": media.encode_pgm, "bmp": media.encode_bmp}[form]
     kind = df.schema[key].dataType.simpleString()
 
     def store(batches):
-        for b in batches:
+        for b in slices(batches, 100):
             sizes, out = [], []
             for x in b.column(1).to_pylist():
                 sizes.append(len(x or b""))
@@ -42,26 +43,27 @@ def media_features(df: DataFrame, *, key: str = "doc_id", media_column: str = "m
     row order, media_bytes and media_sha256 of the stored form, ``feature`` (difference hash)
     and ``tile`` (NPY bytes), and ``error``; where the bytes are null or no image, all but
     ``error`` and the two of the stored form are null.  A row is independent of all others.
+    Only ``key`` and the columns of ``keep`` are passed on; one of these names among them is refused.
     """
     kinds = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in (key, *keep))
     own = "height int, width int, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, tile binary, error string"
     names = [key, *keep, *(x.split()[0] for x in own.split(", "))]
+    if len(set(names)) < len(names):
+        raise ValueError("a kept column has the name of one that is made")
     types = (pa.int32(), pa.int32(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary(), pa.string())
 
     def one(data: bytes | None) -> tuple:
         stored = (None, None) if data is None else (len(data), hashlib.sha256(data).hexdigest())
         try:
-            pixels = media.decode(data or b"")
+            samples = np.ascontiguousarray(media.decode(data or b""))
         except media.BadImage as e:
             return (*[None] * 5, *stored, None, None, str(e))
-        # a grey BMP gives three equal channels; its samples are one of them
-        samples = pixels[:, :, 0] if pixels.ndim == 3 and (pixels == pixels[:, :, :1]).all() else pixels
-        raw, luma = np.ascontiguousarray(samples).tobytes(), media.grey(samples)
-        return (*samples.shape[:2], len(raw), hashlib.sha256(raw).hexdigest(), zlib.crc32(raw[-ROW:]), *stored, media.difference_hash(luma, side), media.npy_tile(luma, side), None)
+        raw = samples.reshape(-1).view(np.uint8)
+        return (*samples.shape[:2], raw.size, hashlib.sha256(raw).hexdigest(), zlib.crc32(raw[-ROW:]), *stored, media.difference_hash(samples, side), media.npy_tile(samples, side), None)
 
     def features(batches):
         n = 1 + len(keep)
-        for b in batches:
+        for b in slices(batches, 100):
             rows = [one(x) for x in b.column(n).to_pylist()]
             columns = zip(*rows) if rows else [[] for _ in types]
             yield pa.RecordBatch.from_arrays([*b.columns[:n], *(pa.array(list(c), t) for c, t in zip(columns, types))], names)
