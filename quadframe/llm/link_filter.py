@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import join_hot, written
 
 #: Steps of the propagation, share that moves on, and least distrust beyond the trust that blocks a host.
 STEPS, DAMPING, THRESHOLD = 10, 0.85, 0.0
@@ -51,21 +51,22 @@ def host_edges(pages: DataFrame) -> DataFrame:
 
 
 def propagate(edges: DataFrame, seeds: DataFrame, steps: int = STEPS, damping: float = DAMPING) -> DataFrame:
-    """kind, host, score: personalised PageRank of each kind from its seeds (kind, host).
+    """kind, host, score, received: personalised PageRank of each kind from its seeds (kind, host, weight).
 
     ``edges`` has kind, src, dst.  A step sends ``damping`` of each score along the out-edges in
-    equal parts and starts the rest anew at the seeds; what a host without out-edges would send ends there.
-    Both kinds run in the same joins, on hosts only, summed before each shuffle.
+    equal parts and starts the rest anew at the seeds, by weight; what a host without out-edges would send ends there.
+    ``received`` is what came over edges in the last step.  Both kinds run in the same joins, on hosts only, summed before each shuffle.
     """
     degree = edges.groupBy("kind", "src").agg(F.count("*").alias("n"))
     weighted = written(edges.join(degree, ["kind", "src"]).select("kind", "src", "dst", (F.lit(damping) / F.col("n")).alias("weight")), "edges")
-    total = seeds.groupBy("kind").agg(F.count("*").alias("n"))
-    start = written(seeds.join(F.broadcast(total), "kind").select("kind", "host", (F.lit(1.0) / F.col("n")).alias("score")), "seeds")
-    again = start.withColumn("score", F.col("score") * (1 - damping))
+    total = seeds.groupBy("kind").agg(F.sum("weight").alias("n"))
+    start = written(seeds.join(F.broadcast(total), "kind").select("kind", "host", (F.col("weight") / F.col("n")).alias("score")), "seeds")
+    again = start.select("kind", "host", (F.col("score") * (1 - damping)).alias("score"), F.lit(0.0).alias("received"))
     score = start
     for i in range(1, steps + 1):
-        sent = score.withColumnRenamed("host", "src").join(weighted, ["kind", "src"]).select("kind", F.col("dst").alias("host"), (F.col("score") * F.col("weight")).alias("score"))
-        score = sent.unionByName(again).groupBy("kind", "host").agg(F.sum("score").alias("score"))
+        moved = F.col("score") * F.col("weight")
+        sent = score.withColumnRenamed("host", "src").join(weighted, ["kind", "src"]).select("kind", F.col("dst").alias("host"), moved.alias("score"), moved.alias("received"))
+        score = sent.unionByName(again).groupBy("kind", "host").agg(F.sum("score").alias("score"), F.sum("received").alias("received"))
         if i % CUT == 0 and i < steps:
             score = written(score, "scores")
     return score
@@ -74,24 +75,26 @@ def propagate(edges: DataFrame, seeds: DataFrame, steps: int = STEPS, damping: f
 def judge_urls(pages: DataFrame, *, key: str = "page_id", rules: Sequence[tuple[str, str]] = RULES, steps: int = STEPS, damping: float = DAMPING, threshold: float = THRESHOLD) -> DataFrame:
     """key, host, path, rule, verdict (allow or block) and by (rule, links, default) of every url.
 
-    The longest rule that fits decides.  For other urls the host does: hosts of urls that a rule allows
-    send trust along their links, hosts of urls that a rule blocks send distrust against the links
-    that lead to them; a host whose distrust exceeds its trust by more than ``threshold`` is blocked.
-    Hosts that neither reaches, and null urls or ones without ``://``, are allowed by default.
+    The longest rule that fits decides.  For other urls the links do: a host whose urls rules allow sends trust along
+    its links, one whose urls rules block sends distrust against the links that lead to it, each by the share of the host's
+    urls; a host that receives more distrust than trust by over ``threshold`` is blocked.  What a seed starts with does not
+    count for itself, so a rule on one path condemns no other path, and hosts that no edge
+    reaches, null urls and ones without ``://`` are allowed by default.
 
     Only distinct host pairs are shuffled; a hot host is one row in the graph, and its many urls
-    meet its verdict in a join that can be split.
+    meet its verdict by ``join_hot``.  Repeated rows are judged alike, an empty table gives no rows, other columns are ignored.
     """
     judged = pages.select(F.col(key), F.col("url"), F.col("html")).withColumn("host", host_of(F.col("url"))).withColumn("path", path_of(F.col("url")))
     judged = judged.withColumn("rule", rule_of(F.col("host"), F.col("path"), rules)).withColumn("own", rule_of(F.col("host"), F.col("path"), rules, 1))
     links = written(host_edges(judged), "links")
     both = links.select(F.lit("trust").alias("kind"), "src", "dst").unionByName(links.select(F.lit("distrust").alias("kind"), F.col("dst").alias("src"), F.col("src").alias("dst")))
-    seeds = judged.where(F.col("own").isNotNull()).select(F.when(F.col("own") == "allow", "trust").otherwise("distrust").alias("kind"), "host").distinct()
+    shares = written(judged.groupBy("host").agg(F.count("*").alias("urls"), F.count_if(F.col("own") == "allow").alias("trust"), F.count_if(F.col("own") == "block").alias("distrust")), "shares")
+    seeds = shares.select("host", F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), (F.col(k) / F.col("urls")).alias("weight")) for k in ("trust", "distrust")])).alias("x")).select("x.kind", "host", "x.weight").where("weight > 0")
     scores = propagate(both, seeds, steps, damping)
-    pick = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("score"))), F.lit(0.0))
-    hosts = scores.groupBy("host").agg(pick("trust").alias("trust"), pick("distrust").alias("distrust"))
-    verdicts = hosts.select("host", F.when(F.col("distrust") - F.col("trust") > threshold, "block").otherwise("allow").alias("by_links"))
-    found = judged.select(key, "host", "path", "rule", "own").join(verdicts, "host", "left")
+    pick = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("received"))), F.lit(0.0))
+    hosts = scores.where("received > 0").groupBy("host").agg(pick("trust").alias("trust"), pick("distrust").alias("distrust"))
+    verdicts = hosts.join(shares.select("host", "urls"), "host").select("host", "urls", F.when(F.col("distrust") - F.col("trust") > threshold, "block").otherwise("allow").alias("by_links"))
+    found = join_hot(judged.select(key, "host", "path", "rule", "own"), written(verdicts, "verdicts"), ["host"], "urls", "left")
     by = F.when(F.col("rule").isNotNull(), "rule").when(F.col("by_links").isNotNull(), "links").otherwise("default")
     return found.select(key, "host", "path", "rule", F.coalesce("own", "by_links", F.lit("allow")).alias("verdict"), by.alias("by"))
 
@@ -109,9 +112,9 @@ def oracle(rules: Sequence[tuple[str, str]] = RULES, steps: int = STEPS, damping
     lower = f"translate(%s, '{string.ascii_uppercase}', '{string.ascii_lowercase}')"
     href, absolute = HREF.replace("'", "''"), ABSOLUTE
     chain = "".join(
-        f"""s{i} AS (SELECT kind, host, sum(score) AS score FROM (
-  SELECT w.kind, w.dst AS host, s.score * w.weight AS score FROM s{i - 1} s JOIN weighted w ON s.kind = w.kind AND s.host = w.src
-  UNION ALL SELECT kind, host, score * {1 - damping} FROM s0) GROUP BY kind, host),
+        f"""s{i} AS (SELECT kind, host, sum(score) AS score, sum(received) AS received FROM (
+  SELECT w.kind, w.dst AS host, s.score * w.weight AS score, s.score * w.weight AS received FROM s{i - 1} s JOIN weighted w ON s.kind = w.kind AND s.host = w.src
+  UNION ALL SELECT kind, host, score * {1 - damping}, 0 FROM s0) GROUP BY kind, host),
 """
         for i in range(1, steps + 1)
     )
@@ -122,8 +125,9 @@ found AS (SELECT host AS src, unnest(regexp_extract_all(html, '{href}', 1)) AS l
 links AS (SELECT DISTINCT src, dst FROM (SELECT src, regexp_replace(regexp_replace({lower % f"regexp_extract(link, '{absolute}', 1)"}, '^.*@', ''), ':[0-9]*$', '') AS dst FROM found) WHERE dst <> '' AND dst <> src),
 both_ways AS (SELECT 'trust' AS kind, src, dst FROM links UNION ALL SELECT 'distrust', dst, src FROM links),
 weighted AS (SELECT kind, src, dst, {damping} / count(*) OVER (PARTITION BY kind, src) AS weight FROM both_ways),
-seeds AS (SELECT DISTINCT CASE WHEN own = 'allow' THEN 'trust' ELSE 'distrust' END AS kind, host FROM judged WHERE own IS NOT NULL),
-s0 AS (SELECT kind, host, 1.0 / count(*) OVER (PARTITION BY kind) AS score FROM seeds),
-{chain}hosts AS (SELECT host, CASE WHEN coalesce(sum(score) FILTER (kind = 'distrust'), 0) - coalesce(sum(score) FILTER (kind = 'trust'), 0) > {threshold} THEN 'block' ELSE 'allow' END AS by_links FROM s{steps} GROUP BY host)
+shares AS (SELECT host, count(*) AS urls, count(*) FILTER (own = 'allow') AS trust, count(*) FILTER (own = 'block') AS distrust FROM judged GROUP BY host),
+seeds AS (SELECT 'trust' AS kind, host, trust / urls AS weight FROM shares WHERE trust > 0 UNION ALL SELECT 'distrust', host, distrust / urls FROM shares WHERE distrust > 0),
+s0 AS (SELECT kind, host, weight / sum(weight) OVER (PARTITION BY kind) AS score FROM seeds),
+{chain}hosts AS (SELECT host, CASE WHEN coalesce(sum(received) FILTER (kind = 'distrust'), 0) - coalesce(sum(received) FILTER (kind = 'trust'), 0) > {threshold} THEN 'block' ELSE 'allow' END AS by_links FROM s{steps} WHERE received > 0 GROUP BY host)
 SELECT page_id, j.host, path, rule, coalesce(own, by_links, 'allow') AS verdict, CASE WHEN rule IS NOT NULL THEN 'rule' WHEN by_links IS NOT NULL THEN 'links' ELSE 'default' END AS by
 FROM judged j LEFT JOIN hosts h ON j.host = h.host"""
