@@ -8,7 +8,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import encoder, ids_crc32, slices
+from .shared import encoder, ids_crc32, slices, written
 
 
 class OpenBins:
@@ -51,18 +51,40 @@ class OpenBins:
         return number, self.capacity - free
 
 
+#: The pieces of sequences that are less full than this are packed once more, so many to a task; as many are broadcast at most.
+LOOSE, LOOSE_PER_TASK, BROADCAST = 0.97, 50_000, 500_000
+
+
+def _pack_loose(pieces: DataFrame, capacity: int, open_bins: int) -> DataFrame:
+    """sequence_id, offset, to_id, to_offset: the pieces of the loose sequences of all partitions, packed anew."""
+    loose = pieces.groupBy("sequence_id").agg(F.sum("length").alias("used")).where(F.col("used") < LOOSE * capacity).select("sequence_id")
+    moving = written(pieces.select("sequence_id", "offset", "length").join(loose, "sequence_id", "left_semi"), "loose")
+    tasks = -(-moving.count() // LOOSE_PER_TASK) or 1
+
+    def pack(batches):
+        # numbers below those of the first packing's partitions
+        bins = OpenBins(capacity, open_bins, -((TaskContext.get().partitionId() + 1) << 40))
+        for b in batches:
+            found = np.array([bins.place(n) for n in b.column(2).to_pylist()], np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found[:, 0]), pa.array(found[:, 1])], ["sequence_id", "offset", "to_id", "to_offset"])
+
+    # the longest first, which leaves the short ones to fill gaps
+    dealt = moving.repartition(tasks, F.xxhash64("sequence_id", "offset")).sortWithinPartitions(F.desc("length"), "sequence_id", "offset")
+    return written(dealt.mapInArrow(pack, "sequence_id long, offset long, to_id long, to_offset long"), "moved")
+
+
 def pack_tokens(df: DataFrame, tokenizer: str, *, key: str = "doc_id", text: str = "text", capacity: int = 2048, end_id: int = 0, open_bins: int = 1024, with_ids: bool = False) -> DataFrame:
     """Encode each text, append ``end_id``, and pack the ids into sequences of at most ``capacity``.
 
     Only a document of more than ``capacity`` ids is cut, into pieces of ``capacity`` and a
     rest.  Each input partition packs its own pieces as they come, with ``open_bins`` open
-    bins, so nothing is shuffled and a task keeps a bounded state; a lost task repeats its
-    partition with the same result.  Sequence ids carry the partition in their upper bits.
-    Half-empty bins remain only at the end of a partition, at most ``open_bins`` of them.
+    bins, so a task keeps a bounded state; the pieces are written.  The sequences that are not full, most of them open at
+    the end of a partition, are then packed once more by the same rule, over all partitions and the longest pieces first, so that
+    many small partitions waste no more than a few large ones.  Sequence ids carry the partition in their upper bits, those of the second packing are negative.
 
     Returns one row per piece: the key, piece, start, length, ids_crc32, sequence_id, offset,
     and the ids too when ``with_ids``.  A null or empty text is the end id alone.  Repeated rows are packed
-    each for itself; other columns of ``df`` are ignored.
+    each for itself, null keys like others; other columns of ``df`` are ignored, and an empty table gives no rows.
     """
     kind = df.schema[key].dataType.simpleString()
     schema = f"{key} {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long" + (", ids array<int>" if with_ids else "")
@@ -86,4 +108,8 @@ def pack_tokens(df: DataFrame, tokenizer: str, *, key: str = "doc_id", text: str
                 out.append(pa.array(pieces, pa.list_(pa.int32())))
             yield pa.RecordBatch.from_arrays(out, [x.split()[0] for x in schema.split(", ")])
 
-    return df.select(F.col(key), F.col(text).cast("string").alias(text)).mapInArrow(pack, schema)
+    pieces = written(df.select(F.col(key), F.col(text).cast("string").alias(text)).mapInArrow(pack, schema), "pieces")
+    moved = _pack_loose(pieces, capacity, open_bins)
+    found = pieces.join(F.broadcast(moved) if moved.count() <= BROADCAST else moved, ["sequence_id", "offset"], "left")
+    place = {"sequence_id": F.coalesce("to_id", "sequence_id"), "offset": F.coalesce("to_offset", "offset")}
+    return found.select(*[place[c].alias(c) if c in place else F.col(c) for c in pieces.columns])
