@@ -113,7 +113,8 @@ def compare_with_next(df: DataFrame, *, key: str = "doc_id", text: str = "text",
     One shuffle deals the texts to key ranges.  The first row of a range also goes to the range
     before it (the first of all to the last), so each task reads its rows in order and needs no
     other.  A null text is empty; null keys come first; rows of one key follow each other by
-    the text's hash; a single row follows itself.
+    the text's hash; a single row follows itself; an empty table gives no rows.  A very long text is hashed in
+    array passes of its own size; other columns are ignored.
 
     Returns key, n_chars, edited_sha256, fingerprint, edited_fingerprint (hex), near_edited, near_next.
     """

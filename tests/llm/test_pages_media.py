@@ -30,15 +30,72 @@ def test_bmp_round_trips():
     for shape in ((5, 7), (4, 4), (3, 2, 3), (1, 1, 3)):
         pixels = rng.integers(0, 256, shape).astype(np.uint8)
         found = media.decode_bmp(media.encode_bmp(pixels))
-        assert (found == (pixels[:, :, None] if pixels.ndim == 2 else pixels)).all()
+        assert found.shape == pixels.shape and (found == pixels).all()
     runs = media.encode_bmp(np.zeros((2, 4), np.uint8))[:54 + 1024]
     runs = runs[:30] + b"\1" + runs[31:]
-    found = media.decode_bmp(runs + b"\4\7\0\0\0\3\1\2\3\0\1\x09\0\1")[:, :, 0]
+    found = media.decode_bmp(runs + b"\4\7\0\0\0\3\1\2\3\0\1\x09\0\1")
     assert found.tolist() == [[1, 2, 3, 9], [7, 7, 7, 7]]
     with pytest.raises(media.BadImage):
         media.decode_bmp(b"BM" + bytes(60))
 
 
+def test_damaged_images_are_bad_images():
+    rng = np.random.default_rng(5)
+    runs = bytearray(media.encode_bmp(np.zeros((3, 5), np.uint8))[: 54 + 1024] + b"\5\7\0\0\0\3\1\2\3\0\2\x09\0\0\0\2\1\0\3\1\0\1")
+    runs[30] = 1
+    pixels = rng.integers(0, 256, (4, 6, 3)).astype(np.uint8)
+    whole = [bytes(runs), media.encode_bmp(pixels), media.encode_bmp(pixels[:, :, 0]), media.encode_pgm(pixels[:, :, 0]), b"P6 4 2 255\n" + bytes(24), b"P2 3 2 9 1 2 3 4 5 6", b"P1 3 2 1 0 1 0 1 1", b"P3 1 2 9 1 2 3 4 5 6", b"P4 9 2\n" + bytes(4)]
+    good = 0
+    for i in range(10_000):
+        data = bytearray(whole[i % len(whole)])
+        for _ in range(rng.integers(0, 4)):
+            data[rng.integers(0, min(len(data), 60))] = rng.integers(0, 256)
+        data = bytes(data[: rng.integers(0, len(data) + 1)] if i % 3 else data)
+        try:
+            found = media.decode(data)
+        except media.BadImage:
+            continue
+        good += 1
+        assert found.size and len(media.difference_hash(found)) == 16 and media.npy_tile(found)
+    assert good > 1000
+    for bad in (b"P2 1 1 255 ab", b"P2 1 1 255 -5", b"P1 9 9 " + b"1" * 9, bytes(runs[:-9]) + b"\0\2", bytes(runs[:18]) + (400_000).to_bytes(4, "little") * 2 + bytes(runs[26:])):
+        with pytest.raises(media.BadImage):
+            media.decode(bad)
+
+
+def test_features_by_whole_numbers(spark):
+    """Difference hash and tile from exact fractions: each sample is cut into the cells it meets."""
+    from fractions import Fraction
+
+    def plain(samples, height, width):
+        h, w = samples.shape
+        out = [[Fraction(0)] * width for _ in range(height)]
+        for i in range(height):
+            for j in range(width):
+                top, bottom, left, right = Fraction(i * h, height), Fraction((i + 1) * h, height), Fraction(j * w, width), Fraction((j + 1) * w, width)
+                for y in range(int(top), min(h, -(-bottom.numerator // bottom.denominator))):
+                    for x in range(int(left), min(w, -(-right.numerator // right.denominator))):
+                        share = (min(bottom, y + 1) - max(top, Fraction(y))) * (min(right, x + 1) - max(left, Fraction(x)))
+                        out[i][j] += share * int(samples[y, x])
+                out[i][j] /= Fraction(h, height) * Fraction(w, width)
+        return out
+
+    texts = ["some words of a text, " * 9, "é" * 70, "", "x" * 64 + "a" * 300]
+    df = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    for r in media_columns.stored_text_media(df).collect():
+        data = texts[r.doc_id].encode()
+        samples = np.frombuffer(data.ljust(max(1, -(-len(data) // 64)) * 64, b"\0"), np.uint8).reshape(-1, 64)
+        small = plain(samples, 8, 9)
+        assert r.feature == np.packbits([a < b for row in small for a, b in zip(row, row[1:])]).tobytes().hex()
+        tile = np.load(io.BytesIO(r.tile))
+        assert all(abs(Fraction(int(t)) - x) <= Fraction(501, 1000) for a, b in zip(tile, plain(samples, 8, 8)) for t, x in zip(a, b))
+
+
+def test_kept_columns_may_not_clash(spark):
+    with pytest.raises(ValueError):
+        media_columns.media_features(spark.createDataFrame([(1, b"", "x")], "doc_id long, media binary, tile string"), keep=("tile",))
+
+
 def test_area_resize_by_hand():
     samples = np.arange(12.0).reshape(3, 4)
     assert np.allclose(media.area_resize(samples, 3, 4), samples)
@@ -88,6 +145,16 @@ def test_verdicts(spark):
     assert told[10] == ("org/fr/", "allow", "rule") and told[9] == (None, "allow", "default") and told[7] == (None, "allow", "default")
     # trust reaches good.test; mid.test has trust and links to a blocked host; farm.test only links to it
     assert told[5] == (None, "allow", "links") and told[6] == (None, "block", "links") and told[3][2] == "links"
+
+
+def test_rules_on_paths_judge_no_other_paths(spark):
+    rows = [(1, "http://example.com/de/a", None), (2, "http://example.com/en/b", None), (3, "http://x.org/fr/", None), (4, "http://x.org/", '<a href="http://y.test/">'), (5, "http://z.test/", '<a href="http://example.com/en/b">'), (6, "http://y.test/", None)]
+    found = {r.page_id: (r.verdict, r.by) for r in link_filter.judge_urls(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert found == {1: ("block", "rule"), 2: ("allow", "default"), 3: ("allow", "rule"), 4: ("allow", "default"), 5: ("block", "links"), 6: ("allow", "links")}
+
+
+def test_verdicts_of_nulls_and_odd_urls(spark):
+    found = {(r.page_id, r.host): r for r in link_filter.judge_urls(pages_of(spark)).collect()}
     assert found[(8, "")].path == "" and found[(10, "w.example.org")].path == "/fr/a"
 
 
@@ -102,7 +169,7 @@ def test_verdicts_equal_sql(spark):
 def test_pagerank_by_hand(spark):
     edges = [("a", "b"), ("a", "c"), ("b", "c"), ("c", "a"), ("d", "a")]
     df = spark.createDataFrame([("trust", *e) for e in edges], "kind string, src string, dst string")
-    found = {r.host: r.score for r in link_filter.propagate(df, spark.createDataFrame([("trust", "a"), ("trust", "d")], "kind string, host string"), 7).collect()}
+    found = {r.host: r.score for r in link_filter.propagate(df, spark.createDataFrame([("trust", "a", 1.0), ("trust", "d", 1.0)], "kind string, host string, weight double"), 7).collect()}
     nodes = "abcd"
     m = np.zeros((4, 4))
     for s, d in edges:
@@ -158,7 +225,7 @@ def test_queries_equal_sql_on_odd_pages(spark, tmp_path):
     pages_of(spark).select(F.monotonically_increasing_id().alias("page_id"), "url", "html").coalesce(1).write.parquet(str(tmp_path / "pages.parquet"))
     con = duckdb.connect()
     con.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
-    for name in ("op5_revisit_resolution", "op8_link_propagation"):
+    for name in ("op5_revisit_resolution", "revisits_of_own_pages", "op8_link_propagation"):
         found = queries.QUERIES[name](spark, str(tmp_path))
         columns = sorted(found.columns)
         want = con.execute(f"SELECT {', '.join(chr(34) + c + chr(34) for c in columns)} FROM ({queries.ORACLE[name]})").fetchall()
@@ -174,9 +241,9 @@ def test_site_revisits_need_the_search(spark, tmp_path):
     assert log.count() == len(rows) and log.select(revisits.canonical_url(F.col("url"))).distinct().count() == 4
     con = duckdb.connect()
     con.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
-    found = queries.QUERIES["op5_site_revisits"](spark, str(tmp_path))
+    found = queries.QUERIES["op5_revisit_resolution"](spark, str(tmp_path))
     columns = sorted(found.columns)
-    want = con.execute(f"SELECT {', '.join(chr(34) + c + chr(34) for c in columns)} FROM ({queries.ORACLE['op5_site_revisits']})").fetchall()
+    want = con.execute(f"SELECT {', '.join(chr(34) + c + chr(34) for c in columns)} FROM ({queries.ORACLE['op5_revisit_resolution']})").fetchall()
     got = found.collect()
     assert sorted(str(tuple(r[c] for c in columns)) for r in got) == sorted(map(str, want))
     assert {r.outcome for r in got} == {"resolved", "unchecked", "mismatch", "unresolved"}

@@ -46,6 +46,51 @@ def test_fingerprint_by_hand(text):
         assert fingerprints.order_minhash(text, 5, 3, 16).tolist() == plain_order_minhash(text, 5, 3, 16)
 
 
+def edit_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_fingerprint_by_its_definition():
+    """The method written anew: numbered k-mers, the least by a random function each, in text order."""
+
+    def plain(text, k, size, sketches, seed):
+        seen, marks = Counter(), []
+        for i in range(len(text) - k + 1):
+            x = text[i : i + k]
+            marks.append((x, seen[x], i))
+            seen[x] += 1
+        out = []
+        for j in range(sketches):
+            rank = lambda m: hashlib.md5(f"{seed} {j} {m[0]} {m[1]}".encode()).digest()
+            out.append(tuple(m[:2] for m in sorted(sorted(marks, key=rank)[:size], key=lambda m: m[2])))
+        return out
+
+    rng = random.Random(2)
+    base = "".join(rng.choice("abcdefgh ") for _ in range(400))
+    versions = [base]
+    for edits in (4, 12, 40, 120):
+        x = list(base)
+        for _ in range(edits):
+            x[rng.randrange(len(x))] = rng.choice("xyz")
+        versions.append("".join(x))
+    versions += [base[200:] + base[:200], "".join(rng.choice("abcdefgh ") for _ in range(400))]
+    want, got = [], []
+    for v in versions:
+        a, b = plain(base, 6, 2, 300, 1), plain(v, 6, 2, 300, 1)
+        want.append(np.mean([x == y for x, y in zip(a, b)]))
+        got.append(fingerprints.likeness(fingerprints.order_minhash(base, 6, 2, 300), fingerprints.order_minhash(v, 6, 2, 300)))
+    # both estimate the same likeness, from unlike random functions
+    assert all(abs(x - y) < 0.12 for x, y in zip(want, got))
+    # and it falls with the edit distance
+    distance = [edit_distance(base, v) for v in versions]
+    assert distance[:5] == sorted(distance[:5]) and got[:5] == sorted(got[:5], reverse=True) and got[0] == 1 and got[-1] < 0.02 and got[-2] < 0.8
+
+
 def test_fingerprint_follows_order():
     rng = random.Random(1)
     words = [f"w{rng.randrange(10**6)}" for _ in range(600)]
@@ -68,9 +113,11 @@ def test_compare_with_next(spark, texts):
         assert (r.near_edited, r.near_next) == (fingerprints.likeness(mark(t), mark(changed)), fingerprints.likeness(mark(t), mark(then)))
 
 
-def test_compare_with_next_takes_ties_and_null_keys(spark):
-    df = spark.createDataFrame([(None, "a"), (1, "b"), (1, "b"), (2, None)], "doc_id long, text string")
-    assert fingerprints.compare_with_next(df).count() == 4
+def test_compare_with_next_takes_ties_null_keys_and_other_columns(spark):
+    df = spark.createDataFrame([(None, "aa", "x", "y"), (1, "bb", "x", "y"), (1, "bb", "x", "y"), (2, None, "x", "y")], "doc_id long, text string, k string, fingerprint string")
+    rows = sorted(map(tuple, fingerprints.compare_with_next(df).select("doc_id", "n_chars", "edited_sha256", "near_next").collect()), key=str)
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    assert rows == sorted([(None, 2, sha("ab"), 0.0), (1, 2, sha("bb"), 1.0), (1, 2, sha("b"), 0.0), (2, 0, sha(""), 0.0)], key=str)
 
 
 # ---------------------------------------------------------------- lines
@@ -160,6 +207,27 @@ def test_language_held_out(spark):
     assert found[3].text == texts[3] and "taken" in language_id.identify(df, learned).columns
 
 
+def test_language_by_plain_compression(spark):
+    import zstandard
+
+    rng = random.Random(9)
+    texts = [sentence(rng.choice([*WORDS]), rng, n) for n in (1, 2, 5, 30, 255, 256, 3000) for _ in range(4)] + ["12", "x", "É" * 5000]
+    df = frame(spark, texts)
+    learned = {x: sentence(x, rng, 3000).encode() for x in WORDS}
+    found = {r.doc_id: r for r in language_id.identify(df, learned).collect()}
+
+    def size(data, dictionary):
+        one = zstandard.ZstdCompressionDict(dictionary, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        return len(zstandard.ZstdCompressor(level=language_id.LEVEL, dict_data=one, write_content_size=False, write_dict_id=False).compress(data))
+
+    for i, t in enumerate(texts):
+        data, tail = t.lower().encode(), b"0123456789" * 26
+        blocks = [data[k : k + 4096] for k in range(0, len(data), 4096)]
+        sizes = sorted((max(1, sum(size(b + tail, d) - size(tail, d) for b in blocks)), n, x) for n, (x, d) in enumerate(learned.items()))
+        want = (sizes[0][2], 1 - sizes[0][0] / sizes[1][0]) if re.search("[^\\W\\d_]", t) else ("und", 0.0)
+        assert (found[i].lang_pred, found[i].score) == want and found[i].rejected == (want[0] == "und" or want[1] < language_id.MARGIN)
+
+
 def test_language_without_training(spark):
     df = frame(spark, ["some text"])
     assert language_id.train(df) == {}

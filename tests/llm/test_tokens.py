@@ -186,6 +186,20 @@ def test_packing(spark, docs, vocabulary):
     assert packing.pack_tokens(docs.limit(0), vocabulary("word_bpe_49k.json")).collect() == []
 
 
+def test_packing_of_many_partitions_wastes_little(spark, vocabulary):
+    rng = np.random.default_rng(2)
+    sizes = rng.integers(1, 900, 600).tolist()
+    df = spark.createDataFrame([(i, "w " * n) for i, n in enumerate(sizes)], "doc_id long, text string").repartition(40)
+    found = packing.pack_tokens(df, vocabulary("word_bpe_49k.json")).collect()
+    assert sorted(r.length for r in found) == sorted(n + 1 for n in sizes)
+    filled: dict = {}
+    for r in sorted(found, key=lambda r: (r.sequence_id, r.offset)):
+        assert r.offset == filled.get(r.sequence_id, 0)
+        filled[r.sequence_id] = r.offset + r.length
+    least = sum(filled.values()) / 2048
+    assert max(filled.values()) <= 2048 and len(filled) <= 1.05 * least + 1
+
+
 def test_bins_against_a_plain_best_fit():
     rng = np.random.default_rng(3)
     bins, plain, made = packing.OpenBins(100, 4), [], 0
