@@ -6,7 +6,7 @@ n - ceil(threshold n) + 1 of each (the prefix).
 
 1. Equal sets are one node.  Nodes of one prefix and size are one group.
 2. Groups post their prefix once; postings of one shingle, cut where sizes get too far apart, make a list.
-3. Lists are expanded to nodes.  Each node is paired with its list's pivot; parity bitmaps rule
+3. Lists are expanded to nodes; of lists of the same nodes one stays.  Each node is paired with its list's pivot; parity bitmaps rule
    out most pairs with certainty, and the texts of the rest are compared.  Links give components.
 4. Only pairs of a list that are not yet in one component can add something.  Nodes apart from their
    pivot's component are paired with a new pivot, some rounds long, then, in blocks, with every other node that is
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import BASE, mixed, partitions, run_hashes, slices, written
+from .shared import BASE, discard, join_hot, mixed, partitions, run_hashes, slices, written
 
 WORDS, NUMERATOR, DENOMINATOR = 5, 75, 100
 #: Counted from so many times within a task, frequent from so many in all; bound of the table of frequent shingles.
@@ -35,8 +35,8 @@ SEEN, FREQUENT, TABLE = 2, 16, 1_000_000
 COUNTED, GROUP_BYTES, ROUNDS, BROADCAST = 2_000_000, 1_000_000, 3, 500_000
 #: Nodes in a block of a list, about; nodes of a list that is not dealt to blocks, at most.
 BLOCK, SMALL = 256, 24
-#: Parts that the postings of a frequent shingle are dealt to.
-SALTS = 64
+#: Parts that the postings of a frequent shingle, and the nodes that meet one pivot, are dealt to.
+SALTS, PARTS = 64, 256
 
 
 # ---------------------------------------------------------------- sets
@@ -124,15 +124,35 @@ def components(edges: DataFrame) -> DataFrame:
     labels, total = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component")), None
     while True:
         near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("component").alias("c"))
-        near = written(near, "near")
         jump = near.select(F.col("a").alias("t"), F.col("c").alias("component"))
-        labels = written(near.join(jump, F.col("c") == F.col("t")).select(F.col("a").alias("node"), "component"), "labels")
+        before, labels = labels, written(near.join(jump, F.col("c") == F.col("t")).select(F.col("a").alias("node"), "component"), "labels")
         now = labels.agg(F.sum(F.col("component").cast("decimal(38,0)"))).first()[0]
+        if total is not None:
+            discard(before)
         if now == total:
+            discard(both)
             return labels
         total = now
 
 
+def _grown(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+    """The components after more links: only the components that these touch are looked at again."""
+    if labels is None:
+        return components(links)
+    of = lambda x: _named(labels, x, f"c_{x}")
+    ends = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("c_a", "a").alias("a"), F.coalesce("c_b", "b").alias("b"))
+    merged = components(ends)
+    fresh = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).distinct().join(labels, "node", "left_anti")
+    every = labels.unionByName(fresh.select("node", F.col("node").alias("component")))
+    out = written(every.join(_named(merged, "component", "now"), "component", "left").select("node", F.coalesce("now", "component").alias("component")), "labels")
+    discard(labels, merged)
+    return out
+
+
+def _named(labels: DataFrame, node: str, component: str) -> DataFrame:
+    return labels.select(F.col("node").alias(node), F.col("component").alias(component))
+
+
 # ---------------------------------------------------------------- the join
 def frequent_shingles(docs: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
     """The most frequent shingles, sorted by hash, and their ranks by ascending count.
@@ -281,28 +301,40 @@ def _near(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
     return both.select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(allowed, pairs.select("a", "b").schema)
 
 
-def _links(pairs: DataFrame, docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """The pairs whose texts link: whole texts, only of the nodes that occur in a pair."""
+def _links(pairs: DataFrame, docs: DataFrame, n: int, num: int, den: int) -> DataFrame | None:
+    """The pairs whose texts link, None for no pairs: whole texts, only of the nodes that occur in a pair.
+
+    A node that many meet is dealt to PARTS; its text goes to each of them once, and the texts that it meets follow it there.
+    """
     pairs = written(pairs, "pairs")
-    ids = written(pairs.select(F.col("a").alias("doc")).unionByName(pairs.select(F.col("b").alias("doc"))).distinct(), "ids")
-    chosen = F.broadcast(ids) if ids.count() <= BROADCAST else ids
-    texts = written(docs.join(chosen, "doc").select("doc", "data"), "texts")
-    with_b = pairs.join(texts.select(F.col("doc").alias("b"), F.col("data").alias("data_b")), "b")
-    both = with_b.join(texts.select(F.col("doc").alias("a"), F.col("data").alias("data_a")), "a").select("a", "b", "data_a", "data_b")
+    ids = pairs.select(F.col("a").alias("doc")).unionByName(pairs.select(F.col("b").alias("doc"))).distinct()
+    ids = written(ids, "ids")
+    found = ids.count()
+    if not found:
+        return None
+    texts = written(docs.join(F.broadcast(ids) if found <= BROADCAST else ids, "doc").select("doc", "data"), "texts")
+    dealt = pairs.select("a", F.pmod(F.xxhash64("b"), F.lit(PARTS)).cast("int").alias("part"), "b")
+    heads = dealt.select("a", "part").distinct().join(texts.withColumnRenamed("doc", "a"), "a").select("a", "part", F.lit(None).cast(dict(pairs.dtypes)["b"]).alias("b"), "data")
+    others = dealt.join(texts.withColumnRenamed("doc", "b"), "b").select("a", "part", "b", "data")
+    met = heads.unionByName(others).repartition(partitions(pairs.sparkSession), "a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first()).select("a", "b", "data")
 
     def compare(batches):
-        last: tuple = (None, None)
+        head = None
         for batch in slices(batches, 1000):
             linked = []
-            for a, _, x, y in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                if last[0] != a:
-                    last = (a, next(shingle_sets([x], n)))
-                one, two = last[1], next(shingle_sets([y], n))
-                common = len(np.intersect1d(one, two, assume_unique=True))
-                linked.append(common > 0 and den * common >= num * (len(one) + len(two) - common))
+            for b, x in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                one = next(shingle_sets([x], n))
+                if b is None:
+                    head = one
+                    linked.append(False)
+                    continue
+                common = len(np.intersect1d(head, one, assume_unique=True))
+                linked.append(common > 0 and den * common >= num * (len(head) + len(one) - common))
             yield batch.select(["a", "b"]).filter(pa.array(linked, pa.bool_()))
 
-    return both.mapInArrow(compare, pairs.schema)
+    links = written(met.mapInArrow(compare, pairs.schema), "links")
+    discard(pairs, ids, texts)
+    return links
 
 
 def link_documents(df: DataFrame, *, key: str = "doc_id", text: str = "text", words: int = WORDS, num: int = NUMERATOR, den: int = DENOMINATOR) -> DataFrame:
@@ -313,7 +345,6 @@ def link_documents(df: DataFrame, *, key: str = "doc_id", text: str = "text", wo
     link with nothing.  ``key`` is an integer that no two rows share; rows without one have no component_id.
     An empty table gives no rows.
     """
-    spark = df.sparkSession
     docs = df.select(F.col(key).alias("doc"), F.col(text).cast("string").cast("binary").alias("data"))
     signed = _signatures(docs, words, num, den)
     sets = signed.where("sid IS NOT NULL AND doc IS NOT NULL")
@@ -323,39 +354,44 @@ def link_documents(df: DataFrame, *, key: str = "doc_id", text: str = "text", wo
     members = nodes.select("gid", "node")
     shared = members.join(members.groupBy("gid").agg(F.count("*").alias("k")).where("k > 1").select("gid"), "gid").select(F.col("gid").alias("list"), "node")
     listed = _lists(signed.where("doc IS NOT NULL"), num, den).join(members, "gid").select("list", "node")
-    lists = written(listed.unionByName(shared), "lists")
+    every = written(listed.unionByName(shared), "lists")
+    # near copies share many shingles: of lists of the same nodes, known by 128 bits, one is enough
+    alike = every.groupBy("list").agg(F.count("*").alias("k"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64(F.lit(7), "node")).alias("y"))
+    lists = written(every.join(alike.groupBy("k", "x", "y").agg(F.min("list").alias("list")).select("list"), "list", "left_semi"), "lists")
+    discard(every)
 
-    empty = spark.createDataFrame([], nodes.select(F.col("node").alias("a"), F.col("node").alias("b")).schema)
-    links, tried, apart = empty, empty, lists
-    labels = components(links)
+    tried, labels, apart = [], None, lists
     for _ in range(ROUNDS):
         # every node of a list that is apart from the pivots so far meets the list's next pivot
-        pivots = apart.groupBy("list").agg(F.min("node").alias("pivot"), F.max("node").alias("top")).where("pivot <> top").select("list", "pivot")
-        stars = written(apart.join(pivots, "list"), "stars")
+        pivots = apart.groupBy("list").agg(F.min("node").alias("pivot"), F.max("node").alias("top"), F.count("*").alias("k")).where("pivot <> top").select("list", "pivot", "k")
+        stars = written(join_hot(apart, written(pivots, "pivots"), ["list"], "k"), "stars")
         pairs = stars.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
-        pairs = written(pairs.join(tried, ["a", "b"], "left_anti"), "tried")
-        tried = tried.unionByName(pairs)
-        links = written(links.unionByName(_links(_near(pairs, nodes, num, den), docs, words, num, den)), "links")
-        labels = components(links)
-        left = stars.join(labels, "node", "left").withColumn("c", F.coalesce("component", "node")).select("list", "node", "pivot", "c")
-        centre = labels.select(F.col("node").alias("pivot"), F.col("component").alias("pc"))
-        apart = left.join(centre, "pivot", "left").where(F.col("c") != F.coalesce("pc", "pivot")).select("list", "node")
-        apart = written(apart, "apart")
+        for old in tried:
+            pairs = pairs.join(old, ["a", "b"], "left_anti")
+        tried.append(written(pairs, "tried"))
+        links = _links(_near(tried[-1], nodes, num, den), docs, words, num, den)
+        if links is not None:
+            labels = _grown(labels, links)
+        component = lambda x: F.col(x) if labels is None else F.coalesce(f"c_{x}", x)
+        left = stars if labels is None else stars.join(_named(labels, "node", "c_node"), "node", "left").join(_named(labels, "pivot", "c_pivot"), "pivot", "left")
+        apart = written(left.where(component("node") != component("pivot")).select("list", "node"), "apart")
+        discard(stars)
         if apart.isEmpty():
             break
+    if labels is None:
+        labels = nodes.limit(0).select("node", F.col("node").alias("component"))
     # what is left: nodes apart from all their pivots against the nodes of the list in other components
-    pairs = written(_rest(lists, labels, nodes, num, den), "rest").join(tried, ["a", "b"], "left_anti")
-    links = written(links.unionByName(_links(pairs, docs, words, num, den)), "links")
-    labels = components(links)
+    pairs = written(_rest(lists, labels, nodes, num, den), "rest")
+    for old in tried:
+        pairs = pairs.join(old, ["a", "b"], "left_anti")
+    links = _links(pairs, docs, words, num, den)
+    if links is not None:
+        labels = _grown(labels, links)
     of = nodes.join(labels, "node", "left").select("sid", F.coalesce("component", "node").alias("component"))
     found = signed.select("doc", "n", "sid").join(of, "sid", "left")
     return found.select(F.col("doc").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("doc").isNotNull(), F.coalesce("component", "doc")).alias("component_id"))
 
 
-def _named(labels: DataFrame, node: str, component: str) -> DataFrame:
-    return labels.select(F.col("node").alias(node), F.col("component").alias(component))
-
-
 def _may_link(rows: list[tuple], others: list[tuple], num: int, den: int) -> Iterator[tuple[int, int]]:
     """Pairs of nodes (node, n, c, main, bits) in different components that sizes and bitmaps allow to link."""
     by_width: dict[int, list[tuple]] = {}
