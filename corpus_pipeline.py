@@ -1,4 +1,8 @@
-"""A training corpus from ``documents``: five stages, each one operator on all that the stage before it kept."""
+"""A training corpus from ``documents``: five stages, each one operator on all that the stage before it kept.
+
+In every stage a null text is an empty one, rows that share a doc_id or have none are documents of their own, columns beyond those of
+documents are passed on whatever their names, an empty table gives an empty one, and a very long text is a document like others.
+"""
 
 from __future__ import annotations
 
@@ -11,6 +15,8 @@ from quadframe.llm.shared import scratch_path, written
 
 #: A row's own number inside a stage: doc_id may be null or repeated.
 ROW = "__row"
+#: A document that owes this share of its words to one earlier document is a copy, which the near-duplicate stage takes out as a whole.
+COPIES = 0.75
 
 
 def numbered(docs: DataFrame) -> DataFrame:
@@ -25,8 +31,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines of recurring templates go, but in the first document that has them; n_chars follows the text."""
-    kept = line_templates.drop_recurring_lines(docs)
+    """Lines of recurring templates go, but in the first document that has them and in copies of one document; n_chars follows the text."""
+    kept = line_templates.drop_recurring_lines(docs, copies=COPIES)
     return kept.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)).select(docs.columns)
 
 
