@@ -62,8 +62,8 @@ def _pack_loose(pieces: DataFrame, capacity: int, open_bins: int) -> DataFrame:
     tasks = -(-moving.count() // LOOSE_PER_TASK) or 1
 
     def pack(batches):
-        # numbers below those of the first packing's partitions
-        bins = OpenBins(capacity, open_bins, -((TaskContext.get().partitionId() + 1) << 40))
+        # numbers above those of the first packing
+        bins = OpenBins(capacity, open_bins, (1 << 62) + (TaskContext.get().partitionId() << 40))
         for b in batches:
             found = np.array([bins.place(n) for n in b.column(2).to_pylist()], np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found[:, 0]), pa.array(found[:, 1])], ["sequence_id", "offset", "to_id", "to_offset"])
@@ -80,7 +80,7 @@ def pack_tokens(df: DataFrame, tokenizer: str, *, key: str = "doc_id", text: str
     rest.  Each input partition packs its own pieces as they come, with ``open_bins`` open
     bins, so a task keeps a bounded state; the pieces are written.  The sequences that are not full, most of them open at
     the end of a partition, are then packed once more by the same rule, over all partitions and the longest pieces first, so that
-    many small partitions waste no more than a few large ones.  Sequence ids carry the partition in their upper bits, those of the second packing are negative.
+    many small partitions waste no more than a few large ones.  Sequence ids carry the partition in their upper bits, those of the second packing start at 2^62.
 
     Returns one row per piece: the key, piece, start, length, ids_crc32, sequence_id, offset,
     and the ids too when ``with_ids``.  A null or empty text is the end id alone.  Repeated rows are packed
