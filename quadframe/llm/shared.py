@@ -102,30 +102,34 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+@functools.lru_cache(4)
+def _factors(size: int, which: int) -> np.ndarray:
+    """A 64-bit factor for each place of a run, odd and without a pattern."""
+    with np.errstate(over="ignore"):
+        return mixed(np.arange(1, size + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(which)) | np.uint64(1)
+
+
 def run_hashes(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray, twice: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
     """One 64-bit hash, or two, of each run ``codes[start:end]``; runs ascend and do not overlap.
 
-    Every code is mixed with its place in its run, and a run's hash is the sum of these numbers, so unlike a polynomial
-    in a fixed base no family of texts is known that meets in it.
+    Each code is multiplied by a factor of its place in its run, and a run's hash is the sum (multilinear hashing).  The factors are
+    as random, so unlike for the powers of one base no family of texts is known that meets in it.
     """
     n = len(codes)
-    sums = np.zeros(n + 1, np.uint64)
     if not len(starts):
         return np.zeros(0, np.uint64), np.zeros(0, np.uint64) if twice else None
-    place = np.arange(n, dtype=np.uint64)
-    place[starts[0] :] -= np.repeat(starts, np.diff(np.r_[starts, n])).astype(np.uint64)
-    place <<= np.uint64(32)
-    place += codes
-    with np.errstate(over="ignore"):
-        x = mixed(place)
-        np.cumsum(x, out=sums[1:])
-        one = sums[ends] - sums[starts]
-        if not twice:
-            return one, None
-        x *= np.uint64(0xD1342543DE82EF95)
-        x ^= x >> np.uint64(32)
+    lengths = np.diff(starts, append=n)
+    place = np.zeros(n, np.int64)
+    place[starts[0] :] = np.arange(starts[0], n)
+    place[starts[0] :] -= np.repeat(starts, lengths)
+    size = 1 << max(10, int(lengths.max()).bit_length())
+    values, sums, out = codes.astype(np.uint64) + np.uint64(1), np.zeros(n + 1, np.uint64), []
+    for which in range(1 + twice):
+        x = _factors(size, which)[place]
+        x *= values
         np.cumsum(x, out=sums[1:])
-        return one, sums[ends] - sums[starts]
+        out.append(sums[ends] - sums[starts])
+    return out[0], out[1] if twice else None
 
 
 # ---------------------------------------------------------------- tokenizers
