@@ -162,7 +162,7 @@ class _Table:
     """Sorted 64-bit keys, each with 64 bits more to know it by and the ids it stands for, in a few flat arrays."""
 
     def __init__(self, dtype: np.dtype):
-        self.keys, self.checks, self.starts, self.lengths = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.keys, self.checks, self.starts, self.lengths = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int32)
         self.ids, self.used = np.zeros(1 << 16, dtype), 0
 
     def find(self, keys: np.ndarray, checks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -185,8 +185,9 @@ class _Table:
         order = np.argsort(every, kind="stable")  # two ascending runs, so a merge
         self.keys = every[order]
         self.checks = np.concatenate([self.checks, checks])[order]
-        self.starts = np.concatenate([self.starts, self.used + (np.cumsum(lengths) - lengths if starts is None else starts)])[order]
-        self.lengths = np.concatenate([self.lengths, lengths])[order]
+        places = self.used + (np.cumsum(lengths) - lengths if starts is None else starts)
+        self.starts = np.concatenate([self.starts, places.astype(np.int32)])[order]
+        self.lengths = np.concatenate([self.lengths, lengths.astype(np.int32)])[order]
         self.used += len(ids)
 
 
@@ -200,7 +201,7 @@ class PieceEncoder:
     an added token of the file, or a file with another pre-tokenizer, goes to the library whole.
     """
 
-    def __init__(self, path: str, most: int = 2_000_000):
+    def __init__(self, path: str, most: int = 1_200_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
@@ -228,7 +229,7 @@ class PieceEncoder:
     def encode(self, text: str) -> np.ndarray:
         return next(self.encode_all([text]))
 
-    def encode_all(self, texts: Iterable[str | None], most_chars: int = 1_000_000) -> Iterator[np.ndarray]:
+    def encode_all(self, texts: Iterable[str | None], most_chars: int = 500_000) -> Iterator[np.ndarray]:
         """The ids of each text, null being empty."""
         group, chars = [], 0
         for text in texts:
@@ -295,7 +296,7 @@ class PieceEncoder:
         lengths, offsets = np.zeros(len(distinct), np.int64), np.zeros(len(distinct), np.int64)
         (at, old, other), (near, new, another) = self.known.find(distinct, marks), self.newest.find(distinct, marks)
         for table, place, hit, base in ((self.known, at, old, 0), (self.newest, near, new, self.known.used)):
-            lengths[hit], offsets[hit] = table.lengths[place[hit]], table.starts[place[hit]] + base
+            lengths[hit], offsets[hit] = table.lengths[place[hit]], table.starts[place[hit]].astype(np.int64) + base
         flat = [self.known.ids[: self.known.used], self.newest.ids[: self.newest.used]]
         if len(missing := np.flatnonzero(~(old | new))):
             spans = zip(starts[example[missing]].tolist(), ends[example[missing]].tolist())
