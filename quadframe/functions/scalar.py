@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .terms import RDF, XSD, datatype, date_time, decimal, double, integer, is_literal, lang, lexical, number, numeric_rank, str_, string, strlang, time
+from .terms import RDF, XSD, datatype, date_time, decimal, double, exact_number, integer, is_literal, lang, lexical, number, numeric_rank, str_, string, strlang, time, whole_number
 
 
 def text_of(t: Column) -> Column:
@@ -107,26 +107,27 @@ def lang_matches(tag: Column, range_: str) -> Column:
 
 
 # ---------------------------------------------------------------- numbers
-def _kept(t: Column, value: Column) -> Column:
-    rank = numeric_rank(t)
-    return F.when(rank == 0, integer(value)).when(rank == 1, decimal(value.try_cast("decimal(28,9)"))).when(rank.isNotNull(), double(value))
+def _kept(t: Column, apply) -> Column:
+    """``apply`` to the value in its own type: exact for integers and decimals."""
+    rank, exact = numeric_rank(t), exact_number(t)
+    return F.when(rank == 0, integer(apply(whole_number(t)))).when(rank == 1, decimal(apply(exact))).when(rank.isNotNull(), double(apply(number(t))))
 
 
 def abs_(t: Column) -> Column:
-    return _kept(t, F.abs(number(t)))
+    return _kept(t, F.abs)
 
 
 def ceil(t: Column) -> Column:
-    return _kept(t, F.ceil(number(t)))
+    return _kept(t, F.ceil)
 
 
 def floor(t: Column) -> Column:
-    return _kept(t, F.floor(number(t)))
+    return _kept(t, F.floor)
 
 
 def round_(t: Column) -> Column:
     """ROUND: halves go up, also below zero."""
-    return _kept(t, F.floor(number(t) + 0.5))
+    return _kept(t, lambda x: F.floor(x + F.lit("0.5").cast("decimal(2,1)")))
 
 
 # ---------------------------------------------------------------- times

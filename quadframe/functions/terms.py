@@ -131,6 +131,23 @@ def number(t: Column) -> Column:
     return F.when(whole | point | float_, value)
 
 
+def whole_number(t: Column) -> Column:
+    """The value of an integer literal, up to 38 digits."""
+    return F.when(numeric_rank(t) == 0, F.trim(lexical(t)).try_cast("decimal(38,0)"))
+
+
+def exact_number(t: Column) -> Column:
+    """The value of an integer or decimal literal of up to 20 digits before the point and 18 after it."""
+    return F.when(numeric_rank(t) <= 1, F.trim(lexical(t)).try_cast("decimal(38,18)"))
+
+
+def _compared(a: Column, b: Column, test) -> Column:
+    """``test`` on two numbers: whole ones as such, exact ones as decimals, others as doubles; NaN fails it."""
+    pairs = [(f(a), f(b)) for f in (whole_number, exact_number)]
+    real = test(number(a), number(b)) & ~F.isnan(number(a)) & ~F.isnan(number(b))
+    return F.coalesce(*[F.when(x.isNotNull() & y.isNotNull(), test(x, y)) for x, y in pairs], real)
+
+
 def numeric_rank(t: Column) -> Column:
     """Place of a numeric literal's type in the order of promotion, 0 to 3; null for others."""
     local = F.regexp_extract(t, rf'"\^\^<{XSD}(\w+)>$', 1)
@@ -163,7 +180,19 @@ def equal(a: Column, b: Column) -> Column:
     plain = lambda t: datatype(t).isin(XSD + "string", RDF + "langString", XSD + "boolean")
     known = lambda t: plain(t) | number(t).isNotNull() | time(t).isNotNull()
     terms = F.when(a == b, True).when(is_literal(a) & is_literal(b) & ~(known(a) & known(b)), F.lit(None).cast("boolean")).otherwise(False)
-    return F.when(x.isNotNull() & y.isNotNull(), (x == y) & ~F.isnan(x)).when(u.isNotNull() & v.isNotNull(), u == v).when(a.isNotNull() & b.isNotNull(), terms)
+    return F.when(x.isNotNull() & y.isNotNull(), _compared(a, b, lambda m, k: m == k)).when(u.isNotNull() & v.isNotNull(), u == v).when(a.isNotNull() & b.isNotNull(), terms)
+
+
+def in_(t: Column, *options: Column) -> Column:
+    """IN: true where one option is equal, else an error where one comparison is, else false."""
+    tests = [equal(t, x) for x in options]
+    error = F.lit(False)
+    for x in tests:
+        error = error | x.isNull()
+    hit = F.lit(False)
+    for x in tests:
+        hit = hit | F.coalesce(x, F.lit(False))
+    return F.when(hit, True).when(~error, False)
 
 
 def less(a: Column, b: Column) -> Column:
@@ -171,7 +200,7 @@ def less(a: Column, b: Column) -> Column:
     x, y, u, v = number(a), number(b), time(a), time(b)
     both = lambda kind: (datatype(a) == XSD + kind) & (datatype(b) == XSD + kind)
     return (
-        F.when(x.isNotNull() & y.isNotNull(), (x < y) & ~F.isnan(x) & ~F.isnan(y))
+        F.when(x.isNotNull() & y.isNotNull(), _compared(a, b, lambda m, k: m < k))
         .when(u.isNotNull() & v.isNotNull(), u < v)
         .when(both("string"), lexical(a) < lexical(b))
         .when(both("boolean"), ~truth(a) & truth(b))
@@ -182,12 +211,13 @@ def arithmetic(op: str, a: Column, b: Column) -> Column:
     """``+ - * /`` with promotion; integers divide to a decimal; overflow and division by an exact zero are errors."""
     rank = F.greatest(numeric_rank(a), numeric_rank(b))
     both = numeric_rank(a).isNotNull() & numeric_rank(b).isNotNull()
-    exact = lambda t: lexical(t).try_cast("decimal(38,0)")
-    point = lambda t: lexical(t).try_cast("decimal(18,9)" if op in "*/" else "decimal(28,9)")
     apply = {"+": F.try_add, "-": F.try_subtract, "*": F.try_multiply, "/": F.try_divide}[op]
+    kinds = ("decimal(18,9)", "decimal(38,18)") if op in "*/" else ("decimal(37,18)",)
+    # products and quotients keep most digits after the point where both numbers are short
+    point = F.coalesce(*[apply(lexical(a).try_cast(k), lexical(b).try_cast(k)).cast("decimal(38,18)" if k == "decimal(37,18)" else "string").cast("string") for k in kinds])
     real = (number(a) / F.when(number(b) != 0, number(b))) if op == "/" else apply(number(a), number(b))
-    whole = decimal(apply(point(a), point(b))) if op == "/" else integer(apply(exact(a), exact(b)))
-    return F.when(both, F.when(rank == 0, whole).when(rank == 1, decimal(apply(point(a), point(b)))).otherwise(double(real)))
+    whole = decimal(point) if op == "/" else integer(apply(whole_number(a), whole_number(b)))
+    return F.when(both, F.when(rank == 0, whole).when(rank == 1, decimal(point)).otherwise(double(real)))
 
 
 def order_key(t: Column) -> Column:

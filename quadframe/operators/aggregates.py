@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import terms as T
 from ..functions.terms import order_key
 
 
@@ -34,6 +35,25 @@ def avg(value: Column, distinct: bool = False) -> Column:
     return _no_error(value, made, F.lit(0))
 
 
+def _typed(term: Column, whole: Column, point: Column, real: Column) -> Column:
+    """By the highest numeric type among the terms; unbound if one of them is no number; 0 for none."""
+    rank = F.max(T.numeric_rank(term))
+    made = F.when(rank == 0, whole).when(rank == 1, T.decimal(point)).otherwise(T.double(real))
+    return F.when(F.count(F.lit(1)) == 0, T.integer(F.lit(0))).when(F.count(F.lit(1)) == F.count(T.numeric_rank(term)), made)
+
+
+def sum_term(term: Column) -> Column:
+    """SUM over terms: integers stay integers, decimals exact, anything with a double is a double."""
+    exact = F.sum(T.exact_number(term).cast("decimal(28,9)"))
+    return _typed(term, T.integer(F.sum(T.whole_number(term).try_cast("decimal(28,0)"))), exact, F.sum(T.number(term)))
+
+
+def avg_term(term: Column) -> Column:
+    """AVG over terms: of integers and decimals a decimal."""
+    mean = F.avg(T.exact_number(term).cast("decimal(28,9)"))
+    return _typed(term, T.decimal(mean), mean, F.avg(T.number(term)))
+
+
 def min_(value: Column) -> Column:
     return F.min(value)
 

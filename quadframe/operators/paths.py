@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..scratch import written
+from ..scratch import discard, written
 from .solutions import union
 
 
@@ -53,16 +53,24 @@ def zero_or_one(edges: DataFrame, nodes_: DataFrame) -> DataFrame:
 def one_or_more(edges: DataFrame, starts: DataFrame | None = None) -> DataFrame:
     """Pairs connected by at least one edge; ``starts`` (column n) bounds where paths begin.
 
-    Semi-naive: each round extends only the pairs that the last one found, and its result is a
-    table in the shared folder, so a round's plan stays one join and one anti-join.
+    Without ``starts`` each round joins all pairs found so far with each other, so the rounds grow with the logarithm of the
+    longest path; with them each round extends the pairs of the last one by an edge, and no other pairs are made.
+    What is found is one table in the shared folder after each round, and the one before it goes.
     """
     edges = written(edges.select("s", "o").distinct(), "edges")
-    first = edges if starts is None else edges.join(starts.select(F.col("n").alias("s")).distinct(), "s", "left_semi")
-    found = fresh = written(first, "paths")
+    if starts is None:
+        found, known = edges, -1
+        while (now := found.count()) != known:
+            known, last = now, found
+            found = written(last.union(sequence(last, last)).distinct(), "paths")
+            if known != -1 and last is not edges:
+                discard(last)
+        return found
+    fresh = written(edges.join(starts.select(F.col("n").alias("s")).distinct(), "s", "left_semi"), "paths")
+    found = fresh
     while not fresh.isEmpty():
-        longer = sequence(fresh, edges).distinct()
-        fresh = written(longer.join(found, ["s", "o"], "left_anti"), "paths")
-        found = found.union(fresh)
+        fresh = written(sequence(fresh, edges).distinct().join(found, ["s", "o"], "left_anti"), "paths")
+        found = written(found.union(fresh), "found")
     return found
 
 

@@ -39,8 +39,14 @@ def delete_data(quads: DataFrame) -> Operation:
 
 def instantiate(solutions: DataFrame, template: Sequence[Sequence[str | None]]) -> DataFrame:
     """The quads of a template (s, p, o, g) of terms and ?variables for every solution, each once.
-    Where a variable is unbound, or a literal would be a subject or predicate, that quad is left out."""
-    cell = lambda x: F.lit(None).cast("string") if x is None else F.col(x[1:]) if x[0] == "?" else F.lit(x)
+    Where a variable is unbound, or a literal would be a subject or predicate, that quad is left out.
+    A blank node of the template is a fresh one in each solution, the same in all its quads."""
+    one = "__solution"
+    if any(x and x.startswith("_:") for quad in template for x in quad):
+        # written, so that a solution keeps its nodes however often it is read
+        solutions = written(solutions.withColumn(one, F.uuid()), "solutions")
+    fresh = lambda x: F.concat(F.lit("_:t"), F.sha1(F.concat_ws(" ", F.col(one), F.lit(x))))
+    cell = lambda x: F.lit(None).cast("string") if x is None else F.col(x[1:]) if x[0] == "?" else fresh(x) if x.startswith("_:") else F.lit(x)
     made = [F.struct(cell(g).alias("g"), cell(s).alias("s"), cell(p).alias("p"), cell(o).alias("o"), F.lit(g is not None).alias("named")) for s, p, o, g in [(*x, None)[:4] for x in template]]
     quads = solutions.select(F.explode(F.array(*made)).alias("q")).select("q.*")
     fit = F.col("s").isNotNull() & ~F.col("s").startswith('"') & F.col("p").startswith("<") & F.col("o").isNotNull() & (~F.col("named") | F.col("g").startswith("<"))
@@ -55,6 +61,23 @@ def modify(where: Callable[[Dataset], DataFrame], delete: Sequence[Sequence[str
         out = delete_data(instantiate(solutions, delete))(d) if delete else d
         return insert_data(instantiate(solutions, insert))(out) if insert else out
 
+    apply.reads = True
+    return apply
+
+
+def reads(operation: Operation) -> bool:
+    """Whether an operation looks at what is there: a WHERE, or the source of a copy."""
+    return getattr(operation, "reads", False)
+
+
+def silenced(operation: Operation, kinds: Sequence[str]) -> Operation:
+    """The operation with its CLEAR, DROP or CREATE made SILENT."""
+    return operation.silenced(kinds) if hasattr(operation, "silenced") else operation
+
+
+def _loud(apply: Operation, kind: str, quiet: Operation | None) -> Operation:
+    if quiet is not None:
+        apply.silenced = lambda kinds: quiet if kind in kinds else apply
     return apply
 
 
@@ -74,7 +97,7 @@ def clear(target: str, silent: bool = False) -> Operation:
         _must_exist(d, target, silent)
         return Dataset(d.quads.where(~_target(target)), d.graphs)
 
-    return apply
+    return _loud(apply, "clear", None if silent else clear(target, True))
 
 
 def drop(target: str, silent: bool = False) -> Operation:
@@ -82,7 +105,7 @@ def drop(target: str, silent: bool = False) -> Operation:
         _must_exist(d, target, silent)
         return Dataset(d.quads.where(~_target(target)), d.graphs.where(~_target(target)))
 
-    return apply
+    return _loud(apply, "drop", None if silent else drop(target, True))
 
 
 def create(graph: str, silent: bool = False) -> Operation:
@@ -92,7 +115,7 @@ def create(graph: str, silent: bool = False) -> Operation:
         one = d.graphs.sparkSession.createDataFrame([(graph,)], "g string")
         return Dataset(d.quads, d.graphs.select("g").union(one).distinct())
 
-    return apply
+    return _loud(apply, "create", None if silent else create(graph, True))
 
 
 def _transfer(source: str, target: str, silent: bool, replace: bool, remove: bool) -> Operation:
@@ -107,6 +130,7 @@ def _transfer(source: str, target: str, silent: bool, replace: bool, remove: boo
         out = out if target == "DEFAULT" else create(target, silent=True)(out)
         return drop(source, silent=True)(out) if remove else out
 
+    apply.reads = True
     return apply
 
 
@@ -130,6 +154,8 @@ def chain(*operations: Operation) -> Operation:
             d = operation(d)
         return d
 
+    apply.reads = any(map(reads, operations))
+    apply.silenced = lambda kinds: chain(*[silenced(x, kinds) for x in operations])
     return apply
 
 
@@ -140,21 +166,27 @@ class Receipt:
     removed: int | None = None
 
 
-def update(d: Dataset, operation: Operation, capability: Capability, reads: bool = True) -> tuple[Dataset, Receipt]:
-    """An update of the whole dataset; one that reads (has a WHERE) needs the read grant too."""
-    capability.require("write", *(["read"] if reads else []))
+def update(d: Dataset, operation: Operation, capability: Capability) -> tuple[Dataset, Receipt]:
+    """An update of the whole dataset; one that reads needs the read grant too.
+
+    For a caller without it CLEAR, DROP and CREATE are SILENT: a refusal would tell whether a graph exists.
+    """
+    capability.require("write", *(["read"] if reads(operation) else []))
+    if not capability.allows("read"):
+        operation = silenced(operation, ("clear", "drop", "create"))
     return operation(d), Receipt("updated")
 
 
-def confined_update(d: Dataset, operation: Operation, capability: Capability, graph: str, reads: bool = True, most: int = MAX_SCOPED_QUADS) -> tuple[Dataset, Receipt]:
+def confined_update(d: Dataset, operation: Operation, capability: Capability, graph: str, most: int = MAX_SCOPED_QUADS) -> tuple[Dataset, Receipt]:
     """An update that may change one graph and see no other.
 
-    It runs on that graph alone; an effect on any other graph, quads or registration, refuses the whole.
-    Counts are told only to who may read the graph.
+    It runs on that graph alone; an effect on any other graph, quads or registration, refuses the whole.  CLEAR and DROP of
+    another graph find nothing there and change nothing.  Counts are told only to who may read the graph, and for others CREATE is SILENT.
     """
     (iri,) = graph_set(graph)
-    capability.require(f"write:graph:{iri}", *([f"read:graph:{iri}"] if reads else []))
+    capability.require(f"write:graph:{iri}", *([f"read:graph:{iri}"] if reads(operation) else []))
     term, reader = f"<{iri}>", capability.allows(f"read:graph:{iri}")
+    operation = silenced(operation, ("clear", "drop") if reader else ("clear", "drop", "create"))
     own = written(d.graph(term).select(*QUAD), "scope")
     if own.limit(most + 1).count() > most:
         raise OverBudget(f"refused: the graph holds more than {most} quads, the bound of a scoped update")

@@ -102,17 +102,42 @@ def test_confined_updates(spark):
     add = updates.insert_data(quads(spark, ("<urn:a>", "<urn:t>", P, '"n"')))
     after, receipt = updates.confined_update(d, add, reader, "urn:a")
     assert receipt.text == "updated urn:a: +1 -0 quads" and after.quads.count() == 3
-    assert updates.confined_update(d, add, writer, "urn:a", reads=False)[1].text == "updated urn:a"
+    assert updates.confined_update(d, add, writer, "urn:a")[1].text == "updated urn:a"
     # CLEAR ALL is confined to the graph
     assert rows(updates.confined_update(d, updates.clear("ALL"), reader, "urn:a")[0].quads) == [("<urn:b>", "<urn:s>", P, '"y"')]
     with pytest.raises(Denied):
         updates.confined_update(d, updates.insert_data(quads(spark, ("<urn:b>", "<urn:t>", P, '"n"'))), reader, "urn:a")
-    with pytest.raises(Denied):
-        updates.confined_update(d, add, writer, "urn:a")
+    # a WHERE needs the read grant, whoever calls; CLEAR and DROP of another graph change nothing
+    look = updates.modify(lambda x: patterns.match(x.named(), "?s", P, "?o"), [("?s", P, "?o", "<urn:a>")])
+    for operation in (look, updates.chain(add, look)):
+        with pytest.raises(Denied):
+            updates.confined_update(d, operation, writer, "urn:a")
+        with pytest.raises(Denied):
+            updates.update(d, operation, datasets.Capability.of("write"))
+    for operation in (updates.drop("<urn:b>"), updates.clear("<urn:b>"), updates.chain(updates.drop("<urn:b>"), updates.clear("<urn:zz>"))):
+        assert updates.confined_update(d, operation, reader, "urn:a")[1].text == "updated urn:a: +0 -0 quads"
+    for operation in (updates.drop("<urn:zz>"), updates.clear("<urn:zz>"), updates.create("<urn:a>")):
+        assert rows(updates.update(d, operation, datasets.Capability.of("write"))[0].quads) == rows(d.quads)
+        with pytest.raises(Refused):
+            updates.update(d, operation, datasets.ROOT)
     with pytest.raises(OverBudget):
         updates.confined_update(d, add, reader, "urn:a", most=0)
 
 
+def test_blank_nodes_of_a_template_are_fresh(spark):
+    found = S.values(spark, ["x"], [("<urn:a>",), ("<urn:b>",), ("<urn:b>",)])
+    made = rows(updates.instantiate(found, [("?x", P, "_:n"), ("_:n", Q, "?x"), ("_:n", Q, "_:m")]))
+    nodes = {o for _, s, p, o in made if p == P}
+    assert len(nodes) == 3 and {(s, o) for _, s, p, o in made if p == P} == {(o, s) for _, s, p, o in made if p == Q and o.startswith("<")}
+    assert len({o for _, s, p, o in made if o.startswith("_:") and p == Q}) == 3
+
+
+def test_long_paths(spark):
+    edges = spark.createDataFrame([(node(i), node(i + 1)) for i in range(70)], "s string, o string")
+    assert paths.one_or_more(edges).count() == 70 * 71 // 2
+    assert paths.one_or_more(edges.limit(0)).collect() == []
+
+
 TEXT = """# comment
 <urn:s> <urn:p> "a\\tb \\u00e9 \\"q\\""@EN .
 _:x <urn:p> "01"^^<http://www.w3.org/2001/XMLSchema#integer> <urn:g> .
