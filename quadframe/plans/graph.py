@@ -301,3 +301,77 @@ def dump_lines(t: Tables) -> DataFrame:
 @query(f"SELECT g, count(*) AS quads FROM ({QUADS}) GROUP BY g")
 def fingerprint_counts(t: Tables) -> DataFrame:
     return D.fingerprint(dataset(t)).select("g", "quads")
+
+
+# ---------------------------------------------------------------- larger tables
+_INT = "'\"' || (%s) || '\"^^<http://www.w3.org/2001/XMLSchema#integer>'"
+_BIG = "CAST(9007199254740992 AS HUGEINT) * 1000 + o_orderkey"
+
+
+@query(f"SELECT o_orderkey AS k, {_INT % _BIG} AS big, {_INT % (_BIG + ' + 1')} AS next, true AS below, false AS same, {_INT % _BIG} AS size FROM orders")
+def fn_numeric_large(t: Tables) -> DataFrame:
+    x = t.star("orders", k="o_orderkey")
+    big = T.integer(F.lit("9007199254740992000").cast("decimal(38,0)") + C("k"))
+    x = x.select("k", big.alias("big")).withColumn("next", T.arithmetic("+", C("big"), T.integer(F.lit(1))))
+    minus = T.arithmetic("-", T.integer(F.lit(0)), C("big"))
+    return x.select("k", "big", "next", T.less(C("big"), C("next")).alias("below"), T.equal(C("big"), C("next")).alias("same"), scalar.abs_(minus).alias("size"))
+
+
+@query(
+    """SELECT '<urn:x:head>' AS s, '<urn:x:next>' AS p, '_:n' || min(o_orderkey) AS o FROM orders WHERE o_orderkey <= 12
+UNION ALL SELECT '_:n' || o_orderkey, '<urn:x:next>', '_:n' || lead(o_orderkey) OVER (ORDER BY o_orderkey) FROM orders WHERE o_orderkey <= 12 QUALIFY lead(o_orderkey) OVER (ORDER BY o_orderkey) IS NOT NULL
+UNION ALL SELECT '_:n' || o_orderkey, '<urn:x:status>', '"' || o_orderstatus || '"' FROM orders WHERE o_orderkey <= 12"""
+)
+def describe_chain(t: Tables) -> DataFrame:
+    """A list of blank nodes, one per order up to 12, is described from its head."""
+    x = t.star("orders", k="o_orderkey", status="o_orderstatus")
+    rows = x.where(C("k") <= 12)
+    blank = lambda c: F.concat(F.lit("_:n"), c.cast("string"))
+    following = rows.select(C("k").alias("j")).join(rows.select("k"), C("j") > C("k")).groupBy("k").agg(F.min("j").alias("j"))
+    none = F.lit(None).cast("string")
+    head = rows.agg(F.min("k").alias("k")).select(none.alias("g"), F.lit("<urn:x:head>").alias("s"), F.lit("<urn:x:next>").alias("p"), blank(C("k")).alias("o"))
+    chain = following.select(none.alias("g"), blank(C("k")).alias("s"), F.lit("<urn:x:next>").alias("p"), blank(C("j")).alias("o"))
+    # all orders have a status, only those of the list are described
+    states = x.select(none.alias("g"), blank(C("k")).alias("s"), F.lit("<urn:x:status>").alias("p"), T.string(C("status")).alias("o"))
+    return R.describe(head.unionByName(chain).unionByName(states), t.spark.createDataFrame([("<urn:x:head>",)], "n string"))
+
+
+@query("SELECT count(*) AS quads, count(*) // 2 AS nodes FROM (SELECT o_orderkey FROM orders UNION ALL SELECT o_orderkey FROM orders)")
+def update_bnode_template(t: Tables) -> DataFrame:
+    """INSERT with a blank node per order: two quads of each node, and as many nodes as orders."""
+    empty = D.Dataset.of(t.quads("region").limit(0))
+    rows = lambda d: t.star("orders", k="o_orderkey").select(T.integer(C("k")).alias("k"))
+    made = U.modify(rows, insert=[("_:n", "<urn:x:key>", "?k"), ("_:n", "<urn:x:kind>", '"order"')])(empty).quads
+    return made.agg(F.count("*").alias("quads"), F.countDistinct("s").alias("nodes"))
+
+
+@query(f"SELECT o_orderstatus AS status, {_INT % 'sum(o_custkey)'} AS total, {_INT % 'count(*)'} AS n FROM orders GROUP BY 1")
+def group_sum_terms(t: Tables) -> DataFrame:
+    x = t.star("orders", status="o_orderstatus", c="o_custkey").select("status", T.integer(C("c")).alias("c"))
+    return A.group(x, ["status"], total=A.sum_term(C("c")), n=T.integer(A.count_all()))
+
+
+@query("SELECT o_orderkey AS k, o_orderstatus IN ('F', 'P') AS inside, o_custkey IN (1, 2, 3) AS few FROM orders")
+def in_terms(t: Tables) -> DataFrame:
+    x = t.star("orders", k="o_orderkey", status="o_orderstatus", c="o_custkey").select("k", T.string(C("status")).alias("s"), T.integer(C("c")).alias("c"))
+    return x.select("k", T.in_(C("s"), F.lit('"F"'), F.lit('"P"')).alias("inside"), T.in_(C("c"), *[T.decimal(F.lit(i).cast("decimal(3,1)")) for i in (1, 2, 3)]).alias("few"))
+
+
+@query(
+    """SELECT p_partkey AS k, '"' || lower(p_name) || '"@en' AS low, ends_with(p_brand, '3') AS tail, contains(p_name, 'a') AS has, '"' || CASE WHEN contains(p_brand, '#') THEN substring(p_brand, instr(p_brand, '#') + 1) ELSE '' END || '"' AS after,
+regexp_matches(p_type, '^[A-M]', '') AS early, '"' || regexp_replace(p_brand, '[0-9]', 'x', 'g') || '"' AS masked, '"en"' AS tag, true AS english, false AS numeric, '"' || replace(p_brand, '#', '%23') || '"' AS code FROM part"""
+)
+def fn_string_more(t: Tables) -> DataFrame:
+    x = t.star("part", k="p_partkey", name="p_name", brand="p_brand", type="p_type")
+    x = x.select("k", T.strlang(C("name"), F.lit("en")).alias("name"), T.string(C("brand")).alias("brand"), T.string(C("type")).alias("type"))
+    return x.select(
+        "k", scalar.lcase(C("name")).alias("low"), scalar.strends(C("brand"), F.lit('"3"')).alias("tail"), scalar.contains(C("name"), F.lit('"a"')).alias("has"), scalar.strafter(C("brand"), F.lit('"#"')).alias("after"),
+        scalar.regex(C("type"), "^[A-M]").alias("early"), scalar.replace(C("brand"), "[0-9]", "x").alias("masked"), scalar.lang_term(C("name")).alias("tag"),
+        scalar.lang_matches(T.lang(C("name")), "en").alias("english"), scalar.is_numeric(C("brand")).alias("numeric"), scalar.encode_for_uri(C("brand")).alias("code"),
+    )
+
+
+@query(f"SELECT event_id AS e, {_INT % 'minute(ts)'} AS m, '\"PT0S\"^^<http://www.w3.org/2001/XMLSchema#dayTimeDuration>' AS zone FROM events")
+def fn_time_more(t: Tables) -> DataFrame:
+    x = t.star("events", e="event_id", ts="ts").select("e", T.date_time(C("ts")).alias("ts"))
+    return x.select("e", scalar.time_part(C("ts"), "minutes").alias("m"), scalar.timezone(C("ts")).alias("zone"))

@@ -81,3 +81,25 @@ def test_fresh_values(spark):
     found = df.collect()
     assert len({r.u for r in found} | {r.b for r in found} | {r.l for r in found}) == 9
     assert all(r.l == r.m and 0 <= r.r < 1 for r in found) and len({r.t for r in found}) == 1
+
+
+def test_large_and_exact_numbers(spark):
+    a, b = F.col("c0"), F.col("c1")
+    big = [typed(str(2**53 + 1), "integer"), typed(str(2**53), "integer")]
+    assert values(spark, [T.equal(a, b), T.less(b, a), T.less(a, b)], *big) == [False, True, False]
+    assert values(spark, [scalar.abs_(a), scalar.ceil(a)], typed("-12345678901234567890", "integer")) == [typed("12345678901234567890", "integer"), typed("-12345678901234567890", "integer")]
+    assert values(spark, [T.arithmetic("/", a, b)], typed("3000000000", "integer"), typed("2", "integer")) == [typed("1500000000.0", "decimal")]
+    assert values(spark, [T.arithmetic("*", a, b), T.arithmetic("+", a, b)], typed("1234567890.5", "decimal"), typed("2.0", "decimal")) == [typed("2469135781.0", "decimal"), typed("1234567892.5", "decimal")]
+    assert values(spark, [T.in_(a, F.lit(typed("1.0", "decimal"))), T.in_(a, F.lit('"x"^^<urn:t>')), T.in_(a, F.lit('"x"^^<urn:t>'), b)], typed("1", "integer"), typed("1", "integer")) == [True, None, True]
+
+
+def test_sums_and_means_of_terms(spark):
+    from quadframe.operators import aggregates as A
+
+    def of(*terms):
+        return tuple(spark.createDataFrame([(t,) for t in terms], "t string").agg(A.sum_term(F.col("t")), A.avg_term(F.col("t"))).first())
+
+    assert of(typed("1", "integer"), typed("2", "integer")) == (typed("3", "integer"), typed("1.5", "decimal"))
+    assert of(typed("1", "integer"), typed("2.5", "decimal")) == (typed("3.5", "decimal"), typed("1.75", "decimal"))
+    assert of(typed("1", "integer"), typed("2.5", "double"))[0] == typed("3.5", "double")
+    assert of(typed("1", "integer"), '"x"') == of(typed("1", "integer"), None) == (None, None) and of() == (typed("0", "integer"),) * 2
