@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 from functools import reduce
+from itertools import product
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -27,17 +28,34 @@ def _compatible(names: Sequence[str], maybe: Iterable[str]) -> Column:
     return reduce(lambda x, y: x & y, parts, F.lit(True))
 
 
+def _cases(names: Sequence[str], maybe: Iterable[str]) -> list[tuple[list[str], list[str], list[str]]]:
+    """Disjoint ways to be compatible: the variables that both sides bind alike, that the left side leaves unbound, and that only the right side does."""
+    loose = [c for c in names if c in maybe]
+    fixed = [c for c in names if c not in maybe]
+    return [(fixed + [c for c, w in zip(loose, way) if w == 0], *([c for c, w in zip(loose, way) if w == k] for k in (1, 2))) for way in product(range(3), repeat=len(loose))]
+
+
+def _both(parts: Iterable[Column]) -> Column:
+    return reduce(lambda x, y: x & y, parts, F.lit(True))
+
+
 def _merged(df: DataFrame, a: DataFrame, b: DataFrame, names: Sequence[str], maybe: Iterable[str]) -> DataFrame:
     own = [F.coalesce(F.col(c), F.col(f"__{c}")).alias(c) if c in names and c in maybe else F.col(c) for c in a.columns]
     return df.select(*own, *[c for c in b.columns if c not in names])
 
 
 def join(a: DataFrame, b: DataFrame, maybe: Iterable[str] = ()) -> DataFrame:
-    """Compatible solutions merged."""
-    names = shared(a, b)
-    if not set(maybe) & set(names):
+    """Compatible solutions merged: an equi-join for each way in which variables of ``maybe`` are bound or not."""
+    names, maybe = shared(a, b), set(maybe)
+    if not maybe & set(names):
         return a.join(b, names) if names else a.crossJoin(b)
-    return _merged(a.join(_apart(b, names), _compatible(names, maybe)), a, b, names, maybe)
+    right, met = _apart(b, names), []
+    for same, left_free, right_free in _cases(names, maybe):
+        some = a.where(_both([*(F.col(c).isNull() for c in left_free), *(F.col(c).isNotNull() for c in right_free)]))
+        other = right.where(_both(F.col(f"__{c}").isNull() for c in right_free))
+        on = [F.col(c) == F.col(f"__{c}") for c in same]
+        met.append(_merged(some.join(other, _both(on)) if on else some.crossJoin(other), a, b, names, maybe))
+    return reduce(DataFrame.unionByName, met)
 
 
 def left_join(a: DataFrame, b: DataFrame, condition: Column | None = None, maybe: Iterable[str] = ()) -> DataFrame:
@@ -52,8 +70,12 @@ def minus(a: DataFrame, b: DataFrame, maybe: Iterable[str] = ()) -> DataFrame:
     names = shared(a, b)
     if not names:
         return a
-    overlap = reduce(lambda x, y: x | y, [F.col(c).isNotNull() & F.col(f"__{c}").isNotNull() for c in names])
-    return a.join(_apart(b.select(*names), names), _compatible(names, maybe) & overlap, "left_anti")
+    right = _apart(b.select(*names).distinct(), names)
+    for same, left_free, right_free in _cases(names, set(maybe)):
+        if same:
+            other = right.where(_both(F.col(f"__{c}").isNull() for c in right_free))
+            a = a.join(other, _both([*(F.col(c) == F.col(f"__{c}") for c in same), *(F.col(c).isNull() for c in left_free)]), "left_anti")
+    return a
 
 
 def exists(a: DataFrame, b: DataFrame, condition: Column | None = None, negated: bool = False, maybe: Iterable[str] = ()) -> DataFrame:

@@ -230,3 +230,23 @@ def test_load_and_info(spark):
         datasets.graph_info(after, datasets.Capability.of("read"), "urn:a")
     with pytest.raises(Denied):
         updates.load(d, more, datasets.Capability.of("read"))
+
+
+def test_joins_on_unbound_variables_by_plain_versions(spark):
+    left = [(x, y, f"{x}{y}") for x in (None, "1", "2") for y in (None, "1", "3")]
+    right = [(x, y, f"{x}{y}") for x in (None, "1", "3") for y in (None, "1", "2")]
+    a = spark.createDataFrame(left, "x string, y string, p string")
+    b = spark.createDataFrame(right, "x string, y string, q string")
+
+    def fits(r, s):
+        return all(u is None or v is None or u == v for u, v in zip(r[:2], s[:2]))
+
+    def overlaps(r, s):
+        return any(u is not None and v is not None for u, v in zip(r[:2], s[:2]))
+
+    met = {(r[0] or s[0], r[1] or s[1], r[2], s[2]) for r in left for s in right if fits(r, s)}
+    found = [tuple(r) for r in S.join(a, b, ["x", "y"]).select("x", "y", "p", "q").collect()]
+    assert len(found) == len(met) and set(found) == met
+    few = right[4:6]
+    kept = {r for r in left if not any(fits(r, s) and overlaps(r, s) for s in few)}
+    assert {tuple(r) for r in S.minus(a, spark.createDataFrame(few, b.schema), ["x", "y"]).collect()} == kept
