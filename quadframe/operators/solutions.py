@@ -45,17 +45,25 @@ def _merged(df: DataFrame, a: DataFrame, b: DataFrame, names: Sequence[str], may
 
 
 def join(a: DataFrame, b: DataFrame, maybe: Iterable[str] = ()) -> DataFrame:
-    """Compatible solutions merged: an equi-join for each way in which variables of ``maybe`` are bound or not."""
+    """Compatible solutions merged.
+
+    With ``maybe``, one equi-join: each row comes once for every set of those k variables that the other side may bind
+    (2^k times), and meets the rows that bind just that set on the variables that both bind.
+    """
     names, maybe = shared(a, b), set(maybe)
     if not maybe & set(names):
         return a.join(b, names) if names else a.crossJoin(b)
-    right, met = _apart(b, names), []
-    for same, left_free, right_free in _cases(names, maybe):
-        some = a.where(_both([*(F.col(c).isNull() for c in left_free), *(F.col(c).isNotNull() for c in right_free)]))
-        other = right.where(_both(F.col(f"__{c}").isNull() for c in right_free))
-        on = [F.col(c) == F.col(f"__{c}") for c in same]
-        met.append(_merged(some.join(other, _both(on)) if on else some.crossJoin(other), a, b, names, maybe))
-    return reduce(DataFrame.unionByName, met)
+    loose = [c for c in names if c in maybe]
+
+    def faced(df: DataFrame, at: str, own: str, other: str) -> DataFrame:
+        bound = reduce(lambda x, y: x + y, [F.when(F.col(f"{at}{c}").isNotNull(), 1 << i).otherwise(0) for i, c in enumerate(loose)])
+        ways = df.withColumn(own, bound).withColumn(other, F.explode(F.array(*map(F.lit, range(1 << len(loose))))))
+        return ways.withColumns({f"{own}_{c}": F.when(F.col(own).bitwiseAND(F.col(other)).bitwiseAND(1 << i) != 0, F.col(f"{at}{c}")) for i, c in enumerate(loose)})
+
+    left = faced(a, "", "__a", "__of_b")
+    right = faced(_apart(b, names), "__", "__b", "__of_a")
+    on = [F.col("__a") == F.col("__of_a"), F.col("__b") == F.col("__of_b"), *(F.col(c) == F.col(f"__{c}") for c in names if c not in maybe)]
+    return _merged(left.join(right, _both([*on, *(F.col(f"__a_{c}").eqNullSafe(F.col(f"__b_{c}")) for c in loose)])), a, b, names, maybe)
 
 
 def left_join(a: DataFrame, b: DataFrame, condition: Column | None = None, maybe: Iterable[str] = ()) -> DataFrame:
