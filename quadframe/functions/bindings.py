@@ -14,6 +14,8 @@ from .terms import XSD
 
 _TAG = re.compile(r"[A-Za-z]{1,8}(-[A-Za-z0-9]{1,8})*\Z")
 _NAME = re.compile(r"[A-Za-z0-9_]+\Z")
+_TERM = re.compile(r'<(?P<iri>[^>]*)>\Z|"(?P<text>(?:[^"\\]|\\.)*)"(?:@(?P<lang>[A-Za-z0-9-]+)|\^\^<(?P<kind>[^>]*)>)?\Z', re.S)
+_ESCAPE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\(.)", re.S)
 _BAD_IRI = re.compile(r'[\x00-\x20<>"{}|\\^`]')
 
 
@@ -23,6 +25,10 @@ def _quoted(text: str) -> str:
     return f'"{text}"'
 
 
+def _unescape(m: re.Match) -> str:
+    return {"n": "\n", "r": "\r", "t": "\t", "b": "\b", "f": "\f"}.get(m[3], m[3]) if m[3] else chr(int(m[1] or m[2], 16))
+
+
 def iri(text: str) -> str:
     if _BAD_IRI.search(text) or ":" not in text:
         raise InvalidArgument("bindings", "a value is no absolute IRI")
@@ -65,6 +71,21 @@ def parse_bindings(text: str) -> dict[str, str]:
     return {k: term(v) for k, v in found.items()}
 
 
+def bindings_json(bindings: Mapping[str, str]) -> str:
+    """Terms by name as the text that ``parse_bindings`` reads; a blank node is refused, as it names nothing outside."""
+    made = {}
+    for name, t in bindings.items():
+        found = _TERM.match(t)
+        if not _NAME.match(name) or not found:
+            raise InvalidArgument("bindings", f"?{name} is neither an IRI nor a literal")
+        if found["iri"] is not None:
+            made[name] = {"type": "uri", "value": found["iri"]}
+        else:
+            more = {"xml:lang": found["lang"], "datatype": found["kind"]}
+            made[name] = {"type": "literal", "value": _ESCAPE.sub(_unescape, found["text"])} | {k: v for k, v in more.items() if v is not None}
+    return json.dumps(made, ensure_ascii=False)
+
+
 def substitute(solutions: DataFrame, bindings: Mapping[str, str]) -> DataFrame:
     """Solutions in which the bound variables have their values; a name that is not in scope is refused."""
     for name, value in bindings.items():

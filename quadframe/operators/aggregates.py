@@ -42,15 +42,24 @@ def _typed(term: Column, whole: Column, point: Column, real: Column) -> Column:
     return F.when(F.count(F.lit(1)) == 0, T.integer(F.lit(0))).when(F.count(F.lit(1)) == F.count(T.numeric_rank(term)), made)
 
 
+def _whole_sum(value: Column) -> Column:
+    """The sum, unbound if a value or the sum does not fit."""
+    return F.when(F.count(value) == F.sum(F.lit(1)), F.try_sum(value))
+
+
 def sum_term(term: Column) -> Column:
-    """SUM over terms: integers stay integers, decimals exact, anything with a double is a double."""
-    exact = F.sum(T.exact_number(term).cast("decimal(28,9)"))
-    return _typed(term, T.integer(F.sum(T.whole_number(term).try_cast("decimal(28,0)"))), exact, F.sum(T.number(term)))
+    """SUM over terms: integers stay integers, decimals exact, anything with a double is a double.
+
+    Integers have at most 28 digits and decimals 19 and 9; beyond that the sum is unbound, never short of a value.
+    """
+    exact = _whole_sum(T.exact_number(term).try_cast("decimal(28,9)"))
+    return _typed(term, T.integer(_whole_sum(T.whole_number(term).try_cast("decimal(28,0)"))), exact, F.sum(T.number(term)))
 
 
 def avg_term(term: Column) -> Column:
-    """AVG over terms: of integers and decimals a decimal."""
-    mean = F.avg(T.exact_number(term).cast("decimal(28,9)"))
+    """AVG over terms: of integers and decimals a decimal, within ``sum_term``'s digits."""
+    value = T.exact_number(term).try_cast("decimal(28,9)")
+    mean = F.when(F.count(value) == F.sum(F.lit(1)), F.try_avg(value))
     return _typed(term, T.decimal(mean), mean, F.avg(T.number(term)))
 
 

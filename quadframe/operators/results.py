@@ -124,8 +124,21 @@ def _ntriples(names, rows):
         yield " ".join(row) + " .\n"
 
 
+def _turtle(names, rows):
+    """Turtle with full IRIs: statements that follow each other and share subject, or subject and predicate, are one group."""
+    last = None
+    for s, p, o in rows:
+        if last is None or last[0] != s:
+            yield ("" if last is None else " .\n") + f"{s} {p} {o}"
+        else:
+            yield f", {o}" if last[1] == p else f" ;\n    {p} {o}"
+        last = s, p
+    if last is not None:
+        yield " .\n"
+
+
 SELECT_FORMATS = {"application/sparql-results+json": _json, "application/sparql-results+xml": _xml, "text/csv": _csv, "text/tab-separated-values": _tsv}
-GRAPH_FORMATS = {"application/n-triples": _ntriples}
+GRAPH_FORMATS = {"application/n-triples": _ntriples, "text/turtle": _turtle}
 
 
 def serialize(df: DataFrame, as_: str, capability: Capability, max_rows: int | None = None, max_bytes: int | None = None, graph: bool = False) -> str:

@@ -89,6 +89,39 @@ def optional_unbound_join(t: Tables) -> DataFrame:
     return S.join(marked, names, maybe=["q"]).select("d", C("kept").alias("q"), "m")
 
 
+_GRADES = "(SELECT doc_id, quality FROM documents LEFT JOIN labels USING (doc_id)) x"
+_MARKS = "(VALUES (0, 'low'), (2, 'high'), (NULL, 'any')) v(q, m)"
+
+
+def _graded(t: Tables) -> tuple[DataFrame, DataFrame]:
+    docs = S.left_join(t.star("documents", d="doc_id"), t.star("labels", d="doc_id", q="quality"))
+    return docs, S.values(t.spark, ["q", "m"], [(0, "low"), (2, "high"), (None, "any")], ["int", "string"])
+
+
+@query(f"SELECT doc_id AS d, coalesce(quality, v.q) AS q, m FROM {_GRADES} LEFT JOIN {_MARKS} ON (quality IS NULL OR v.q IS NULL OR quality = v.q) AND (m <> 'any' OR doc_id % 3 = 0)")
+def optional_on_unbound(t: Tables) -> DataFrame:
+    docs, marks = _graded(t)
+    return S.left_join(docs, marks, (C("m") != "any") | (C("d") % 3 == 0), ["q"])
+
+
+@query(f"SELECT doc_id AS d, quality AS q FROM {_GRADES} WHERE NOT EXISTS (SELECT 1 FROM {_MARKS} WHERE m <> 'any' AND (quality IS NULL OR v.q IS NULL OR quality = v.q))")
+def not_exists_on_unbound(t: Tables) -> DataFrame:
+    docs, marks = _graded(t)
+    return S.exists(docs, marks.where(C("m") != "any"), negated=True, maybe=["q"])
+
+
+@query(f"SELECT doc_id AS d, quality AS q, EXISTS (SELECT 1 FROM {_MARKS} WHERE m = 'low' AND (quality IS NULL OR quality = v.q)) AS low FROM {_GRADES}")
+def exists_on_unbound_as_value(t: Tables) -> DataFrame:
+    docs, marks = _graded(t)
+    return S.mark_exists(docs, marks.where(C("m") == "low").select("q"), "low", ["q"])
+
+
+@query("SELECT c_custkey AS c, c_mktsegment AS m, count(o_orderkey) AS orders, max(o_totalprice) AS most FROM customer LEFT JOIN orders ON c_custkey = o_custkey AND o_orderstatus = 'O' GROUP BY 1, 2")
+def lateral_aggregates(t: Tables) -> DataFrame:
+    own = t.star("orders", c="o_custkey", price="o_totalprice", status="o_orderstatus").where(C("status") == "O").select("c", "price")
+    return S.lateral_group(t.star("customer", c="c_custkey", m="c_mktsegment"), own, {"orders": F.lit(0)}, orders=F.count("*"), most=F.max("price"))
+
+
 @query("SELECT c_nationkey AS n FROM customer UNION ALL SELECT s_nationkey FROM supplier")
 def union(t: Tables) -> DataFrame:
     return S.union(t.star("customer", n="c_nationkey"), t.star("supplier", n="s_nationkey"))

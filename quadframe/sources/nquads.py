@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from ..errors import OverBudget
 from ..functions import terms as T
 
 _IRI = r"<[^\x00-\x20<>\"{}|^`\\]*>"
@@ -53,8 +54,25 @@ def parse_lines(lines: DataFrame, *, line: str = "value", graph: str | None = No
     return found.select(F.when(F.col("g") == "", default).otherwise(node(F.col("g"))).alias("g"), "s", "p", canonical(node(F.col("o"))).alias("o"))
 
 
-def read_nquads(spark: SparkSession, path: str, *, graph: str | None = None, document: str = "") -> DataFrame:
-    """Distinct quads of an N-Triples or N-Quads file or folder."""
+def text_bytes(spark: SparkSession, path: str) -> tuple[int, int]:
+    """Bytes of the files of a path, and of the lines that they expand to."""
+    stored = spark.read.format("binaryFile").load(path).select("length")  # the contents are not read
+    lines = spark.read.text(path).select(F.octet_length("value").cast("long") + 1)
+    return tuple(df.toDF("n").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] for df in (stored, lines))
+
+
+def read_nquads(spark: SparkSession, path: str, *, graph: str | None = None, document: str = "", max_bytes: int | None = None, max_ratio: int | None = None) -> DataFrame:
+    """Distinct quads of an N-Triples or N-Quads file or folder.
+
+    ``max_bytes`` bounds the text as read, that is unpacked, and ``max_ratio`` how many times the stored bytes it may
+    be; more is refused before a quad is made.  Either costs one more scan of the text.
+    """
+    if max_bytes is not None or max_ratio is not None:
+        stored, size = text_bytes(spark, path)
+        if max_bytes is not None and size > max_bytes:
+            raise OverBudget(f"refused: the text has more than {max_bytes} bytes")
+        if max_ratio is not None and size > max_ratio * max(stored, 1) + 1:
+            raise OverBudget(f"refused: the text is more than {max_ratio} times its files")
     return parse_lines(spark.read.text(path), graph=graph, document=document).distinct()
 
 

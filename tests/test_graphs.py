@@ -1,5 +1,6 @@
 """Patterns, paths, datasets, updates, formats and budgets on small graphs."""
 
+import gzip
 import json
 import random
 import time
@@ -250,3 +251,49 @@ def test_joins_on_unbound_variables_by_plain_versions(spark):
     few = right[4:6]
     kept = {r for r in left if not any(fits(r, s) and overlaps(r, s) for s in few)}
     assert {tuple(r) for r in S.minus(a, spark.createDataFrame(few, b.schema), ["x", "y"]).collect()} == kept
+    for some in (right, few, []):
+        other = spark.createDataFrame(some, b.schema)
+        for condition, holds in ((None, lambda r, s: True), (F.col("q") != "NoneNone", lambda r, s: s[2] != "NoneNone")):
+            hit = [(r, [s for s in some if fits(r, s) and holds(r, s)]) for r in left]
+            optional = [(r[0] or s[0], r[1] or s[1], r[2], s[2]) for r, found in hit for s in found] + [(*r, None) for r, found in hit if not found]
+            assert rows(S.left_join(a, other, condition, ["x", "y"]).select("x", "y", "p", "q")) == sorted(optional, key=str)
+            for negated in (False, True):
+                assert rows(S.exists(a, other, condition, negated, ["x", "y"])) == sorted((r for r, found in hit if bool(found) != negated), key=str)
+        assert rows(S.mark_exists(a, other, "e", ["x", "y"])) == sorted(((*r, any(fits(r, s) for s in some)) for r in left), key=str)
+
+
+def test_optional_on_unbound_variables_has_no_nested_loop(spark):
+    a = spark.createDataFrame([("1", None, "p")], "x string, y string, p string")
+    b = spark.createDataFrame([("1", "2", "q")], "x string, y string, q string")
+    for df in (S.left_join(a, b, F.col("p") != F.col("q"), ["y"]), S.exists(a, b, maybe=["y"]), S.mark_exists(a, b, "e", ["y"])):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_lateral_group(spark):
+    left = S.values(spark, ["x", "n"], [("a", "1"), ("a", "2"), ("b", "1"), (None, "1")])
+    right = spark.createDataFrame([("a", 1), ("a", 5), ("c", 7)], "x string, v int")
+    found = S.lateral_group(left, right, {"n2": F.lit(0)}, n2=F.count("*"), top=F.max("v"))
+    assert rows(found) == sorted([("a", "1", 2, 5), ("a", "2", 2, 5), ("b", "1", 0, None), (None, "1", 0, None)], key=str)
+
+
+def test_turtle_reads_back(spark):
+    triples = [("<urn:a>", P, '"x"'), ("<urn:a>", P, '"y"@en'), ("<urn:a>", Q, "_:b"), ("_:b", P, '"z"')]
+    df = spark.createDataFrame(triples, "s string, p string, o string").coalesce(1)
+    text = results.serialize(df, "text/turtle", datasets.ROOT, graph=True)
+    assert text == f'<urn:a> {P} "x", "y"@en ;\n    {Q} _:b .\n_:b {P} "z" .\n'
+    assert results.serialize(df.limit(0), "text/turtle", datasets.ROOT, graph=True) == ""
+
+
+def test_load_bounds(spark, tmp_path):
+    line = f'<urn:a> {P} "{"x" * 1000}" .\n'
+    (tmp_path / "plain.nt").write_text(line)
+    with gzip.open(tmp_path / "packed.nt.gz", "wt") as f:
+        f.write(line * 2000)
+    plain, packed = str(tmp_path / "plain.nt"), str(tmp_path / "packed.nt.gz")
+    assert nquads.text_bytes(spark, plain) == (len(line), len(line))
+    assert nquads.read_nquads(spark, plain, max_bytes=len(line), max_ratio=1).count() == 1
+    assert nquads.read_nquads(spark, packed, max_bytes=len(line) * 2000).count() == 1
+    for path, bounds in ((plain, {"max_bytes": len(line) - 1}), (packed, {"max_bytes": len(line)}), (packed, {"max_ratio": 50})):
+        with pytest.raises(OverBudget):
+            nquads.read_nquads(spark, path, **bounds)
