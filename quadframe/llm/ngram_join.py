@@ -422,14 +422,17 @@ def _rest(lists: DataFrame, labels: DataFrame, nodes: DataFrame, num: int, den:
     """
     named = written(lists.join(_named(labels, "node", "component"), "node", "left").select("list", "node", F.coalesce("component", "node").alias("c")), "named")
     sizes = named.groupBy("list", "c").agg(F.count("*").alias("k"))
-    mixed = sizes.groupBy("list").agg(F.max(F.struct("k", "c")).alias("main"), F.count("*").alias("cs"), F.sum("k").alias("k")).where("cs > 1").select("list", "k", F.col("main.c").alias("m"), F.ceil(F.col("k") / BLOCK).alias("blocks"))
-    few = named.join(mixed.where(F.col("k") <= SMALL).select("list", "m"), "list")
+    lists_of = sizes.groupBy("list").agg(F.max(F.struct("k", "c")).alias("main"), F.count("*").alias("cs"), F.sum("k").alias("k")).select("list", "k", F.col("k").alias("rows"), "cs", F.col("main.c").alias("m"), F.ceil(F.col("k") / BLOCK).alias("blocks"))
+    # of all lists, as a hot one of a single component is left out where its rows are
+    mixed = written(join_hot(named, written(lists_of, "list_sizes"), ["list"], "rows").where("cs > 1").drop("cs"), "mixed")
+    discard(named)
+    few = mixed.where(F.col("k") <= SMALL)
     apart = few.where("c <> m").select("list", "node", "c")
     every = few.select("list", F.col("node").alias("other"), F.col("c").alias("oc"), "m")
     # a pair of two nodes apart is met from its smaller one alone
     met = apart.join(every, "list").where("c <> oc AND (oc = m OR node < other)")
     small = _near(met.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct(), nodes, num, den)
-    rows = named.join(mixed.where(F.col("k") > SMALL), "list").select("list", "node", "c", (F.col("c") == F.col("m")).alias("main"), F.pmod(F.xxhash64("node"), F.col("blocks")).alias("block"))
+    rows = mixed.where(F.col("k") > SMALL).select("list", "node", "c", (F.col("c") == F.col("m")).alias("main"), F.pmod(F.xxhash64("node"), F.col("blocks")).alias("block"))
     rows = rows.join(nodes.select("node", "n", "bits"), "node")
     packed = written(rows.groupBy("list", "block").agg(F.collect_list(F.struct("node", "n", "c", "main", "bits")).alias("rows"), F.min("main").alias("all_main")), "blocks")
     one, two = (packed.select("list", F.col("block").alias(f"block_{x}"), F.col("rows").alias(f"rows_{x}"), F.col("all_main").alias(f"main_{x}")) for x in "ab")
