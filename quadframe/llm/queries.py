@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, language_id, line_templates, link_filter, media_columns, mixing, ngram_join, packing, revisits, token_store
+from . import code_books, fingerprints, language_id, line_templates, link_filter, media_columns, mixing, ngram_join, packing, revisits, stable_projection, token_store, weighted_lloyd
 from .shared import scratch_path
 
 
@@ -78,6 +78,18 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.link_documents(table(spark, sf_dir, "documents"))
 
 
+def op11_weighted_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weighted_lloyd.cluster_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op12_stable_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stable_projection.nearest(table(spark, sf_dir, "embeddings"))
+
+
+def op13_yinyang_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return code_books.compress(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_order_minhash": op1_order_minhash,
     "op2_token_store": op2_token_store,
@@ -90,6 +102,9 @@ QUERIES = {
     "op8_link_propagation": op8_link_propagation,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_ngram_join": op10_ngram_join,
+    "op11_weighted_lloyd": op11_weighted_lloyd,
+    "op12_stable_projection": op12_stable_projection,
+    "op13_yinyang_codes": op13_yinyang_codes,
 }
 
 ORACLE: dict[str, str] = {
@@ -97,4 +112,6 @@ ORACLE: dict[str, str] = {
     "op5_revisit_resolution": revisits.site_oracle(),
     "revisits_of_own_pages": revisits.oracle(),
     "op8_link_propagation": link_filter.oracle(),
+    "op11_weighted_lloyd": weighted_lloyd.oracle(),
+    "op13_yinyang_codes": code_books.oracle(),
 }
