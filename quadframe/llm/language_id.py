@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Mapping
 
 import pyarrow as pa
@@ -19,7 +18,6 @@ SAMPLE_DOCUMENTS, SAMPLE_BYTES, DOCUMENT_BYTES = 512, 112_000, 2_000
 BLOCK, LEVEL, MARGIN = 4096, 6, 0.002
 #: What follows every block: digits in a row, so that zstandard never leaves a block as it is for being short.
 TAIL = b"0123456789" * 26
-_LETTER = re.compile(r"[^\W\d_]")
 
 
 def in_fold(key: Column, folds: int = 4, fold: int = 2) -> Column:
@@ -77,7 +75,7 @@ class Identifier:
     def predict(self, text: str | None) -> tuple[str, float]:
         """(language, margin): ``und`` and 0 for no letters; the margin is 1 - smallest / second smallest size.
         Of equal sizes the language that came first in training wins."""
-        if not text or not _LETTER.search(text) or not self.languages:
+        if not text or not any(map(str.isalpha, text)) or not self.languages:
             return "und", 0.0
         order = sorted((n, i) for i, n in enumerate(self.sizes(text)))
         margin = 1 - order[0][0] / order[1][0] if len(order) > 1 else 1.0
@@ -88,7 +86,7 @@ def identify(df: DataFrame, dictionaries: Mapping[str, bytes], *, text: str = "t
     """Add lang_pred, score and rejected to every row of ``df``.
 
     Whole texts are compressed, in blocks, so a long text is judged like a short one and a task
-    holds one block.  ``score`` is the margin; a row is rejected when it has no letters (null
+    holds one block.  ``score`` is the margin; a row is rejected when it has no letters (characters of the Unicode category L; null
     texts too) or its margin is under ``margin``.  Columns of these names are replaced, all others kept; repeated rows are judged
     alike, and an empty table gives no rows.
     """

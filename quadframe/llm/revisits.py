@@ -35,7 +35,8 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
     ``records`` has record_id, url, ts, kind (``response`` or ``revisit``), status, etag,
     last_modified, digest and headers (map of lower-case names).  Full responses are those of kind response
     with status 200; one at the same time is not earlier; of several at one time the largest
-    record_id counts.  The validators are compared in turn: the revisit's etag (weakly), else its last_modified,
+    record_id counts, then the largest etag, last_modified, digest and headers.  A repeated response is one; a repeated
+    revisit is a row of its own.  The validators are compared in turn: the revisit's etag (weakly), else its last_modified,
     else its digest; without any it is ``unchecked``.  outcome is resolved, unchecked, mismatch, or unresolved (no
     earlier response, null url or time).
 
@@ -50,16 +51,16 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
     full = (F.col("kind") == "response") & (F.col("status") == 200) & F.col("ts").isNotNull() & F.col("canonical").isNotNull()
     rows = kept.where(F.col("kind").isNotNull()).withColumn("span", range_of(F.col("ts"), cuts)).withColumn("is_full", F.coalesce(full, F.lit(False)))
     response = F.when(F.col("is_full"), F.struct("ts", "record_id", "etag", "last_modified", "digest", "headers"))
-    rows = rows.where(F.col("is_full") | (F.col("kind") == "revisit")).withColumn("response", response)
+    # every field takes part, so that of responses alike in time and record_id the same one is the latest however rows are dealt
+    order = F.when(F.col("is_full"), F.struct("ts", "record_id", "etag", "last_modified", "digest", F.array_sort(F.map_entries("headers")).alias("entries")))
+    rows = rows.where(F.col("is_full") | (F.col("kind") == "revisit")).withColumns({"response": response, "order": order})
     # a null URL has no response to meet, and must not meet in one task
     apart = F.coalesce(F.col("canonical"), F.concat(F.lit("\0"), F.col("record_id").cast("string")))
     rows = rows.withColumn("apart", apart)
-    inside = Window.partitionBy("apart", "span").orderBy("ts", "is_full", "record_id").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("apart", "span").orderBy("ts", "is_full", "order").rowsBetween(Window.unboundedPreceding, -1)
     near = rows.withColumn("near", F.last("response", ignorenulls=True).over(inside)).where(F.col("kind") == "revisit")
-    # at most one row per URL and range
-    spans = rows.groupBy("apart", "span").agg(F.max(F.when(F.col("is_full"), F.struct("ts", "record_id"))).alias("last"))
-    latest = rows.where("is_full").select("apart", "span", F.struct("ts", "record_id").alias("last"), "response")
-    ends = spans.join(latest, ["apart", "span", "last"], "left")
+    # one row per URL and range, however often a response is repeated
+    ends = rows.groupBy("apart", "span").agg(F.max_by("response", "order").alias("response"))
     carried = ends.withColumn("far", F.last("response", ignorenulls=True).over(Window.partitionBy("apart").orderBy("span").rowsBetween(Window.unboundedPreceding, -1))).select("apart", "span", "far")
     found = near.join(carried, ["apart", "span"], "left").withColumn("r", F.coalesce("near", "far")).withColumn("r", F.when(F.col("ts").isNotNull(), F.col("r")))
     same = F.when(F.col("etag").isNotNull(), F.coalesce(_strong(F.col("etag")) == _strong(F.col("r.etag")), F.lit(False)))

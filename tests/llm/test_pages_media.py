@@ -221,6 +221,23 @@ def test_revisits_of_a_hot_url_by_brute_force(spark):
             assert found[r[0]] == (max(earlier)[1] if earlier else None)
 
 
+@pytest.mark.parametrize("parts", ["1", "4", "16"])
+def test_repeated_responses_are_one(spark, parts):
+    response = (1, "http://x.test/", 10, "response", 200, "v1", None, "d", {"a": "1"}, "")
+    other = (1, "http://x.test/", 10, "response", 200, "v1", None, "e", {"a": "2"}, "")
+    revisit = (2, "http://x.test/", 20, "revisit", 304, "v1", None, None, None, "")
+    later = [(i, "http://x.test/", 20 + i, "revisit", 304, "v1", None, None, None, "") for i in range(3, 40)]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        found = revisits.resolve_revisits(spark.createDataFrame([response, response, other, response, revisit, revisit, *later], SCHEMA).repartition(3)).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert sorted(r.record_id for r in found) == [2, 2, *range(3, 40)]
+    # of responses alike in time and record_id the largest of all fields counts
+    assert {(r.outcome, r.response_id, r.digest, r.headers["a"]) for r in found} == {("resolved", 1, "e", "2")}
+
+
 def test_queries_equal_sql_on_odd_pages(spark, tmp_path):
     pages_of(spark).select(F.monotonically_increasing_id().alias("page_id"), "url", "html").coalesce(1).write.parquet(str(tmp_path / "pages.parquet"))
     con = duckdb.connect()

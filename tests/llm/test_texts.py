@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import unicodedata
 from collections import Counter, defaultdict
 
 import duckdb
@@ -159,6 +160,29 @@ def test_several_templates_of_one_leaf(spark):
     assert dropped[20:] == [0] * 5 + [0, 1, 0, 0] and found[26].text == "two"
 
 
+@pytest.mark.parametrize("rare", [1, 2, 3])
+def test_rare_fillers_join_a_recurring_template(spark, rare):
+    """Lines with a filler of their own are lines of the recurring template of their leaf; three of them are a template themselves, whose first line stays."""
+    base = "the big red car stops near {} often"
+    other = "the big red house {} beside the river"
+    texts = [base.format("walls")] * 5 + [base.format(f"gates{'x' * i}") for i in range(rare)]
+    texts += [other.format("stands")] * 3 + [other.format("leans"), "the big red car flies over every green hill", "the big red car stops near walls"]
+    found = {r.doc_id: r.n_dropped for r in line_templates.drop_recurring_lines(frame(spark, texts)).collect()}
+    assert [found[i] for i in range(len(texts))] == [0, *[1] * 4, *([1] * rare if rare < 3 else [0, 1, 1]), 0, 1, 1, 1, 0, 0]
+
+
+def test_the_most_alike_template_takes_a_line(spark):
+    a, b = ("we saw one small bird on the {} roof today again".format(x) for x in ("old", "new"))
+    near_b = b.replace("today", "tonight")
+    texts = [a] * 4 + [b] * 3 + [near_b]
+    df = frame(spark, texts)
+    found = {r.doc_id: r.n_dropped for r in line_templates.drop_recurring_lines(df).collect()}
+    con = duckdb.connect()
+    con.register("documents", df.select("doc_id", "text").toPandas())
+    assert con.execute(f"SELECT doc_id, n_dropped FROM ({line_templates.oracle('doc_id, n_dropped')}) ORDER BY doc_id").fetchall() == sorted(found.items())
+    assert found[7] == 1
+
+
 def test_lines_of_copies_are_left_to_document_dedup(spark):
     own = ["\n".join(f"{'abcdefgh'[d]}{'ijklmn'[i]} line of some length here {'abcdefgh'[d]}" for i in range(6)) for d in range(3)]
     shared = "a line that all of them share"
@@ -235,6 +259,13 @@ def test_language_without_training(spark):
     assert language_id.identify(df.limit(0), {"en": b"the"}).collect() == []
 
 
+@pytest.mark.parametrize("text, letter", [("½ ² ①", False), ("Ⅷ", False), ("12 _ -", False), ("", False), (None, False), ("ª", True), ("7 ж", True), ("你", True), ("ʰ", True), ("\u0301", False)])
+def test_letters_are_of_category_l(text, letter):
+    assert any(unicodedata.category(c).startswith("L") for c in text or "") == letter
+    found = language_id.Identifier({"en": b"the and of to in that", "fr": b"le la et les des en"}).predict(text)
+    assert (found == ("und", 0.0)) != letter
+
+
 # ---------------------------------------------------------------- mixing
 def plain_sainte_lague(votes, seats, most):
     won = [0] * len(votes)
@@ -282,6 +313,47 @@ def test_mix(spark):
     assert [r.taken for r in mixing.mix_sources(frame(spark, [None, ""])).collect()] == [0, 0]
 
 
+def plain_mix_words(docs, seed=42):
+    """The mix word by word: docs are (doc_id, size, source, hash, shard hash)."""
+    names = sorted({d[2] for d in docs if d[2] is not None}) + [None] * any(d[2] is None for d in docs)
+    sizes = [sum(d[1] for d in docs if d[2] == x) for x in names]
+    goal = mixing.targets(sizes, [(5, 2, 1)[i % 3] for i in range(len(names))])
+    block = max(1, min([64, *(n // 128 for n in sizes if n)]))
+    shards: dict = defaultdict(list)
+    for s, x in enumerate(names):
+        rows = sum(d[2] == x for d in docs)
+        n = max(1, min(-(-rows // mixing.SHARD_ROWS), mixing.SHARDS * rows // max(1, len(docs))))
+        for d in docs:
+            if d[2] == x:
+                shards[s, d[4] % n].append(d)
+    words = {at: [d[0] for d in sorted(own, key=lambda d: (d[3], d[0], d[1])) for _ in range(d[1])] for at, own in shards.items()}
+    blocks = {at: -(-len(w) // block) for at, w in words.items()}
+    most = [2 * sum(n for (s, _), n in blocks.items() if s == i) for i in range(len(names))]
+    quota, rng, taken = plain_sainte_lague(goal, round(sum(goal) / block), most), np.random.default_rng(seed), Counter()
+    for s in range(len(names)):
+        own = sorted(x for i, x in words if i == s)
+        won = plain_sainte_lague([len(words[s, x]) for x in own], quota[s], [2 * blocks[s, x] for x in own])
+        for x, seats in zip(own, won):
+            n = blocks[s, x]
+            first = int(rng.integers(n)) if n else 0
+            for i in range(seats):  # block after block, round and round
+                b = (first + i) % n
+                taken.update(words[s, x][b * block : (b + 1) * block])
+    return taken
+
+
+def test_mix_word_by_word(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SHARD_ROWS", 60)
+    rng = random.Random(16)
+    texts = ["w " * rng.choice([0, 1, 7, 40, 300]) for _ in range(500)] + ["x " * 3000]
+    sources = [rng.choice(["b", "b", "b", "a", "c", None]) for _ in texts]
+    df = frame(spark, texts, sources=sources)
+    hashed = df.select("doc_id", F.xxhash64(F.col("doc_id").cast("string"), F.lit(42)).alias("h")).select("doc_id", "h", F.xxhash64("h", F.lit(43)).alias("x")).collect()
+    want = plain_mix_words([(r.doc_id, len(texts[r.doc_id].split()), sources[r.doc_id], r.h, r.x) for r in hashed])
+    found = {r.doc_id: r.taken for r in mixing.mix_sources(df).collect()}
+    assert found == {i: want[i] for i in range(len(texts))} and len(set(found.values())) > 15
+
+
 # ---------------------------------------------------------------- n-grams
 def plain_components(texts):
     sets = {}
