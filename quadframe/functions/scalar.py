@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .terms import RDF, XSD, datatype, date_time, decimal, double, exact_number, integer, is_literal, lang, lexical, number, numeric_rank, str_, string, strlang, time, whole_number
+from . import exact
+from .terms import RDF, XSD, datatype, date_time, decimal, double, integer, is_literal, kept, lang, lexical, number, str_, string, strlang, time
 
 
 def text_of(t: Column) -> Column:
@@ -107,27 +108,21 @@ def lang_matches(tag: Column, range_: str) -> Column:
 
 
 # ---------------------------------------------------------------- numbers
-def _kept(t: Column, apply) -> Column:
-    """``apply`` to the value in its own type: exact for integers and decimals."""
-    rank, exact = numeric_rank(t), exact_number(t)
-    return F.when(rank == 0, integer(apply(whole_number(t)))).when(rank == 1, decimal(apply(exact))).when(rank.isNotNull(), double(apply(number(t))))
-
-
 def abs_(t: Column) -> Column:
-    return _kept(t, F.abs)
+    return kept(t, exact.absolute, F.abs)
 
 
 def ceil(t: Column) -> Column:
-    return _kept(t, F.ceil)
+    return kept(t, exact.ceil, F.ceil)
 
 
 def floor(t: Column) -> Column:
-    return _kept(t, F.floor)
+    return kept(t, exact.floor, F.floor)
 
 
 def round_(t: Column) -> Column:
     """ROUND: halves go up, also below zero."""
-    return _kept(t, lambda x: F.floor(x + F.lit("0.5").cast("decimal(2,1)")))
+    return kept(t, exact.round_, lambda x: F.floor(x + 0.5))
 
 
 # ---------------------------------------------------------------- times

@@ -8,9 +8,13 @@ is null, which is SPARQL's unbound.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import exact
+
 XSD = "http://www.w3.org/2001/XMLSchema#"
 RDF = "http://www.w3.org/1999/02/22-rdf-syntax-ns#"
 #: The numeric datatypes of XML Schema that SPARQL computes with, in order of promotion.
@@ -62,7 +66,12 @@ def strlang(text: Column, tag: Column) -> Column:
 
 
 def integer(value: Column) -> Column:
-    return F.concat(F.lit('"'), value.cast("decimal(38,0)").cast("string"), F.lit(f'"^^<{XSD}integer>'))
+    return integer_text(value.cast("decimal(38,0)").cast("string"))
+
+
+def integer_text(text: Column) -> Column:
+    """An integer of canonical text."""
+    return F.concat(F.lit('"'), text, F.lit(f'"^^<{XSD}integer>'))
 
 
 def boolean(value: Column) -> Column:
@@ -70,10 +79,12 @@ def boolean(value: Column) -> Column:
 
 
 def decimal(value: Column) -> Column:
-    """Canonical: no needless zeros, at least one digit on each side of the point."""
-    text = F.regexp_replace(F.regexp_replace(value.cast("string"), r"(\.\d*?)0+$", "$1"), r"\.$", ".0")
-    text = F.when(text.contains("."), text).otherwise(F.concat(text, F.lit(".0")))
-    return F.concat(F.lit('"'), text, F.lit(f'"^^<{XSD}decimal>'))
+    return decimal_text(exact.plain(value.cast("string")))
+
+
+def decimal_text(text: Column) -> Column:
+    """A decimal of canonical text: at least one digit on each side of the point."""
+    return F.concat(F.lit('"'), F.when(text.contains("."), text).otherwise(F.concat(text, F.lit(".0"))), F.lit(f'"^^<{XSD}decimal>'))
 
 
 def double(value: Column) -> Column:
@@ -120,41 +131,39 @@ def datatype(t: Column) -> Column:
     return F.when(is_literal(t), F.when(own != "", own).when(lang(t) != "", RDF + "langString").otherwise(XSD + "string"))
 
 
+_WHOLE, _POINT, _REAL = r"^[+-]?\d+$", r"^[+-]?(\d+\.?\d*|\.\d+)$", r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$|^[+-]?INF$|^NaN$"
+
+
+def numeric_rank(t: Column) -> Column:
+    """Place of a numeric literal's type in the order of promotion, 0 to 3; null for others and for ill-typed ones."""
+    local, text = F.regexp_extract(t, rf'"\^\^<{XSD}(\w+)>$', 1), F.trim(lexical(t))
+    rank = F.when(local.isin(*INTEGERS), F.when(text.rlike(_WHOLE), 0)).when(local == "decimal", F.when(text.rlike(_POINT), 1))
+    for i, name in enumerate(NUMERIC[2:], 2):
+        rank = rank.when(local == name, F.when(text.rlike(_REAL), i))
+    return rank
+
+
 def number(t: Column) -> Column:
     """The value of a numeric literal as a double, null for anything else or an ill-typed one."""
-    local = F.regexp_extract(t, rf'"\^\^<{XSD}(\w+)>$', 1)
     text = F.trim(lexical(t))
-    whole = local.isin(*INTEGERS) & text.rlike(r"^[+-]?\d+$")
-    point = (local == "decimal") & text.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)$")
-    float_ = local.isin("float", "double") & text.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$|^[+-]?INF$|^NaN$")
     value = F.when(text.isin("INF", "+INF"), F.lit(float("inf"))).when(text == "-INF", F.lit(float("-inf"))).otherwise(text.try_cast("double"))
-    return F.when(whole | point | float_, value)
-
-
-def whole_number(t: Column) -> Column:
-    """The value of an integer literal, up to 38 digits."""
-    return F.when(numeric_rank(t) == 0, F.trim(lexical(t)).try_cast("decimal(38,0)"))
+    return F.when(numeric_rank(t).isNotNull(), value)
 
 
-def exact_number(t: Column) -> Column:
-    """The value of an integer or decimal literal of up to 20 digits before the point and 18 after it."""
-    return F.when(numeric_rank(t) <= 1, F.trim(lexical(t)).try_cast("decimal(38,18)"))
+def exact_text(t: Column) -> Column:
+    """The text of an integer or decimal literal, of any length."""
+    return F.when(numeric_rank(t) <= 1, F.trim(lexical(t)))
 
 
-def _compared(a: Column, b: Column, test) -> Column:
-    """``test`` on two numbers: whole ones as such, exact ones as decimals, others as doubles; NaN fails it."""
-    pairs = [(f(a), f(b)) for f in (whole_number, exact_number)]
-    real = test(number(a), number(b)) & ~F.isnan(number(a)) & ~F.isnan(number(b))
-    return F.coalesce(*[F.when(x.isNotNull() & y.isNotNull(), test(x, y)) for x, y in pairs], real)
+def _numeric(t: Column) -> Column:
+    """rank, text and double of a numeric literal: what the functions on numbers need, computed once."""
 
+    def made(x: Column) -> Column:
+        text = F.when(x["rank"].isNotNull(), x["text"])
+        real = F.when(text.isin("INF", "+INF"), F.lit(float("inf"))).when(text == "-INF", F.lit(float("-inf"))).otherwise(text.try_cast("double"))
+        return F.struct(x["rank"].alias("rank"), text.alias("text"), real.alias("real"))
 
-def numeric_rank(t: Column) -> Column:
-    """Place of a numeric literal's type in the order of promotion, 0 to 3; null for others."""
-    local = F.regexp_extract(t, rf'"\^\^<{XSD}(\w+)>$', 1)
-    rank = F.when(local.isin(*INTEGERS), 0)
-    for i, name in enumerate(NUMERIC[1:], 1):
-        rank = rank.when(local == name, i)
-    return F.when(number(t).isNotNull(), rank)
+    return exact.once(lambda x: exact.once(made)(F.struct(numeric_rank(x).alias("rank"), F.trim(lexical(x)).alias("text"))))(t)
 
 
 def time(t: Column) -> Column:
@@ -173,58 +182,97 @@ def same_term(a: Column, b: Column) -> Column:
     return a == b
 
 
+def _parsed(t: Column) -> Column:
+    """What comparisons need of a term, computed once."""
+    made = lambda x, kind, n: F.struct(x.alias("term"), kind.alias("kind"), lexical(x).alias("text"), n["rank"].alias("rank"), n["text"].alias("digits"), n["real"].alias("real"), F.when(kind == XSD + "dateTime", time(x)).alias("time"))
+    return exact.once(lambda x: exact.once(made)(x, datatype(x), _numeric(x)))(t)
+
+
+def _compared(x: Column, y: Column, test: Callable[[Column, Column], Column]) -> Column:
+    """``test`` on two numbers: exact ones by keys of all their digits, others as doubles; NaN fails it."""
+    real = test(x["real"], y["real"]) & ~F.isnan(x["real"]) & ~F.isnan(y["real"])
+    return F.when((x["rank"] <= 1) & (y["rank"] <= 1), test(exact.order_key(x["digits"]), exact.order_key(y["digits"]))).otherwise(real)
+
+
+def _equal(x: Column, y: Column) -> Column:
+    known = lambda t: t["kind"].isin(XSD + "string", RDF + "langString", XSD + "boolean") | t["rank"].isNotNull() | t["time"].isNotNull()
+    literals = x["kind"].isNotNull() & y["kind"].isNotNull()
+    terms = F.when(x["term"] == y["term"], True).when(literals & ~(known(x) & known(y)), F.lit(None).cast("boolean")).otherwise(False)
+    both = lambda name: x[name].isNotNull() & y[name].isNotNull()
+    return F.when(both("rank"), _compared(x, y, lambda m, k: m == k)).when(both("time"), x["time"] == y["time"]).when(both("term"), terms)
+
+
 def equal(a: Column, b: Column) -> Column:
     """``=``: numbers and times by value, NaN equal to nothing; other terms as terms, and two
     literals of unlike unknown datatypes are an error."""
-    x, y, u, v = number(a), number(b), time(a), time(b)
-    plain = lambda t: datatype(t).isin(XSD + "string", RDF + "langString", XSD + "boolean")
-    known = lambda t: plain(t) | number(t).isNotNull() | time(t).isNotNull()
-    terms = F.when(a == b, True).when(is_literal(a) & is_literal(b) & ~(known(a) & known(b)), F.lit(None).cast("boolean")).otherwise(False)
-    return F.when(x.isNotNull() & y.isNotNull(), _compared(a, b, lambda m, k: m == k)).when(u.isNotNull() & v.isNotNull(), u == v).when(a.isNotNull() & b.isNotNull(), terms)
+    return exact.once(_equal)(_parsed(a), _parsed(b))
 
 
 def in_(t: Column, *options: Column) -> Column:
     """IN: true where one option is equal, else an error where one comparison is, else false."""
-    tests = [equal(t, x) for x in options]
-    error = F.lit(False)
-    for x in tests:
-        error = error | x.isNull()
-    hit = F.lit(False)
-    for x in tests:
-        hit = hit | F.coalesce(x, F.lit(False))
-    return F.when(hit, True).when(~error, False)
+
+    def made(tests: Column) -> Column:
+        hit, error = F.exists(tests, lambda x: F.coalesce(x, F.lit(False))), F.exists(tests, lambda x: x.isNull())
+        return F.when(hit, True).when(~error, False)
+
+    tests = lambda x: F.transform(F.array(*[_parsed(o) for o in options]), lambda y: _equal(x, y))
+    return exact.once(lambda x: exact.once(made)(tests(x)))(_parsed(t))
 
 
 def less(a: Column, b: Column) -> Column:
     """``<``: two numbers, times, simple literals or booleans; anything else is an error."""
-    x, y, u, v = number(a), number(b), time(a), time(b)
-    both = lambda kind: (datatype(a) == XSD + kind) & (datatype(b) == XSD + kind)
-    return (
-        F.when(x.isNotNull() & y.isNotNull(), _compared(a, b, lambda m, k: m < k))
-        .when(u.isNotNull() & v.isNotNull(), u < v)
-        .when(both("string"), lexical(a) < lexical(b))
-        .when(both("boolean"), ~truth(a) & truth(b))
-    )
+
+    def made(x: Column, y: Column) -> Column:
+        both = lambda name: (x["kind"] == XSD + name) & (y["kind"] == XSD + name)
+        true = lambda t: t["text"].isin("true", "1")
+        flag = lambda t: t["text"].isin("true", "1", "false", "0")
+        return (
+            F.when(x["rank"].isNotNull() & y["rank"].isNotNull(), _compared(x, y, lambda m, k: m < k))
+            .when(x["time"].isNotNull() & y["time"].isNotNull(), x["time"] < y["time"])
+            .when(both("string"), x["text"] < y["text"])
+            .when(both("boolean") & flag(x) & flag(y), ~true(x) & true(y))
+        )
+
+    return exact.once(made)(_parsed(a), _parsed(b))
 
 
 def arithmetic(op: str, a: Column, b: Column) -> Column:
-    """``+ - * /`` with promotion; integers divide to a decimal; overflow and division by an exact zero are errors."""
-    rank = F.greatest(numeric_rank(a), numeric_rank(b))
-    both = numeric_rank(a).isNotNull() & numeric_rank(b).isNotNull()
-    apply = {"+": F.try_add, "-": F.try_subtract, "*": F.try_multiply, "/": F.try_divide}[op]
-    kinds = ("decimal(18,9)", "decimal(38,18)") if op in "*/" else ("decimal(37,18)",)
-    # products and quotients keep most digits after the point where both numbers are short
-    point = F.coalesce(*[apply(lexical(a).try_cast(k), lexical(b).try_cast(k)).cast("decimal(38,18)" if k == "decimal(37,18)" else "string").cast("string") for k in kinds])
-    real = (number(a) / F.when(number(b) != 0, number(b))) if op == "/" else apply(number(a), number(b))
-    whole = decimal(point) if op == "/" else integer(apply(whole_number(a), whole_number(b)))
-    return F.when(both, F.when(rank == 0, whole).when(rank == 1, decimal(point)).otherwise(double(real)))
+    """``+ - * /`` with promotion: exact for integers and decimals, which divide to a decimal of 18 places; division by an exact zero is an error."""
+
+    def made(x: Column, y: Column) -> Column:
+        rank = F.greatest(x["rank"], y["rank"])
+        text = {"+": exact.add, "-": exact.subtract, "*": exact.multiply, "/": exact.divide}[op](x["text"], y["text"])
+        apply = {"+": F.try_add, "-": F.try_subtract, "*": F.try_multiply, "/": F.try_divide}[op]
+        real = (x["real"] / F.when(y["real"] != 0, y["real"])) if op == "/" else apply(x["real"], y["real"])
+        exactly = exact.once(lambda made, rank: F.when(rank == 0, (decimal_text if op == "/" else integer_text)(made)).otherwise(decimal_text(made)))
+        return F.when(x["rank"].isNotNull() & y["rank"].isNotNull(), F.when(rank <= 1, exactly(text, rank)).otherwise(double(real)))
+
+    return exact.once(made)(_numeric(a), _numeric(b))
+
+
+def minus(t: Column) -> Column:
+    """Unary ``-``."""
+    return kept(t, exact.negate, lambda x: -x)
+
+
+def kept(t: Column, of_text: Callable[[Column], Column], of_double: Callable[[Column], Column]) -> Column:
+    """A function of a number in its own type: exact for integers and decimals of any length."""
+
+    def made(x: Column) -> Column:
+        exactly = exact.once(lambda text, rank: F.when(rank == 0, integer_text(text)).otherwise(decimal_text(text)))
+        return F.when(x["rank"] <= 1, exactly(of_text(x["text"]), x["rank"])).when(x["rank"].isNotNull(), double(of_double(x["real"])))
+
+    return exact.once(made)(_numeric(t))
 
 
 def order_key(t: Column) -> Column:
-    """ORDER BY: unbound, blank nodes, IRIs, literals; numbers by value, then times, then text."""
+    """ORDER BY: unbound, blank nodes, IRIs, literals; numbers by value, then times, then text.
+
+    The doubles next to two exact numbers never order them the wrong way, and where these are equal all their digits decide.
+    """
     kind = F.when(t.isNull(), 0).when(is_blank(t), 1).when(is_iri(t), 2).otherwise(3)
     group = F.when(number(t).isNotNull(), 0).when(time(t).isNotNull(), 1).otherwise(2)
-    return F.struct(kind.alias("kind"), group.alias("group"), number(t).alias("number"), time(t).alias("time"), str_(t).alias("text"), t.alias("term"))
+    return F.struct(kind.alias("kind"), group.alias("group"), number(t).alias("number"), exact.order_key(exact_text(t)).alias("digits"), time(t).alias("time"), str_(t).alias("text"), t.alias("term"))
 
 
 def cast(t: Column, kind: str) -> Column:
@@ -239,11 +287,12 @@ def cast(t: Column, kind: str) -> Column:
     if kind == "dateTime":
         return F.when(ok, date_time(text.try_cast("timestamp")))
     flag = F.when(source == XSD + "boolean", F.when(text == "true", 1).otherwise(0))
+    real = value.isNotNull() & source.isin(XSD + "float", XSD + "double")
+    written = F.when(real, F.when(text.rlike(r"[eE]"), F.coalesce(text.try_cast("decimal(38,18)").cast("string"), text.try_cast("decimal(38,0)").cast("string"))).when(text.rlike(_POINT), text))
     if kind == "integer":
-        whole = F.when(text.rlike(r"^[+-]?\d+$"), text.try_cast("decimal(38,0)"))
-        return F.when(ok, integer(F.coalesce(flag, F.when(value.isNotNull(), F.coalesce(whole, F.when(value >= 0, F.floor(value)).otherwise(F.ceil(value)).try_cast("decimal(38,0)"))), whole)))
+        return F.when(ok, F.coalesce(integer(flag), integer_text(exact.truncate(F.coalesce(written, F.when(text.rlike(_WHOLE) | (value.isNotNull() & text.rlike(_POINT)), text))))))
     if kind == "decimal":
-        return F.when(ok, decimal(F.coalesce(flag, F.when(text.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), text.try_cast("decimal(28,9)")))))
+        return F.when(ok, F.coalesce(decimal(flag), decimal_text(exact.plain(F.coalesce(written, F.when(text.rlike(_POINT), text))))))
     shape = text.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$|^[+-]?INF$|^NaN$")
     real = F.coalesce(flag, value, F.when(shape, F.regexp_replace(text, "INF", "Infinity").try_cast("double")))
     return F.when(ok, F.concat(F.lit('"'), real.cast("double").cast("string"), F.lit(f'"^^<{XSD}{kind}>')))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import exact
 from ..functions import terms as T
 from ..functions.terms import order_key
 
@@ -38,29 +39,23 @@ def avg(value: Column, distinct: bool = False) -> Column:
 def _typed(term: Column, whole: Column, point: Column, real: Column) -> Column:
     """By the highest numeric type among the terms; unbound if one of them is no number; 0 for none."""
     rank = F.max(T.numeric_rank(term))
-    made = F.when(rank == 0, whole).when(rank == 1, T.decimal(point)).otherwise(T.double(real))
+    made = F.when(rank == 0, whole).when(rank == 1, point).otherwise(T.double(real))
     return F.when(F.count(F.lit(1)) == 0, T.integer(F.lit(0))).when(F.count(F.lit(1)) == F.count(T.numeric_rank(term)), made)
 
 
-def _whole_sum(value: Column) -> Column:
-    """The sum, unbound if a value or the sum does not fit."""
-    return F.when(F.count(value) == F.sum(F.lit(1)), F.try_sum(value))
-
-
 def sum_term(term: Column) -> Column:
     """SUM over terms: integers stay integers, decimals exact, anything with a double is a double.
 
-    Integers have at most 28 digits and decimals 19 and 9; beyond that the sum is unbound, never short of a value.
+    Exact sums take numbers of up to 120 digits on each side of the point; with a longer one they are unbound, never short of a value.
     """
-    exact = _whole_sum(T.exact_number(term).try_cast("decimal(28,9)"))
-    return _typed(term, T.integer(_whole_sum(T.whole_number(term).try_cast("decimal(28,0)"))), exact, F.sum(T.number(term)))
+    made = exact.total(T.exact_text(term))
+    return _typed(term, T.integer_text(made), T.decimal_text(made), F.sum(T.number(term)))
 
 
 def avg_term(term: Column) -> Column:
-    """AVG over terms: of integers and decimals a decimal, within ``sum_term``'s digits."""
-    value = T.exact_number(term).try_cast("decimal(28,9)")
-    mean = F.when(F.count(value) == F.sum(F.lit(1)), F.try_avg(value))
-    return _typed(term, T.decimal(mean), mean, F.avg(T.number(term)))
+    """AVG over terms: of integers and decimals a decimal of 18 places, within ``sum_term``'s digits."""
+    mean = T.decimal_text(exact.divide(exact.total(T.exact_text(term)), F.count(F.lit(1)).cast("string")))
+    return _typed(term, mean, mean, F.avg(T.number(term)))
 
 
 def min_(value: Column) -> Column:

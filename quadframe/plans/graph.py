@@ -11,6 +11,7 @@ from ..operators import aggregates as A
 from ..operators import datasets as D
 from ..operators import paths as P
 from ..operators import patterns as B
+from ..operators import ranges as R_
 from ..operators import results as R
 from ..operators import solutions as S
 from ..operators import updates as U
@@ -375,3 +376,77 @@ def fn_string_more(t: Tables) -> DataFrame:
 def fn_time_more(t: Tables) -> DataFrame:
     x = t.star("events", e="event_id", ts="ts").select("e", T.date_time(C("ts")).alias("ts"))
     return x.select("e", scalar.time_part(C("ts"), "minutes").alias("m"), scalar.timezone(C("ts")).alias("zone"))
+
+
+# ---------------------------------------------------------------- numbers of any length
+_FORTY = "'1' || lpad(CAST(o_orderkey AS VARCHAR), 39, '0')"
+
+
+def _long_terms(t: Tables) -> DataFrame:
+    """k, status and, for each order, an integer of forty digits, below zero for every third."""
+    x = t.star("orders", k="o_orderkey", status="o_orderstatus")
+    digits = F.concat(F.lit("1"), F.lpad(C("k").cast("string"), 39, "0"))
+    return x.select("k", "status", T.integer_text(F.concat(F.when(C("k") % 3 == 0, "-").otherwise(""), digits)).alias("n"))
+
+
+@query(
+    f"""WITH x AS (SELECT o_orderkey AS k, o_orderstatus AS status, CASE WHEN o_orderkey % 3 = 0 THEN -o_orderkey ELSE o_orderkey END AS v, CASE WHEN o_orderkey % 3 = 0 THEN '-' ELSE '' END || {_FORTY} AS n FROM orders),
+y AS (SELECT *, CASE WHEN v < 0 THEN -1 ELSE 1 END AS s FROM x)
+SELECT status, {_INT % 'arg_min(n, (s, v))'} AS low, {_INT % 'arg_max(n, (s, v))'} AS high, count(*) AS orders FROM y GROUP BY status"""
+)
+def order_numbers_large(t: Tables) -> DataFrame:
+    """MIN and MAX of numbers that no double tells apart."""
+    return A.group(_long_terms(t), ["status"], low=A.min_term(C("n")), high=A.max_term(C("n")), orders=A.count_all())
+
+
+_DECIMAL = "'\"' || regexp_replace(regexp_replace(CAST(%s AS VARCHAR), '0+$', ''), '\\.$', '.0') || '\"^^<http://www.w3.org/2001/XMLSchema#decimal>'"
+
+
+@query(
+    f"""SELECT o_orderkey AS k, {_DECIMAL % "CAST(o_orderkey AS DECIMAL(12, 0)) * CAST('0.0000000001' AS DECIMAL(11, 10))"} AS product,
+{_DECIMAL % "CAST('12345678901234567890.5' AS DECIMAL(30, 2)) + o_orderkey"} AS total,
+'"' || o_orderkey || '.5"^^<http://www.w3.org/2001/XMLSchema#decimal>' AS half, CASE WHEN o_orderkey % 3 = 0 THEN '"-' ELSE '"' END || {_FORTY} || repeat('0', 20) || '"^^<http://www.w3.org/2001/XMLSchema#integer>' AS big FROM orders"""
+)
+def decimal_arith_exact(t: Tables) -> DataFrame:
+    """Products, sums and quotients that a decimal of fixed width would round."""
+    x = _long_terms(t).withColumn("i", T.integer(C("k")))
+    point = lambda text: F.lit(f'"{text}"^^<{T.XSD}decimal>')
+    odd = T.arithmetic("+", T.arithmetic("+", C("i"), C("i")), T.integer(F.lit(1)))
+    return x.select("k", T.arithmetic("*", C("i"), point("0.0000000001")).alias("product"), T.arithmetic("+", C("i"), point("12345678901234567890.5")).alias("total"), T.arithmetic("/", odd, T.integer(F.lit(2))).alias("half"), T.arithmetic("*", C("n"), T.integer_text(F.lit("1" + "0" * 20))).alias("big"))
+
+
+@query(f"SELECT o_orderstatus AS status, {_INT % 'sum(CAST(o_custkey AS HUGEINT))'} || '' AS small, '\"' || sum(CAST(o_custkey AS HUGEINT)) || repeat('0', 60) || '\"^^<http://www.w3.org/2001/XMLSchema#integer>' AS large FROM orders GROUP BY 1")
+def sum_terms_large(t: Tables) -> DataFrame:
+    """SUM of integers of more than sixty digits."""
+    x = t.star("orders", status="o_orderstatus", c="o_custkey")
+    x = x.select("status", T.integer(C("c")).alias("c"), T.integer_text(F.concat(C("c").cast("string"), F.lit("0" * 60))).alias("big"))
+    return A.group(x, ["status"], small=A.sum_term(C("c")), large=A.sum_term(C("big")))
+
+
+@query(
+    f"""SELECT '<urn:tpch:orders:' || o_orderkey || '>' AS s, '"0.' || lpad(CAST(o_orderkey AS VARCHAR), 24, '0') || '1"^^<{T.XSD}decimal>' AS o FROM orders"""
+)
+def load_decimals(t: Tables) -> DataFrame:
+    """Each order's decimal of 25 places is loaded as it is, without its needless zeros; none becomes another's."""
+    x = t.star("orders", k="o_orderkey")
+    line = F.concat(F.lit("<urn:tpch:orders:"), C("k").cast("string"), F.lit('> <urn:x:v> "+00.'), F.lpad(C("k").cast("string"), 24, "0"), F.lit(f'100"^^<{T.XSD}decimal> .'))
+    at = scratch_path(t.spark, "decimals")
+    x.select(line.alias("value")).write.text(at)
+    return nquads.read_nquads(t.spark, at).select("s", "o")
+
+
+# ---------------------------------------------------------------- ranges
+@query("SELECT a.o_orderkey AS a, b.o_orderkey AS b FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey AND a.o_totalprice < b.o_totalprice + 1000 AND a.o_totalprice > b.o_totalprice WHERE a.o_orderkey <> b.o_orderkey")
+def range_join_equal(t: Tables) -> DataFrame:
+    """Two orders of one customer whose prices are less than 1000 apart: FILTER over two patterns that share a variable."""
+    a, b = (t.star("orders", **{n: "o_orderkey", "c": "o_custkey", f"p{n}": "o_totalprice"}) for n in "ab")
+    return R_.join_near(a, b, C("pa"), C("pb"), 0, 1000, (C("pa") < C("pb") + 1000) & (C("pa") > C("pb")), on=["c"]).select("a", "b")
+
+
+@query("SELECT l.l_orderkey AS k, l.l_linenumber AS n, count(*) AS parts FROM lineitem l JOIN part p ON p.p_retailprice BETWEEN l.l_extendedprice / l.l_quantity - 0.05 AND l.l_extendedprice / l.l_quantity + 0.05 GROUP BY 1, 2")
+def range_join(t: Tables) -> DataFrame:
+    """Line items with the parts of about their price: FILTER(?p > ?x - e && ?p < ?x + e) over two patterns that share no variable."""
+    lines = t.star("lineitem", k="l_orderkey", n="l_linenumber", price="l_extendedprice", q="l_quantity").withColumn("unit", C("price") / C("q"))
+    parts = t.star("part", pk="p_partkey", retail="p_retailprice")
+    found = R_.join_between(parts, lines, C("retail"), C("unit") - 0.05, C("unit") + 0.05)
+    return found.groupBy("k", "n").agg(F.count("*").alias("parts"))

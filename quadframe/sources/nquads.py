@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from ..errors import OverBudget
+from ..functions import exact
 from ..functions import terms as T
 
 _IRI = r"<[^\x00-\x20<>\"{}|^`\\]*>"
@@ -25,15 +26,19 @@ def _unicode(lines: pd.Series) -> pd.Series:
 
 
 def canonical(t: Column) -> Column:
-    """Literals of well-known types in canonical form, language tags in lower case; ill-typed ones as they are."""
+    """Literals of well-known types in canonical form, language tags in lower case; ill-typed ones as they are.
+
+    Numbers are made canonical as text, so that no digit is lost.
+    """
     kind, text = T.datatype(t), T.lexical(t)
-    whole = F.when(text.rlike(r"^[+-]?\d+$"), T.integer(text.try_cast("decimal(38,0)")))
-    point = F.when(text.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)$"), T.decimal(text.try_cast("decimal(38,18)")))
+    whole = F.when(text.rlike(r"^[+-]?\d+$"), T.integer_text(exact.plain(text)))
+    point = F.when(text.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)$"), T.decimal_text(exact.plain(text)))
     truth = F.when(text.isin("1", "true"), T.boolean(F.lit(True))).when(text.isin("0", "false"), T.boolean(F.lit(False)))
     moment = F.when(text.rlike(r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d\.0+(Z|[+-]\d\d:\d\d)?$"), T.typed(F.regexp_replace(text, r"\.0+", ""), "dateTime"))
     known = F.when(kind == T.XSD + "integer", whole).when(kind == T.XSD + "decimal", point).when(kind == T.XSD + "boolean", truth).when(kind == T.XSD + "dateTime", moment)
-    known = known.when(kind == T.XSD + "string", T.string(text)).when(T.lang(t) != "", T.strlang(text, T.lang(t)))
-    return F.coalesce(F.when(T.is_literal(t), known), t)
+    known = known.when(kind == T.XSD + "string", T.string(text)).when(kind == T.RDF + "langString", T.strlang(text, T.lang(t)))
+    # plain text without an escape is canonical already: most literals need one look
+    return F.when(t.rlike(r'^(<|_:|"[^"\\]*"$)'), t).otherwise(F.coalesce(F.when(T.is_literal(t), known), t))
 
 
 def parse_lines(lines: DataFrame, *, line: str = "value", graph: str | None = None, document: str = "") -> DataFrame:

@@ -1,0 +1,129 @@
+"""Numbers of any length against Python's decimals, and what once lost digits."""
+
+import random
+from decimal import ROUND_DOWN, ROUND_FLOOR, Context, Decimal, localcontext
+
+import pytest
+from pyspark.sql import functions as F
+
+from quadframe.functions import exact, scalar
+from quadframe.functions import terms as T
+from quadframe.operators import aggregates as A
+from quadframe.sources import nquads
+
+X = T.XSD
+C = F.col
+
+
+def integer(text):
+    return f'"{text}"^^<{X}integer>'
+
+
+def decimal(text):
+    return f'"{text}"^^<{X}decimal>'
+
+
+def numbers(n, seed, most=45):
+    rng = random.Random(seed)
+    out = ["0", "-0", "+0.0", "00.100", "-.5", "5.", "1", "-1", "9" * 40, "-" + "9" * 40, "0." + "0" * 30 + "1", "999999.999999", "-1000000"]
+    for _ in range(n):
+        a, b = rng.choice([0, 1, 3, 9, 18, 20, most]), rng.choice([0, 0, 1, 2, 9, 18, 19, most])
+        digits = lambda k: "".join(rng.choice("0019") if rng.random() < 0.4 else rng.choice("0123456789") for _ in range(k))
+        text = digits(rng.randint(0, a)) + ("." + digits(rng.randint(0, b)) if b else "")
+        if any(c.isdigit() for c in text):
+            out.append(rng.choice(["", "-", "+"]) + text)
+    return out
+
+
+def plain(value):
+    text = format(value, "f")
+    text = text.rstrip("0").rstrip(".") if "." in text else text
+    return "0" if Decimal(text) == 0 else text
+
+
+@pytest.fixture(scope="module")
+def big():
+    with localcontext(Context(prec=400)) as c:
+        yield c
+
+
+def test_arithmetic_against_decimals(spark, big):
+    a, b = numbers(150, 1), numbers(150, 2)[::-1]
+    pairs = [*zip(a, b), *[(x, y) for x in a[:13] for y in a[:13]]]
+    df = spark.createDataFrame(pairs, "a string, b string")
+    ops = {"sum": exact.add, "difference": exact.subtract, "product": exact.multiply, "quotient": exact.divide}
+    found = df.select("a", "b", *[f(C("a"), C("b")).alias(n) for n, f in ops.items()], exact.floor(C("a")).alias("floor"), exact.round_(C("a")).alias("round"), exact.ceil(C("a")).alias("ceil"), exact.plain(C("a")).alias("plain")).collect()
+    for r in found:
+        x, y = Decimal(r.a), Decimal(r.b)
+        assert (r["sum"], r.difference, r["product"], r.plain) == (plain(x + y), plain(x - y), plain(x * y), plain(x)), (r.a, r.b)
+        assert (r.floor, r.ceil, r.round) == (plain(x.to_integral_value(ROUND_FLOOR)), plain(-(-x).to_integral_value(ROUND_FLOOR)), plain((x + Decimal("0.5")).to_integral_value(ROUND_FLOOR))), r.a
+        if y == 0 or len(plain(abs(y)).replace(".", "").lstrip("0")) > exact.DIVISOR:
+            assert r.quotient is None, (r.a, r.b)
+        else:
+            assert r.quotient == plain((x / y).quantize(Decimal(1).scaleb(-18), ROUND_DOWN)), (r.a, r.b)
+
+
+def test_order_against_decimals(spark):
+    texts = numbers(400, 3)
+    found = spark.createDataFrame([(t,) for t in texts], "t string").select("t", exact.order_key(C("t")).alias("k")).collect()
+    ordered = sorted(found, key=lambda r: r.k)
+    for x, y in zip(ordered, ordered[1:]):
+        assert Decimal(x.t) <= Decimal(y.t) and (x.k == y.k) == (Decimal(x.t) == Decimal(y.t))
+
+
+@pytest.mark.parametrize("most", [8, 100])
+def test_sum_and_mean_against_decimals(spark, big, most):
+    texts = numbers(120, 4, most)
+    df = spark.createDataFrame([(i % 4, decimal(t)) for i, t in enumerate(texts)], "g int, t string")
+    found = {r.g: r for r in A.group(df, ["g"], total=A.sum_term(C("t")), mean=A.avg_term(C("t")), low=A.min_term(C("t")), high=A.max_term(C("t"))).collect()}
+    for g in range(4):
+        own = [Decimal(t) for i, t in enumerate(texts) if i % 4 == g]
+        point = lambda v: decimal(plain(v) if "." in plain(v) else plain(v) + ".0")
+        assert found[g].total == point(sum(own)) and found[g].mean == point((sum(own) / len(own)).quantize(Decimal(1).scaleb(-18), ROUND_DOWN))
+        assert Decimal(found[g].low.split('"')[1]) == min(own) and Decimal(found[g].high.split('"')[1]) == max(own)
+
+
+def test_sum_beyond_its_digits_is_unbound(spark):
+    df = spark.createDataFrame([(integer("1" + "0" * 130),), (integer("1"),)], "t string")
+    assert A.group(df, [], total=A.sum_term(C("t"))).first().total is None
+
+
+@pytest.mark.parametrize(
+    "op, a, b, want",
+    [
+        ("*", decimal("0.0000000001"), integer("1000000"), decimal("0.0001")), ("/", decimal("0.0000000001"), integer("2"), decimal("0.00000000005")),
+        ("*", decimal("123456789.1234567891"), decimal("1.0"), decimal("123456789.1234567891")), ("+", decimal("12345678901234567890.5"), integer("1"), decimal("12345678901234567891.5")),
+        ("*", integer("9" * 30), integer("-" + "9" * 30), integer(str(-int("9" * 30) ** 2))), ("/", integer("1"), integer("3"), decimal("0." + "3" * 18)), ("/", integer("10"), integer("0"), None),
+    ],
+)
+def test_no_digit_is_lost(spark, op, a, b, want):
+    assert spark.createDataFrame([(a, b)], "a string, b string").select(T.arithmetic(op, C("a"), C("b")).alias("v")).first().v == want
+
+
+def test_terms_of_many_digits(spark):
+    n = 10**19
+    rows = [(integer(n), integer(n - 1)), (integer(-9007199254740993), integer(-9007199254740992)), (decimal("0.1234567890123456789"), decimal("0.1234567890123456788"))]
+    df = spark.createDataFrame(rows, "a string, b string")
+    assert [tuple(r) for r in df.select(T.equal(C("a"), C("b")), T.less(C("a"), C("b")), T.order_key(C("a")) < T.order_key(C("b"))).collect()] == [(False, False, False), (False, True, True), (False, False, False)]
+    for a, b in rows:
+        one = spark.createDataFrame([(a,), (b,)], "t string")
+        want = max((a, b), key=lambda t: Decimal(t.split('"')[1]))
+        assert one.agg(A.max_term(C("t")).alias("m")).first().m == want
+    mixed = spark.createDataFrame([(integer(2**53),), (integer(2**53 + 1),), (f'"9007199254740992"^^<{X}double>',), ('"a"',), (integer(3),)], "t string")
+    assert [r.t for r in mixed.orderBy(T.order_key(C("t"))).collect()][-2:] == [integer(2**53 + 1), '"a"']
+
+
+def test_casts_keep_digits(spark):
+    texts = ['"0.1234567890123"', '"-000.50"', integer("7" * 50), '"1e3"', f'"1.5E3"^^<{X}double>', f'"1e-7"^^<{X}double>', f'"NaN"^^<{X}double>', f'"true"^^<{X}boolean>', decimal("-2.9")]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i")
+    found = df.select(T.cast(C("t"), "decimal").alias("d"), T.cast(C("t"), "integer").alias("n"), T.minus(C("t")).alias("m"), scalar.abs_(C("t")).alias("a")).collect()
+    assert [r.d for r in found] == [decimal("0.1234567890123"), decimal("-0.5"), decimal("7" * 50 + ".0"), None, decimal("1500.0"), decimal("0.0000001"), None, decimal("1.0"), decimal("-2.9")]
+    assert [r.n for r in found] == [None, None, integer("7" * 50), None, integer("1500"), integer("0"), None, integer("1"), integer("-2")]
+    assert (found[2].m, found[8].m, found[8].a, found[0].m) == (integer("-" + "7" * 50), decimal("2.9"), decimal("2.9"), None)
+
+
+def test_load_keeps_digits(spark):
+    lines = [f'<urn:a> <urn:p> "{t}"^^<{X}decimal> .' for t in ("0.1234567890123456789", "0.1234567890123456788", "+00.50", "5", "-0.0")]
+    lines += [f'<urn:a> <urn:p> "{t}"^^<{X}integer> .' for t in ("0" * 3 + "8" * 60, "-0", "x")]
+    found = {r.o for r in nquads.parse_lines(spark.createDataFrame([(x,) for x in lines], "value string")).collect()}
+    assert found == {decimal("0.1234567890123456789"), decimal("0.1234567890123456788"), decimal("0.5"), decimal("5.0"), decimal("0.0"), integer("8" * 60), integer("0"), integer("x")}
