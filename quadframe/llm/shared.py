@@ -66,20 +66,37 @@ def range_of(key: Column, cuts: list) -> Column:
 # ---------------------------------------------------------------- hot keys
 #: A key is hot with more than one in so many of all rows; so there are fewer hot keys than this.
 HOT_KEYS = 10_000
+#: Bytes of table rows that may be broadcast; hot keys with more are dealt to so many tasks each instead.
+BROADCAST_BYTES, SALTS = 64 << 20, 64
+
+
+def _row_bytes(df: DataFrame) -> Column:
+    """About how many bytes a row takes."""
+    size = {"string": F.octet_length, "binary": F.octet_length, "array<string>": lambda c: F.octet_length(F.array_join(c, " ")) + 16 * F.size(c)}
+    parts = [F.coalesce(size[kind](F.col(name)), F.lit(0)).cast("long") for name, kind in df.dtypes if kind in size]
+    return functools.reduce(lambda x, y: x + y, parts, F.lit(16 * len(df.columns)).cast("long"))
 
 
 def join_hot(rows: DataFrame, table: DataFrame, on: Sequence[str], count: str, how: str = "inner") -> DataFrame:
     """Join ``rows`` with ``table``, which has one row per key and, in column ``count``, about how many of ``rows`` have it.
 
-    The rows of a hot key stay where they are and meet its one table row by broadcast, which is fewer than HOT_KEYS
-    rows whatever the data; only the rest is shuffled, and no key of it is more than a small part of a task.
+    The rows of a hot key stay where they are and meet its one table row by broadcast: fewer than HOT_KEYS rows, which are measured
+    and in all at most BROADCAST_BYTES.  If they are more, a hot key's row is copied to SALTS keys and its rows are dealt to them; then only the keys
+    themselves are broadcast.  The rest is shuffled, and no key of it is more than a small part of a task.
     Both tables are read twice, so they are written ones.
     """
-    total = table.agg(F.sum(count)).first()[0] or 0
-    is_hot = F.col(count) * HOT_KEYS > total
-    hot = F.broadcast(table.where(is_hot).drop(count))
-    met = rows.join(hot, [*on])
-    rest = rows.join(F.broadcast(table.where(is_hot).select(*on)), [*on], "left_anti").join(table.where(~is_hot).drop(count), [*on], how)
+    total, largest = table.agg(F.sum(count), F.max(_row_bytes(table))).first()
+    is_hot = F.col(count) * HOT_KEYS > (total or 0)
+    hot, keys = table.where(is_hot).drop(count), F.broadcast(table.where(is_hot).select(*on))
+    # only rows so large that the number of keys does not bound them have to be added up
+    if (largest or 0) * HOT_KEYS <= BROADCAST_BYTES or (hot.agg(F.sum(_row_bytes(hot))).first()[0] or 0) <= BROADCAST_BYTES:
+        met = rows.join(F.broadcast(hot), [*on])
+    else:
+        (salt,) = free_names(rows, "salt")
+        plain = [c for c, kind in rows.dtypes if not kind.startswith("map")]
+        dealt = rows.join(keys, [*on], "left_semi").withColumn(salt, F.pmod(F.xxhash64(*plain), F.lit(SALTS)).cast("int"))
+        met = dealt.join(hot.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), [*on, salt]).drop(salt)
+    rest = rows.join(keys, [*on], "left_anti").join(table.where(~is_hot).drop(count), [*on], how)
     return met.unionByName(rest.select(met.columns))
 
 

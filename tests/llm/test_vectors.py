@@ -11,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from quadframe.llm import code_books, stable_projection, vectors, weighted_lloyd
+from quadframe.llm import code_books, shared, stable_projection, vectors, weighted_lloyd
 
 # names that clash with those the operators use inside
 SCHEMA = "vec_id long, embedding array<float>, label int, q string, n long, k string, row long, cluster int, codes string, block int, none boolean"
@@ -229,3 +229,18 @@ def test_common_length(spark):
     table = frame(spark, [(1, [1.0] * 4), (2, [1.0] * 4), (3, [1.0] * 6), (4, [1.0] * 6), (5, [1.0] * 5), (6, None)])
     assert vectors.common_length(table, "embedding") == 6 and vectors.common_length(table, "embedding", 4) == 4 and vectors.common_length(table.where(F.lit(False)), "embedding") == 0
     assert vectors.fixed(pa.array([], pa.binary()), "u1", 4).shape == (0, 4)
+
+
+@pytest.mark.parametrize("limit", [64 << 20, 10])
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_hot_keys_meet_their_rows_either_way(spark, monkeypatch, limit, how):
+    """By broadcast, or dealt to several tasks each where the rows are too large for that; repeated rows stay repeated."""
+    monkeypatch.setattr(shared, "BROADCAST_BYTES", limit)
+    monkeypatch.setattr(shared, "HOT_KEYS", 10)
+    rows = [("hot", i % 50) for i in range(300)] + [(f"k{i}", i) for i in range(40)] + [("alone", 1)]
+    counts = [("hot", 300, ["a" * 20, "b"]), *[(f"k{i}", 1, ["c"]) for i in range(40)]]
+    table = spark.createDataFrame(counts, "k string, n long, words array<string>")
+    found = shared.join_hot(spark.createDataFrame(rows, "k string, salt int"), table, ["k"], "n", how).collect()
+    words = {k: w for k, _, w in counts}
+    want = [(k, v, words.get(k)) for k, v in rows if k in words or how == "left"]
+    assert sorted((r.k, r.salt, r.words or []) for r in found) == sorted((k, v, w or []) for k, v, w in want)
