@@ -18,6 +18,8 @@ RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "b
 #: A link's target, quoted or not, and the host of an absolute or protocol-relative one.
 HREF = r"""(?i)<a\s[^>]*?href\s*=\s*["']?([^"'\s>]+)"""
 ABSOLUTE = r"(?i)^(?:[a-z][a-z0-9+.-]*:)?//([^/?#]+)"
+#: Edges of one host that are one key; a host with more is dealt to several.
+HUB_EDGES = 100_000
 
 
 def _lower(c: Column) -> Column:
@@ -56,16 +58,26 @@ def propagate(edges: DataFrame, seeds: DataFrame, steps: int = STEPS, damping: f
     ``edges`` has kind, src, dst.  A step sends ``damping`` of each score along the out-edges in
     equal parts and starts the rest anew at the seeds, by weight; what a host without out-edges would send ends there.
     ``received`` is what came over edges in the last step.  Both kinds run in the same joins, on hosts only, summed before each shuffle.
+    The edges of a host with more than HUB_EDGES are dealt to several keys, to each of which its score is copied.
     """
-    degree = edges.groupBy("kind", "src").agg(F.count("*").alias("n"))
-    weighted = written(edges.join(degree, ["kind", "src"]).select("kind", "src", "dst", (F.lit(damping) / F.col("n")).alias("weight")), "edges")
+    degree = written(edges.groupBy("kind", "src").agg(F.count("*").alias("n"), F.count("*").alias("out")), "degrees")
+    salts = F.ceil(F.col("out") / HUB_EDGES).cast("int")
+    weighted = join_hot(edges, degree, ["kind", "src"], "n").select("kind", "src", "dst", (F.lit(damping) / F.col("out")).alias("weight"), F.when(salts > 1, F.pmod(F.xxhash64("dst"), salts)).cast("int").alias("salt"))
+    weighted = written(weighted, "edges")
+    hubs = written(degree.where(salts > 1).select("kind", "src", salts.alias("salts")), "hubs")
+    plain, of_hubs, any_hubs = weighted.where(F.col("salt").isNull()).drop("salt"), weighted.where(F.col("salt").isNotNull()), not hubs.isEmpty()
     total = seeds.groupBy("kind").agg(F.sum("weight").alias("n"))
     start = written(seeds.join(F.broadcast(total), "kind").select("kind", "host", (F.col("weight") / F.col("n")).alias("score")), "seeds")
     again = start.select("kind", "host", (F.col("score") * (1 - damping)).alias("score"), F.lit(0.0).alias("received"))
     score = start
     for i in range(1, steps + 1):
         moved = F.col("score") * F.col("weight")
-        sent = score.withColumnRenamed("host", "src").join(weighted, ["kind", "src"]).select("kind", F.col("dst").alias("host"), moved.alias("score"), moved.alias("received"))
+        own = score.withColumnRenamed("host", "src")
+        sent = own.join(plain, ["kind", "src"])
+        if any_hubs:
+            copied = own.join(hubs, ["kind", "src"]).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
+            sent = sent.unionByName(copied.join(of_hubs, ["kind", "src", "salt"]).drop("salt"))
+        sent = sent.select("kind", F.col("dst").alias("host"), moved.alias("score"), moved.alias("received"))
         score = sent.unionByName(again).groupBy("kind", "host").agg(F.sum("score").alias("score"), F.sum("received").alias("received"))
         if i % CUT == 0 and i < steps:
             score = written(score, "scores")
@@ -81,7 +93,7 @@ def judge_urls(pages: DataFrame, *, key: str = "page_id", rules: Sequence[tuple[
     count for itself, so a rule on one path condemns no other path, and hosts that no edge
     reaches, null urls and ones without ``://`` are allowed by default.
 
-    Only distinct host pairs are shuffled; a hot host is one row in the graph, and its many urls
+    Only distinct host pairs are shuffled; the edges of a hub are dealt to several tasks, and the many urls of a host
     meet its verdict by ``join_hot``.  Repeated rows are judged alike, an empty table gives no rows, other columns are ignored.
     """
     judged = pages.select(F.col(key), F.col("url"), F.col("html")).withColumn("host", host_of(F.col("url"))).withColumn("path", path_of(F.col("url")))
@@ -99,7 +111,17 @@ def judge_urls(pages: DataFrame, *, key: str = "page_id", rules: Sequence[tuple[
     return found.select(key, "host", "path", "rule", F.coalesce("own", "by_links", F.lit("allow")).alias("verdict"), by.alias("by"))
 
 
-def oracle(rules: Sequence[tuple[str, str]] = RULES, steps: int = STEPS, damping: float = DAMPING, threshold: float = THRESHOLD) -> str:
+def chained_pages(pages: DataFrame) -> DataFrame:
+    """``pages`` whose html is one link to the page of the next page_id: links between the hosts of the given rows."""
+    following = pages.select((F.col("page_id") - 1).alias("page_id"), F.concat(F.lit('<a href="'), F.col("url"), F.lit('">')).alias("html"))
+    return pages.select("page_id", "url").join(following, "page_id", "left")
+
+
+#: ``chained_pages`` in SQL.
+CHAINED = """(SELECT p.page_id, p.url, '<a href="' || n.url || '">' AS html FROM pages p LEFT JOIN pages n ON n.page_id = p.page_id + 1)"""
+
+
+def oracle(rules: Sequence[tuple[str, str]] = RULES, steps: int = STEPS, damping: float = DAMPING, threshold: float = THRESHOLD, source: str = "pages") -> str:
     """The same in DuckDB SQL, each step a common table expression."""
 
     def case(value: int) -> str:
@@ -119,7 +141,7 @@ def oracle(rules: Sequence[tuple[str, str]] = RULES, steps: int = STEPS, damping
         for i in range(1, steps + 1)
     )
     return rf"""
-WITH urls AS (SELECT page_id, html, coalesce({lower % "regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1)"}, '') AS host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+WITH urls AS (SELECT page_id, html, coalesce({lower % "regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1)"}, '') AS host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM {source} pages),
 judged AS (SELECT *, {case(0)} AS rule, {case(1)} AS own FROM urls),
 found AS (SELECT host AS src, unnest(regexp_extract_all(html, '{href}', 1)) AS link FROM judged WHERE host <> ''),
 links AS (SELECT DISTINCT src, dst FROM (SELECT src, regexp_replace(regexp_replace({lower % f"regexp_extract(link, '{absolute}', 1)"}, '^.*@', ''), ':[0-9]*$', '') AS dst FROM found) WHERE dst <> '' AND dst <> src),

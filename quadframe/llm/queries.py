@@ -70,6 +70,11 @@ def op8_link_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_filter.judge_urls(table(spark, sf_dir, "pages"))
 
 
+def link_propagation_of_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same where each page links to the next one, so that hosts beside the rules' are judged by links."""
+    return link_filter.judge_urls(link_filter.chained_pages(table(spark, sf_dir, "pages")))
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_tokens(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
@@ -100,6 +105,7 @@ QUERIES = {
     "op6_media_columns": op6_media_columns,
     "op7_source_mix": op7_source_mix,
     "op8_link_propagation": op8_link_propagation,
+    "link_propagation_of_chain": link_propagation_of_chain,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_ngram_join": op10_ngram_join,
     "op11_weighted_lloyd": op11_weighted_lloyd,
@@ -112,6 +118,7 @@ ORACLE: dict[str, str] = {
     "op5_revisit_resolution": revisits.site_oracle(),
     "revisits_of_own_pages": revisits.oracle(),
     "op8_link_propagation": link_filter.oracle(),
+    "link_propagation_of_chain": link_filter.oracle(source=link_filter.CHAINED),
     "op11_weighted_lloyd": weighted_lloyd.oracle(),
     "op13_yinyang_codes": code_books.oracle(),
 }

@@ -267,3 +267,18 @@ def test_site_revisits_need_the_search(spark, tmp_path):
     # the response is seldom the row before, and often that of another way to write the URL
     taken = [r for r in got if r.response_id is not None]
     assert sum(r.response_id != r.record_id - 1 for r in taken) > len(taken) // 2
+
+
+@pytest.mark.parametrize("hub", [1, 100_000])
+def test_links_judge_hosts_beside_the_rules(spark, monkeypatch, hub):
+    """A chain of pages links the given hosts; a hub's edges dealt to several keys change nothing."""
+    monkeypatch.setattr(link_filter, "HUB_EDGES", hub)
+    folder = "/root/testdata/sf0.001"
+    found = queries.link_propagation_of_chain(spark, folder)
+    columns = sorted(found.columns)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{folder}/pages.parquet')")
+    want = con.execute(f"SELECT {', '.join(chr(34) + c + chr(34) for c in columns)} FROM ({queries.ORACLE['link_propagation_of_chain']})").fetchall()
+    rows = found.select(columns).collect()
+    assert sorted(map(str, map(tuple, rows))) == sorted(map(str, want))
+    assert {(r.by, r.verdict) for r in rows} >= {("links", "allow"), ("links", "block"), ("rule", "allow"), ("rule", "block")}
