@@ -6,7 +6,7 @@ import re
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import Denied, InvalidArgument
@@ -128,9 +128,43 @@ def graph_counts(dataset: Dataset) -> DataFrame:
     return dataset.graphs.select("g").distinct().join(counts, "g", "left").select("g", F.coalesce("quads", F.lit(0)).alias("quads"))
 
 
+#: A prime; sums of hashes are taken modulo it.
+PRIME = (1 << 61) - 1
+
+
+def _lanes(quads: DataFrame) -> list[Column]:
+    """Two numbers of 60 bits of each quad's MD5."""
+    md5 = F.md5(F.concat_ws(" ", "s", "p", "o"))
+    return [F.conv(F.substring(md5, at, 15), 16, 10).cast("decimal(38,0)") for at in (1, 16)]
+
+
 def fingerprint(dataset: Dataset) -> DataFrame:
-    """g, quads, hash: two states of a graph with equal rows here hold the same quads (up to hash collisions)."""
-    return dataset.quads.groupBy("g").agg(F.count("*").alias("quads"), F.bit_xor(F.xxhash64("s", "p", "o")).alias("hash"))
+    """g, quads, high, low: two states of a graph with equal rows here hold the same quads (up to hash collisions).
+
+    high and low are sums of the quads' hashes modulo a prime: the order of quads means nothing, a quad that is there twice does not
+    cancel out, and what an update adds or removes is added or taken off (``fingerprint_after``).
+    """
+    high, low = _lanes(dataset.quads)
+    sums = [F.pmod(F.sum(x), F.lit(PRIME).cast("decimal(38,0)")).cast("long").alias(n) for x, n in ((high, "high"), (low, "low"))]
+    return dataset.quads.groupBy("g").agg(F.count("*").alias("quads"), *sums)
+
+
+def fingerprint_after(before: DataFrame, added: DataFrame, removed: DataFrame) -> DataFrame:
+    """The fingerprint once ``added`` quads, none of which was there, came and ``removed`` ones, all of which were, went.
+    Only the changes are read, not the dataset; graphs without quads have no row."""
+    parts = [before.select("g", "quads", "high", "low")]
+    for quads, sign in ((added, 1), (removed, -1)):
+        made = fingerprint(Dataset.of(quads))
+        parts.append(made.select("g", *[(F.col(c) * sign).alias(c) for c in ("quads", "high", "low")]))
+    total = [F.pmod(F.sum(F.col(c).cast("decimal(38,0)")), F.lit(PRIME).cast("decimal(38,0)")).cast("long").alias(c) for c in ("high", "low")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("g").agg(F.sum("quads").alias("quads"), *total).where("quads > 0")
+
+
+def changed_graphs(before: DataFrame, now: DataFrame) -> DataFrame:
+    """g: the graphs whose fingerprint differs, or that only one of the two has."""
+    sides = before.select("g", "quads", "high", "low", F.lit(1).alias("side")).unionByName(now.select("g", "quads", "high", "low", F.lit(2).alias("side")))
+    same = F.max(F.struct("quads", "high", "low")) == F.min(F.struct("quads", "high", "low"))
+    return sides.groupBy("g").agg((same & (F.countDistinct("side") == 2)).alias("same")).where(~F.col("same")).select("g")
 
 
 def info(dataset: Dataset, capability: Capability) -> str:

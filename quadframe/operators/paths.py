@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..scratch import discard, written
+from ..scratch import written
 from .solutions import union
 
 
@@ -50,28 +50,118 @@ def zero_or_one(edges: DataFrame, nodes_: DataFrame) -> DataFrame:
     return union(edges, _same(nodes_)).distinct()
 
 
-def one_or_more(edges: DataFrame, starts: DataFrame | None = None) -> DataFrame:
-    """Pairs connected by at least one edge; ``starts`` (column n) bounds where paths begin.
+#: Jumps of a length are kept while there are at most so many for each edge.
+GROWTH = 4
 
-    Without ``starts`` each round joins all pairs found so far with each other, so the rounds grow with the logarithm of the
-    longest path; with them each round extends the pairs of the last one by an edge, and no other pairs are made.
-    What is found is one table in the shared folder after each round, and the one before it goes.
+
+def jumps(edges: DataFrame) -> tuple[list[DataFrame], bool]:
+    """Pairs that a walk of 1, 2, 4, ... edges joins, a table for each length, and whether these are all that there are.
+
+    A chain, a tree towards its root or a ring has no more jumps of any length than edges, so a path of any length is a few jumps.  In a dense graph
+    they would be very many and its paths are short: lengths end where the number of pairs, known from the degrees before they are made, is over GROWTH for each edge.
+    """
+    most, size = nodes(edges.select("s", "o")).count(), edges.count()
+    levels = [edges]
+    while 1 << len(levels) <= most:
+        last = levels[-1]
+        ways = last.groupBy(F.col("o").alias("m")).count().join(last.groupBy(F.col("s").alias("m")).agg(F.count("*").alias("n")), "m")
+        pairs = ways.agg(F.sum(F.col("count").cast("decimal(38,0)") * F.col("n"))).first()[0]
+        if not pairs:
+            return levels, True
+        if pairs > GROWTH * size:
+            return levels, False
+        levels.append(written(sequence(last, last).distinct(), "jumps"))
+    return levels, True
+
+
+def _from(found: DataFrame, levels: list[DataFrame], whole: bool) -> DataFrame:
+    """``found`` pairs (s, o) and all that edges lead on to, by the longest jumps first; one pass if the jumps are all that there are."""
+    parts, fresh = [found], [found]
+    while True:
+        made = []
+        for level in reversed(levels):
+            new = written(sequence(union(*fresh, *made), level).distinct().join(union(*parts), ["s", "o"], "left_anti"), "paths")
+            if not new.isEmpty():
+                made.append(new)
+                parts.append(new)
+        if whole or not made:
+            return union(*parts)
+        fresh = made
+
+
+def one_or_more(edges: DataFrame, starts: DataFrame | None = None, ends: DataFrame | None = None, cycles: bool = False) -> DataFrame:
+    """Pairs connected by at least one edge; ``starts`` or ``ends`` (column n) bounds where paths begin or end.
+
+    From bound ends, pairs are extended by jumps of 2^i edges, so the rounds grow with the logarithm of the longest path where the graph is made of chains,
+    trees or rings, and with its hops where it is dense.  Without them a round joins the pairs that the last one found with all found so
+    far, which doubles the length that is covered.  Each round writes only what it found.
+
+    With ``cycles`` the closure is that of the strongly connected components, and pairs of nodes are made from it at the end; see ``reach``.
+    """
+    edges = written(edges.select("s", "o").distinct(), "edges")
+    if starts is not None:
+        first = written(edges.join(starts.select(F.col("n").alias("s")).distinct(), "s", "left_semi"), "paths")
+        found = _from(first, *jumps(edges))
+        return found if ends is None else found.join(ends.select(F.col("n").alias("o")).distinct(), "o", "left_semi").select("s", "o")
+    if ends is not None:
+        return inverse(one_or_more(inverse(edges), ends))
+    if cycles:
+        return expand(*reach(edges))
+    parts, fresh = [edges], edges
+    while True:
+        known = union(*parts)
+        fresh = written(sequence(fresh, known).distinct().join(known, ["s", "o"], "left_anti"), "paths")
+        if fresh.isEmpty():
+            return known
+        parts.append(fresh)
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """n, component: the strongly connected component of each node, named by one of its nodes.
+
+    Forward-backward colouring: the largest priority (a hash, so that no order of names is a bad one) that reaches a node is its colour; the
+    nodes of a colour that reach the node it comes from are that one's component, and the rest goes on with the edges inside colours.  Both searches run by jumps.
     """
     edges = written(edges.select("s", "o").distinct(), "edges")
-    if starts is None:
-        found, known = edges, -1
-        while (now := found.count()) != known:
-            known, last = now, found
-            found = written(last.union(sequence(last, last)).distinct(), "paths")
-            if known != -1 and last is not edges:
-                discard(last)
-        return found
-    fresh = written(edges.join(starts.select(F.col("n").alias("s")).distinct(), "s", "left_semi"), "paths")
-    found = fresh
-    while not fresh.isEmpty():
-        fresh = written(sequence(fresh, edges).distinct().join(found, ["s", "o"], "left_anti"), "paths")
-        found = written(found.union(fresh), "found")
-    return found
+    every, found = written(nodes(edges), "nodes"), []
+    live = written(edges.where(F.col("s") != F.col("o")), "live")
+    while not live.isEmpty():
+        color = written(nodes(live).withColumn("c", F.struct(F.xxhash64("n").alias("h"), F.col("n").alias("root"))), "color")
+        levels, whole = jumps(live)
+        while True:
+            before = color
+            for level in reversed(levels):
+                reached = level.join(color.select(F.col("n").alias("s"), "c"), "s").select(F.col("o").alias("n"), "c")
+                color = written(color.union(reached).groupBy("n").agg(F.max("c").alias("c")), "color")
+            if whole or color.exceptAll(before).isEmpty():
+                break
+        of = lambda end: color.select(F.col("n").alias(end), F.col("c.root").alias(f"c{end}"))
+        inside = written(live.join(of("s"), "s").join(of("o"), "o").where("cs = co").select("s", "o"), "inside")
+        roots = color.where("c.root = n").select(F.col("n").alias("s"), F.col("n").alias("o"))
+        own = written(_from(written(roots, "roots"), *jumps(inverse(inside))) if not inside.isEmpty() else roots, "component")
+        found.append(own.select(F.col("o").alias("n"), F.col("s").alias("component")))
+        left = color.select("n").join(found[-1].select("n"), "n", "left_anti")
+        live = written(inside.join(left.select(F.col("n").alias("s")), "s", "left_semi").join(left.select(F.col("n").alias("o")), "o", "left_semi"), "live")
+    if not found:
+        return every.withColumn("component", F.col("n"))
+    return written(every.join(union(*found), "n", "left").withColumn("component", F.coalesce("component", "n")), "components")
+
+
+def reach(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(n, component) of each node and (s, o) of components: which leads to which by at least one edge, itself where it has one inside.
+
+    A ring of any size is one component and one pair; ``expand`` makes the pairs of nodes of it.
+    """
+    of = components(edges)
+    ends = edges.join(of.select(F.col("n").alias("s"), F.col("component").alias("cs")), "s").join(of.select(F.col("n").alias("o"), F.col("component").alias("co")), "o").select("cs", "co").distinct()
+    ends = written(ends.toDF("s", "o"), "ends")
+    return of, union(one_or_more(ends.where("s != o")), ends.where("s = o")).distinct()
+
+
+def expand(of: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs of nodes of pairs of components."""
+    named = lambda end: of.select(F.col("n").alias(f"n{end}"), F.col("component").alias(end))
+    return pairs.join(named("s"), "s").join(named("o"), "o").select(F.col("ns").alias("s"), F.col("no").alias("o"))
 
 
 def zero_or_more(edges: DataFrame, nodes_: DataFrame, starts: DataFrame | None = None) -> DataFrame:

@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import InvalidArgument, OverBudget
-from ..scratch import written
 from .datasets import Capability
+from .paths import one_or_more
 from .updates import instantiate
 
 #: Rows and bytes of an answer by default, and what no grant can exceed.
@@ -31,19 +31,14 @@ def describe(quads: DataFrame, resources: DataFrame) -> DataFrame:
     """s, p, o of the default graph about ``resources`` (column n), and about all blank nodes that these lead to
     through blank nodes.
 
-    Each round asks for the blank nodes that the last one named and none before it did; what was asked for and found
-    are tables in the shared folder, so cycles end and a round's plan stays small.
+    The blank nodes are those of the closure of the edges to blank nodes from the resources, by jumps: a list of n
+    nodes takes about 2 log n rounds (``paths.one_or_more``).
     """
     default = quads.where("g IS NULL").select("s", "p", "o")
-    fresh = asked = written(resources.select(F.col("n").alias("s")).distinct(), "asked")
-    found = None
-    while found is None or not fresh.isEmpty():
-        part = written(default.join(fresh, "s", "left_semi").select("s", "p", "o"), "described")
-        found = part if found is None else found.union(part)
-        blank = part.where(F.col("o").startswith("_:")).select(F.col("o").alias("s")).distinct()
-        fresh = written(blank.join(asked, "s", "left_anti"), "asked")
-        asked = asked.union(fresh)
-    return found.distinct()
+    asked = resources.select("n").distinct()
+    reached = one_or_more(default.where(F.col("o").startswith("_:")).select("s", "o"), asked)
+    every = asked.select(F.col("n").alias("s")).union(reached.select("o")).distinct()
+    return default.join(every, "s", "left_semi").select("s", "p", "o").distinct()
 
 
 def bounds(capability: Capability, max_rows: int | None = None, max_bytes: int | None = None) -> tuple[int, int]:

@@ -29,12 +29,12 @@ def _without(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def insert_data(quads: DataFrame) -> Operation:
-    return lambda d: Dataset.of(d.quads.select(*QUAD).unionByName(_without(quads.select(*QUAD).distinct(), d.quads)), d.graphs)
+    return _blind(lambda d: Dataset.of(d.quads.select(*QUAD).unionByName(_without(quads.select(*QUAD).distinct(), d.quads)), d.graphs))
 
 
 def delete_data(quads: DataFrame) -> Operation:
     """The graphs of deleted quads stay registered."""
-    return lambda d: Dataset(_without(d.quads, quads), d.graphs)
+    return _blind(lambda d: Dataset(_without(d.quads, quads), d.graphs))
 
 
 def instantiate(solutions: DataFrame, template: Sequence[Sequence[str | None]]) -> DataFrame:
@@ -66,8 +66,14 @@ def modify(where: Callable[[Dataset], DataFrame], delete: Sequence[Sequence[str
 
 
 def reads(operation: Operation) -> bool:
-    """Whether an operation looks at what is there: a WHERE, or the source of a copy."""
-    return getattr(operation, "reads", False)
+    """Whether an operation looks at what is there: a WHERE, the source of a copy, or anything that a caller's own function may do."""
+    return getattr(operation, "reads", True)
+
+
+def _blind(apply: Operation) -> Operation:
+    """An operation whose effect tells nothing of what was there."""
+    apply.reads = False
+    return apply
 
 
 def silenced(operation: Operation, kinds: Sequence[str]) -> Operation:
@@ -76,6 +82,7 @@ def silenced(operation: Operation, kinds: Sequence[str]) -> Operation:
 
 
 def _loud(apply: Operation, kind: str, quiet: Operation | None) -> Operation:
+    _blind(apply)
     if quiet is not None:
         apply.silenced = lambda kinds: quiet if kind in kinds else apply
     return apply
@@ -130,7 +137,8 @@ def _transfer(source: str, target: str, silent: bool, replace: bool, remove: boo
         out = out if target == "DEFAULT" else create(target, silent=True)(out)
         return drop(source, silent=True)(out) if remove else out
 
-    apply.reads = True
+    # onto itself it does nothing and reads nothing
+    apply.reads = source != target
     return apply
 
 

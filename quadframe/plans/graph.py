@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import bindings, scalar
@@ -57,10 +57,12 @@ def star_quads(t: Tables) -> DataFrame:
     return B.star(t.quads(*BOTH), "n", {"name": predicate("n_name"), "region": predicate("n_regionkey")})
 
 
-@query("SELECT '<urn:x:a>' AS x, '<urn:x:p>' AS p")
+@query("SELECT '<urn:x:' || o_orderkey || '>' AS x, '<urn:x:of>' AS p FROM orders WHERE o_orderkey = o_custkey UNION ALL SELECT '<urn:x:' || c_custkey || '>', '<urn:x:in>' FROM customer WHERE c_custkey = c_nationkey")
 def repeated_var(t: Tables) -> DataFrame:
-    rows = [(None, "<urn:x:a>", "<urn:x:p>", "<urn:x:a>"), (None, "<urn:x:a>", "<urn:x:p>", "<urn:x:b>")]
-    return B.match(t.spark.createDataFrame(rows, "g string, s string, p string, o string"), "?x", "?p", "?x")
+    """?x ?p ?x over orders that have their customer's number and customers that have their nation's."""
+    name = lambda c: F.concat(F.lit("<urn:x:"), C(c).cast("string"), F.lit(">"))
+    quads = lambda table, a, b, p: t.star(table, a=a, b=b).select(F.lit(None).cast("string").alias("g"), name("a").alias("s"), F.lit(p).alias("p"), name("b").alias("o"))
+    return B.match(quads("orders", "o_orderkey", "o_custkey", "<urn:x:of>").union(quads("customer", "c_custkey", "c_nationkey", "<urn:x:in>")), "?x", "?p", "?x")
 
 
 # ---------------------------------------------------------------- paths
@@ -102,6 +104,33 @@ def path_plus_from(t: Tables) -> DataFrame:
     return P.one_or_more(links(t), starts)
 
 
+def _rings(t: Tables) -> DataFrame:
+    """Each order of a customer with the next one by key, the last with the first."""
+    x = t.star("orders", k="o_orderkey", c="o_custkey")
+    own = Window.partitionBy("c").orderBy("k")
+    x = x.withColumn("j", F.coalesce(F.lead("k").over(own), F.min("k").over(Window.partitionBy("c"))))
+    name = lambda c: F.concat(F.lit("<urn:tpch:orders:"), C(c).cast("string"), F.lit(">"))
+    return x.select(name("k").alias("s"), name("j").alias("o"))
+
+
+@query("SELECT '<urn:tpch:orders:' || a.o_orderkey || '>' AS s, '<urn:tpch:orders:' || b.o_orderkey || '>' AS o FROM orders a JOIN orders b USING (o_custkey)")
+def path_plus_rings(t: Tables) -> DataFrame:
+    """p+ over rings: a component for each customer, pairs of orders made at the end."""
+    return P.one_or_more(_rings(t), cycles=True)
+
+
+@query("SELECT min('<urn:tpch:orders:' || o_orderkey || '>') AS least, count(*) AS orders FROM orders GROUP BY o_custkey")
+def ring_components(t: Tables) -> DataFrame:
+    return P.components(_rings(t)).groupBy("component").agg(F.min("n").alias("least"), F.count("*").alias("orders")).drop("component")
+
+
+@query(f"{_CLOSURE} SELECT s, o FROM c WHERE o IN (SELECT '<urn:tpch:nation:' || n_nationkey || '>' FROM nation WHERE n_regionkey = 2)")
+def path_plus_to(t: Tables) -> DataFrame:
+    """p+ into bound ends: the nations of a region."""
+    ends = B.match(t.quads("nation"), "?n", predicate("n_regionkey"), "<urn:tpch:region:2>")
+    return P.one_or_more(links(t), ends=ends)
+
+
 @query(f"{_CLOSURE}, n AS (SELECT s AS x FROM e UNION SELECT o FROM e) SELECT s, o FROM c UNION SELECT x, x FROM n")
 def path_star(t: Tables) -> DataFrame:
     edges = links(t)
@@ -171,7 +200,7 @@ def describe(t: Tables) -> DataFrame:
     return R.describe(quads, B.match(quads, "?n", predicate("n_regionkey"), "<urn:tpch:region:2>"))
 
 
-@query("SELECT true AS answer")
+@query("SELECT count(*) > 0 AS answer FROM nation WHERE n_name = 'NATION_3'")
 def ask(t: Tables) -> DataFrame:
     found = R.ask(B.match(t.quads("nation"), None, predicate("n_name"), '"NATION_3"').select(F.lit(1)))
     return t.spark.createDataFrame([(found,)], "answer boolean")
@@ -299,9 +328,68 @@ def dump_lines(t: Tables) -> DataFrame:
     return nquads.lines_of(t.quads(*BOTH))
 
 
-@query(f"SELECT g, count(*) AS quads FROM ({QUADS}) GROUP BY g")
-def fingerprint_counts(t: Tables) -> DataFrame:
-    return D.fingerprint(dataset(t)).select("g", "quads")
+# quads of tables that grow with the data: whole columns of orders and customer
+_LARGE = [
+    ("orders", "o_orderkey", "o_custkey", IRI % ("customer", "o_custkey")),
+    ("orders", "o_orderkey", "o_orderstatus", STR % "o_orderstatus"),
+    ("customer", "c_custkey", "c_name", STR % "c_name"),
+    ("customer", "c_custkey", "c_nationkey", IRI % ("nation", "c_nationkey")),
+]
+LARGE = " UNION ALL ".join(f"SELECT '<urn:tpch:graph:{t}>' AS g, {IRI % (t, k)} AS s, '<urn:tpch:{c}>' AS p, {o} AS o FROM {t}" for t, k, c, o in _LARGE)
+_SUM = "CAST(sum(CAST(('0x' || substring(md5(s || ' ' || p || ' ' || o), %d, 15)) AS UBIGINT)::HUGEINT) %%%% 2305843009213693951 AS BIGINT)"
+_HASH = f"SELECT g, count(*) AS quads, {_SUM % 1} AS high, {_SUM % 16} AS low FROM (%s) GROUP BY g"
+
+
+def large(t: Tables) -> DataFrame:
+    return t.quads("orders", "customer").where(C("p").isin(*[predicate(c) for _, _, c, _ in _LARGE]))
+
+
+@query(_HASH % LARGE)
+def fingerprint_hashes(t: Tables) -> DataFrame:
+    return D.fingerprint(D.Dataset.of(large(t)))
+
+
+_SHIPPED = "(g <> '<urn:tpch:graph:orders>' OR o <> '\"F\"')"
+
+
+@query(_HASH % f"SELECT * FROM ({LARGE}) WHERE {_SHIPPED} UNION ALL SELECT g, s, '<urn:x:done>', o FROM ({LARGE}) WHERE NOT {_SHIPPED}")
+def fingerprint_of_changes(t: Tables) -> DataFrame:
+    """The fingerprint after an update, from the one before and the quads that came and went."""
+    quads = large(t)
+    gone = quads.where((C("g") == graph_of("orders")) & (C("o") == '"F"'))
+    return D.fingerprint_after(D.fingerprint(D.Dataset.of(quads)), gone.withColumn("p", F.lit("<urn:x:done>")), gone)
+
+
+@query("SELECT '<urn:tpch:graph:orders>' AS g")
+def changed_since(t: Tables) -> DataFrame:
+    """Of the graphs of orders and customers only the first was changed, by a chain of updates."""
+    before = D.Dataset.of(large(t))
+    where = lambda d: B.match(d.named(), "?s", predicate("o_orderstatus"), '"F"')
+    quad = lambda p: [("?s", p, '"F"', graph_of("orders"))]
+    after = U.modify(where, quad(predicate("o_orderstatus")), quad("<urn:x:done>"))(before)
+    return D.changed_graphs(D.fingerprint(before), D.fingerprint(after))
+
+
+@query(LARGE)
+def load_large(t: Tables) -> DataFrame:
+    """A dump of orders and customers, read again."""
+    at = scratch_path(t.spark, "dump")
+    nquads.dump(large(t), at)
+    return nquads.read_nquads(t.spark, at)
+
+
+@query(f"SELECT * FROM ({LARGE}) WHERE {_SHIPPED} UNION ALL SELECT g, s, '<urn:x:done>', o FROM ({LARGE}) WHERE NOT {_SHIPPED}")
+def update_large(t: Tables) -> DataFrame:
+    """DELETE and INSERT over all orders of a status."""
+    where = lambda d: B.match(d.named(), "?s", predicate("o_orderstatus"), '"F"')
+    quad = lambda p: [("?s", p, '"F"', graph_of("orders"))]
+    return U.modify(where, quad(predicate("o_orderstatus")), quad("<urn:x:done>"))(D.Dataset.of(large(t))).quads
+
+
+@query(f"SELECT s, p, o FROM ({LARGE}) WHERE s IN (SELECT '<urn:tpch:customer:' || c_custkey || '>' FROM customer WHERE c_nationkey = 3)")
+def describe_large(t: Tables) -> DataFrame:
+    quads = large(t)
+    return R.describe(quads.withColumn("g", F.lit(None).cast("string")), B.match(quads, "?n", predicate("c_nationkey"), "<urn:tpch:nation:3>"))
 
 
 # ---------------------------------------------------------------- larger tables
@@ -319,22 +407,19 @@ def fn_numeric_large(t: Tables) -> DataFrame:
 
 
 @query(
-    """SELECT '<urn:x:head>' AS s, '<urn:x:next>' AS p, '_:n' || min(o_orderkey) AS o FROM orders WHERE o_orderkey <= 12
-UNION ALL SELECT '_:n' || o_orderkey, '<urn:x:next>', '_:n' || lead(o_orderkey) OVER (ORDER BY o_orderkey) FROM orders WHERE o_orderkey <= 12 QUALIFY lead(o_orderkey) OVER (ORDER BY o_orderkey) IS NOT NULL
-UNION ALL SELECT '_:n' || o_orderkey, '<urn:x:status>', '"' || o_orderstatus || '"' FROM orders WHERE o_orderkey <= 12"""
+    """WITH x AS (SELECT o_orderkey AS k, o_custkey AS c, o_orderstatus AS status, lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS j FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_nationkey = 3))
+SELECT '<urn:x:' || c || '>' AS s, '<urn:x:next>' AS p, '_:n' || min(k) AS o FROM x GROUP BY c
+UNION ALL SELECT '_:n' || k, '<urn:x:next>', '_:n' || j FROM x WHERE j IS NOT NULL UNION ALL SELECT '_:n' || k, '<urn:x:status>', '"' || status || '"' FROM x"""
 )
 def describe_chain(t: Tables) -> DataFrame:
-    """A list of blank nodes, one per order up to 12, is described from its head."""
-    x = t.star("orders", k="o_orderkey", status="o_orderstatus")
-    rows = x.where(C("k") <= 12)
-    blank = lambda c: F.concat(F.lit("_:n"), c.cast("string"))
-    following = rows.select(C("k").alias("j")).join(rows.select("k"), C("j") > C("k")).groupBy("k").agg(F.min("j").alias("j"))
-    none = F.lit(None).cast("string")
-    head = rows.agg(F.min("k").alias("k")).select(none.alias("g"), F.lit("<urn:x:head>").alias("s"), F.lit("<urn:x:next>").alias("p"), blank(C("k")).alias("o"))
-    chain = following.select(none.alias("g"), blank(C("k")).alias("s"), F.lit("<urn:x:next>").alias("p"), blank(C("j")).alias("o"))
-    # all orders have a status, only those of the list are described
-    states = x.select(none.alias("g"), blank(C("k")).alias("s"), F.lit("<urn:x:status>").alias("p"), T.string(C("status")).alias("o"))
-    return R.describe(head.unionByName(chain).unionByName(states), t.spark.createDataFrame([("<urn:x:head>",)], "n string"))
+    """All orders are lists of blank nodes, one list for each customer; those of a nation's customers are described from their heads."""
+    x = t.star("orders", k="o_orderkey", c="o_custkey", status="o_orderstatus").withColumn("j", F.lead("k").over(Window.partitionBy("c").orderBy("k")))
+    blank = lambda c: F.concat(F.lit("_:n"), C(c).cast("string"))
+    head = lambda c: F.concat(F.lit("<urn:x:"), C(c).cast("string"), F.lit(">"))
+    triple = lambda df, s, p, o: df.select(F.lit(None).cast("string").alias("g"), s.alias("s"), F.lit(f"<urn:x:{p}>").alias("p"), o.alias("o"))
+    heads = triple(x.groupBy("c").agg(F.min("k").alias("k")), head("c"), "next", blank("k"))
+    quads = heads.unionByName(triple(x.where("j IS NOT NULL"), blank("k"), "next", blank("j"))).unionByName(triple(x, blank("k"), "status", T.string(C("status"))))
+    return R.describe(quads, t.star("customer", c="c_custkey", n="c_nationkey").where("n = 3").select(head("c").alias("n")))
 
 
 @query("SELECT count(*) AS quads, count(*) // 2 AS nodes FROM (SELECT o_orderkey FROM orders UNION ALL SELECT o_orderkey FROM orders)")

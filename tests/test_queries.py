@@ -26,6 +26,8 @@ def con():
 def cell(v):
     if v is None or isinstance(v, float) and math.isnan(v):
         return "null"
+    if isinstance(v, int) and not isinstance(v, bool):
+        return str(v)
     return f"{float(v):.6g}" if not isinstance(v, (bool, str)) and hasattr(v, "__float__") else str(v)
 
 
