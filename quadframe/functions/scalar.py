@@ -83,28 +83,31 @@ def encode_for_uri(t: Column) -> Column:
     return string(text)
 
 
-def _pattern(pattern: str, flags: str) -> str:
-    if set(flags) - set("imsxq"):
+def _pattern(pattern: str | Column, flags: str | Column) -> Column:
+    """The full pattern of text or of a term, with its flags in front; null for flags that are none and for terms that are no strings."""
+    if isinstance(flags, str) and set(flags) - set("imsxq"):
         raise ValueError("unknown regular expression flag")
-    body = "\\Q" + pattern + "\\E" if "q" in flags else pattern
-    kept = "".join(f for f in flags if f in "imsx")
-    return f"(?{kept})" + body if kept else body
+    body, flags = (F.lit(x) if isinstance(x, str) else text_of(x) for x in (pattern, flags))
+    kept = F.replace(flags, F.lit("q"), F.lit(""))
+    body = F.when(flags.contains("q"), F.concat(F.lit("\\Q"), body, F.lit("\\E"))).otherwise(body)
+    return F.when(~flags.rlike("[^imsxq]"), F.when(kept == "", body).otherwise(F.concat(F.lit("(?"), kept, F.lit(")"), body)))
 
 
-def regex(t: Column, pattern: str, flags: str = "") -> Column:
-    return text_of(t).rlike(_pattern(pattern, flags))
+def regex(t: Column, pattern: str | Column, flags: str | Column = "") -> Column:
+    """REGEX; pattern and flags are Python text, or terms that may differ from row to row."""
+    return F.rlike(text_of(t), _pattern(pattern, flags))
 
 
-def replace(t: Column, pattern: str, by: str, flags: str = "") -> Column:
+def replace(t: Column, pattern: str | Column, by: str | Column, flags: str | Column = "") -> Column:
     """REPLACE: an error where the pattern matches the empty text."""
     full = _pattern(pattern, flags)
-    return F.when(~F.lit("").rlike(full), _like(t, F.regexp_replace(text_of(t), full, by)))
+    return F.when(~F.rlike(F.lit(""), full), _like(t, F.regexp_replace(text_of(t), full, F.lit(by) if isinstance(by, str) else text_of(by))))
 
 
-def lang_matches(tag: Column, range_: str) -> Column:
-    if range_ == "*":
-        return tag != ""
-    return (F.lower(tag) == range_.lower()) | F.lower(tag).startswith(range_.lower() + "-")
+def lang_matches(tag: Column, range_: str | Column) -> Column:
+    """LANGMATCHES of a tag's text with a range: Python text, or a term that may differ from row to row."""
+    of = F.lower(F.lit(range_) if isinstance(range_, str) else text_of(range_))
+    return F.when(of == "*", tag != "").otherwise((F.lower(tag) == of) | F.startswith(F.lower(tag), F.concat(of, F.lit("-"))))
 
 
 # ---------------------------------------------------------------- numbers

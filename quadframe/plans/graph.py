@@ -535,3 +535,13 @@ def range_join(t: Tables) -> DataFrame:
     parts = t.star("part", pk="p_partkey", retail="p_retailprice")
     found = R_.join_between(parts, lines, C("retail"), C("unit") - 0.05, C("unit") + 0.05)
     return found.groupBy("k", "n").agg(F.count("*").alias("parts"))
+
+
+@query("SELECT p_partkey AS k, regexp_matches(p_name, '^' || lower(left(p_type, 1)), 'i') AS starts, '\"' || regexp_replace(p_name, substring(p_name, 2, 1), 'x', 'g') || '\"' AS masked, p_size % 2 = 0 AS english FROM part")
+def fn_patterns_of_columns(t: Tables) -> DataFrame:
+    """REGEX, REPLACE and LANGMATCHES whose patterns and ranges are terms of the row."""
+    x = t.star("part", k="p_partkey", name="p_name", type="p_type", size="p_size")
+    start = T.string(F.concat(F.lit("^"), F.lower(F.substring("type", 1, 1))))
+    tag = F.when(C("size") % 2 == 0, "en-GB").otherwise("fr")
+    range_ = T.string(F.when(C("size") % 3 == 0, "EN").otherwise("en"))
+    return x.select("k", scalar.regex(T.string(C("name")), start, F.when(C("size") >= 0, '"i"')).alias("starts"), scalar.replace(T.string(C("name")), T.string(F.substring("name", 2, 1)), "x").alias("masked"), scalar.lang_matches(tag, range_).alias("english"))

@@ -113,3 +113,14 @@ def test_sums_and_means_of_terms(spark):
     assert of(large, typed("1", "integer")) == (typed("1" + "0" * 25, "integer"), typed("5" + "0" * 24 + ".0", "decimal"))
     # what is too large for the sum leaves it unbound, neither short nor failing
     assert of(typed("9" * 130, "integer"), typed("1", "integer")) == (None, None)
+
+
+def test_patterns_of_columns(spark):
+    rows = [('"Abc"', '"^a"', '"i"', '"x"'), ('"Abc"', '"^a"', '""', '"x"'), ('"a.c"', '"."', '"q"', '"-"'), ('"abc"', '"b*"', '""', '"x"'), ('"abc"@en', '"(b)"', '""', '"[$1]"'), ('"abc"', '"b"', '"z"', '"x"'), ('"abc"', "<urn:b>", '""', '"x"'), ('"abc"', None, '""', '"x"')]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, t string, p string, f string, b string").orderBy("i")
+    t, p, f, b = (F.col(c) for c in "tpfb")
+    found = df.select(scalar.regex(t, p, f).alias("m"), scalar.replace(t, p, b, f).alias("r")).collect()
+    assert [x.m for x in found] == [True, False, True, True, True, None, None, None]
+    assert [x.r for x in found] == ['"xbc"', '"Abc"', '"a-c"', None, '"a[b]c"@en', None, None, None]
+    tags = spark.createDataFrame([(i, a, r) for i, (a, r) in enumerate([("en-GB", '"EN"'), ("en", '"en-gb"'), ("", '"*"'), ("de", '"*"'), ("end", '"en"'), ("en", None)])], "i int, a string, r string").orderBy("i")
+    assert [x[0] for x in tags.select(scalar.lang_matches(F.col("a"), F.col("r"))).collect()] == [True, False, False, True, False, None]
