@@ -63,6 +63,20 @@ def range_of(key: Column, cuts: list) -> Column:
     return F.when(block > 0, (block - 1) * size + inside).otherwise(0)
 
 
+def in_order(df: DataFrame, key: str, place: str) -> DataFrame:
+    """``df`` with the place (from 0) of each row by ``key``, which no two rows share.
+
+    Rows are sorted in ranges and written; the driver gets the number of rows of each range, of which there are as many as shuffle partitions.
+    """
+    at, part = free_names(df, "at", "part")
+    ranged = written(df.orderBy(key).withColumn(at, F.monotonically_increasing_id()), "ordered")
+    inside = F.col(at).bitwiseAND(F.lit((1 << 33) - 1))
+    counts = sorted((r[0], r[1]) for r in ranged.groupBy(F.shiftright(at, 33)).agg(F.max(inside) + 1).collect())
+    before = list(itertools.accumulate((n for _, n in counts), initial=0))
+    starts = df.sparkSession.createDataFrame([(int(p), int(n)) for (p, _), n in zip(counts, before)], f"{part} long, {place} long")
+    return ranged.join(F.broadcast(starts), F.shiftright(at, 33) == F.col(part)).withColumn(place, F.col(place) + inside).drop(at, part)
+
+
 # ---------------------------------------------------------------- hot keys
 #: A key is hot with more than one in so many of all rows; so there are fewer hot keys than this.
 HOT_KEYS = 10_000

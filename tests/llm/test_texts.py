@@ -1,6 +1,7 @@
 """Fingerprints, line templates, language identification, mixing and the n-gram join on small cases."""
 
 import hashlib
+import math
 import random
 import re
 import unicodedata
@@ -313,8 +314,8 @@ def test_mix(spark):
     assert [r.taken for r in mixing.mix_sources(frame(spark, [None, ""])).collect()] == [0, 0]
 
 
-def plain_mix_words(docs, seed=42):
-    """The mix word by word: docs are (doc_id, size, source, hash, shard hash)."""
+def plain_mix_words(docs, start):
+    """The mix word by word: docs are (doc_id, size, source, hash, shard hash); ``start`` is the seeded hash of a shard of a source."""
     names = sorted({d[2] for d in docs if d[2] is not None}) + [None] * any(d[2] is None for d in docs)
     sizes = [sum(d[1] for d in docs if d[2] == x) for x in names]
     goal = mixing.targets(sizes, [(5, 2, 1)[i % 3] for i in range(len(names))])
@@ -329,13 +330,13 @@ def plain_mix_words(docs, seed=42):
     words = {at: [d[0] for d in sorted(own, key=lambda d: (d[3], d[0], d[1])) for _ in range(d[1])] for at, own in shards.items()}
     blocks = {at: -(-len(w) // block) for at, w in words.items()}
     most = [2 * sum(n for (s, _), n in blocks.items() if s == i) for i in range(len(names))]
-    quota, rng, taken = plain_sainte_lague(goal, round(sum(goal) / block), most), np.random.default_rng(seed), Counter()
+    quota, taken = plain_sainte_lague(goal, round(sum(goal) / block), most), Counter()
     for s in range(len(names)):
         own = sorted(x for i, x in words if i == s)
         won = plain_sainte_lague([len(words[s, x]) for x in own], quota[s], [2 * blocks[s, x] for x in own])
         for x, seats in zip(own, won):
             n = blocks[s, x]
-            first = int(rng.integers(n)) if n else 0
+            first = start[s, x] % n if n else 0
             for i in range(seats):  # block after block, round and round
                 b = (first + i) % n
                 taken.update(words[s, x][b * block : (b + 1) * block])
@@ -349,11 +350,41 @@ def test_mix_word_by_word(spark, monkeypatch):
     sources = [rng.choice(["b", "b", "b", "a", "c", None]) for _ in texts]
     df = frame(spark, texts, sources=sources)
     hashed = df.select("doc_id", F.xxhash64(F.col("doc_id").cast("string"), F.lit(42)).alias("h")).select("doc_id", "h", F.xxhash64("h", F.lit(43)).alias("x")).collect()
-    want = plain_mix_words([(r.doc_id, len(texts[r.doc_id].split()), sources[r.doc_id], r.h, r.x) for r in hashed])
+    start = {(r.s, r.x): r.h for r in spark.range(10).selectExpr("id AS s", "explode(sequence(0, 99)) AS x").select("s", "x", F.xxhash64(F.lit(42), "s", "x").alias("h")).collect()}
+    want = plain_mix_words([(r.doc_id, len(texts[r.doc_id].split()), sources[r.doc_id], r.h, r.x) for r in hashed], start)
     found = {r.doc_id: r.taken for r in mixing.mix_sources(df).collect()}
     assert found == {i: want[i] for i in range(len(texts))} and len(set(found.values())) > 15
 
 
+def test_sainte_lague_of_a_table_equals_that_of_lists(spark):
+    rng = random.Random(21)
+    for votes, most in [([rng.choice([0.0, 1.0, 3.0, 10.0, 57.5, 200.0]) for _ in range(40)], [rng.randint(0, 30) for _ in range(40)]), ([7.0] * 50, [9] * 50), ([1e15, 1.0, 0.5], [10**12, 3, 3])]:
+        table = spark.createDataFrame(list(zip(range(len(votes)), votes, most)), "s long, v double, cap long").cache()
+        for seats in (0, 1, 33, sum(most) - 1, sum(most) + 5):
+            assert [r.seats for r in mixing.sainte_lague_table(table, seats).orderBy("s").collect()] == mixing.sainte_lague(votes, seats, most)
+
+
+def test_mix_of_very_many_sources(spark):
+    """As many sources as documents, but for a hot one: none is a row on the driver, and targets, quotas and reruns hold."""
+    n = 30_000
+    df = spark.range(n).selectExpr("id AS doc_id", "repeat('w ', cast(pmod(xxhash64(id), 300) as int)) AS text", "if(id % 3 = 0, 'hot', if(id = 1, null, 's' || id)) AS source", "'x' AS shards", "1 AS s")
+    found = {r.doc_id: r for r in mixing.mix_sources(df).collect()}
+    rows = df.selectExpr("doc_id", "source", "size(split(text, ' ')) - 1 AS n").collect()
+    size: Counter = Counter()
+    for r in rows:
+        size[r.source] += r.n
+    names = sorted(x for x in size if x is not None) + [None]
+    goal = dict(zip(names, mixing.targets([size[x] for x in names], [(5, 2, 1)[i % 3] for i in range(len(names))])))
+    assert len(found) == n
+    for r in rows:
+        f = found[r.doc_id]
+        assert (f.size, f.source_size) == (r.n, size[r.source]) and math.isclose(f.target, goal[r.source]) and 0 <= f.taken <= 2 * f.size
+    total = sum(f.taken for f in found.values())
+    assert abs(total - 1.5 * sum(size.values())) < 0.01 * total
+    hot = sum(found[r.doc_id].taken for r in rows if r.source == "hot")
+    assert abs(hot - goal["hot"]) <= 0.01 * goal["hot"]
+
+
 # ---------------------------------------------------------------- n-grams
 def plain_components(texts):
     sets = {}
