@@ -1,7 +1,7 @@
 """RDF terms as N-Triples text, and SPARQL functions on them.
 
-A term is one string column: ``<iri>``, ``_:label``, ``"text"``, ``"text"@lang`` or
-``"text"^^<datatype>``, canonical, so that equal terms are equal strings and joins, grouping
+A term is one string column: ``<iri>``, ``_:label``, ``"text"``, ``"text"@lang``, ``"text"@lang--dir``,
+``"text"^^<datatype>`` or ``<<( s p o )>>`` (see ``triples``), canonical, so that equal terms are equal strings and joins, grouping
 and DISTINCT need nothing else.  Values are taken out where an expression needs them.  An error
 is null, which is SPARQL's unbound.
 """
@@ -122,13 +122,13 @@ def str_(t: Column) -> Column:
 
 
 def lang(t: Column) -> Column:
-    return F.when(is_literal(t), F.regexp_extract(t, r'"@([A-Za-z0-9-]+)$', 1))
+    return F.when(is_literal(t), F.regexp_extract(t, r'"@([A-Za-z0-9-]+?)(?:--(?:ltr|rtl))?$', 1))
 
 
 def datatype(t: Column) -> Column:
     """DATATYPE as an IRI's text."""
     own = F.regexp_extract(t, r'"\^\^<([^>]*)>$', 1)
-    return F.when(is_literal(t), F.when(own != "", own).when(lang(t) != "", RDF + "langString").otherwise(XSD + "string"))
+    return F.when(is_literal(t), F.when(own != "", own).when(t.rlike(r'"@[A-Za-z0-9-]+--(ltr|rtl)$'), RDF + "dirLangString").when(lang(t) != "", RDF + "langString").otherwise(XSD + "string"))
 
 
 _WHOLE, _POINT, _REAL = r"^[+-]?\d+$", r"^[+-]?(\d+\.?\d*|\.\d+)$", r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$|^[+-]?INF$|^NaN$"
@@ -266,11 +266,11 @@ def kept(t: Column, of_text: Callable[[Column], Column], of_double: Callable[[Co
 
 
 def order_key(t: Column) -> Column:
-    """ORDER BY: unbound, blank nodes, IRIs, literals; numbers by value, then times, then text.
+    """ORDER BY: unbound, blank nodes, IRIs, literals, triple terms; numbers by value, then times, then text.
 
     The doubles next to two exact numbers never order them the wrong way, and where these are equal all their digits decide.
     """
-    kind = F.when(t.isNull(), 0).when(is_blank(t), 1).when(is_iri(t), 2).otherwise(3)
+    kind = F.when(t.isNull(), 0).when(is_blank(t), 1).when(is_iri(t), 2).when(is_literal(t), 3).otherwise(4)
     group = F.when(number(t).isNotNull(), 0).when(time(t).isNotNull(), 1).otherwise(2)
     return F.struct(kind.alias("kind"), group.alias("group"), number(t).alias("number"), exact.order_key(exact_text(t)).alias("digits"), time(t).alias("time"), str_(t).alias("text"), t.alias("term"))
 

@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import triples
 from . import solutions
 
 Pattern = Sequence[str | None]
@@ -38,6 +39,18 @@ def match(quads: DataFrame, s: str | None, p: str | None, o: str | None, g: str
     return quads.select(*[F.col(place).alias(v) for v, place in first.items()])
 
 
+def triple_term(found: DataFrame, term: str, s: str | None, p: str | None, o: str | None) -> DataFrame:
+    """The pattern ``<<( s p o )>>`` on the triple terms that a variable has: a variable that is bound before must be the part, a new one becomes it."""
+    name = term.removeprefix("?")
+    found = found.where(triples.is_triple(F.col(name)))
+    for x, part in zip((s, p, o), (triples.subject, triples.predicate, triples.object_)):
+        if x and x[0] == "?" and x[1:] not in found.columns:
+            found = found.withColumn(x[1:], part(F.col(name)))
+        elif x:
+            found = found.where(part(F.col(name)) == (F.col(x[1:]) if x[0] == "?" else F.lit(x)))
+    return found
+
+
 def ordered(patterns: Sequence[Pattern]) -> list[Pattern]:
     """Patterns with more terms first, each next one connected to those before where any is."""
     left, out, seen = list(patterns), [], set()

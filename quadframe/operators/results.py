@@ -54,10 +54,12 @@ def bounds(capability: Capability, max_rows: int | None = None, max_bytes: int |
 # ---------------------------------------------------------------- formats
 def _parts(t: str) -> tuple[str, str, str, str]:
     """kind, text, language, datatype of a term."""
-    if t[0] == "<":
+    if t[0] == "<" and t[1] != "<":
         return "uri", t[1:-1], "", ""
     if t[:2] == "_:":
         return "bnode", t[2:], "", ""
+    if t[:3] == "<<(":
+        return "triple", t, "", ""
     end = t.rindex('"')
     text = _plain(t[1:end])
     rest = t[end + 1 :]
@@ -76,14 +78,44 @@ def _plain(text: str) -> str:
     return "".join(out)
 
 
+def _levels(t: str) -> tuple[list[list[str]], str]:
+    """Subject and predicate of each level of a triple term, outermost first, and what is innermost."""
+    heads = []
+    while t[:3] == "<<(":
+        s, p, t = t[4:-4].split(" ", 2)
+        heads.append([s, p])
+    return heads, t
+
+
+def _json_term(t: str) -> dict:
+    heads, t = _levels(t)
+    kind, text, lang, datatype = _parts(t)
+    lang, _, way = lang.partition("--")
+    made = {"type": kind, "value": text} | ({"xml:lang": lang} if lang else {}) | ({"its:dir": way} if way else {}) | ({"datatype": datatype} if datatype else {})
+    for s, p in reversed(heads):
+        made = {"type": "triple", "value": {"subject": _json_term(s), "predicate": _json_term(p), "object": made}}
+    return made
+
+
+def _xml_term(t: str) -> str:
+    heads, t = _levels(t)
+    kind, text, lang, datatype = _parts(t)
+    lang, _, way = lang.partition("--")
+    more = f' xml:lang="{lang}"' if lang else f' datatype="{escape(datatype)}"' if datatype else ""
+    more += f' its:dir="{way}" xmlns:its="http://www.w3.org/2005/11/its"' if way else ""
+    made = f"<{kind}{more}>{escape(text)}</{kind}>"
+    for s, p in reversed(heads):
+        made = f"<triple><subject>{_xml_term(s)}</subject><predicate>{_xml_term(p)}</predicate><object>{made}</object></triple>"
+    return made
+
+
 def _json(names, rows):
     yield '{"head":' + json.dumps({"vars": names}) + ',"results":{"bindings":['
     for i, row in enumerate(rows):
         cells = {}
         for n, t in zip(names, row):
             if t is not None:
-                kind, text, lang, datatype = _parts(t)
-                cells[n] = {"type": kind, "value": text} | ({"xml:lang": lang} if lang else {}) | ({"datatype": datatype} if datatype else {})
+                cells[n] = _json_term(t)
         yield ("," if i else "") + json.dumps(cells, ensure_ascii=False)
     yield "]}}"
 
@@ -94,9 +126,7 @@ def _xml(names, rows):
         cells = []
         for n, t in zip(names, row):
             if t is not None:
-                kind, text, lang, datatype = _parts(t)
-                more = f' xml:lang="{lang}"' if lang else f' datatype="{escape(datatype)}"' if datatype else ""
-                cells.append(f'<binding name="{n}"><{kind}{more}>{escape(text)}</{kind}></binding>')
+                cells.append(f'<binding name="{n}">{_xml_term(t)}</binding>')
         yield "<result>" + "".join(cells) + "</result>"
     yield "</results></sparql>"
 

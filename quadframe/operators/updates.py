@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import Denied, OverBudget, Refused
+from ..functions import terms as T
 from ..scratch import written
 from .datasets import Capability, Dataset, graph_set
 
@@ -49,7 +50,7 @@ def instantiate(solutions: DataFrame, template: Sequence[Sequence[str | None]])
     cell = lambda x: F.lit(None).cast("string") if x is None else F.col(x[1:]) if x[0] == "?" else fresh(x) if x.startswith("_:") else F.lit(x)
     made = [F.struct(cell(g).alias("g"), cell(s).alias("s"), cell(p).alias("p"), cell(o).alias("o"), F.lit(g is not None).alias("named")) for s, p, o, g in [(*x, None)[:4] for x in template]]
     quads = solutions.select(F.explode(F.array(*made)).alias("q")).select("q.*")
-    fit = F.col("s").isNotNull() & ~F.col("s").startswith('"') & F.col("p").startswith("<") & F.col("o").isNotNull() & (~F.col("named") | F.col("g").startswith("<"))
+    fit = (T.is_iri(F.col("s")) | T.is_blank(F.col("s"))) & T.is_iri(F.col("p")) & F.col("o").isNotNull() & (~F.col("named") | T.is_iri(F.col("g")))
     return quads.where(fit).select(*QUAD).distinct()
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import bindings, scalar
 from ..functions import terms as T
+from ..functions import triples
 from ..operators import aggregates as A
 from ..operators import datasets as D
 from ..operators import paths as P
@@ -545,3 +546,16 @@ def fn_patterns_of_columns(t: Tables) -> DataFrame:
     tag = F.when(C("size") % 2 == 0, "en-GB").otherwise("fr")
     range_ = T.string(F.when(C("size") % 3 == 0, "EN").otherwise("en"))
     return x.select("k", scalar.regex(T.string(C("name")), start, F.when(C("size") >= 0, '"i"')).alias("starts"), scalar.replace(T.string(C("name")), T.string(F.substring("name", 2, 1)), "x").alias("masked"), scalar.lang_matches(tag, range_).alias("english"))
+
+
+_LINE_OF = "<<( <urn:x:' || o_orderkey || '> <urn:x:of> <urn:x:c' || o_custkey || '> )>>"
+
+
+@query(f"SELECT '<urn:x:r' || o_orderkey || '>' AS r, '<urn:x:' || o_orderkey || '>' AS k, '<urn:x:c' || o_custkey || '>' AS c, '<<( <urn:x:r' || o_orderkey || '> <urn:x:says> {_LINE_OF} )>>' AS said, 2 AS levels FROM orders WHERE o_orderstatus = 'F'")
+def triple_terms(t: Tables) -> DataFrame:
+    """Reifiers of what orders say, loaded from statements whose object is a triple term, matched by its parts and nested once more."""
+    x = t.star("orders", k="o_orderkey", c="o_custkey", status="o_orderstatus")
+    lines = x.select(F.format_string("<urn:x:r%s> <urn:x:%s> <<(<urn:x:%s>  <urn:x:of> <urn:x:c%s>)>> .", C("k").cast("string"), C("status"), C("k").cast("string"), C("c").cast("string")).alias("value"))
+    found = B.triple_term(B.match(nquads.parse_lines(lines), "?r", "<urn:x:F>", "?t"), "?t", "?k", "<urn:x:of>", "?c")
+    said = found.withColumn("said", triples.triple(C("r"), F.lit("<urn:x:says>"), C("t")))
+    return said.select("r", "k", "c", "said", triples.depth(C("said")).alias("levels"))

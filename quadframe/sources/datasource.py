@@ -18,6 +18,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWrite
 from pyspark.sql.types import StructType
 
 from ..functions.bindings import XSD
+from ..functions.triples import DEPTH
 
 SCHEMA = "g string, s string, p string, o string"
 #: Bytes of a partition, and rows of an Arrow batch.
@@ -25,8 +26,10 @@ RANGE, ROWS = 64 << 20, 10_000
 
 _IRI = r"<[^\x00-\x20<>\"{}|^`\\]*>"
 _BLANK = r"_:\w(?:[\w.-]*[\w-])?"
-_LITERAL = rf'"(?:[^"\\\n\r]|\\[tbnrf"\'\\]|\\u[0-9A-Fa-f]{{4}}|\\U[0-9A-Fa-f]{{8}})*"(?:@[A-Za-z]+(?:-[A-Za-z0-9]+)*|\^\^{_IRI})?'
-_LINE = re.compile(rf"\s*({_IRI}|{_BLANK})\s*({_IRI})\s*({_IRI}|{_BLANK}|{_LITERAL})\s*({_IRI}|{_BLANK})?\s*\.\s*(?:#.*)?\Z")
+_LITERAL = rf'"(?:[^"\\\n\r]|\\[tbnrf"\'\\]|\\u[0-9A-Fa-f]{{4}}|\\U[0-9A-Fa-f]{{8}})*"(?:@[A-Za-z]+(?:-[A-Za-z0-9]+)*(?:--(?:ltr|rtl))?|\^\^{_IRI})?'
+_HEAD = rf"<<\(\s*({_IRI}|{_BLANK})\s*({_IRI})\s*"
+_OBJECT = rf"((?:<<\(\s*(?:{_IRI}|{_BLANK})\s*{_IRI}\s*)*)({_IRI}|{_BLANK}|{_LITERAL})((?:\s*\)>>)*)"
+_LINE = re.compile(rf"\s*({_IRI}|{_BLANK})\s*({_IRI})\s*({_OBJECT})\s*({_IRI}|{_BLANK})?\s*\.\s*(?:#.*)?\Z")
 _EMPTY = re.compile(r"\s*(#.*)?\Z")
 _NUMERIC_ESCAPE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})")
 _PARTS = re.compile(r'"((?:[^"\\]|\\.)*)"(?:@([A-Za-z0-9-]+)|\^\^<([^>]*)>)?\Z', re.S)
@@ -76,7 +79,12 @@ def parse_line(line: str) -> tuple[str | None, str, str, str] | None:
     m = _LINE.match(line)
     if not m:
         raise ValueError("a line is no N-Quads statement")
-    return m[4], m[1], m[2], canonical_term(m[3])
+    levels = m[4].count("<<(")
+    if levels != m[6].count(")>>"):
+        raise ValueError("a line is no N-Quads statement")
+    if levels > DEPTH:
+        raise ValueError(f"refused: a triple term has more than {DEPTH} levels")
+    return m[7], m[1], m[2], re.sub(_HEAD, r"<<( \1 \2 ", m[4]) + canonical_term(m[5]) + " )>>" * levels
 
 
 @dataclass

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,11 +13,15 @@ from pyspark.sql.types import StringType
 from ..errors import OverBudget
 from ..functions import exact
 from ..functions import terms as T
+from ..functions import triples
 
 _IRI = r"<[^\x00-\x20<>\"{}|^`\\]*>"
 _BLANK = r"_:[\p{L}\p{N}_](?:[\p{L}\p{N}_.-]*[\p{L}\p{N}_-])?"
-_LITERAL = rf'"(?:[^"\\\n\r]|\\[tbnrf"\'\\]|\\u[0-9A-Fa-f]{{4}}|\\U[0-9A-Fa-f]{{8}})*"(?:@[A-Za-z]+(?:-[A-Za-z0-9]+)*|\^\^{_IRI})?'
-_LINE = rf"^\s*({_IRI}|{_BLANK})\s*({_IRI})\s*({_IRI}|{_BLANK}|{_LITERAL})\s*({_IRI}|{_BLANK})?\s*\.\s*(?:#.*)?$"
+_LITERAL = rf'"(?:[^"\\\n\r]|\\[tbnrf"\'\\]|\\u[0-9A-Fa-f]{{4}}|\\U[0-9A-Fa-f]{{8}})*"(?:@[A-Za-z]+(?:-[A-Za-z0-9]+)*(?:--(?:ltr|rtl))?|\^\^{_IRI})?'
+# an object is the heads of triple terms around it, a plain term, and their ends; one level more than allowed is still read, and then refused
+_HEAD = rf"<<\(\s*({_IRI}|{_BLANK})\s*({_IRI})\s*"
+_OBJECT = rf"((?:<<\(\s*(?:{_IRI}|{_BLANK})\s*{_IRI}\s*){{0,{triples.DEPTH + 1}}})({_IRI}|{_BLANK}|{_LITERAL})((?:\s*\)>>){{0,{triples.DEPTH + 1}}})"
+_LINE = rf"^\s*({_IRI}|{_BLANK})\s*({_IRI})\s*({_OBJECT})\s*({_IRI}|{_BLANK})?\s*\.\s*(?:#.*)?$"
 
 
 @F.pandas_udf(StringType())
@@ -36,7 +41,7 @@ def canonical(t: Column) -> Column:
     truth = F.when(text.isin("1", "true"), T.boolean(F.lit(True))).when(text.isin("0", "false"), T.boolean(F.lit(False)))
     moment = F.when(text.rlike(r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d\.0+(Z|[+-]\d\d:\d\d)?$"), T.typed(F.regexp_replace(text, r"\.0+", ""), "dateTime"))
     known = F.when(kind == T.XSD + "integer", whole).when(kind == T.XSD + "decimal", point).when(kind == T.XSD + "boolean", truth).when(kind == T.XSD + "dateTime", moment)
-    known = known.when(kind == T.XSD + "string", T.string(text)).when(kind == T.RDF + "langString", T.strlang(text, T.lang(t)))
+    known = known.when(kind == T.XSD + "string", T.string(text)).when(kind == T.RDF + "langString", T.strlang(text, T.lang(t))).when(kind == T.RDF + "dirLangString", triples.strlangdir(text, T.lang(t), triples.langdir(t)))
     # plain text without an escape is canonical already: most literals need one look
     return F.when(t.rlike(r'^(<|_:|"[^"\\]*"$)'), t).otherwise(F.coalesce(F.when(T.is_literal(t), known), t))
 
@@ -52,11 +57,22 @@ def parse_lines(lines: DataFrame, *, line: str = "value", graph: str | None = No
     escaped = F.col("t").contains("\\u") | F.col("t").contains("\\U")
     kept = kept.where(~escaped).unionByName(kept.where(escaped).select(_unicode("t").alias("t")))
     bad = F.raise_error(F.lit("a line is no N-Quads statement")).cast("string")
-    parts = [F.regexp_extract("t", _LINE, i) for i in range(1, 5)]
+    parts = [F.regexp_extract("t", _LINE, i) for i in (1, 2, 3, 7)]
     node = lambda c: F.when(c.startswith("_:"), F.concat(F.lit(f"_:{document}_" if document else "_:"), F.substring(c, F.lit(3), F.length(c)))).otherwise(c)
     default = F.lit(graph).cast("string")
     found = kept.select(*[p.alias(n) for p, n in zip(parts, "spog")]).withColumn("s", F.when(F.col("s") == "", bad).otherwise(node(F.col("s"))))
-    return found.select(F.when(F.col("g") == "", default).otherwise(node(F.col("g"))).alias("g"), "s", "p", canonical(node(F.col("o"))).alias("o"))
+    return found.select(F.when(F.col("g") == "", default).otherwise(node(F.col("g"))).alias("g"), "s", "p", F.when(triples.is_triple(F.col("o")) | F.col("o").endswith(")>>"), _nested(F.col("o"), node)).otherwise(canonical(node(F.col("o")))).alias("o"))
+
+
+def _nested(t: Column, node: Callable[[Column], Column]) -> Column:
+    """A triple term as one text: single spaces, its innermost object canonical, its blank nodes those of the document."""
+    heads, inner, ends = (F.regexp_extract(t, f"^{_OBJECT}$", i) for i in (1, 2, 3))
+    levels = F.regexp_count(heads, F.lit(r"<<\("))
+    one = F.regexp_replace(heads, _HEAD, "<<( $1 $2 ")
+    made = F.concat(F.replace(one, F.lit("<<( _:"), F.concat(F.lit("<<( "), node(F.lit("_:")))), canonical(node(inner)), F.repeat(F.lit(" )>>"), levels))
+    uneven = F.raise_error(F.lit("a line is no N-Quads statement")).cast("string")
+    deep = F.raise_error(F.lit(f"refused: a triple term has more than {triples.DEPTH} levels")).cast("string")
+    return F.when(levels != F.regexp_count(ends, F.lit(r"\)>>")), uneven).when(levels > triples.DEPTH, deep).otherwise(made)
 
 
 def text_bytes(spark: SparkSession, path: str) -> tuple[int, int]:
