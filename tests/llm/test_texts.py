@@ -184,6 +184,15 @@ def test_the_most_alike_template_takes_a_line(spark):
     assert found[7] == 1
 
 
+def test_small_leaves_in_one_row_equal_counted_ones(spark):
+    """Lines of a small leaf meet in one row; counting their tokens one by one, as for large leaves, gives the same templates."""
+    rng = random.Random(9)
+    rows = [(i, -i, i % 7, rng.randint(1, 3), ["one", "two", "<*>", *(rng.choice(["red", "blue", "<*>", f"own{i}"]) for _ in range(6 + i % 7))]) for i in range(60)]
+    varied = spark.createDataFrame(rows, "l1 long, l2 long, leaf long, docs long, tokens array<string>")
+    few, many = (sorted(map(repr, f(varied, F.lit(3), 3, 0.7).collect())) for f in (line_templates._shapes_of_few, line_templates._shapes_of_many))
+    assert few == many and len(few) == 60 and any("wild=[" in x for x in few) and any("wild=None" in x for x in few)
+
+
 def test_lines_of_copies_are_left_to_document_dedup(spark):
     own = ["\n".join(f"{'abcdefgh'[d]}{'ijklmn'[i]} line of some length here {'abcdefgh'[d]}" for i in range(6)) for d in range(3)]
     shared = "a line that all of them share"
