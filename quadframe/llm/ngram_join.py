@@ -9,8 +9,8 @@ n - ceil(threshold n) + 1 of each (the prefix).
 3. Lists are expanded to nodes; of lists of the same nodes one stays.  Each node is paired with its list's pivot; parity bitmaps rule
    out most pairs with certainty, and the texts of the rest are compared.  Links give components.
 4. Only pairs of a list that are not yet in one component can add something.  Nodes apart from their
-   pivot's component are paired with a new pivot, some rounds long, then, in blocks, with every other node that is
-   still apart.
+   pivot's component are paired with a new pivot, another one in each list, some rounds long, then, in blocks, with every
+   other node that is still apart; a pair that many lists have is met in one of them.
 
 So a group of near copies costs pairs in proportion to its nodes, yet no link between
 components is lost: what is left out would join documents that are already joined.
@@ -361,11 +361,13 @@ def link_documents(df: DataFrame, *, key: str = "doc_id", text: str = "text", wo
     discard(every)
 
     tried, labels, apart = [], None, lists
-    for _ in range(ROUNDS):
-        # every node of a list that is apart from the pivots so far meets the list's next pivot
-        pivots = apart.groupBy("list").agg(F.min("node").alias("pivot"), F.max("node").alias("top"), F.count("*").alias("k")).where("pivot <> top").select("list", "pivot", "k")
+    for turn in range(ROUNDS):
+        # every node of a list that is apart from the pivots so far meets the list's next pivot; after the first round lists
+        # that share nodes have pivots of their own, so that a group of near copies is met from many sides at once
+        pivot = F.min_by("node", F.xxhash64("list", "node")) if turn else F.min("node")
+        pivots = apart.groupBy("list").agg(pivot.alias("pivot"), F.min("node").alias("low"), F.max("node").alias("top"), F.count("*").alias("k")).where("low <> top").select("list", "pivot", "k")
         stars = written(join_hot(apart, written(pivots, "pivots"), ["list"], "k"), "stars")
-        pairs = stars.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
+        pairs = stars.where("node <> pivot").select(F.least("pivot", "node").alias("a"), F.greatest("pivot", "node").alias("b")).distinct()
         for old in tried:
             pairs = pairs.join(old, ["a", "b"], "left_anti")
         tried.append(written(pairs, "tried"))
@@ -392,15 +394,16 @@ def link_documents(df: DataFrame, *, key: str = "doc_id", text: str = "text", wo
     return found.select(F.col("doc").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("doc").isNotNull(), F.coalesce("component", "doc")).alias("component_id"))
 
 
-def _may_link(rows: list[tuple], others: list[tuple], num: int, den: int) -> Iterator[tuple[int, int]]:
-    """Pairs of nodes (node, n, c, main, bits) in different components that sizes and bitmaps allow to link."""
+def _may_link(name: int, rows: list[tuple], others: list[tuple], num: int, den: int) -> Iterator[tuple[int, int]]:
+    """Pairs of nodes (node, n, c, main, bits, names) in different components that sizes and bitmaps allow to link, but those
+    whose least common name is not ``name``: a list of that name has them too."""
     by_width: dict[int, list[tuple]] = {}
     for y in others:
         by_width.setdefault(len(y[4]), []).append(y)
-    packed = [(w, ys, np.frombuffer(b"".join(y[4] for y in ys), np.uint8).reshape(len(ys), w), *(np.array([y[i] for y in ys], np.int64) for i in (0, 1, 2)), np.array([y[3] for y in ys])) for w, ys in by_width.items()]
-    for node, n, c, main, bits in rows:
-        own = np.frombuffer(bits, np.uint8)
-        for w, _, table, other, m, oc, omain in packed:
+    packed = [(w, ys, np.frombuffer(b"".join(y[4] for y in ys), np.uint8).reshape(len(ys), w), *(np.array([y[i] for y in ys], np.int64) for i in (1, 2)), np.array([y[3] for y in ys]), [set(y[5]) for y in ys]) for w, ys in by_width.items()]
+    for node, n, c, main, bits, names in rows:
+        own, mine = np.frombuffer(bits, np.uint8), set(names)
+        for w, ys, table, m, oc, omain, theirs in packed:
             fit = (oc != c) & ~(omain & main) & (den * np.minimum(m, n) >= num * np.maximum(m, n))
             if not fit.any():
                 continue
@@ -410,15 +413,17 @@ def _may_link(rows: list[tuple], others: list[tuple], num: int, den: int) -> Ite
             while b.shape[1] > len(a):
                 b = b[:, : b.shape[1] // 2] ^ b[:, b.shape[1] // 2 :]
             apart = np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64)
-            for x in other[fit][(den + num) * apart <= (den - num) * (m[fit] + n)].tolist():
-                yield (node, x) if node < x else (x, node)
+            for i in np.flatnonzero(fit)[(den + num) * apart <= (den - num) * (m[fit] + n)].tolist():
+                if min(mine & theirs[i]) == name:
+                    yield (node, ys[i][0]) if node < ys[i][0] else (ys[i][0], node)
 
 
 def _rest(lists: DataFrame, labels: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
     """a, b: the pairs of a list with more than one component that may still link, but those inside its largest component.
 
     The pairs of a list of at most SMALL nodes are rows.  The nodes of a larger one are dealt to blocks of about BLOCK;
-    a row is a pair of blocks, compared in array passes, so it is many bounded rows and its pairs never are.
+    a row is a pair of blocks, compared in array passes, so it is many bounded rows and its pairs never are.  Near copies are in
+    many of these lists together; a node carries their names (32 bits each; of two lists of one name each has the pair), so a pair is made once.
     """
     named = written(lists.join(_named(labels, "node", "component"), "node", "left").select("list", "node", F.coalesce("component", "node").alias("c")), "named")
     sizes = named.groupBy("list", "c").agg(F.count("*").alias("k"))
@@ -433,16 +438,17 @@ def _rest(lists: DataFrame, labels: DataFrame, nodes: DataFrame, num: int, den:
     met = apart.join(every, "list").where("c <> oc AND (oc = m OR node < other)")
     small = _near(met.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct(), nodes, num, den)
     rows = mixed.where(F.col("k") > SMALL).select("list", "node", "c", (F.col("c") == F.col("m")).alias("main"), F.pmod(F.xxhash64("node"), F.col("blocks")).alias("block"))
-    rows = rows.join(nodes.select("node", "n", "bits"), "node")
-    packed = written(rows.groupBy("list", "block").agg(F.collect_list(F.struct("node", "n", "c", "main", "bits")).alias("rows"), F.min("main").alias("all_main")), "blocks")
+    names = rows.groupBy("node").agg(F.collect_set(F.hash("list")).alias("names"))
+    rows = rows.join(nodes.select("node", "n", "bits"), "node").join(names, "node")
+    packed = written(rows.groupBy("list", "block").agg(F.collect_list(F.struct("node", "n", "c", "main", "bits", "names")).alias("rows"), F.min("main").alias("all_main")), "blocks")
     one, two = (packed.select("list", F.col("block").alias(f"block_{x}"), F.col("rows").alias(f"rows_{x}"), F.col("all_main").alias(f"main_{x}")) for x in "ab")
-    both = one.join(two, "list").where("block_a <= block_b AND NOT (main_a AND main_b)").select("rows_a", "rows_b")
+    both = one.join(two, "list").where("block_a <= block_b AND NOT (main_a AND main_b)").select(F.hash("list").alias("name"), "rows_a", "rows_b")
 
     def compare(batches):
         for b in slices(batches, 50):
             found: set[tuple[int, int]] = set()
-            for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                found.update(_may_link([tuple(r.values()) for r in x], [tuple(r.values()) for r in y], num, den))
+            for name, x, y in zip(*(c.to_pylist() for c in b.columns)):
+                found.update(_may_link(name, [tuple(r.values()) for r in x], [tuple(r.values()) for r in y], num, den))
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in zip(*sorted(found))], ["a", "b"])
 

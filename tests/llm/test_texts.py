@@ -469,3 +469,12 @@ def test_parity_bits_never_rule_out_too_much():
         b = np.unique(np.r_[rng.choice(a, rng.integers(0, len(a) + 1), replace=False), rng.integers(0, 2**63, rng.integers(0, 60)).astype(np.uint64)])
         if len(b):
             assert ngram_join.differing_bits(ngram_join.parity_bits(a), ngram_join.parity_bits(b)) <= len(np.setxor1d(a, b))
+
+
+def test_a_pair_of_many_lists_is_made_in_one_of_them():
+    bits = ngram_join.parity_bits(np.arange(40, dtype=np.uint64))
+    # nodes in components of their own, of which all are in the lists 3 and 5, and the last ones in list 7 too
+    rows = [(node, 40, node, False, bits, [5, 3, 7] if node >= 20 else [3, 5]) for node in range(30)]
+    made = [pair for name in (3, 5, 7) for pair in ngram_join._may_link(name, rows, [x for x in rows if name in x[5]], 75, 100)]
+    assert {pair for pair in made if pair[0] != pair[1]} == {(a, b) for a in range(30) for b in range(a + 1, 30)}
+    assert {x for x in ngram_join._may_link(5, rows, rows, 75, 100)} == set() == {x for x in ngram_join._may_link(7, rows, rows, 75, 100)}
