@@ -91,12 +91,13 @@ def prefix_length(n: int, num: int, den: int) -> int:
 
 
 def parity_bits(shingles: np.ndarray) -> bytes:
-    """A bitmap of 4 to 8 bits per shingle, a power of two, each the parity of the shingles it stands for.
+    """A bitmap of a power of two of bits, each the parity of the shingles it stands for: 4 to 8 per shingle up to 256 in all, beyond that 1 to 2.
 
     Bits that differ between two bitmaps need a shingle each that only one set has, so their number is at most that of
-    such shingles; the longer bitmap folds onto the shorter.
+    such shingles; the longer bitmap folds onto the shorter.  Of sets with nothing in common about half of the bits differ, and
+    a link allows for 2/7 of the shingles' number, so long sets are told apart by few bits per shingle.
     """
-    bits = 1 << max(3, (4 * len(shingles) - 1).bit_length())
+    bits = 1 << max(3, min(8, (4 * len(shingles) - 1).bit_length()), (len(shingles) - 1).bit_length())
     counts = np.bincount((shingles & np.uint64(bits - 1)).astype(np.int64), minlength=bits)
     return np.packbits((counts & 1).astype(np.uint8), bitorder="little").tobytes()
 

@@ -478,3 +478,14 @@ def test_a_pair_of_many_lists_is_made_in_one_of_them():
     made = [pair for name in (3, 5, 7) for pair in ngram_join._may_link(name, rows, [x for x in rows if name in x[5]], 75, 100)]
     assert {pair for pair in made if pair[0] != pair[1]} == {(a, b) for a in range(30) for b in range(a + 1, 30)}
     assert {x for x in ngram_join._may_link(5, rows, rows, 75, 100)} == set() == {x for x in ngram_join._may_link(7, rows, rows, 75, 100)}
+
+
+def test_short_bitmaps_of_long_sets_tell_them_apart():
+    rng = np.random.default_rng(8)
+    for n in (100, 500, 1000):
+        a, b = (np.unique(rng.integers(0, 2**63, n).astype(np.uint64)) for _ in "ab")
+        near = np.unique(np.r_[a[: n - n // 8], b[: n // 8]])
+        x, y, z = map(ngram_join.parity_bits, (a, b, near))
+        assert len(x) * 8 <= max(256, 2 * n)
+        allowed = lambda p, q, m, k: 175 * ngram_join.differing_bits(p, q) <= 25 * (m + k)
+        assert not allowed(x, y, len(a), len(b)) and allowed(x, z, len(a), len(near))
