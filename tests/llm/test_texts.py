@@ -184,6 +184,22 @@ def test_the_most_alike_template_takes_a_line(spark):
     assert found[7] == 1
 
 
+def test_every_template_of_a_segment_is_met(spark):
+    """The template most like a line may be the most frequent one in none of its segments."""
+    pairs = ["a1 a2".replace("1", "x").replace("2", "y"), "bx by", "cx cy", "dx dy"]
+    own = lambda k: [f"{'pqr'[k]}{c}x {'pqr'[k]}{c}y" for c in "klmn"]
+    rivals = [" ".join(["we saw one", *(pairs[i] if i == k else x for i, x in enumerate(own(k)))]) for k in range(3)]
+    best = " ".join(["we saw one", *pairs])
+    texts = [x for x in rivals for _ in range(5)] + [best] * 3 + [best.replace("dy", "zz")]
+    df = frame(spark, texts)
+    con = duckdb.connect()
+    con.register("documents", df.select("doc_id", "text").toPandas())
+    for every in (False, True):
+        found = {r.doc_id: r.n_dropped for r in line_templates.drop_recurring_lines(df, every=every).collect()}
+        assert con.execute(f"SELECT doc_id, n_dropped FROM ({line_templates.oracle('doc_id, n_dropped', every=every)}) ORDER BY doc_id").fetchall() == sorted(found.items())
+        assert found[18] == every
+
+
 def test_small_leaves_in_one_row_equal_counted_ones(spark):
     """Lines of a small leaf meet in one row; counting their tokens one by one, as for large leaves, gives the same templates."""
     rng = random.Random(9)
