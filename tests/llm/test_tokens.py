@@ -31,6 +31,28 @@ def test_pieces_give_the_librarys_ids(vocabulary, name):
         assert found == [x.ids for x in coder.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_a_worker_holds_a_vocabulary_once(vocabulary, monkeypatch, name):
+    import tokenizers
+
+    library, loads = tokenizers.Tokenizer, []
+
+    class Counted:
+        def __new__(cls, model):
+            return library(model)
+
+        @staticmethod
+        def from_file(path):
+            loads.append(path)
+            return library.from_file(path)
+
+    monkeypatch.setattr(tokenizers, "Tokenizer", Counted)
+    coder, texts = shared.PieceEncoder(vocabulary(name)), ["Plain words, 12 of them", "  a\tb ", "日本語 mixed", "<|endoftext|> x", ""]
+    assert len(loads) == 1
+    want = library.from_file(vocabulary(name))
+    assert [x.tolist() for x in coder.encode_all(texts)] == [want.encode(x, add_special_tokens=False).ids for x in texts]
+
+
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 def test_added_tokens_are_the_librarys(vocabulary, name):
     from tokenizers import Tokenizer
