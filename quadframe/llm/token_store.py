@@ -16,6 +16,7 @@ chunk's digest, every document's root and every manifest.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import itertools
 import zlib
@@ -111,30 +112,40 @@ def document_root(digests: bytes) -> bytes:
 _POLYNOMIAL = 0xEDB88320
 
 
-def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Product of two polynomials modulo the CRC polynomial, bit 31 being x^0, elementwise."""
-    a, b, out = a.astype(np.uint32), b.astype(np.uint32), np.zeros(len(a), np.uint32)
+def _times(a: int, b: int) -> int:
+    """Product of two polynomials modulo the CRC polynomial, bit 31 being x^0."""
+    out = 0
     for bit in range(31, -1, -1):
-        out ^= np.where(a >> np.uint32(bit) & np.uint32(1), b, np.uint32(0))
-        b = (b >> np.uint32(1)) ^ np.where(b & np.uint32(1), np.uint32(_POLYNOMIAL), np.uint32(0))
+        out ^= b if a >> bit & 1 else 0
+        b = b >> 1 ^ (_POLYNOMIAL if b & 1 else 0)
     return out
 
 
-def _shift(n_bytes: np.ndarray) -> np.ndarray:
-    """x^(8 n) modulo the CRC polynomial."""
-    out, square = np.full(len(n_bytes), 1 << 31, np.uint32), np.array([1 << 23], np.uint32)
-    left = n_bytes.astype(np.uint64)
-    while left.any():
-        odd = np.flatnonzero(left & np.uint64(1))
-        out[odd] = _times(out[odd], np.repeat(square, len(odd)))
-        square, left = _times(square, square), left >> np.uint64(1)
-    return out
+@functools.cache
+def _power(k: int) -> int:
+    """x^(8 * 2^k) modulo the CRC polynomial."""
+    return _times(_power(k - 1), _power(k - 1)) if k else 1 << 23
+
+
+@functools.cache
+def _moved(k: int) -> np.ndarray:
+    """What each value of each byte of a CRC-32 becomes 2^k bytes further on; the four shares meet by exclusive or."""
+    table = np.zeros((4, 256), np.uint32)
+    for byte in range(4):
+        for bit in range(8):
+            table[byte, 1 << bit : 2 << bit] = table[byte, : 1 << bit] ^ np.uint32(_times(1 << 8 * byte + bit, _power(k)))
+    return table
 
 
 def crc_terms(crc: np.ndarray, rest: np.ndarray) -> np.ndarray:
     """What a part contributes to the CRC-32 of a whole, ``rest`` bytes before its end:
     the whole's CRC-32 is the exclusive or of its parts' terms."""
-    return _times(crc, _shift(rest)).astype(np.int64)
+    out, left = crc.astype(np.uint32), rest.astype(np.uint64)
+    for k in range(int(left.max(initial=0)).bit_length()):
+        odd = np.flatnonzero(left >> np.uint64(k) & np.uint64(1))
+        own, table = out[odd], _moved(k)
+        out[odd] = table[0, own & 255] ^ table[1, own >> 8 & 255] ^ table[2, own >> 16 & 255] ^ table[3, own >> 24]
+    return out.astype(np.int64)
 
 
 # ---------------------------------------------------------------- write
@@ -161,7 +172,7 @@ def write_store(df: DataFrame, path: str, tokenizer: str, *, key: str = "doc_id"
                 ids = np.concatenate([x for one in part for x in (one, end)])
                 documents = np.cumsum([len(x) + 1 for x in part])
                 data, at = ids.tobytes(), 0
-                chunks, recipes = [], []
+                chunks, recipes, lengths = [], [], []
                 for stop, ends, k in zip(documents.tolist(), chunk_ends(ids, documents), keys):
                     digests, last = [], 0
                     for e in ends:
@@ -170,9 +181,10 @@ def write_store(df: DataFrame, path: str, tokenizer: str, *, key: str = "doc_id"
                         if d not in seen:
                             seen.add(d)
                             chunks.append((d, e - last, piece))
+                        lengths.append(e - last)
                         last = e
                     joined = b"".join(digests)
-                    recipes.append((int(k).to_bytes(8, "big", signed=True) + b"%d.%d" % (task, row), stop - at, document_root(joined), joined, np.diff(ends, prepend=0)))
+                    recipes.append((int(k).to_bytes(8, "big", signed=True) + b"%d.%d" % (task, row), stop - at, document_root(joined), joined, len(digests)))
                     at, row = stop, row + 1
                 if len(seen) > 200_000:
                     seen.clear()
@@ -180,8 +192,9 @@ def write_store(df: DataFrame, path: str, tokenizer: str, *, key: str = "doc_id"
                     d, n, piece = zip(*chunks)
                     none = pa.nulls(len(d), pa.binary())
                     yield pa.RecordBatch.from_arrays([pa.array(["chunk"]).take(pa.array(np.zeros(len(d), np.int8))), pa.array(d, pa.binary()), pa.array(n, pa.int32()), none, pa.array(piece, pa.binary()), pa.nulls(len(d), pa.list_(pa.int32()))], names)
-                d, n, root, joined, lengths = zip(*recipes)
-                yield pa.RecordBatch.from_arrays([pa.array(["recipe"] * len(d)), pa.array(d, pa.binary()), pa.array(n, pa.int32()), pa.array(root, pa.binary()), pa.array(joined, pa.binary()), pa.array(lengths, pa.list_(pa.int32()))], names)
+                d, n, root, joined, counts = zip(*recipes)
+                lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *counts]), pa.int32()), pa.array(lengths, pa.int32()))
+                yield pa.RecordBatch.from_arrays([pa.array(["recipe"] * len(d)), pa.array(d, pa.binary()), pa.array(n, pa.int32()), pa.array(root, pa.binary()), pa.array(joined, pa.binary()), lists], names)
 
     names = ["kind", "id", "n", "root", "payload", "lengths"]
     rows = df.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("k"), F.col(text).cast("string").alias("t")).mapInArrow(cut, schema)

@@ -53,6 +53,33 @@ def test_a_worker_holds_a_vocabulary_once(vocabulary, monkeypatch, name):
     assert [x.tolist() for x in coder.encode_all(texts)] == [want.encode(x, add_special_tokens=False).ids for x in texts]
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_new_pre_tokens_go_to_the_library_together(vocabulary, name):
+    coder, sent = shared.PieceEncoder(vocabulary(name)), []
+    single = coder.single
+
+    class Counted:
+        @staticmethod
+        def encode_batch_fast(texts, **more):
+            sent.extend(texts)
+            return single.encode_batch_fast(texts, **more)
+
+    coder.single = Counted
+    letters = "abcdefghé"
+    texts = [" ".join(a + b + c + "x" for b in letters for c in letters) for a in letters] + ["a\x1fb", "c\x1e", "\x00 d\x00", "e"]
+    assert [x.tolist() for x in coder.encode_all(texts)] == [coder.tokenizer.encode(x, add_special_tokens=False).ids for x in texts]
+    assert len(sent) <= 4  # 729 words and a few more
+
+
+def test_crc32_of_parts():
+    data = np.random.default_rng(3).bytes(70_000)
+    cuts = [0, 1, 1, 4, 300, 65_536, 69_999, 70_000]
+    parts = [data[a:b] for a, b in zip(cuts, cuts[1:])]
+    terms = token_store.crc_terms(np.array([zlib.crc32(x) for x in parts]), len(data) - np.array(cuts[1:]))
+    assert np.bitwise_xor.reduce(terms) == zlib.crc32(data)
+    assert len(token_store.crc_terms(np.zeros(0, np.int64), np.zeros(0, np.int64))) == 0
+
+
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 def test_added_tokens_are_the_librarys(vocabulary, name):
     from tokenizers import Tokenizer
