@@ -209,6 +209,26 @@ def test_small_leaves_in_one_row_equal_counted_ones(spark):
     assert few == many and len(few) == 60 and any("wild=[" in x for x in few) and any("wild=None" in x for x in few)
 
 
+def test_even_lines_and_others_of_equal_tokens_are_one(spark):
+    lines = ["a b c d e", "a  b c d e", " a b c d e", "a b\tc d e ", "a b c 12 e", "a b c <*> e", "a b c 7x\u00e9 e", "1 2 3 d", "1 2 4 d", "x", "\u00e9 y", " x\r", "ab c d e", "a b c de"]
+    told = line_templates._told(spark.createDataFrame(list(enumerate(lines)), "i int, line string"), 3, 0.5)
+    plan = told._jdf.queryExecution().optimizedPlan().toString()
+    assert "substring_index" in plan  # even lines are hashed as they are, not token by token
+    found = {r["i"]: r for r in told.collect()}
+
+    def tokens(x):
+        raw = x.split()
+        masked = ["<*>" if any("0" <= c <= "9" for c in t) else t for t in raw]
+        return tuple(masked if sum(t != "<*>" for t in masked) >= 0.5 * len(masked) else raw)
+
+    for i, x in enumerate(lines):
+        assert found[i]["n"] == len(tokens(x))
+        for j, y in enumerate(lines):
+            same, leaf = tokens(x) == tokens(y), (len(tokens(x)), tokens(x)[:3]) == (len(tokens(y)), tokens(y)[:3])
+            assert ([found[i][c] for c in ("l1", "l2")] == [found[j][c] for c in ("l1", "l2")]) == same
+            assert (found[i]["leaf"] == found[j]["leaf"]) == leaf
+
+
 def test_lines_of_copies_are_left_to_document_dedup(spark):
     own = ["\n".join(f"{'abcdefgh'[d]}{'ijklmn'[i]} line of some length here {'abcdefgh'[d]}" for i in range(6)) for d in range(3)]
     shared = "a line that all of them share"
