@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import BASE, discard, join_hot, mixed, partitions, run_hashes, slices, written
@@ -86,6 +86,23 @@ def shingle_sets(texts: list[bytes | None], n: int = WORDS) -> Iterator[np.ndarr
             yield from _group_sets(group, n)
 
 
+def likeness_links(a: Column, b: Column, words: int = WORDS, num: int = NUMERATOR, den: int = DENOMINATOR) -> Column:
+    """Whether two texts link, by the rule of ``link_documents`` in one expression, for pairs that are known beforehand."""
+
+    def shingles(text: Column) -> Column:
+        lower = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+        found = F.filter(F.split(F.coalesce(lower, F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+        # the array of words is made once, as an array of one that is taken apart again
+        every = lambda w: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - words + 1, F.lit(1))), lambda i: F.xxhash64(F.slice(w, i, words))))
+        return F.element_at(F.transform(F.array(found), lambda w: F.when(F.size(w) > 0, every(w)).otherwise(F.array().cast("array<bigint>"))), 1)
+
+    def enough(x: Column) -> Column:
+        shared = F.size(F.array_intersect(x["a"], x["b"]))
+        return (shared > 0) & (den * shared >= num * (F.size(x["a"]) + F.size(x["b"]) - shared))
+
+    return F.element_at(F.transform(F.array(F.struct(shingles(a).alias("a"), shingles(b).alias("b"))), enough), 1)
+
+
 def prefix_length(n: int, num: int, den: int) -> int:
     return n - -(-num * n // den) + 1 if n else 0
 

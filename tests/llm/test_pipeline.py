@@ -136,3 +136,33 @@ def test_repeated_and_missing_ids(spark, folder):
     times = Counter(r.text for r in two.collect())
     assert two.columns == docs.columns and max(times.values()) <= 2 and 1.3 * len(many) < sum(times.values()) < 1.7 * len(many)
     assert any(r.doc_id is None for r in two.collect())
+
+
+def test_lines_of_parts_of_a_longer_document_go(spark, folder):
+    """A part owes all of its lines to the longer document, but is no near duplicate of it: no later stage takes it out.  A copy is left to the next stage."""
+    import random
+
+    rng = random.Random(5)
+    lines = [" ".join("".join(rng.choice("abcdefghijkl") for _ in range(6)) for _ in range(9)) for _ in range(40)]
+    part = "\n".join(lines[:3])
+    copy, another = ("\n".join([*lines[:-1], f"an end that only the {x} has"]) for x in ("copy", "other"))
+    texts = {1: "\n".join(lines), 2: part, 3: part + "\na line of its own", 4: copy, 5: another}
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in texts.items()], COLUMNS)
+    two = corpus_pipeline.line_dedup(spark, docs, folder).cache()
+    found = {r.doc_id: r.text for r in two.collect()}
+    assert found[2] == "" and found[3] == "a line of its own" and (found[4], found[5]) == (copy, another)
+    left = {r.doc_id: r.text for r in corpus_pipeline.near_duplicates(spark, two, folder).collect()}
+    assert not {part, copy, another} & set(left.values()) and left[3] == "a line of its own"
+
+
+def test_all_templates_of_a_segment_are_tried(spark, folder):
+    """The template most like a line is the most frequent one in none of its segments."""
+    pairs, own = ["ax ay", "bx by", "cx cy", "dx dy"], [[f"{p}{c}x {p}{c}y" for c in "klmn"] for p in "pqr"]
+    rivals = [" ".join(["we saw one", *(pairs[i] if i == k else x for i, x in enumerate(own[k]))]) for k in range(3)]
+    best = " ".join(["we saw one", *pairs])
+    lines = [x for x in rivals for _ in range(5)] + [best] * 3 + [best.replace("dy", "zz")]
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    ends = [" ".join(f"{letters[i]}{letters[j]}own" for j in range(20)) for i in range(len(lines))]
+    docs = spark.createDataFrame([(i, f"{x}\n{y}", "en", "a", 0) for i, (x, y) in enumerate(zip(lines, ends))], COLUMNS)
+    found = {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, docs, folder).collect()}
+    assert found[15] == f"{best}\n{ends[15]}" and found[18] == ends[18]

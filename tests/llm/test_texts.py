@@ -525,3 +525,15 @@ def test_short_bitmaps_of_long_sets_tell_them_apart():
         assert len(x) * 8 <= max(256, 2 * n)
         allowed = lambda p, q, m, k: 175 * ngram_join.differing_bits(p, q) <= 25 * (m + k)
         assert not allowed(x, y, len(a), len(b)) and allowed(x, z, len(a), len(near))
+
+
+def test_links_of_known_pairs_equal_the_join(spark):
+    rng = random.Random(6)
+    base = sentence("en", rng, 40).split()
+    texts = [None, "", " \n", "a b", "A  b\n", "a b c d e", " ".join(base), " ".join(base).upper(), "\t".join(base), " ".join(base + base), " ".join(base[:33]), " ".join(base[:35]), " ".join(base[4:]), " ".join([*base[:20], "new", *base[21:]]), " ".join([*base[:38], "new"])]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    pairs = rows.crossJoin(rows.select(F.col("i").alias("j"), F.col("t").alias("u"))).where("i < j")
+    sets = [set(x.tolist()) for x in ngram_join.shingle_sets([None if t is None else t.encode() for t in texts])]
+    want = {(i, j): bool(sets[i]) and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]) for i in range(len(texts)) for j in range(i + 1, len(texts))}
+    assert {(r.i, r.j): r.linked for r in pairs.select("i", "j", ngram_join.likeness_links(F.col("t"), F.col("u")).alias("linked")).collect()} == want
+    assert any(want.values()) and not all(want.values())
