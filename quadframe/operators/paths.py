@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..scratch import written
@@ -54,13 +55,14 @@ def zero_or_one(edges: DataFrame, nodes_: DataFrame) -> DataFrame:
 GROWTH = 4
 
 
-def jumps(edges: DataFrame) -> tuple[list[DataFrame], bool]:
+def jumps(edges: DataFrame, most: int | None = None) -> tuple[list[DataFrame], bool]:
     """Pairs that a walk of 1, 2, 4, ... edges joins, a table for each length, and whether these are all that there are.
 
     A chain, a tree towards its root or a ring has no more jumps of any length than edges, so a path of any length is a few jumps.  In a dense graph
     they would be very many and its paths are short: lengths end where the number of pairs, known from the degrees before they are made, is over GROWTH for each edge.
+    No path without a repeated node has more than ``most`` nodes; that is all nodes, if nothing less is known.
     """
-    most, size = nodes(edges.select("s", "o")).count(), edges.count()
+    most, size = most or nodes(edges.select("s", "o")).count(), edges.count()
     levels = [edges]
     while 1 << len(levels) <= most:
         last = levels[-1]
@@ -116,18 +118,83 @@ def one_or_more(edges: DataFrame, starts: DataFrame | None = None, ends: DataFra
         parts.append(fresh)
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """n, component: the strongly connected component of each node, named by one of its nodes.
+def _numbers(seed: int, *ends: str) -> list[Column]:
+    """64 bits of terms; see ``_numbered`` for terms that share them."""
+    return [F.xxhash64(F.lit(seed), end) for end in ends]
+
+
+def _parents(links: DataFrame) -> DataFrame:
+    """v, p, over: the smallest of each node of (a, b) and its neighbours, and by how much more links leave it than enter it."""
+    both = links.select(F.col("a").alias("v"), F.col("b").alias("w"), F.lit(1).alias("d")).union(links.select("b", "a", F.lit(-1)))
+    return both.groupBy("v").agg(F.least("v", F.min("w")).alias("p"), F.sum("d").alias("over"))
+
+
+def _numbered(edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Links (a, b) of numbers, the names (v, n) of these, and their ``_parents``.
+
+    Rounds on numbers move far less than those on terms.  Two terms of one number are seen by the counts, and all are numbered anew.
+    """
+    edges = written(edges.select("s", "o").where("s IS NOT NULL AND o IS NOT NULL"), "edges")
+    for seed in itertools.count():
+        links = edges.select(*[x.alias(y) for x, y in zip(_numbers(seed, "s", "o"), "ab")])
+        parents = written(_parents(links), "parents")
+        ends = edges.select(F.col("s").alias("n")).union(edges.select("o")).select(_numbers(seed, "n")[0].alias("v"), "n")
+        names = written(ends.repartition("v").distinct(), "names")
+        if names.count() == parents.count():
+            return links, names, parents
+
+
+def _joined(links: DataFrame, parents: DataFrame) -> DataFrame:
+    """v, c: the node that names the component of each, directions aside.
+
+    A round takes every node to the parent of its parent and keeps the links between different ones; each component loses its largest node at least, and, as numbers are
+    hashes, most of its nodes, so that the rounds grow with the logarithm of its size and their work falls by a factor.
+    """
+    steps, parents = [], parents.select("v", "p")
+    while True:
+        steps.append(written(parents.join(parents.select(F.col("v").alias("p"), F.col("p").alias("c")), "p").select("v", "c"), "step"))
+        to = lambda end: steps[-1].select(F.col("v").alias(end), F.col("c").alias(f"c{end}"))
+        links = written(links.where("a != b").join(to("a"), "a").join(to("b"), "b").where("ca != cb").select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).distinct(), "joined")
+        if links.isEmpty():
+            break
+        parents = written(_parents(links).select("v", "p"), "parents")
+    labels = steps.pop()
+    for step in reversed(steps):
+        labels = written(step.join(labels.select(F.col("v").alias("c"), F.col("c").alias("up")), "c", "left").select("v", F.coalesce("up", "c").alias("c")), "labels")
+    return labels
+
+
+def _strong(edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The names (v, n) of nodes, their strongly connected component (v, c), and pairs (s, o) of components that an edge joins, inside one or from one to another.
+
+    A component, directions aside, of which every node is left as often as it is entered has a walk through all of its edges (Euler), so it is a strongly connected one: rings are
+    done.  Only the others are searched.
+    """
+    links, names, parents = _numbered(edges)
+    labels, uneven = _joined(links, parents), parents.where("over != 0").select("v")
+    if uneven.isEmpty():
+        return names, labels, labels.where("v = c").select(F.col("c").alias("s"), F.col("c").alias("o"))
+    open_ = written(labels.join(uneven, "v", "left_semi").select("c").distinct(), "open")
+    apart = written(labels.join(open_, "c", "left_semi").select("v", "c"), "apart")
+    rest = written(links.distinct().join(apart.select(F.col("v").alias("a")), "a", "left_semi").toDF("s", "o"), "rest")
+    found = _colored(rest, apart.groupBy("c").count().agg(F.max("count")).first()[0])
+    of = lambda end: found.select(F.col("n").alias(end), F.col("component").alias(f"c{end}"))
+    ends = rest.join(of("s"), "s").join(of("o"), "o").select("cs", "co").distinct()
+    done = labels.join(open_, "c", "left_anti").select("v", "c")
+    return names, written(done.union(found), "labels"), written(done.where("v = c").select("c", "c").union(ends).toDF("s", "o"), "ends")
+
+
+def _colored(edges: DataFrame, most: int) -> DataFrame:
+    """n, component of distinct edges, no path of which has more than ``most`` nodes.
 
     Forward-backward colouring: the largest priority (a hash, so that no order of names is a bad one) that reaches a node is its colour; the
     nodes of a colour that reach the node it comes from are that one's component, and the rest goes on with the edges inside colours.  Both searches run by jumps.
     """
-    edges = written(edges.select("s", "o").distinct(), "edges")
     every, found = written(nodes(edges), "nodes"), []
     live = written(edges.where(F.col("s") != F.col("o")), "live")
     while not live.isEmpty():
         color = written(nodes(live).withColumn("c", F.struct(F.xxhash64("n").alias("h"), F.col("n").alias("root"))), "color")
-        levels, whole = jumps(live)
+        levels, whole = jumps(live, most)
         while True:
             before = color
             for level in reversed(levels):
@@ -138,7 +205,7 @@ def components(edges: DataFrame) -> DataFrame:
         of = lambda end: color.select(F.col("n").alias(end), F.col("c.root").alias(f"c{end}"))
         inside = written(live.join(of("s"), "s").join(of("o"), "o").where("cs = co").select("s", "o"), "inside")
         roots = color.where("c.root = n").select(F.col("n").alias("s"), F.col("n").alias("o"))
-        own = written(_from(written(roots, "roots"), *jumps(inverse(inside))) if not inside.isEmpty() else roots, "component")
+        own = written(_from(written(roots, "roots"), *jumps(inverse(inside), most)) if not inside.isEmpty() else roots, "component")
         found.append(own.select(F.col("o").alias("n"), F.col("s").alias("component")))
         left = color.select("n").join(found[-1].select("n"), "n", "left_anti")
         live = written(inside.join(left.select(F.col("n").alias("s")), "s", "left_semi").join(left.select(F.col("n").alias("o")), "o", "left_semi"), "live")
@@ -147,14 +214,20 @@ def components(edges: DataFrame) -> DataFrame:
     return written(every.join(union(*found), "n", "left").withColumn("component", F.coalesce("component", "n")), "components")
 
 
+def components(edges: DataFrame) -> DataFrame:
+    """n, component: the strongly connected component of each node, named by one of its nodes."""
+    names, labels, _ = _strong(edges)
+    first = names.select(F.col("v").alias("c"), F.col("n").alias("component"))
+    return written(names.join(labels, "v").select("n", "c").join(first, "c").select("n", "component"), "components")
+
+
 def reach(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(n, component) of each node and (s, o) of components: which leads to which by at least one edge, itself where it has one inside.
 
-    A ring of any size is one component and one pair; ``expand`` makes the pairs of nodes of it.
+    A ring of any size is one component and one pair; ``expand`` makes the pairs of nodes of it.  Components are numbers here.
     """
-    of = components(edges)
-    ends = edges.join(of.select(F.col("n").alias("s"), F.col("component").alias("cs")), "s").join(of.select(F.col("n").alias("o"), F.col("component").alias("co")), "o").select("cs", "co").distinct()
-    ends = written(ends.toDF("s", "o"), "ends")
+    names, labels, ends = _strong(edges)
+    of = written(names.join(labels, "v").select("n", F.col("c").alias("component")), "components")
     return of, union(one_or_more(ends.where("s != o")), ends.where("s = o")).distinct()
 
 

@@ -79,3 +79,35 @@ def test_jumps_of_a_dense_graph_end(spark):
     df = graph(spark, {(a, b) for a in range(40) for b in range(40) if a != b})
     levels, whole = P.jumps(df)
     assert len(levels) == 1 and not whole
+
+
+def test_many_rings_take_few_tables(spark, monkeypatch):
+    """The rounds follow the largest ring, not the number of all nodes."""
+    made, write = [], P.written
+    monkeypatch.setattr(P, "written", lambda df, label, *more: made.append(label) or write(df, label, *more))
+    sizes = [1 + i % 9 for i in range(600)]
+    df = graph(spark, [(f"{i} {j}", f"{i} {(j + 1) % n}") for i, n in enumerate(sizes) for j in range(n)])
+    found = P.components(df).groupBy("component").agg(F.count("*").alias("n"), F.min(F.split("n", " ")[0]).alias("a"), F.max(F.split("n", " ")[0]).alias("b")).collect()
+    assert sorted((int(r.a), r.n) for r in found) == list(enumerate(sizes)) and all(r.a == r.b for r in found)
+    assert len(made) < 40
+    assert P.one_or_more(df, cycles=True).count() == sum(n * n for n in sizes)
+
+
+@pytest.mark.parametrize("seed", [3, 4])
+def test_rings_beside_other_graphs_by_hand(spark, seed):
+    """Rings end as they are, what hangs on others or is no ring is searched; numbers that terms share are made anew."""
+    rings = [(f"r{k}{i}", f"r{k}{(i + 1) % n}") for k, n in enumerate([1, 2, 5, 8, 3]) for i in range(n)]
+    edges = [*rings, ("r20", "tail"), ("tail", "end"), ("lone", "lone"), ("x", "y"), ("y", "x"), ("x", "y"), *random_edges(12, 14, seed)]
+    df, want = graph(spark, edges), plain_closure(edges)
+    numbers = P._numbers
+    P._numbers = lambda seed, *ends: [F.length(end).cast("long") for end in ends] if seed == 0 else numbers(seed, *ends)
+    try:
+        of = {r.n: r.component for r in P.components(df).collect()}
+        assert sorted(map(tuple, P.one_or_more(df, cycles=True).collect())) == sorted(want)
+    finally:
+        P._numbers = numbers
+    names = {str(x) for e in edges for x in e}
+    assert set(of) == names and set(of.values()) <= names
+    for a in names:
+        for b in names:
+            assert (of[a] == of[b]) == (a == b or ((a, b) in want and (b, a) in want))
