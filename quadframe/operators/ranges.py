@@ -3,15 +3,20 @@
 Values are cut at common quantiles of both sides.  A point lies in one bucket, an interval is sent to each bucket that it reaches into,
 and both meet by an equi-join on the bucket with the exact test inside.  An interval that covers a whole bucket needs no test
 there: its pairs are rows of the result anyway.
+
+Where only the number of partners is asked for, ``count_between`` makes no pairs.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..scratch import written
+
 #: Buckets that a range join cuts values into, for each shuffle partition.
 PER_PARTITION = 8
 
@@ -61,6 +66,45 @@ def join_between(points: DataFrame, intervals: DataFrame, value: Column, low: Co
     return met if condition is None else met.where(condition)
 
 
+def count_between(points: DataFrame, intervals: DataFrame, value: Column, low: Column | None, high: Column | None, count: str = "count") -> DataFrame:
+    """The rows of ``intervals`` with ``low <= value <= high`` for some of ``points``, and in ``count`` for how many: ``join_between`` without its pairs.
+
+    Distinct values and bounds are sorted together, a low bound before its equals and a high one after them; the sum of points so far tells how many are below or up to
+    each, and their difference is the number.  So the work grows with rows of both sides, not with pairs.  Value and bounds are numbers of one type; nulls and NaN
+    meet none.  The driver gets one number for each range of the sort.
+    """
+    real = lambda c: c.isNotNull() & ~F.isnan(c.cast("double"))
+    values = written(points.where(real(value)).groupBy(value.alias("x")).agg(F.count("*").alias("c")), "values")
+    least, most, total = values.agg(F.min("x"), F.max("x"), F.coalesce(F.sum("c"), F.lit(0))).first()
+    bounds = {name: bound for name, bound in (("__low", low), ("__high", high)) if bound is not None}
+    kept = intervals.withColumns(bounds) if bounds else intervals
+    for name in bounds:
+        kept = kept.where(real(F.col(name)))
+    # most intervals may reach no point at all
+    kept = kept.where(F.lit(total > 0))
+    if total and low is not None:
+        kept = kept.where(F.col("__low") <= F.lit(most))
+    if total and high is not None:
+        kept = kept.where(F.col("__high") >= F.lit(least))
+    kept = written(kept, "intervals")
+    ordered = values.select("x", F.lit(1).alias("kind"), "c")
+    for name in bounds:
+        ordered = ordered.union(kept.select(F.col(name), F.lit(0 if name == "__low" else 2), F.lit(0).cast("long")).distinct())
+    at, part = F.col("at"), F.shiftright("at", 33).alias("part")
+    ordered = written(ordered.orderBy("x", "kind").withColumn("at", F.monotonically_increasing_id()), "ordered")
+    sums = sorted(map(tuple, ordered.groupBy(part).agg(F.sum("c")).collect()))
+    before = itertools.accumulate((n for _, n in sums), initial=0)
+    starts = points.sparkSession.createDataFrame([(p, n) for (p, _), n in zip(sums, before)], "part long, before long")
+    so_far = F.sum("c").over(Window.partitionBy("part").orderBy(at).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    told = ordered.withColumn("part", part).withColumn("sum", so_far).where("kind != 1").join(F.broadcast(starts), "part").select("x", "kind", (F.col("sum") + F.col("before")).alias("sum"))
+    told, ends = written(told, "told"), {}
+    for name in bounds:
+        kept = kept.join(told.where(F.col("kind") == (0 if name == "__low" else 2)).select(F.col("x").alias(name), F.col("sum").alias(f"{name}_sum")), name)
+        ends[name] = F.col(f"{name}_sum")
+    found = ends.get("__high", F.lit(total)) - ends.get("__low", F.lit(0))
+    return kept.withColumn("__count", found.cast("long")).where("__count > 0").select(*intervals.columns, F.col("__count").alias(count))
+
+
 def join_near(a: DataFrame, b: DataFrame, left: Column, right: Column, below: float, above: float, condition: Column | None = None, on: Sequence[str] = (), buckets: int | None = None) -> DataFrame:
     """Rows whose values are near: ``right - below <= left <= right + above``; see ``join_between``."""
     return join_between(a, b, left, right - F.lit(below), right + F.lit(above), condition, on, buckets)

@@ -1,12 +1,15 @@
 """Range joins against a plain double loop, and their plans."""
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from quadframe.functions import terms as T
 from quadframe.operators import ranges
+from quadframe.plans import graph  # noqa: F401  (it registers range_join)
+from quadframe.plans.registry import QUERIES
 
 C = F.col
 
@@ -55,3 +58,28 @@ def test_near(spark):
     a, b = (spark.createDataFrame([(i, float(i)) for i in range(60)], f"{n}k int, {n} double") for n in "ab")
     found = ranges.join_near(a, b, C("a"), C("b"), 2, 1, C("ak") != C("bk")).select("ak", "bk").collect()
     assert sorted(map(tuple, found)) == [(i, j) for i in range(60) for j in range(60) if i != j and j - 2 <= i <= j + 1]
+
+
+def test_counts_by_hand(spark):
+    points, spans, a, b = tables(spark, seed=5, hot=20)
+    points, a = [*points, (2000, -0.0), (2001, 0.0)], a.union(spark.createDataFrame([(2000, -0.0), (2001, 0.0)], a.schema))
+    spans, b = [*spans, (0, 0.0, 0.0), (81, -0.0, 5.0), (82, 5.0, 5.0), (82, 5.0, 5.0), (83, 5.0, 4.0)], b.union(spark.createDataFrame([(0, 0.0, 0.0), (81, -0.0, 5.0), (82, 5.0, 5.0), (82, 5.0, 5.0), (83, 5.0, 4.0)], b.schema))
+    for low, high in ((True, True), (True, False), (False, True), (False, False)):
+        holds = lambda x, lo, hi: not (x is None or low and lo is None or high and hi is None) and x == x and (not low or lo <= x) and (not high or x <= hi)  # noqa: B023, E731
+        want = [(i, sum(holds(x, lo, hi) for _, x in points)) for i, lo, hi in spans]
+        found = ranges.count_between(a, b, C("x"), C("lo") if low else None, C("hi") if high else None, "points")
+        assert found.columns == [*b.columns, "points"]
+        assert sorted(map(tuple, found.select("i", "points").collect())) == sorted(x for x in want if x[1])
+    assert ranges.count_between(a.limit(0), b, C("x"), C("lo"), C("hi")).collect() == [] == ranges.count_between(a, b.limit(0), C("x"), C("lo"), C("hi")).collect()
+
+
+def test_many_parts_of_one_price_are_counted_without_pairs(spark, tmp_path):
+    """A billion pairs and more, which are not made."""
+    n, m = 60_000, 25_000
+    spark.range(n).select(C("id").alias("p_partkey"), F.lit(900.0).alias("p_retailprice")).write.parquet(str(tmp_path / "part.parquet"))
+    lines = spark.range(m).select(C("id").alias("l_orderkey"), F.lit(1).alias("l_linenumber"), F.when(C("id") % 5 == 0, 1.0).otherwise(1800.0).alias("l_extendedprice"), F.lit(2.0).alias("l_quantity"))
+    lines.union(lines.where("l_orderkey = 1")).write.parquet(str(tmp_path / "lineitem.parquet"))
+    began = time.time()
+    found = QUERIES["range_join"](spark, str(tmp_path))
+    rows = found.groupBy("parts").count().collect()
+    assert sorted((r.parts, r["count"]) for r in rows) == [(n, m * 4 // 5 - 1), (2 * n, 1)] and time.time() - began < 60
