@@ -537,3 +537,21 @@ def test_links_of_known_pairs_equal_the_join(spark):
     want = {(i, j): bool(sets[i]) and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]) for i in range(len(texts)) for j in range(i + 1, len(texts))}
     assert {(r.i, r.j): r.linked for r in pairs.select("i", "j", ngram_join.likeness_links(F.col("t"), F.col("u")).alias("linked")).collect()} == want
     assert any(want.values()) and not all(want.values())
+
+
+@pytest.mark.parametrize("length", [5, 8, 13])
+def test_all_templates_equal_sql_on_random_lines(spark, length):
+    """Variants of a few lines: a line is alike to many templates, of which the most alike one takes it."""
+    rng = random.Random(length)
+    bases = [["we", "saw", "one", *(rng.choice("abc") + "x" for _ in range(length - 3))] for _ in range(3)]
+    made = []
+    for _ in range(160):
+        line = [*rng.choice(bases)]
+        for _ in range(rng.choice([0, 1, 1, 2, 3])):
+            line[rng.randrange(3, length)] = rng.choice("abcdefgh") + "x"
+        made.append(" ".join(line))
+    df = frame(spark, [*made, made[0] + "\n" + made[1]])
+    con = duckdb.connect()
+    con.register("documents", df.select("doc_id", "text").toPandas())
+    found = line_templates.drop_recurring_lines(df, every=True).select("doc_id", "text", "n_lines", "n_dropped")
+    assert sorted(map(tuple, found.collect())) == sorted(con.execute(line_templates.oracle(every=True)).fetchall())
